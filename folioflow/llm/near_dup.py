@@ -6,8 +6,9 @@ leave one chunk with no more than one error, so a key for every chunk and every
 brings together all pairs within LIMIT: that is guaranteed, and a pair at exactly 0.75 is beyond LIMIT
 once in some 60,000 times. What meets is confirmed on the full shingle sets.
 
-No bucket is ever paired out: each first links its members to one of them, and only members that are still
-in different components meet again, within blocks of a bounded size.
+No bucket is ever paired out. Its members are first compared with one of them, twice. Where a bucket still
+holds several components, each member that is near another component asks for it, and is compared with that
+component's members until one agrees; pairs are never rows, and a component is cut into blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ POSITIONS, CHUNKS, LIMIT = 64, 16, 31
 CHUNK = POSITIONS // CHUNKS
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 1024
+#: Times that the members of a bucket are compared with one of them before components ask for each other.
+HUBS = 2
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -170,59 +173,103 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(left: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
-    """Pairs within LIMIT of members (key, node, component) of one bucket in different components: all of
-    them, or for each member the nearest of every other component. A bucket is cut into blocks that meet two by two."""
+def _tasks(left: DataFrame) -> int:
+    return int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _groups(batches, of: int):
+    """Runs of rows that agree in their first `of` columns."""
+    rows: list = []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns]):
+            if rows and rows[0][:of] != r[:of]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _reaching(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, to): members of a bucket that are within LIMIT of a member of another component `to`, asked from
+    the side of the smaller component. left: (key, node, component, size). A bucket is cut into blocks that
+    meet two by two; the pairs themselves never leave a task."""
     sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cut = left.join(sizes, "key").join(nodes.select("node", "signature"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    cut = cut.select("key", "node", "component", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "signature")
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
+    cut = cut.select("key", "node", "component", "size", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "size", "signature")
+    cut = cut.repartition(_tasks(left), "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def pairs(rows):
+        held: set = set()
+        for rows in _groups(batches, 3):
             low, high = rows[0][1], rows[0][2]
-            sig = np.frombuffer(b"".join(r[6] for r in rows), "<u4").reshape(-1, POSITIONS)
-            node, comp, own = (np.array([r[i] for r in rows]) for i in (4, 5, 3))
-            first = np.flatnonzero(own == low)
-            second = np.flatnonzero(own == high)
-            for i in first:
-                js = second[(comp[second] != comp[i]) & ((low != high) | (second > i))]
+            sig = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(-1, POSITIONS)
+            own, node, comp, size = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+            for i in range(len(rows)):
+                js = np.flatnonzero(own == (high if own[i] == low else low))
+                js = js[(comp[js] != comp[i]) & ((size[js] > size[i]) | ((size[js] == size[i]) & (comp[js] < comp[i])))]
                 if len(js):
-                    far = (sig[js] != sig[i]).sum(axis=1)
-                    js, far = js[far <= LIMIT], far[far <= LIMIT]
-                    if not every:
-                        js = js[np.lexsort((node[js], far))]
-                        js = js[np.unique(comp[js], return_index=True)[1]]
-                    for j in js:
-                        yield min(node[i], node[j]), max(node[i], node[j])
-
-        def groups():
-            rows = []
-            for b in batches:
-                for r in zip(*[c.to_pylist() for c in b.columns]):
-                    if rows and rows[0][:3] != r[:3]:
-                        yield rows
-                        rows = []
-                    rows.append(r)
-            if rows:
-                yield rows
-
-        held: set = set()
-        for rows in groups():
-            held.update(pairs(rows))
+                    js = js[(sig[js] != sig[i]).sum(axis=1) <= LIMIT]
+                    held.update((int(node[i]), c) for c in np.unique(comp[js]).tolist())
             if len(held) > 50_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["a", "b"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["node", "to"])
                 held = set()
         if held:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["a", "b"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["node", "to"])
 
-    return cut.mapInArrow(run, "a long, b long").distinct()
+    return cut.mapInArrow(run, "node long, to long").distinct()
+
+
+def _joined(asked: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes asked (node, to) and members (node, component) of the components they ask for:
+    all members within LIMIT are compared in full until one agrees. A component is cut into blocks, each of
+    which sees every node that asks for it."""
+    wanted = asked.select(F.col("to").alias("component")).distinct()
+    own = members.join(wanted, "component", "left_semi")
+    blocks = own.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    held = own.join(blocks, "component").select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"), "node")
+    asks = asked.join(blocks, asked["to"] == blocks["component"]).select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node")
+    rows = held.unionByName(asks).join(nodes.select("node", "signature"), "node").join(texts, "node").select("component", "block", "asks", "node", "signature", "text")
+    rows = rows.repartition(_tasks(asked), "component", "block").sortWithinPartitions("component", "block", "asks", "node")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        shingler, now, out = Shingler(), None, []
+        ids, sigs, sets, matrix = [], [], [], None
+        for b in batches:
+            for comp, block, asking, node, sig, text in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5)):
+                if (comp, block) != now:
+                    now, ids, sigs, sets, matrix = (comp, block), [], [], [], None
+                sig = np.frombuffer(sig, "<u4")
+                mine = shingler(text.as_py())
+                if not asking:
+                    ids.append(node)
+                    sigs.append(sig)
+                    sets.append(mine)
+                    continue
+                if matrix is None:
+                    matrix = np.array(sigs).reshape(-1, POSITIONS)
+                far = (matrix != sig).sum(axis=1)
+                for j in np.argsort(far, kind="stable"):
+                    if far[j] > LIMIT:
+                        break
+                    other = sets[j]
+                    if min(len(mine), len(other)) * 100 >= SIMILARITY * max(len(mine), len(other)):
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if 100 * both >= SIMILARITY * (len(mine) + len(other) - both):
+                            out.append((node, ids[j]))
+                            break
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,29 +285,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not nodes.where("clash").isEmpty():
         raise RuntimeError("two different sets share 64 bits of their digest")
     keys = _keys(nodes)
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    met = stored(keys.join(groups.select("key", "hub"), "key"), "buckets")
-    wanted = met.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
-    wanted = stored(wanted.select("text_hash", "node"), "wanted")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(keys.join(groups, "key"), "buckets")
+    rank = met.groupBy("node").agg(F.sum("n").alias("rank"))
+    wanted = stored(rank.select("node").join(nodes.select("node", "text_hash"), "node").select("text_hash", "node"), "wanted")
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = stored(_texts(rows, wanted), "texts")
 
-    tested = settled(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = stored(_confirmed(_near(tested, nodes), texts), "edges")
-    linked = components(edges)
-    for every in (False, True):
-        open_ = met.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_ = settled(open_)
-        mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = settled(open_.join(mixed, "key", "left_semi"))
-        more = settled(_across(left, nodes, every).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        new = stored(_confirmed(more, texts), "edges")
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            linked = components(edges)
-        tested = tested.unionByName(more)
+    # A hub is the member that meets most others over all buckets: the likely original of a group of copies.
+    open_ = settled(met.join(rank, "node").select("key", "node", "rank", F.col("node").alias("component")))
+    edges, linked = None, None
+    for turn in range(HUBS):
+        hubs = open_.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("hub"))
+        stars = open_.join(hubs, "key").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+        new = stored(_confirmed(_near(stars, nodes), texts), "edges")
+        edges = new if edges is None else edges.unionByName(new)
+        linked = components(edges)
+        # The hub's whole component has had its turn as far as it shares the hub's: the next hub comes from elsewhere.
+        labelled = open_.select("key", "node", "rank").join(linked, "node", "left").select("key", "node", "rank", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        labelled = settled(labelled.join(mixed, "key", "left_semi"))
+        seen = hubs.select("key", F.col("hub.node").alias("node"))
+        open_ = labelled.join(seen, ["key", "node"], "left_anti") if turn + 1 < HUBS else labelled
+    sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
+    asked = settled(_reaching(open_.select("key", "node", "component").join(sizes, "component", "left").select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size")), nodes))
+    if not asked.isEmpty():
+        alone = rank.select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+        more = stored(_joined(asked, linked.unionByName(alone), nodes, texts), "edges")
+        if not more.isEmpty():
+            linked = components(edges.unionByName(more))
     of = drawn.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = of.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = of.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
