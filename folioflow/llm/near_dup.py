@@ -4,7 +4,8 @@ A signature has POSITIONS minima of 32 bits. Texts whose shingle sets agree by 0
 the positions on average; LIMIT is 4.5 standard deviations above that. LIMIT errors over CHUNKS chunks
 leave one chunk with no more than one error, so a key for every chunk and every position left out of it
 brings together all pairs within LIMIT: that is guaranteed, and a pair at exactly 0.75 is beyond LIMIT
-once in some 60,000 times. What meets is confirmed on the full shingle sets.
+once in some 60,000 times. What meets, and is within WIDE_LIMIT in a wider signature, is confirmed on the full
+shingle sets.
 
 No bucket is ever paired out. Its members are first compared with one of them, twice. Where a bucket still
 holds several components, each member that is near another component asks for it, and is compared with that
@@ -21,6 +22,8 @@ from .common import components, settled, short_batches, stored
 
 SHINGLE, SIMILARITY = 5, 75
 POSITIONS, CHUNKS, LIMIT = 64, 16, 31
+#: Texts that meet are told apart by a wider signature of other minima, one byte of each: 4.6 standard deviations.
+WIDE, WIDE_LIMIT = 256, 96
 CHUNK = POSITIONS // CHUNKS
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 1024
@@ -70,13 +73,13 @@ class Shingler:
         return np.unique(_mix(out))
 
 
-def minima(shingles):
+def minima(shingles, positions: int = POSITIONS, seed: int = 20240501):
     """The signature of a set that isn't empty."""
     import numpy as np
 
-    rng = np.random.default_rng(20240501)
-    a = rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, positions, dtype=np.uint64)
     best = None
     for at in range(0, len(shingles), 2048):
         low = ((shingles[at : at + 2048, None] * a + b) >> np.uint64(32)).min(axis=0)
@@ -132,9 +135,9 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in LIMIT positions or fewer."""
-    sig = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose wide signatures differ in WIDE_LIMIT positions or fewer."""
+    sig = lambda x: texts.select(F.col("node").alias(x), F.col("wide").alias(f"s{x}"))
     both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -142,8 +145,8 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, POSITIONS) for i in (2, 3))
-            near = pa.array((x != y).sum(axis=1) <= LIMIT)
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(-1, WIDE) for i in (2, 3))
+            near = pa.array((x != y).sum(axis=1) <= WIDE_LIMIT)
             yield pa.record_batch([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -190,15 +193,15 @@ def _groups(batches, of: int):
         yield rows
 
 
-def _reaching(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, to): members of a bucket that are within LIMIT of a member of another component `to`, asked from
+def _reaching(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, to): members of a bucket that are within WIDE_LIMIT of a member of another component `to`, asked from
     the side of the smaller component. left: (key, node, component, size). A bucket is cut into blocks that
     meet two by two; the pairs themselves never leave a task."""
     sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = left.join(sizes, "key").join(nodes.select("node", "signature"), "node")
+    cut = left.join(sizes, "key").join(texts.select("node", "wide"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    cut = cut.select("key", "node", "component", "size", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "size", "signature")
+    cut = cut.select("key", "node", "component", "size", "wide", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "size", "wide")
     cut = cut.repartition(_tasks(left), "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
 
     def run(batches):
@@ -208,13 +211,13 @@ def _reaching(left: DataFrame, nodes: DataFrame) -> DataFrame:
         held: set = set()
         for rows in _groups(batches, 3):
             low, high = rows[0][1], rows[0][2]
-            sig = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(-1, POSITIONS)
+            sig = np.frombuffer(b"".join(r[7] for r in rows), "u1").reshape(-1, WIDE)
             own, node, comp, size = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
             for i in range(len(rows)):
                 js = np.flatnonzero(own == (high if own[i] == low else low))
                 js = js[(comp[js] != comp[i]) & ((size[js] > size[i]) | ((size[js] == size[i]) & (comp[js] < comp[i])))]
                 if len(js):
-                    js = js[(sig[js] != sig[i]).sum(axis=1) <= LIMIT]
+                    js = js[(sig[js] != sig[i]).sum(axis=1) <= WIDE_LIMIT]
                     held.update((int(node[i]), c) for c in np.unique(comp[js]).tolist())
             if len(held) > 50_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["node", "to"])
@@ -225,16 +228,16 @@ def _reaching(left: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "node long, to long").distinct()
 
 
-def _joined(asked: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _joined(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between nodes asked (node, to) and members (node, component) of the components they ask for:
-    all members within LIMIT are compared in full until one agrees. A component is cut into blocks, each of
+    all members within WIDE_LIMIT are compared in full until one agrees. A component is cut into blocks, each of
     which sees every node that asks for it."""
     wanted = asked.select(F.col("to").alias("component")).distinct()
     own = members.join(wanted, "component", "left_semi")
     blocks = own.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     held = own.join(blocks, "component").select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"), "node")
     asks = asked.join(blocks, asked["to"] == blocks["component"]).select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node")
-    rows = held.unionByName(asks).join(nodes.select("node", "signature"), "node").join(texts, "node").select("component", "block", "asks", "node", "signature", "text")
+    rows = held.unionByName(asks).join(texts, "node").select("component", "block", "asks", "node", "wide", "text")
     rows = rows.repartition(_tasks(asked), "component", "block").sortWithinPartitions("component", "block", "asks", "node")
 
     def run(batches):
@@ -247,7 +250,7 @@ def _joined(asked: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataF
             for comp, block, asking, node, sig, text in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5)):
                 if (comp, block) != now:
                     now, ids, sigs, sets, matrix = (comp, block), [], [], [], None
-                sig = np.frombuffer(sig, "<u4")
+                sig = np.frombuffer(sig, "u1")
                 mine = shingler(text.as_py())
                 if not asking:
                     ids.append(node)
@@ -255,10 +258,10 @@ def _joined(asked: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataF
                     sets.append(mine)
                     continue
                 if matrix is None:
-                    matrix = np.array(sigs).reshape(-1, POSITIONS)
+                    matrix = np.array(sigs).reshape(-1, WIDE)
                 far = (matrix != sig).sum(axis=1)
                 for j in np.argsort(far, kind="stable"):
-                    if far[j] > LIMIT:
+                    if far[j] > WIDE_LIMIT:
                         break
                     other = sets[j]
                     if min(len(mine), len(other)) * 100 >= SIMILARITY * max(len(mine), len(other)):
@@ -298,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(HUBS):
         hubs = open_.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("hub"))
         stars = open_.join(hubs, "key").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = stored(_confirmed(_near(stars, nodes), texts), "edges")
+        new = stored(_confirmed(_near(stars, texts), texts), "edges")
         edges = new if edges is None else edges.unionByName(new)
         linked = components(edges)
         # The hub's whole component has had its turn as far as it shares the hub's: the next hub comes from elsewhere.
@@ -308,10 +311,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen = hubs.select("key", F.col("hub.node").alias("node"))
         open_ = labelled.join(seen, ["key", "node"], "left_anti") if turn + 1 < HUBS else labelled
     sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
-    asked = settled(_reaching(open_.select("key", "node", "component").join(sizes, "component", "left").select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size")), nodes))
+    asked = settled(_reaching(open_.select("key", "node", "component").join(sizes, "component", "left").select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size")), texts))
     if not asked.isEmpty():
         alone = rank.select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
-        more = stored(_joined(asked, linked.unionByName(alone), nodes, texts), "edges")
+        more = stored(_joined(asked, linked.unionByName(alone), texts), "edges")
         if not more.isEmpty():
             linked = components(edges.unionByName(more))
     of = drawn.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -321,9 +324,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text): one text for every wanted node."""
-    found = maybe_in(rows, "text_hash", wanted)
-    return found.dropDuplicates(["text_hash"]).join(wanted, "text_hash").select("node", "text")
+    """(node, text, wide): one text for every wanted node, and its wide signature."""
+    found = maybe_in(rows, "text_hash", wanted).dropDuplicates(["text_hash"]).join(wanted, "text_hash").select("node", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingler = Shingler()
+        for b in batches:
+            wide = [minima(shingler(t.as_py()), WIDE, 7).astype("u1").tobytes() for t in b.column(1)]
+            yield pa.record_batch([*b.columns, pa.array(wide, pa.binary())], names=["node", "text", "wide"])
+
+    return found.mapInArrow(run, "node long, text string, wide binary")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

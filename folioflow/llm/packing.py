@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, k
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = Encoder.shared(tokenizer), end_id.to_bytes(4, "little")
 
         def rows():
             packer = Packer(window, keep, part << 34)

@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
         from pyspark import TaskContext
 
         part, seq, held, count = TaskContext.get().partitionId(), 0, [], 0
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = Encoder.shared(tokenizer), end_id.to_bytes(4, "little")
 
         def image():
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([count], pa.int64()), pa.array([write_image(held)], pa.binary())], names=["part", "seq", "n_ids", "image"])
