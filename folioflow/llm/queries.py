@@ -31,7 +31,7 @@ def op2_packing(spark, sf_dir):
 
 def op3_token_files(spark, sf_dir):
     images = simple8b.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return simple8b.read_token_files(images).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return simple8b.read_token_files(images, with_ids=False)
 
 
 def op4_pseudonyms(spark, sf_dir):

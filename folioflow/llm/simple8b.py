@@ -35,12 +35,18 @@ def encode_ids(ids):
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[: len(ids)] = ids
     padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    pick = np.full(padded.shape, 255, np.uint8)
-    where = np.arange(padded.shape[1])
+    high = padded >> np.uint64(30)
+    bits = np.where(high > 0, np.frexp(high.astype(float))[1] + 30, np.frexp(padded.astype(float))[1]).astype(np.uint8).reshape(-1)
+    # The widest of the next c numbers for every c that a word can hold, each from two shorter runs.
+    widest = {1: bits}
+    for c in sorted(COUNTS)[1:]:
+        most = max(k for k in widest if 2 * k >= c)
+        widest[c] = widest[most].copy()
+        np.maximum(widest[most][: most - c], widest[most][c - most :], out=widest[c][: most - c])
+    pick = np.full(bits.shape, 255, np.uint8)
     for s in reversed(range(len(COUNTS))):
-        wide = np.where(padded >> np.uint64(WIDTHS[s]) > 0, where, padded.shape[1])
-        ahead = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - where
-        pick[ahead >= COUNTS[s]] = s
+        pick[widest[COUNTS[s]] <= WIDTHS[s]] = s
+    pick = pick.reshape(padded.shape)
     if (pick[:, :BLOCK] == 255).any():
         raise ValueError("an id needs more than 60 bits")
     length = np.full(blocks, BLOCK)
@@ -155,8 +161,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
     return stored(ordered.mapInArrow(images, "part int, seq int, n_ids long, image binary"), "tokens")
 
 
-def read_token_files(images: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the images; start counts all ids before it.
+def read_token_files(images: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the images; start counts all ids before it,
+    and the ids stay behind if they aren't asked for.
 
     Offsets come from the images' own counts: summed by part first, so that the one running sum over
     everything has a row for each part only.
@@ -168,14 +175,14 @@ def read_token_files(images: DataFrame) -> DataFrame:
     starts = inner.join(before, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("base"))
 
     def decoded(batches):
-        import pyarrow as pa
+        import zlib
 
         for batch in batches:
             for part, seq, _, image in zip(*[c.to_pylist() for c in batch.columns]):
                 held, at, weight = [], 0, 0
                 for doc, ids in read_image(image):
-                    held.append((doc, part, seq, at, len(ids), ids.tobytes()))
-                    at, weight = at + len(ids), weight + ids.nbytes
+                    held.append((doc, part, seq, at, len(ids), zlib.crc32(ids), ids.tobytes() if with_ids else None))
+                    at, weight = at + len(ids), weight + (ids.nbytes if with_ids else 64)
                     if weight > 1 << 22:
                         yield _rows(held)
                         held, weight = [], 0
@@ -185,10 +192,9 @@ def read_token_files(images: DataFrame) -> DataFrame:
     def _rows(held):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["doc_id", "part", "seq", "local", "n_tokens", "ids"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["doc_id", "part", "seq", "local", "n_tokens", "ids_crc32", "ids"])
 
-    rows = images.mapInArrow(decoded, "doc_id long, part int, seq int, local long, n_tokens long, ids binary")
-    return rows.withColumn("ids_crc32", F.crc32("ids")).join(starts, ["part", "seq"]).select(
-        "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids"
-    )
+    rows = images.mapInArrow(decoded, "doc_id long, part int, seq int, local long, n_tokens long, ids_crc32 long, ids binary")
+    out = rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return out if with_ids else out.drop("ids")

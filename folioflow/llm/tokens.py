@@ -14,7 +14,7 @@ import re
 
 #: Longer pieces are encoded, not cached. A cache of CACHE pieces becomes the old one, which is asked before a
 #: piece is encoded again.
-LONG, CACHE = 48, 300_000
+LONG, CACHE = 48, 500_000
 #: Characters about whose class and case all regular expressions agree; the letters among them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _OTHER = re.compile("[^\t\n\r -~À-įı-ſ–—‘’“”…€]")
@@ -41,7 +41,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            written = piece.encode().decode("latin-1").translate(self.letters)
+            written = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(self.letters)
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
         if len(piece) <= LONG:
             if len(self) >= CACHE:
