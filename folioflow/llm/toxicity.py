@@ -58,8 +58,8 @@ class Model:
         import numpy as np
 
         pad = max(WIDTHS) - 1
-        ids = np.concatenate([np.asarray(ids, np.int64), np.full(pad, BUCKETS)])
-        n = max(1, len(ids) - pad)
+        n = max(1, len(ids))
+        ids = np.concatenate([np.asarray(ids, np.int64), np.full(n + pad - len(ids), BUCKETS)])
         pooled = []
         for table in tables:
             best = None
