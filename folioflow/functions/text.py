@@ -76,7 +76,7 @@ def out_of_brackets(text: Column) -> Column:
 
 def plain_number(value: Column) -> Column:
     """Two decimals without closing zeros."""
-    fixed = F.regexp_replace(F.format_number(value, "0.00"), r"\.?0+$", "")
+    fixed = F.regexp_replace(F.call_function("format_number", value, F.lit("0.00")), r"\.?0+$", "")
     return F.when(F.isnan(value), None).otherwise(fixed)
 
 
