@@ -27,9 +27,10 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def members(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is among the keys in wanted's first column, each once."""
-    ids = wanted.select(F.col(wanted.columns[0]).alias("__wanted"))
-    return maybe_in(rows, key, wanted).join(ids, F.col(f"`{key}`") == F.col("__wanted"), "left_semi")
+    """The rows whose key is among the keys in wanted's first column, each once. An inner join with distinct keys:
+    Spark would push a semi-join below the filter and shuffle every row."""
+    ids = wanted.select(F.col(wanted.columns[0]).alias("__wanted")).distinct()
+    return maybe_in(rows, key, wanted).join(ids, F.col(f"`{key}`") == F.col("__wanted")).drop("__wanted")
 
 
 def split_maybe(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
