@@ -35,14 +35,19 @@ def encode_ids(ids):
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[: len(ids)] = ids
     padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    high = padded >> np.uint64(30)
-    bits = np.where(high > 0, np.frexp(high.astype(float))[1] + 30, np.frexp(padded.astype(float))[1]).astype(np.uint8).reshape(-1)
+    # A 32-bit float holds ids of up to 24 bits exactly, and that is most vocabularies.
+    most = int(ids.max())
+    if most < 1 << 24:
+        bits = np.frexp(padded.astype(np.float32))[1].astype(np.uint8).reshape(-1)
+    else:
+        high = padded >> np.uint64(30)
+        bits = np.where(high > 0, np.frexp(high.astype(float))[1] + 30, np.frexp(padded.astype(float))[1]).astype(np.uint8).reshape(-1)
     # The widest of the next c numbers for every c that a word can hold, each from two shorter runs.
     widest = {1: bits}
     for c in sorted(COUNTS)[1:]:
-        most = max(k for k in widest if 2 * k >= c)
-        widest[c] = widest[most].copy()
-        np.maximum(widest[most][: most - c], widest[most][c - most :], out=widest[c][: most - c])
+        half = max(k for k in widest if 2 * k >= c)
+        widest[c] = widest[half].copy()
+        np.maximum(widest[half][: half - c], widest[half][c - half :], out=widest[c][: half - c])
     pick = np.full(bits.shape, 255, np.uint8)
     for s in reversed(range(len(COUNTS))):
         pick[widest[COUNTS[s]] <= WIDTHS[s]] = s
@@ -53,22 +58,29 @@ def encode_ids(ids):
     length[-1] = len(ids) - BLOCK * (blocks - 1)
     counts = np.array(COUNTS)
     rows, at, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
+    flat_pick, base = pick.reshape(-1), np.arange(blocks) * padded.shape[1]
+    n_words = np.zeros(blocks, np.int64)
     while len(rows):
-        s = pick[rows, at]
-        steps.append((rows, at, s))
+        from_ = base[rows] + at
+        s = flat_pick[from_]
+        steps.append((rows, from_, s))
+        n_words[rows] += 1
         at = at + counts[s]
         going = at < length[rows]
         rows, at = rows[going], at[going]
-    row, at, s = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((at, row))
-    row, at, s = row[order], at[order], s[order]
-    words = s.astype(np.uint64) << np.uint64(60)
+    offsets = np.zeros(blocks + 1, np.uint32)
+    offsets[1:] = np.cumsum(n_words)
+    # The k-th step takes the k-th word of each block that is that long.
+    first = offsets[:-1].astype(np.int64)
+    place = np.concatenate([first[rows] + k for k, (rows, _, _) in enumerate(steps)])
+    from_, s = (np.concatenate([x[i] for x in steps]) for i in (1, 2))
+    cells, words = padded.reshape(-1), np.empty(len(s), np.uint64)
     for k in np.unique(s):
         own = np.flatnonzero(s == k)
-        cells = padded[row[own][:, None], at[own][:, None] + np.arange(COUNTS[k])]
-        words[own] |= np.bitwise_or.reduce(cells << (np.arange(COUNTS[k], dtype=np.uint64) * np.uint64(WIDTHS[k])), axis=1)
-    offsets = np.zeros(blocks + 1, np.uint32)
-    offsets[1:] = np.cumsum(np.bincount(row, minlength=blocks))
+        at, word = from_[own], np.full(len(own), int(k) << 60, np.uint64)
+        for i in range(COUNTS[k]):
+            word |= cells[at + i] << np.uint64(i * WIDTHS[k])
+        words[place[own]] = word
     return words, offsets
 
 

@@ -92,5 +92,4 @@ class Encoder:
             return b""
         if not self.cut or _OTHER.search(text):
             return self.plain(text)
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in self.cut.findall(text.lower() if self.lower else text)])
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(text.lower() if self.lower else text)))
