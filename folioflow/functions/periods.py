@@ -85,3 +85,40 @@ def backoff_seconds(attempt: Column) -> Column:
 
 def lag_days(published: Column, crawled: Column) -> Column:
     return F.greatest(F.datediff(crawled, published), F.lit(0))
+
+
+# The forms in which a user writes a period: year and number, by groups.
+TOKEN_FORMS = (r"^(?:20)?(\d{2})年(?:第(\d{1,2})期|(\d{1,2})[月期])$", r"^20(\d{2})(\d{2})$", r"^(?:20)?(\d{2})[-./]?(\d{1,2})$")
+# A year and an issue or month in a title.
+TITLE_FORM = r"(20\d{2})\s*年(?:第\s*(\d{1,2})\s*期|(\d{1,2})\s*月)"
+
+
+def _number(text: Column, form: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, form, group), F.lit("")).try_cast("int")
+
+
+def token_period(token: Column) -> Column:
+    """YYYY-MM of a period as users write it (2026-2, 26.2, 2026年第3期, 202603), else null; two digits are a year from 2000 on."""
+    text, found = F.trim(token), []
+    for form in TOKEN_FORMS:
+        parts = [_number(text, form, 2)] + ([_number(text, form, 3)] if form == TOKEN_FORMS[0] else [])
+        found.append(F.when(text.rlike(form), F.struct(_number(text, form, 1).alias("y"), F.coalesce(*parts).alias("n"))))
+    got = F.coalesce(*found)
+    return F.when(got["n"].between(1, 12), F.format_string("20%02d-%02d", got["y"], got["n"]))
+
+
+def title_period(title: Column) -> Column:
+    """(year, number) of the first year with an issue or month in a title, else null."""
+    year, number = _number(title, TITLE_FORM, 1), F.coalesce(_number(title, TITLE_FORM, 2), _number(title, TITLE_FORM, 3))
+    return F.when(year.isNotNull(), F.struct(year.alias("year"), number.alias("number")))
+
+
+def edition_year(year: Column, label: Column, title: Column, noted: Column) -> Column:
+    """A book's year as four digits: its own, else one in its label, its title, or a note; null if none has one."""
+    inside = lambda c: F.nullif(F.regexp_extract(c, r"(20\d{2})", 1), F.lit(""))
+    bare = lambda c: F.when(F.trim(c).try_cast("int").between(1900, 2099), F.trim(c))
+    return F.coalesce(F.lpad(year.cast("int").cast("string"), 4, "0"), inside(label), bare(label), inside(title), inside(noted), bare(noted))
+
+
+def legal_status(effective: Column, today: Column) -> Column:
+    return F.when(effective.isNull(), "unknown").when(F.to_date(effective) <= F.to_date(today), "effective").otherwise("pending")

@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Traditional characters and their simplified forms in key texts.
-TRADITIONAL = "設價綜綱樓築貴滙閤魯齊烏"
-SIMPLIFIED = "设价综纲楼筑贵汇合鲁齐乌"
+TRADITIONAL = "價資訊綜設烏魯齊築與標準"
+SIMPLIFIED = "价资讯综设乌鲁齐筑与标准"
 # Query parameters that only track where a visitor came from.
-TRACKING = ("spm", "from", "source", "share", "scene", "timestamp", "nsukey")
+TRACKING = ("spm", "from", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
 # Literal unit rewrites, in this order.
-UNIT_REWRITES = (("m³", "m3"), ("m²", "m2"), ("㎡", "m2"), ("㎥", "m3"), ("立方米", "m3"), ("平方米", "m2"), ("公斤", "kg"), ("千克", "kg"))
+UNIT_REWRITES = (
+    ("<sup>2</sup>", "2"), ("<sup>3</sup>", "3"), (r"$\mathbf{m}^2$", "m2"), (r"$\mathbf{m}^3$", "m3"),
+    ("m³", "m3"), ("m²", "m2"), ("m^3", "m3"), ("m^2", "m2"),
+)
+# Names of units and the unit each stands for.
+UNIT_NAMES = {
+    "kg": "kg", "千克": "kg", "公斤": "kg", "t": "t", "吨": "t", "m3": "m³", "m³": "m³", "立方米": "m³", "m2": "m²", "m²": "m²", "平方米": "m²",
+    "m": "m", "米": "m", "个": "个", "套": "套", "台班": "台班", "工日": "工日", "工": "工日", "元": "元", "千块": "千块", "L": "L", "升": "L",
+}
 
 
 @F.pandas_udf(StringType())
@@ -28,8 +36,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
 def key_text(text: Column) -> Column:
     """Text for business keys: NFKC, simplified, lower case, no quotation marks, brackets and runs of space as one space."""
     plain = F.lower(F.trim(F.translate(nfkc(text), TRADITIONAL, SIMPLIFIED)))
-    bare = F.regexp_replace(plain, "[\"'“”‘’《》〈〉「」『』]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[()\[\]{}【】〔〕]", " "), r"\s+", " "))
+    bare = F.regexp_replace(plain, "[《》“”\"'`]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[（）()【】\[\]{}]", " "), r"\s+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -93,7 +101,8 @@ def tax_rate(with_tax: Column, without: Column) -> Column:
 
 
 def unit(text: Column) -> Column:
-    out = F.trim(text)
+    """The literal rewrites and nothing else."""
+    out = text
     for old, new in UNIT_REWRITES:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -105,6 +114,25 @@ def half_width(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, wide, "".join(map(chr, range(33, 127))) + " "), r"\s+", " "))
 
 
+def resource_text(text: Column) -> Column:
+    """A resource's text in half-width forms; a text that is a unit's name as that unit."""
+    plain = half_width(text)
+    known = F.create_map(*[F.lit(x) for kv in UNIT_NAMES.items() for x in kv])
+    return F.coalesce(known[plain], plain)
+
+
+def resource_name(text: Column) -> Column:
+    """resource_text without blanks inside parentheses' edges."""
+    return F.regexp_replace(F.regexp_replace(resource_text(text), r"\(\s+", "("), r"\s+\)", ")")
+
+
+def markup_unit(text: Column) -> Column:
+    """A unit out of formula markup: $100 m^{3}$ as 100m3; dashes alone are none, and a bare k is kg."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"\\mathrm|\\mathbf|[{}\s]", ""), r"\^", "")
+    formula = F.regexp_extract(bare, r"\$(\d*m[23]?)\$", 1)
+    return F.when(F.trim(text).rlike("^[-−–—]+$"), "").when(formula != "", formula).when(F.trim(text) == "k", "kg").otherwise(F.coalesce(F.trim(text), F.lit("")))
+
+
 def bigrams(text: Column) -> Column:
     return F.when(F.length(text) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.filter(F.array(text), lambda t: t != ""))
 

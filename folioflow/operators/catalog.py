@@ -86,3 +86,16 @@ def repeated(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
 def consistent_status(counts: Column, failed: Column, running: Column, pending: Column) -> Column:
     """The status of a campaign from its items' counts."""
     return F.when(counts == 0, "empty").when(running + pending > 0, "running").when(failed == counts, "failed").when(failed > 0, "partial").otherwise("completed")
+
+
+def representation_roles(mounts: DataFrame, key: str, order: list[Column], sheet: Column) -> DataFrame:
+    """mounts with is_primary: every spreadsheet of a group that has one, else its first row. order must end in a key."""
+    has = F.bool_or(sheet).over(Window.partitionBy(key))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    return mounts.withColumn("is_primary", F.when(F.coalesce(has, F.lit(False)), F.coalesce(sheet, F.lit(False))).otherwise(first))
+
+
+def ranked(rows: DataFrame, key: str, ranks: dict, last: int = 9999) -> DataFrame:
+    """rows with the rank of their key; unknown keys come last."""
+    known = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    return rows.withColumn("rank", F.coalesce(known[F.col(key)], F.lit(last)))

@@ -46,3 +46,12 @@ def duplicate_groups(found: DataFrame, archives: DataFrame) -> DataFrame:
 
     number = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
     return groups.withColumn("group_id", F.format_string("DUP-%04d", number))
+
+
+def shared_by_all(rows: DataFrame, group: str, member: str, evidence: str) -> DataFrame:
+    """(group, evidence) that every member of the group has; groups merged over several links may share none.
+    Members are counted, not gathered."""
+    own = rows.select(group, member, evidence).distinct()
+    sizes = own.groupBy(group).agg(F.count_distinct(member).alias("__size"))
+    held = own.where(F.col(evidence).isNotNull()).groupBy(group, evidence).agg(F.count("*").alias("__held"))
+    return held.join(sizes, group).where("__held = __size").select(group, evidence)

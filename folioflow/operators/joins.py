@@ -52,9 +52,10 @@ def duplicates_across(rows: DataFrame, source: str, keys: list[str], proofs: lis
     return out.distinct()
 
 
-def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
+def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92, others: bool = False) -> DataFrame:
     """Each resource (id, category, name, unit) with its best candidate (candidate_id, category, name, unit): score
-    0.8 x name + 0.2 x unit similarity, where different units count 0.5; the smallest id wins ties.
+    0.8 x name + 0.2 x unit similarity, where different units count 0.5; the smallest id wins ties. others: a
+    candidate of the same name isn't one.
 
     Only candidates that share a bigram of the name are scored, as any other has a name score of 0 and can't reach
     a threshold over 0.2.
@@ -64,6 +65,8 @@ def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92
     left = resources.select("id", "category", "name", "unit", F.explode(bigrams(F.col("name"))).alias("gram"))
     right = candidates.select(F.col("candidate_id"), "category", F.col("name").alias("c_name"), F.col("unit").alias("c_unit"), F.explode(bigrams(F.col("name"))).alias("gram"))
     met = left.join(right, ["category", "gram"]).select("id", "name", "unit", "candidate_id", "c_name", "c_unit").distinct()
+    if others:
+        met = met.where("name <> c_name")
     score = 0.8 * similarity(F.col("name"), F.col("c_name")) + 0.2 * F.when(F.col("unit") == F.col("c_unit"), 1.0).otherwise(0.5)
     best = met.withColumn("score", score).groupBy("id").agg(F.min_by(F.struct("candidate_id", "score"), F.struct(-F.col("score"), "candidate_id")).alias("best"))
     return best.select("id", "best.candidate_id", "best.score", (F.col("best.score") >= threshold).alias("matched"))
@@ -74,3 +77,9 @@ def full_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -
     a = left.select(key, F.struct(*columns).alias("l"))
     b = right.select(key, F.struct(*columns).alias("r"))
     return a.join(b, key, "full").where(~F.col("l").eqNullSafe(F.col("r"))).select(key, F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").otherwise("changed").alias("change"))
+
+
+def by_hash_prefix(rows: DataFrame, digest: str, others: DataFrame, other: str, length: int = 12) -> DataFrame:
+    """Pairs whose hex digests begin alike, whatever their case."""
+    head = lambda c: F.substring(F.lower(c), 1, length)
+    return rows.withColumn("__head", head(digest)).join(others.withColumn("__head", head(other)), "__head").drop("__head")

@@ -9,14 +9,67 @@ from ..functions.periods import months_between
 
 # The stage in which a task failed, by its error code.
 STAGE_OF_ERROR = {
-    "source_unreachable": "discover", "discover_failed": "discover", "layout_changed": "discover", "download_failed": "download",
-    "checksum_mismatch": "download", "ingest_failed": "ingest", "parse_failed": "parse", "archive_failed": "archive",
+    "DOWNLOAD_TIMEOUT": "download_timeout", "HOST_UNREACHABLE": "host_unreachable", "PARSE_ERROR": "parse_error",
+    "COST_INFO_CRAWL_TASK_FAILED": "crawl_failed", "MAX_ATTEMPTS_EXCEEDED": "max_attempts_exceeded",
 }
+# Provinces that are cities, and the names of target levels.
+MUNICIPALITIES = ("110000", "120000", "310000", "500000")
+CITY_LEVELS, SUBREGION_LEVELS = ("city", "prefecture", "prefecture_city", "municipality"), ("subregion", "county", "district", "county_district")
+#: What makes a gap worth an attempt.
+ACTIONABLE = ("not_attempted", "failed")
 
 
 def failed_stage(code: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in STAGE_OF_ERROR.items() for x in kv])
-    return F.when(code.isNotNull(), F.coalesce(known[F.lower(code)], F.lit("unknown")))
+    """The stage of an error code; null for others."""
+    return F.create_map(*[F.lit(x) for kv in STAGE_OF_ERROR.items() for x in kv])[code]
+
+
+def target_level(level: Column, region: Column) -> Column:
+    """A target's level in one of its names; the province of a municipality is a city."""
+    text = F.lower(F.trim(level))
+    city = text.isin(*CITY_LEVELS) | ((text == "province") & F.coalesce(region, F.lit("")).isin(*MUNICIPALITIES))
+    return F.when(city, "city").when(text.isin(*SUBREGION_LEVELS), "subregion").otherwise(F.nullif(text, F.lit("")))
+
+
+def classified(cells: DataFrame, view_compat: bool = False) -> DataFrame:
+    """cells (covered, blocked, has_source, later, earlier booleans, task_status, error_code) with gap_type, gap_reason,
+    failed_stage, cell_status and actionable; a null flag is false.
+
+    view_compat: a region without an active source waits for verification, and a failed task shows its stage
+    whatever the cell is.
+    """
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    no_source = is_("blocked") | ~is_("has_source")
+    waits = is_("later") | is_("earlier") | (no_source if view_compat else is_("blocked"))
+    failed = F.coalesce(F.col("task_status") == "failed", F.lit(False))
+    reason = F.when(is_("covered"), None).when(no_source, "no_source").when(is_("later"), "not_published").when(failed, "failed").otherwise("not_attempted")
+    stage = failed_stage(F.col("error_code"))
+    status = F.when(is_("covered"), "in_lake").when(F.col("task_status") == "pending", "queued").when(F.col("task_status") == "running", "crawling").when(failed, "failed").otherwise("missing")
+    out = cells.withColumn("gap_type", F.when(is_("covered"), "covered").when(waits, "pending_verify").otherwise("missing")).withColumn("gap_reason", reason)
+    out = out.withColumn("failed_stage", F.when(failed if view_compat else F.col("gap_reason") == "failed", stage))
+    return out.withColumn("cell_status", status).withColumn("actionable", F.coalesce(F.col("gap_reason").isin(*ACTIONABLE), F.lit(False)))
+
+
+def gap_view(archives: DataFrame, declared: DataFrame, tasks: DataFrame, sources: DataFrame, view_compat: bool = False) -> DataFrame:
+    """Every (region_code, period) that an archive, a declaration or a task names, classified.
+
+    archives: region_code, period, archive_id; declared: region_code, period; tasks: region_code, period, task_id,
+    status, error_code, created_at (the latest counts, the greatest id of equals); sources: region_code,
+    is_active, is_blocked. Each side is aggregated to its key before it is joined; cells without region or
+    period are left out.
+    """
+    key = ["region_code", "period"]
+    named = lambda rows: rows.where("region_code IS NOT NULL AND period IS NOT NULL")
+    counts = named(archives).groupBy(*key).agg(F.count_distinct("archive_id").alias("archives"), F.lit(None).cast("boolean").alias("declared"))
+    said = named(declared).select(*key).distinct().select(*key, F.lit(None).cast("long").alias("archives"), F.lit(True).alias("declared"))
+    evidence = counts.unionByName(said).groupBy(*key).agg(F.coalesce(F.max("archives"), F.lit(0)).alias("archives"), F.coalesce(F.max("declared"), F.lit(False)).alias("declared"))
+    bounds = evidence.groupBy("region_code").agg(F.min("period").alias("earliest"), F.max("period").alias("latest"))
+    newest = named(tasks).groupBy(*key).agg(F.max_by(F.struct("task_id", "status", "error_code"), F.struct("created_at", "task_id")).alias("task"))
+    known = sources.groupBy("region_code").agg(F.bool_or("is_active").alias("has_source"), F.bool_or("is_blocked").alias("blocked"))
+    cells = evidence.join(newest, key, "full").join(bounds, "region_code", "left").join(known, "region_code", "left")
+    flags = cells.select(*key, F.coalesce("archives", F.lit(0)).alias("archives"), ((F.coalesce("archives", F.lit(0)) > 0) | F.coalesce("declared", F.lit(False))).alias("covered"), "blocked", "has_source",
+                         (F.col("period") > F.col("latest")).alias("later"), (F.col("period") < F.col("earliest")).alias("earlier"), "task.task_id", F.col("task.status").alias("task_status"), F.col("task.error_code").alias("error_code"))
+    return classified(flags, view_compat).select(*key, "archives", "gap_type", "gap_reason", "failed_stage", "cell_status", "actionable", "task_id", "task_status")
 
 
 def spine(targets: DataFrame, periods: DataFrame) -> DataFrame:
@@ -58,3 +111,13 @@ def backfill_plan(cells: DataFrame, active: DataFrame) -> DataFrame:
     joined = cells.join(active.select("region_code", "period", F.lit(True).alias("busy")).distinct(), ["region_code", "period"], "left")
     action = F.when(F.col("status") == "covered", "skip_covered").when(F.col("status") == "future", "skip_future").when(F.col("status") == "blocked", "skip_blocked").when(F.coalesce("busy", F.lit(False)), "skip_active").otherwise("create_task")
     return joined.select("region_code", "period", action.alias("action"))
+
+
+def book_cells(archives: DataFrame) -> DataFrame:
+    """One row per (year, row_code) of archives (archive_id, title, year, row_code, parse_status): their number, sorted
+    ids, titles sorted with their statuses beside, and the histogram of statuses. An unknown year is a year."""
+    rows = archives.select(F.coalesce(F.col("year").cast("string"), F.lit("unknown")).alias("year"), "row_code", "archive_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("parse_status", F.lit("unknown")).alias("status"))
+    counts = rows.groupBy("year", "row_code", "status").agg(F.count("*").alias("n"), F.collect_list("archive_id").alias("ids"), F.collect_list(F.struct("title", "archive_id", "status")).alias("books"))
+    cells = counts.groupBy("year", "row_code").agg(F.sum("n").alias("archives"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("archive_ids"), F.array_sort(F.flatten(F.collect_list("books"))).alias("books"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))
+    shown = F.filter("books", lambda b: b["title"] != "")
+    return cells.select("year", "row_code", "archives", "archive_ids", F.transform(shown, lambda b: b["title"]).alias("titles"), F.transform(shown, lambda b: b["status"]).alias("title_statuses"), "statuses")

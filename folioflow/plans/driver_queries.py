@@ -13,7 +13,7 @@ from ..functions import periods, text
 from ..operators import catalog, graph, joins, sequences
 from ..session import table
 from ..streaming import feeds
-from . import coverage, ingest, manifest, quality
+from . import coverage, ingest, manifest, notes, quality
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,9 +56,9 @@ def coverage_matrix(spark, d):
 
 
 @query("""SELECT c_nationkey AS region, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY CAST(o_orderkey AS BIGINT)) AS ids
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '2-HIGH' GROUP BY ALL""")
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
 def issue_groups(spark, d):
-    rows = _archives(spark, d).where("o_orderpriority = '2-HIGH'").select(F.col("c_nationkey").alias("region"), "period", F.col("o_orderkey").alias("id"))
+    rows = _archives(spark, d).select(F.col("c_nationkey").alias("region"), "period", F.col("o_orderkey").alias("id"))
     return coverage.issue_groups(rows)
 
 
@@ -144,13 +144,14 @@ def dup_by_hash(spark, d):
     return top.select("sha", "n", "canonical", "ids").orderBy(F.desc("n"), "canonical").limit(10)
 
 
-@query("""WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS n, l_partkey AS e FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09),
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS n, l_partkey || '-' || l_suppkey || '-' || year(l_shipdate) || '-' || quarter(l_shipdate) AS e FROM lineitem),
 p AS (SELECT DISTINCT a.n AS a, b.n AS b FROM k a JOIN k b USING (e)),
 r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def dup_components(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
-    return graph.components(rows, "l_orderkey", "l_partkey")
+    """Orders of the same part from the same supplier in one quarter."""
+    key = F.concat_ws("-", "l_partkey", "l_suppkey", F.year("l_shipdate"), F.quarter("l_shipdate"))
+    return graph.components(table(spark, d, "lineitem").withColumn("key", key), "l_orderkey", "key")
 
 
 @query("SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -172,19 +173,19 @@ def json_path(spark, d):
     return rows.where("k > 90")
 
 
-@query("""SELECT o_orderkey, unnest(list_distinct([l_returnflag, l_linestatus])) AS flag FROM (SELECT DISTINCT o_orderkey, l_returnflag, l_linestatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P')""")
+@query("""SELECT o_orderkey, unnest(list_distinct([l_returnflag, l_linestatus])) AS flag FROM (SELECT DISTINCT o_orderkey, l_returnflag, l_linestatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""")
 def unnest_lateral(spark, d):
-    rows = table(spark, d, "orders").where("o_orderstatus = 'P'").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_returnflag", "l_linestatus").distinct()
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_returnflag", "l_linestatus").distinct()
     return rows.select("o_orderkey", F.explode(F.array_distinct(F.array("l_returnflag", "l_linestatus"))).alias("flag"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS c_custkey, coalesce(string_agg(DISTINCT o_orderstatus, ' | ' ORDER BY o_orderstatus), '') AS o_orderstatus, coalesce(string_agg(DISTINCT o_orderpriority, ' | ' ORDER BY o_orderpriority), '') AS o_orderpriority FROM orders GROUP BY 1),
-l AS (SELECT o_custkey AS c_custkey, string_agg(DISTINCT l_returnflag, ' | ' ORDER BY l_returnflag) AS l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 48 GROUP BY 1),
+l AS (SELECT o_custkey AS c_custkey, string_agg(DISTINCT l_returnflag, ' | ' ORDER BY l_returnflag) AS l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
 j AS (SELECT c_custkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(l_returnflag, '') AS l_returnflag FROM customer LEFT JOIN o USING (c_custkey) LEFT JOIN l USING (c_custkey))
 SELECT *, concat_ws('|', CASE WHEN l_returnflag = '' THEN 'l_returnflag' END, CASE WHEN o_orderstatus = '' THEN 'o_orderstatus' END) AS missing_fields, l_returnflag <> '' AND o_orderstatus <> '' AS parse_ready FROM j""")
 def manifest_fan_in(spark, d):
     orders = table(spark, d, "orders")
-    lines = orders.select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").where("l_quantity > 48"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = orders.select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     out = manifest.fan_in(table(spark, d, "customer").select("c_custkey"), "c_custkey", [(orders, "o_custkey", ["o_orderstatus", "o_orderpriority"]), (lines, "o_custkey", ["l_returnflag"])])
     return manifest.readiness(out, ["o_orderstatus", "l_returnflag"])
 
@@ -262,14 +263,18 @@ def risk_rows(spark, d):
     return quality.price_risks(rows)
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT p_name AS name, unnest(list_transform(range(1, len(p_name)), lambda i: substring(p_name, i, 2))) AS gram FROM part),
+n AS (SELECT name, count(*) AS size FROM g GROUP BY 1), r AS (SELECT DISTINCT p_type, p_brand, p_name FROM part), c AS (SELECT DISTINCT p_type, p_name FROM part),
+h AS (SELECT a.name AS x, b.name AS y, count(*) AS shared FROM g a JOIN g b USING (gram) GROUP BY ALL),
+s AS (SELECT p_brand || '/' || r.p_type || '/' || r.p_name AS id, c.p_name AS candidate_id, 0.8::DOUBLE * (shared::DOUBLE / greatest(m.size, k.size)) + 0.2::DOUBLE * 0.5::DOUBLE AS score
+  FROM r JOIN c ON r.p_type = c.p_type AND r.p_name <> c.p_name JOIN h ON x = r.p_name AND y = c.p_name JOIN n m ON m.name = x JOIN n k ON k.name = y)
+SELECT id, candidate_id, score, score >= 0.6 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate_id) AS r FROM s) WHERE r = 1""")
 def ngram_align(spark, d):
-    """Part names of one kind against those of another."""
+    """Every part of every brand with the most similar other name of its type."""
     part = table(spark, d, "part")
-    names = part.select(F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("unit")).distinct()
-    left = names.where("unit LIKE '%1'").select(F.concat_ws("/", "category", "unit", "name").alias("id"), "category", "name", "unit")
-    right = names.where("unit LIKE '%2'").select(F.concat_ws("/", "category", "unit", "name").alias("candidate_id"), "category", "name", "unit")
-    return joins.aligned(left, right)
+    left = part.select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("id"), F.col("p_type").alias("category"), F.col("p_name").alias("name"), F.col("p_brand").alias("unit")).distinct()
+    right = part.select(F.col("p_name").alias("candidate_id"), F.col("p_type").alias("category"), F.col("p_name").alias("name"), F.lit("").alias("unit")).distinct()
+    return joins.aligned(left, right, 0.6, others=True)
 
 
 @query("""SELECT n_name, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_final, count(*) FILTER (o_orderstatus = 'P') AS n_partial, count(*) AS n, count(DISTINCT year(o_orderdate)) AS years
@@ -329,20 +334,21 @@ def retry_backoff(spark, d):
     return rows.select("event_id", F.when(F.col("value") >= 100, "dead").otherwise("retry").alias("next"), periods.backoff_seconds(F.floor(F.col("value") / 20).cast("int")).alias("wait"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 49)
-SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM a JOIN a b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey AND a.l_orderkey < b.l_orderkey""")
+@query("""WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m') AS period, l_extendedprice, l_quantity FROM lineitem)
+SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM a JOIN a b ON a.l_partkey = b.l_partkey AND a.period = b.period AND a.l_suppkey <> b.l_suppkey AND a.l_orderkey < b.l_orderkey
+WHERE a.l_extendedprice = b.l_extendedprice OR a.l_quantity = b.l_quantity""")
 def cross_source_duplicates(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_partkey").alias("proof"))
-    return joins.duplicates_across(rows, "l_suppkey", ["l_partkey"], ["proof"], "l_orderkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", _month("l_shipdate").alias("period"), "l_extendedprice", "l_quantity")
+    return joins.duplicates_across(rows, "l_suppkey", ["l_partkey", "period"], ["l_extendedprice", "l_quantity"], "l_orderkey")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, c_nationkey AS nation, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS cust FROM orders JOIN customer ON o_custkey = c_custkey),
-s1 AS (SELECT c_custkey, c_name AS owner FROM customer WHERE c_custkey % 2 = 0), s2 AS (SELECT n_nationkey, n_name AS owner FROM nation WHERE n_nationkey < 20)
+@query("""WITH e AS (SELECT o_orderkey AS id, c_nationkey AS nation, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS cust FROM orders JOIN customer ON o_custkey = c_custkey),
+s1 AS (SELECT c_custkey, c_name AS owner FROM customer WHERE c_acctbal > 0), s2 AS (SELECT n_nationkey, n_name AS owner FROM nation WHERE n_regionkey <> 0)
 SELECT id, coalesce(s1.owner, s2.owner) AS owner, CASE WHEN s1.owner IS NOT NULL THEN 'exact' WHEN s2.owner IS NOT NULL THEN 'province' ELSE 'none' END AS match_kind FROM e LEFT JOIN s1 ON cust = c_custkey LEFT JOIN s2 ON nation = n_nationkey""")
 def cascading_match(spark, d):
-    rows = _archives(spark, d).select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("nation"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("cust"))
-    exact = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("owner"))
-    wide = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("owner"))
+    rows = _archives(spark, d).select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("nation"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).alias("cust"))
+    exact = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("owner"))
+    wide = table(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("owner"))
     return joins.cascade(rows, [("exact", ["cust"], exact), ("province", ["nation"], wide)], "owner").select("id", "owner", "match_kind")
 
 
@@ -370,3 +376,107 @@ def earliest_two(spark, d):
 
     rows = catalog.first_per(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 2)
     return rows.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
+
+
+_GAPS = """
+WITH o AS (SELECT c_nationkey AS region_code, strftime(o_orderdate, '%Y-%m') AS period, * FROM orders JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT region_code, period, count(DISTINCT o_orderkey) AS n FROM o WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY ALL),
+e AS (SELECT region_code, period FROM a UNION SELECT region_code, period FROM o WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P'),
+t AS (SELECT * FROM (SELECT region_code, period, o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'PARSE_ERROR' WHEN c_mktsegment = 'MACHINERY' THEN 'HOST_UNREACHABLE' END AS error_code,
+  row_number() OVER (PARTITION BY region_code, period ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM o WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) WHERE r = 1),
+b AS (SELECT region_code, min(period) AS lo, max(period) AS hi FROM e GROUP BY 1),
+s AS (SELECT s_nationkey AS region_code, bool_or(s_acctbal > 0) AS act, bool_or(s_acctbal > 9500) AS blk FROM supplier GROUP BY 1),
+c AS (SELECT region_code, period FROM e UNION SELECT region_code, period FROM t),
+f AS (SELECT c.*, coalesce(n, 0) AS archives, e.period IS NOT NULL AS cov, coalesce(act, false) AS act, coalesce(blk, false) AS blk, coalesce(c.period > hi, false) AS later, coalesce(c.period < lo, false) AS earlier, task_id, status, error_code
+  FROM c LEFT JOIN a USING (region_code, period) LEFT JOIN e USING (region_code, period) LEFT JOIN t USING (region_code, period) LEFT JOIN b USING (region_code) LEFT JOIN s USING (region_code)),
+g AS (SELECT *, CASE WHEN cov THEN NULL WHEN blk OR NOT act THEN 'no_source' WHEN later THEN 'not_published' WHEN status = 'failed' THEN 'failed' ELSE 'not_attempted' END AS gap_reason FROM f)
+SELECT region_code, period, archives, CASE WHEN cov THEN 'covered' WHEN blk OR later OR earlier {waits} THEN 'pending_verify' ELSE 'missing' END AS gap_type, gap_reason,
+  CASE WHEN {failed} THEN CASE error_code WHEN 'PARSE_ERROR' THEN 'parse_error' WHEN 'HOST_UNREACHABLE' THEN 'host_unreachable' END END AS failed_stage,
+  CASE WHEN cov THEN 'in_lake' WHEN status = 'pending' THEN 'queued' WHEN status = 'failed' THEN 'failed' ELSE 'missing' END AS cell_status, coalesce(gap_reason IN ('failed', 'not_attempted'), false) AS actionable, task_id, status AS task_status FROM g"""
+
+
+def _gaps(spark: SparkSession, d: str, compat: bool) -> DataFrame:
+    customer = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("region_code"), "c_mktsegment")
+    o = table(spark, d, "orders").withColumn("period", _month("o_orderdate")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    archives = o.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select("region_code", "period", F.col("o_orderkey").alias("archive_id"))
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "failed").otherwise("done")
+    error = F.when(F.col("c_mktsegment") == "BUILDING", "PARSE_ERROR").when(F.col("c_mktsegment") == "MACHINERY", "HOST_UNREACHABLE")
+    tasks = o.where("o_orderpriority NOT IN ('1-URGENT', '2-HIGH')").select("region_code", "period", F.col("o_orderkey").alias("task_id"), status.alias("status"), error.alias("error_code"), F.col("o_orderdate").alias("created_at"))
+    sources = table(spark, d, "supplier").select(F.col("s_nationkey").alias("region_code"), (F.col("s_acctbal") > 0).alias("is_active"), (F.col("s_acctbal") > 9500).alias("is_blocked"))
+    return coverage.gap_view(archives, o.where("o_orderpriority = '2-HIGH' AND o_orderstatus = 'P'"), tasks, sources, compat)
+
+
+@query(_GAPS.format(waits="", failed="gap_reason = 'failed'"))
+def gap_view(spark, d):
+    return _gaps(spark, d, False)
+
+
+@query(_GAPS.format(waits="OR NOT act", failed="status = 'failed'"))
+def gap_view_compat(spark, d):
+    return _gaps(spark, d, True)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) THEN l_returnflag = 'R'
+  ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1 END AS is_primary FROM lineitem""")
+def representation_roles(spark, d):
+    out = catalog.representation_roles(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_returnflag") == "R")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "is_primary")
+
+
+@query("""WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderpriority AS row_code, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, c_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT year, row_code, string_agg(o_orderstatus || ':' || n, ',' ORDER BY o_orderstatus) AS statuses FROM (SELECT year, row_code, o_orderstatus, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT year, row_code, count(*) AS archives, string_agg(id, ',' ORDER BY id) AS ids, string_agg(c_name, ',' ORDER BY c_name, id) AS titles, string_agg(o_orderstatus, ',' ORDER BY c_name, id) AS title_statuses, any_value(statuses) AS statuses
+FROM r JOIN h USING (year, row_code) GROUP BY ALL""")
+def book_cells(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("archive_id"), F.col("c_name").alias("title"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("row_code"), F.col("o_orderstatus").alias("parse_status"))
+    out = coverage.book_cells(rows)
+    shown = F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return out.select("year", "row_code", "archives", *[F.array_join(a, ",").alias(b) for a, b in (("archive_ids", "ids"), ("titles", "titles"), ("title_statuses", "title_statuses"))], shown.alias("statuses"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole FROM documents),
+s AS (SELECT doc_id, whole, list_filter(list_transform(string_split_regex(whole, '{notes.NOTE_START}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) >= 5) AS parts FROM w WHERE whole <> ''),
+u AS (SELECT doc_id, CAST(i AS INTEGER) AS note_no, parts[i + 1] AS text, true AS cut FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM s) UNION ALL SELECT doc_id, 0, whole, false FROM s WHERE len(parts) = 0)
+SELECT doc_id, note_no, CASE WHEN NOT cut THEN 'other' WHEN regexp_matches(text, '{notes.SCOPE}') THEN 'scope' WHEN regexp_matches(text, '{notes.RULE}') THEN 'calc_rule' ELSE 'other' END AS kind, text FROM u""")
+def note_split(spark, d):
+    return notes.notes(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH m AS (SELECT l_partkey, year(l_shipdate) AS year, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL)
+SELECT l_partkey, year, round(mean, 6) AS mean, lag(year) OVER w AS before, round((mean / lag(mean) OVER w - 1) * 100, 6) AS change_pct FROM m WINDOW w AS (PARTITION BY l_partkey ORDER BY year)""")
+def period_change(spark, d):
+    out = quality.period_changes(table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate")), ["l_partkey"], "year", "l_quantity")
+    return out.select("l_partkey", "year", F.round("mean", 6).alias("mean"), "before", F.round("change_pct", 6).alias("change_pct"))
+
+
+@query("""WITH k AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
+SELECT l_partkey, l_returnflag FROM (SELECT l_partkey, l_returnflag, count(DISTINCT l_orderkey) AS h FROM lineitem GROUP BY ALL) JOIN k USING (l_partkey) WHERE h = n""")
+def evidence_intersection(spark, d):
+    return graph.shared_by_all(table(spark, d, "lineitem"), "l_partkey", "l_orderkey", "l_returnflag")
+
+
+@query("""WITH s AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL), k AS (SELECT upper(sha) AS sha, min(doc_id) AS canonical FROM s GROUP BY 1)
+SELECT doc_id, canonical FROM s JOIN k ON substring(lower(k.sha), 1, 12) = substring(s.sha, 1, 12)""")
+def hash_prefix_join(spark, d):
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"))
+    known = rows.groupBy(F.upper("sha").alias("known_sha")).agg(F.min("doc_id").alias("canonical"))
+    return joins.by_hash_prefix(rows, "sha", known, "known_sha").select("doc_id", "canonical")
+
+
+@query("""WITH f AS (SELECT o_custkey AS key, max(o_totalprice) AS top, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_custkey AS key, max(o_totalprice) AS top, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT key, CASE WHEN f.n IS NULL THEN 'added' WHEN o.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM f FULL JOIN o USING (key) WHERE f.n IS DISTINCT FROM o.n OR f.top IS DISTINCT FROM o.top""")
+def row_diff(spark, d):
+    side = lambda x: table(spark, d, "orders").where(F.col("o_orderstatus") == x).groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("top"), F.count("*").alias("n"))
+    return joins.full_diff(side("F"), side("O"), "key", ["top", "n"])
+
+
+@query("""WITH l AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT c_custkey AS source_id, count(*) FILTER (e.event_type = 'view') AS pending_count, count(*) FILTER (e.event_type = 'click') AS running_count, count(*) FILTER (e.event_type = 'purchase') AS done_count, count(*) FILTER (e.event_type = 'error') AS failed_count,
+  any_value(CASE l.event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END) AS last_status
+FROM customer LEFT JOIN events e ON c_custkey = e.user_id LEFT JOIN l ON c_custkey = l.user_id AND l.r = 1 GROUP BY 1""")
+def source_dashboard(spark, d):
+    kinds = F.create_map(*[F.lit(x) for kv in (("view", "pending"), ("click", "running"), ("purchase", "done"), ("error", "failed")) for x in kv])
+    tasks = table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("task_id"), kinds[F.col("event_type")].alias("status"), F.lit(None).cast("string").alias("error_code"), F.col("ts").alias("at"))
+    return ingest.dashboard(table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")), tasks).drop("last_error")

@@ -71,9 +71,9 @@ def seed_plan(files: DataFrame, known: DataFrame) -> DataFrame:
 
 # The states of a book and what may follow each.
 NEXT_STATES = {
-    "registered": ("probed", "failed"), "probed": ("ocr_running", "failed"), "ocr_running": ("ocr_done", "failed"), "ocr_done": ("parsing", "failed"),
-    "parsing": ("parsed", "failed"), "parsed": ("qa_running", "failed"), "qa_running": ("qa_passed", "needs_review", "failed"), "needs_review": ("qa_passed", "parsing"),
-    "qa_passed": ("published",), "published": (), "failed": ("registered",),
+    "draft": ("ingested", "error"), "ingested": ("parsing", "error"), "parsing": ("parsed", "error"), "parsed": ("qa", "error"),
+    "qa": ("qa_passed", "qa_failed", "error"), "qa_passed": ("review", "usable", "archived"), "qa_failed": ("parsed", "review", "error"),
+    "review": ("qa", "usable", "parsed", "error"), "usable": ("qa", "archived", "error"), "archived": ("error",), "error": ("draft", "ingested"),
 }
 
 
@@ -84,3 +84,20 @@ def bad_transitions(events: DataFrame) -> DataFrame:
     allowed = events.sparkSession.createDataFrame([(a, b) for a, bs in NEXT_STATES.items() for b in bs], "before string, state string")
     steps = events.withColumn("before", F.lag("state").over(Window.partitionBy("book_id").orderBy("seq")))
     return steps.where("before IS NOT NULL").join(F.broadcast(allowed), ["before", "state"], "left_anti")
+
+
+def dashboard(sources: DataFrame, tasks: DataFrame) -> DataFrame:
+    """sources with their tasks (source_id, task_id, status, error_code, at) counted by status, and the latest one's
+    status and error."""
+    state = lambda x: F.count_if(F.col("status") == x).alias(f"{x}_count")
+    latest = F.max_by(F.struct("status", "error_code"), F.struct("at", "task_id")).alias("latest")
+    counts = tasks.groupBy("source_id").agg(*[state(x) for x in ("pending", "running", "done", "failed")], latest)
+    out = sources.join(counts, "source_id", "left").na.fill(0, [f"{x}_count" for x in ("pending", "running", "done", "failed")])
+    return out.withColumn("last_status", F.col("latest.status")).withColumn("last_error", F.col("latest.error_code")).drop("latest")
+
+
+def campaign_status(items: DataFrame) -> DataFrame:
+    """One row for each campaign of items (campaign_id, status): counts, and its status once nothing is under way."""
+    state = lambda *x: F.count_if(F.col("status").isin(*x))
+    out = items.groupBy("campaign_id").agg(F.count("*").alias("discovered"), state("done").alias("completed"), state("duplicate").alias("duplicates"), state("failed").alias("failed"), state("discovered", "downloading").alias("active"))
+    return out.withColumn("status", F.when(F.col("active") > 0, "running").when(F.col("failed") > 0, "completed_with_errors").otherwise("completed"))

@@ -29,12 +29,18 @@ def verification(lines: DataFrame) -> DataFrame:
     return kept.groupBy("code").agg(plain_number(F.sum("value")).alias("verified"))
 
 
+# Names of steel goods, and of goods that only sound like them.
+STEEL, NOT_STEEL = "螺纹钢|盘条|圆钢|型钢|钢筋", "塑钢|不锈钢"
+
+
 def price_risks(rows: DataFrame) -> DataFrame:
-    """(row_no, risk) for every rule that a row (row_no, name, unit, price, price_with_tax) breaks."""
-    a, b = number_or_null(F.col("price")), number_or_null(F.col("price_with_tax"))
+    """(row_no, risk) for every rule that a row (row_no, name, unit, price, price_with_tax) breaks; the price with
+    tax is the one that is judged."""
+    net, gross = number_or_null(F.col("price")), number_or_null(F.col("price_with_tax"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     rules = F.array_compact(F.array(
-        F.when(a.isNull() & b.isNull(), "no_price"), F.when((a <= 0) | (b <= 0), "not_positive"), F.when(b < a, "tax_below_net"),
-        F.when(F.coalesce(F.trim("unit"), F.lit("")) == "", "no_unit"), F.when(F.col("name").contains("钢") & (b < 1000) & (F.col("unit") == "t"), "steel_too_cheap"),
+        F.when(blank("unit"), "no_unit"), F.when(blank("price_with_tax"), "no_price"), F.when(gross <= 0, "not_positive"),
+        F.when(F.col("name").rlike(STEEL) & ~F.col("name").rlike(NOT_STEEL) & (gross < 1000), "steel_too_cheap"), F.when((net != 0) & (gross < net), "tax_below_net"),
     ))
     return rows.select("row_no", F.explode(rules).alias("risk"))
 
@@ -61,3 +67,13 @@ def interpolated(known: DataFrame, wanted: DataFrame, least: int = 3, power: flo
     h = F.pow(F.sin((rad("k_lat") - rad("lat")) / 2), 2) + F.cos(rad("lat")) * F.cos(rad("k_lat")) * F.pow(F.sin((rad("k_lon") - rad("lon")) / 2), 2)
     weight = 1 / F.pow(F.greatest(2 * 6371 * F.asin(F.sqrt(h)), F.lit(1e-6)), power)
     return pairs.withColumn("w", weight).groupBy("place", "material").agg((F.sum(F.col("w") * F.col("price")) / F.sum("w")).alias("price"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def period_changes(rows: DataFrame, key: list[str], period: str, value: str) -> DataFrame:
+    """Each key's mean value by period, with the period before that has one and the change from it in per cent."""
+    from pyspark.sql import Window
+
+    means = rows.groupBy(*key, period).agg(F.avg(value).alias("mean"))
+    w = Window.partitionBy(*key).orderBy(period)
+    out = means.withColumn("before", F.lag(period).over(w)).withColumn("mean_before", F.lag("mean").over(w))
+    return out.withColumn("change_pct", F.when(F.col("mean_before") != 0, (F.col("mean") / F.col("mean_before") - 1) * 100)).drop("mean_before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import keys, periods, text
 from folioflow.operators import graph, sequences
-from folioflow.plans import ingest, manifest, quality
+from folioflow.plans import audit, coverage, ingest, manifest, notes, quality
 from folioflow.sources import files, registry, tables
 from folioflow.streaming import feeds
 
@@ -22,7 +22,7 @@ def test_scalars(spark):
     url = "HTTPS://Example.Gov.CN/price/list?utm_source=wechat&page=2&b=2&a=1&spm=abc#section"
     for f in (text.url_key, text.url_key_plain):
         assert one(spark, f(c), x=url) == "https://example.gov.cn/price/list?a=1&b=2&page=2"
-    assert one(spark, keys.trading_key(F.lit("src"), c, F.lit("u")), x="notice-001") == "trading:src:notice-001"
+    assert one(spark, keys.trading_key(F.lit("src"), c, F.lit("t"), F.lit("d"), F.lit("k")), x="notice-001") == "trading:src:notice-001"
     assert one(spark, periods.month_of(c), x="2025年12月北京工程造价信息") == "2025-12" and one(spark, periods.month_of(c), x="2026年4月") == "2026-04"
     assert [one(spark, text.first_number(c), x=v) for v in ("115", "208.98", "1,234.56", "—", "")] == [115.0, 208.98, 1234.56, None, None]
     assert one(spark, text.number_or_zero(c), x="(10.500)") == 10.5 and one(spark, text.plain_number(c.cast("double")), x="2.5") == "2.5"
@@ -60,7 +60,7 @@ def test_components_and_ingest(spark):
     known = spark.createDataFrame([("k2",)], "key string")
     out = ingest.crawled(found.withColumn("g", F.lit(1)), known, "key", ["g"], [F.col("at")]).orderBy("at").collect()
     assert [(r.key, r.is_new) for r in out] == [("k3", True), ("k2", False)]
-    steps = spark.createDataFrame([("b", 1, "registered"), ("b", 2, "probed"), ("b", 3, "published")], "book_id string, seq int, state string")
+    steps = spark.createDataFrame([("b", 1, "draft"), ("b", 2, "ingested"), ("b", 3, "usable")], "book_id string, seq int, state string")
     assert [r.seq for r in ingest.bad_transitions(steps).collect()] == [3]
 
 
@@ -99,3 +99,73 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("tumbled").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
     assert feeds.outbox(spark.read.parquet(src)).count() == got.count()
+
+
+def many(spark, expr, values):
+    rows = spark.createDataFrame([(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values)], "i int, " + ", ".join(f"{n} string" for n in "xyz"[: len(values[0]) if isinstance(values[0], tuple) else 1]))
+    return [r[0] for r in rows.orderBy("i").select(expr).collect()]
+
+
+def test_roles_and_keys(spark):
+    files_ = {
+        ("清单.cjz", None, ""): "priced_source", ("招标文件.CDZ", "trading", ""): "zip_package", ("招标文件.CDZ", "trading", "qingdan_package"): "qingdan_package",
+        ("东升项目施工图.zip", "trading", "工程图"): "drawing", ("地勘报告.pdf", "trading", ""): "geological", ("招标文件正文.pdf", "trading", ""): "tender_doc",
+        ("四川2020定额库.xlsx", "quota", ""): "quota_db", ("GB50500-2013清单计价规范.pdf", "quota", ""): "bill_standard", ("补充定额.pdf", "quota", ""): "quota_supplement", ("普通附件.xlsx", "quota", ""): "attachment",
+        ("费率表附件.xlsx", "policy_regulation", ""): "policy_attachment", ("构造大样扫描图.png", "standard_atlas", ""): "scan_image", ("23J909工程做法.pdf", "standard_atlas", ""): "atlas_document",
+    }
+    assert many(spark, keys.file_role(F.col("x"), F.col("y"), F.col("z")), list(files_)) == list(files_.values())
+    n = F.lit(None).cast("string")
+    assert one(spark, keys.quota_key(F.lit("s"), n, F.lit("sichuan"), c := F.col("x"), F.lit("2020"), F.lit("2020-01-01"), n), x="JZZS") == "quota:sichuan:JZZS:2020:2020-01-01"
+    assert one(spark, keys.quota_key(F.lit("s"), n, F.lit("sichuan"), n, F.lit("2013"), n, c), x="DB51/T50500") == "quota:sichuan:DB51/T50500:2013"
+    assert one(spark, keys.policy_key(n, n, c, n), x="〔2026〕12号") == "policy:〔2026〕12号" and one(spark, keys.atlas_key(n, n, c, F.lit("2012")), x="GB50345") == "standard_atlas:GB50345:2012"
+    assert many(spark, text.unit(F.col("x")), ["10m³", "5m²", r"$\mathbf{m}^3$", "m<sup>2</sup>", "公斤"]) == ["10m3", "5m2", "m3", "m2", "公斤"]
+    assert many(spark, text.markup_unit(F.col("x")), [r"$ 100 \mathrm{m}^{3} $", "$m^2$", "—", "k", "t", None]) == ["100m3", "m2", "", "kg", "t", ""]
+    assert many(spark, text.resource_text(F.col("x")), ["公斤", "Ｍ１０　砂浆", "工"]) == ["kg", "M10 砂浆", "工日"]
+    assert many(spark, periods.token_period(F.col("x")), ["2026-2", "26.3", "2026年3月", "26年第3期", "202603", "2026/13", "x", "263"]) == ["2026-02", "2026-03", "2026-03", "2026-03", "2026-03", None, None, "2026-03"]
+    assert many(spark, periods.title_period(F.col("x")), ["成都市2026年第5期信息价.pdf", "2026年06月", "x", None]) == [(2026, 5), (2026, 6), None, None]
+    assert many(spark, periods.edition_year(n, F.col("x"), F.col("y"), F.col("z")), [("1999", "", ""), ("", "书（2024）", ""), (None, None, "2018"), (None, "", "")]) == ["1999", "2024", "2018", None]
+    assert many(spark, keys.publisher(F.col("x"), F.col("y")), [("造价协会", "city"), ("government", "province"), ("shop", "city")]) == ["association:city", "station:province", None]
+
+
+def test_gap_rules(spark):
+    flags = "id int, covered boolean, blocked boolean, has_source boolean, later boolean, earlier boolean, task_status string, error_code string"
+    rows = [(1, True, False, True, False, False, "failed", "PARSE_ERROR"), (2, False, True, True, True, False, None, None), (3, False, None, None, False, False, "pending", None), (4, False, False, True, True, False, None, None), (5, False, False, True, False, True, "failed", "DOWNLOAD_TIMEOUT"), (6, False, False, True, False, False, "running", None)]
+    got = lambda compat: [tuple(r) for r in coverage.classified(spark.createDataFrame(rows, flags), compat).orderBy("id").select("gap_type", "gap_reason", "failed_stage", "cell_status", "actionable").collect()]
+    want = [("covered", None, None, "in_lake", False), ("pending_verify", "no_source", None, "missing", False), ("missing", "no_source", None, "queued", False), ("pending_verify", "not_published", None, "missing", False), ("pending_verify", "failed", "download_timeout", "failed", True), ("missing", "not_attempted", None, "crawling", True)]
+    assert got(False) == want
+    want[0], want[2] = ("covered", None, "parse_error", "in_lake", False), ("pending_verify", "no_source", None, "queued", False)
+    assert got(True) == want
+    assert many(spark, coverage.target_level(F.col("x"), F.col("y")), [("Province", "110000"), ("province", "510000"), ("county", ""), ("prefecture", ""), ("", "")]) == ["city", "province", "subregion", "city", None]
+
+
+def test_notes(spark):
+    import re
+
+    body = "说明 本章适用于一般土建工程。\n1. 挖土方按体积计算\n2、短\n注：人工乘以系数1.25，材料增加 3.5 。调整.."
+    rows = spark.createDataFrame([("p", body), ("q", "abc"), ("r", "  "), ("s", None)], "k string, t string")
+    assert [(r.k, r.note_no, r.kind, r.text) for r in notes.notes(rows, "k", "t").orderBy("k", "note_no").collect()] == [("p", 0, "scope", "本章适用于一般土建工程。"), ("p", 1, "calc_rule", "挖土方按体积计算"), ("p", 2, "calc_rule", "人工乘以系数1.25，材料增加 3.5 。调整.."), ("q", 0, "other", "abc")]
+    long = "前" * 70 + body + "后" * 70
+    want = []
+    for m in re.finditer(notes.COEFFICIENT, long):
+        try:
+            want.append((m[0], float(m[1]), long[max(0, m.start() - 50) : m.end() + 50].strip()))
+        except ValueError:
+            pass
+    got = notes.coefficients(spark.createDataFrame([("p", long), ("n", None)], "k string, t string"), "k", "t").orderBy("hit_no").collect()
+    assert [(r.keyword, r.value, r.source_text) for r in got] == want and len(want) == 2
+    blocks = [(1, "table", None, "<td>综合基价</td>"), (2, "table", None, "附录"), (3, "text", "目录", None), (4, "text", "A.1 土石方", None), (5, "text", "计算规则", None), (6, "table", "x", "y"), (7, "text", "", None)]
+    kinds = notes.page_kinds(spark.createDataFrame(blocks, "page int, type string, text string, html string")).orderBy("page").collect()
+    assert [r.kind for r in kinds] == ["quota_table", "appendix_price", "cover_toc", "chapter_title", "notes", "quota_table", "other"]
+
+
+def test_audit(spark):
+    names = "province_code province_name target_region_code target_region_name source_status review_status site_id source_name adapter_kind crawl_pattern entry_url evidence_url blocked_reason audit_note manual_path".split()
+    row = lambda n, **c: (n, *[c.get(x, "") for x in names])
+    rows = spark.createDataFrame([row(2, target_region_code="110000", source_status="auto_crawl_ready", review_status="accepted"), row(3, target_region_code="510100", source_status="source_blocked", blocked_reason="x", manual_path="017/manual_upload")], "_line_number int, " + ", ".join(f"{n} string" for n in names))
+    regions = spark.createDataFrame([(c, True) for c in ("110000", "510100", "510300")] + [("1", False)], "target_region_code string, is_required boolean")
+    assert [(r[0], len(r.errors)) for r in audit.row_errors(rows, regions).collect()] == [(2, 3)]
+    assert sorted(r[0] for r in audit.unaudited(rows, regions).collect()) == ["510100", "510300"]
+    assert tuple(audit.summary(rows, regions).first()) == (3, 1, 2, 1, False)
+    assert audit.crawl_queue(rows).count() == 1 and audit.blocked(rows).first().blocked_reason == "x" and audit.pattern_counts(rows).first().source_count == 1
+    runs = spark.createDataFrame([("a", 0, 0, 0, None), ("b", 0, 0, 1, 0), ("c", 1, 0, 0, 0)], "run_id string, file_rows int, dead_letters int, retries int, failed int")
+    assert [r.health for r in audit.health(runs).orderBy("run_id").collect()] == ["healthy", "degraded", "critical"]
