@@ -3,7 +3,7 @@
 The two files' pre-tokenizers cut a text into pieces that the model encodes on their own. Texts of common
 Latin characters are cut by the same expressions here, and a piece goes to the library's model once and to a
 cache from then on; every other text, and every other file, goes the library's whole way.
-tests/llm/test_tokens.py holds this against the library on whole texts.
+tests/llm/test_operators.py holds this against the library on whole texts.
 """
 
 from __future__ import annotations
