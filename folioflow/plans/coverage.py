@@ -106,11 +106,20 @@ def issue_groups(archives: DataFrame) -> DataFrame:
     return archives.groupBy("region", "period").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
-def backfill_plan(cells: DataFrame, active: DataFrame) -> DataFrame:
-    """What to do for each cell: skip it with a reason, or make a task."""
-    joined = cells.join(active.select("region_code", "period", F.lit(True).alias("busy")).distinct(), ["region_code", "period"], "left")
-    action = F.when(F.col("status") == "covered", "skip_covered").when(F.col("status") == "future", "skip_future").when(F.col("status") == "blocked", "skip_blocked").when(F.coalesce("busy", F.lit(False)), "skip_active").otherwise("create_task")
-    return joined.select("region_code", "period", action.alias("action"))
+def backfill_plan(wanted: DataFrame, cells: DataFrame, sources: DataFrame, tasks: DataFrame, include_covered: bool = False) -> DataFrame:
+    """(region_code, period, source_id, outcome) for every wanted (region_code, period): why it is skipped, or `task`.
+
+    cells: region_code, period, status; sources: region_code, source_id, of which a region's smallest serves;
+    tasks: source_id, period, status.
+    """
+    serving = sources.groupBy("region_code").agg(F.min("source_id").alias("source_id"))
+    busy = tasks.where(F.col("status").isin("pending", "running")).select("source_id", "period", F.lit(True).alias("busy")).distinct()
+    joined = wanted.select("region_code", "period").distinct().join(cells.select("region_code", "period", "status"), ["region_code", "period"], "left").join(serving, "region_code", "left").join(busy, ["source_id", "period"], "left")
+    skip = F.when(F.col("status").isNull(), "coverage_cell_not_found")
+    if not include_covered:
+        skip = skip.when(F.col("status") == "covered", "covered")
+    outcome = skip.when(F.col("source_id").isNull(), "source_not_found").when(F.col("busy"), "pending_or_running_exists").otherwise("task")
+    return joined.select("region_code", "period", "source_id", outcome.alias("outcome"))
 
 
 def book_cells(archives: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import periods, text
 from ..operators import catalog, graph, joins, sequences
 from ..session import table
 from ..streaming import feeds
-from . import coverage, ingest, manifest, notes, quality
+from . import cleanup, comparison, coverage, ingest, manifest, notes, quality
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -480,3 +480,72 @@ def source_dashboard(spark, d):
     kinds = F.create_map(*[F.lit(x) for kv in (("view", "pending"), ("click", "running"), ("purchase", "done"), ("error", "failed")) for x in kv])
     tasks = table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("task_id"), kinds[F.col("event_type")].alias("status"), F.lit(None).cast("string").alias("error_code"), F.col("ts").alias("at"))
     return ingest.dashboard(table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")), tasks).drop("last_error")
+
+
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS n, l_partkey || '-' || l_suppkey || '-' || year(l_shipdate) || '-' || quarter(l_shipdate) AS e FROM lineitem),
+p AS (SELECT DISTINCT a.n AS a, b.n AS b FROM k a JOIN k b USING (e)),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT a AS archive_id, min(b) AS component FROM r GROUP BY 1),
+f AS (SELECT l_orderkey AS archive_id, bool_and(l_quantity > 10) AS found FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+o AS (SELECT o_orderkey AS archive_id, o_orderstatus = 'F' AS has_mount, o_orderpriority = '5-LOW' AS rebuilt, o_totalprice > 200000 AS score, o_orderdate AS made, found FROM orders LEFT JOIN f ON o_orderkey = archive_id),
+g AS (SELECT *, count(*) OVER (PARTITION BY component) AS size, first_value(archive_id) OVER w AS canonical, first_value(has_mount OR coalesce(found, false)) OVER w AS ready FROM m JOIN o USING (archive_id)
+  WINDOW w AS (PARTITION BY component ORDER BY has_mount DESC, rebuilt, score DESC, made, archive_id DESC)),
+x AS (SELECT o.archive_id, o.has_mount, o.found, size > 1 AND ready AND canonical <> archive_id AS gone, canonical FROM o LEFT JOIN g USING (archive_id))
+SELECT archive_id, CASE WHEN gone THEN 'withdraw_duplicate' WHEN has_mount THEN 'remove_redundant_orphan_reference' WHEN found THEN 'relink_orphan' ELSE 'manual_review' END AS action, CASE WHEN gone THEN canonical END AS canonical_id
+FROM x WHERE gone OR found IS NOT NULL""")
+def cleanup_actions(spark, d):
+    orders = table(spark, d, "orders")
+    archives = orders.select(F.col("o_orderkey").alias("archive_id"), (F.col("o_orderstatus") == "F").alias("has_mount"), (F.col("o_orderpriority") == "5-LOW").alias("is_rebuilt"), (F.col("o_totalprice") > 200000).cast("int").alias("status_score"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    orphans = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("archive_id"), (F.col("l_quantity") > 10).cast("int").alias("candidates"))
+    return cleanup.actions(dup_components(spark, d), archives, orphans)
+
+
+@query("""SELECT count(DISTINCT o_orderkey) AS raw_total, count(*) FILTER (l_returnflag = 'A') AS "A", count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'R') AS "R", count(DISTINCT o_orderkey) = count(l_returnflag) AS invariant_ok
+FROM orders LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def reconciliation(spark, d):
+    one = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.max("l_returnflag").alias("status"))
+    return cleanup.reconciliation(table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id")), one, ["A", "N", "R"])
+
+
+@query("""SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def delete_impact(spark, d):
+    gone = table(spark, d, "nation").where("n_regionkey = 1")
+    return cleanup.impact(gone, "n_nationkey", {t: (table(spark, d, t), f"{t[0]}_nationkey") for t in ("customer", "supplier")})
+
+
+@query("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, sha256(text) AS blob_hash, n_chars AS size FROM documents), b AS (SELECT sha256(text) AS blob_hash, CAST(len(text) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL AND lang <> 'fr')
+SELECT 'no_hash' AS problem, count(*) AS n FROM a WHERE coalesce(blob_hash, '') = '' UNION ALL SELECT 'unknown_hash', count(*) FROM a WHERE blob_hash <> '' AND blob_hash NOT IN (SELECT blob_hash FROM b)
+UNION ALL SELECT 'repeated_blob', count(*) FROM (SELECT blob_hash FROM b GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'other_size', count(*) FROM a JOIN b USING (blob_hash) WHERE a.size IS DISTINCT FROM b.size""")
+def blob_integrity(spark, d):
+    docs = table(spark, d, "documents").withColumn("blob_hash", F.sha2("text", 256))
+    blobs = docs.where("text IS NOT NULL AND lang <> 'fr'").select("blob_hash", F.char_length("text").cast("long").alias("size"))
+    return cleanup.integrity(docs.select(F.col("doc_id").cast("string").alias("file_id"), "blob_hash", F.col("n_chars").alias("size")), blobs)
+
+
+@query("""WITH o AS (SELECT c_nationkey AS region_code, strftime(o_orderdate, '%Y-%m') AS period, o_orderpriority AS p, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT region_code, period, CASE WHEN bool_or(p = '1-URGENT') THEN 'covered' ELSE 'missing' END AS status FROM o GROUP BY ALL),
+s AS (SELECT s_nationkey AS region_code, min(s_suppkey) AS source_id FROM supplier WHERE s_acctbal > 0 GROUP BY 1), t AS (SELECT DISTINCT source_id, period, true AS busy FROM o JOIN s USING (region_code) WHERE p = '2-HIGH' AND s = 'O')
+SELECT n_nationkey AS region_code, w.period, s.source_id, CASE WHEN status IS NULL THEN 'coverage_cell_not_found' WHEN status = 'covered' THEN 'covered' WHEN s.source_id IS NULL THEN 'source_not_found' WHEN busy THEN 'pending_or_running_exists' ELSE 'task' END AS outcome
+FROM nation, (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '1999-06-01', INTERVAL 1 MONTH)), '%Y-%m') AS period) w LEFT JOIN c ON c.region_code = n_nationkey AND c.period = w.period LEFT JOIN s ON s.region_code = n_nationkey LEFT JOIN t ON t.source_id = s.source_id AND t.period = w.period""")
+def backfill_plan(spark, d):
+    o = _archives(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").withColumnRenamed("c_nationkey", "region_code")
+    cells = o.groupBy("region_code", "period").agg(F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), "covered").otherwise("missing").alias("status"))
+    sources = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("region_code"), F.col("s_suppkey").alias("source_id"))
+    serving = sources.groupBy("region_code").agg(F.min("source_id").alias("source_id"))
+    tasks = o.where("o_orderpriority = '2-HIGH' AND o_orderstatus = 'O'").join(serving, "region_code").select("source_id", "period", F.lit("pending").alias("status"))
+    months = spark.range(1).select(F.explode(periods.months_between(F.lit("1995-01"), F.lit("1999-06"))).alias("period"))
+    return coverage.backfill_plan(coverage.spine(table(spark, d, "nation").select(F.col("n_nationkey").alias("region_code")), months), cells, sources, tasks)
+
+
+@query("""WITH r AS (SELECT c.conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block FROM conversations c),
+i AS (SELECT * FROM (SELECT conv_id, block, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS n FROM r WHERE role = 'user' AND contains(text, 'the')) WHERE n = 1),
+e AS (SELECT conv_id, block, min(turn) AS stop FROM r WHERE role = 'system' GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS province, turn AS row_no, role AS kind, text AS name FROM r JOIN i USING (conv_id, block) LEFT JOIN e USING (conv_id, block) WHERE role <> 'system' AND (stop IS NULL OR turn < stop)""")
+def keyword_blocks(spark, d):
+    """Turns of users that name a word, with the turns that follow; system turns stand for sections."""
+    rows = table(spark, d, "conversations").distinct()
+    kind = F.when(F.col("role") == "user", comparison.ITEM).when(F.col("role") == "system", comparison.SECTION).otherwise(F.col("role"))
+    rows = rows.select(F.col("conv_id").cast("string").alias("province"), F.col("turn").alias("row_no"), kind.alias("kind"), F.col("text").alias("code"), F.col("text").alias("name"))
+    out = comparison.item_hits(rows, catalog.keyword(F.col("name"), ["the"]), F.lit(1), 1)
+    return out.select("province", "row_no", F.when(F.col("kind") == comparison.ITEM, "user").otherwise(F.col("kind")).alias("kind"), "name")

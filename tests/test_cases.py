@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import keys, periods, text
 from folioflow.operators import graph, sequences
-from folioflow.plans import audit, coverage, ingest, manifest, notes, quality
+from folioflow.plans import audit, cleanup, comparison, coverage, ingest, manifest, notes, quality
 from folioflow.sources import files, registry, tables
 from folioflow.streaming import feeds
 
@@ -169,3 +169,20 @@ def test_audit(spark):
     assert audit.crawl_queue(rows).count() == 1 and audit.blocked(rows).first().blocked_reason == "x" and audit.pattern_counts(rows).first().source_count == 1
     runs = spark.createDataFrame([("a", 0, 0, 0, None), ("b", 0, 0, 1, 0), ("c", 1, 0, 0, 0)], "run_id string, file_rows int, dead_letters int, retries int, failed int")
     assert [r.health for r in audit.health(runs).orderBy("run_id").collect()] == ["healthy", "degraded", "critical"]
+
+
+def test_comparison(spark):
+    rows = [("A", 1, "段", "", "一"), ("A", 2, "定", "X1", "挖土方"), ("A", 3, "工", "", "人工"), ("A", 4, "定", "X2", "填方"), ("A", 5, "定", "X1", "挖土方"), ("A", 6, "段", "", "一.1"), ("A", 7, "定", "X3", "挖沟槽"), ("A", 8, "料", "", "水"), ("A", 9, "段", "", "二"), ("A", 10, "注", "", "x"), ("B", 1, "定", "X1", None)]
+    frame = spark.createDataFrame(rows, "province string, row_no long, kind string, code string, name string")
+    hits = comparison.item_hits(frame, F.contains("name", F.lit("挖")), F.when(F.col("name").contains("."), 2).otherwise(1), 2).orderBy("row_no")
+    assert [(r.row_no, r.section_1, r.section_2, r.new_section) for r in hits.collect()] == [(2, "一", None, True), (3, "一", None, False), (7, "一", "一.1", True), (8, "一", "一.1", False)]
+    assert [tuple(r) for r in comparison.province_counts(hits).collect()] == [("A", 2)]
+    assert [r.cells for r in comparison.sheet_rows(hits, ["code", "name"], 2).collect()] == [["A"], ["一"], ["X1", "挖土方"], ["", "人工"], ["一"], ["一.1"], ["X3", "挖沟槽"], ["", "水"]]
+
+
+def test_cleanup(spark):
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "node string, component string")
+    archives = spark.createDataFrame([(x, m, False, 1) for x, m in (("a", False), ("b", True), ("c", True), ("d", False), ("e", False))], "archive_id string, has_mount boolean, is_rebuilt boolean, status_score int").withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
+    orphans = spark.createDataFrame([("a", 1), ("c", 2), ("d", 1), ("e", 1), ("e", 0)], "archive_id string, candidates int")
+    got = {r.archive_id: (r.action, r.canonical_id) for r in cleanup.actions(members, archives, orphans).collect()}
+    assert got == {"a": ("withdraw_duplicate", "b"), "c": ("remove_redundant_orphan_reference", None), "d": ("relink_orphan", None), "e": ("manual_review", None)}
