@@ -21,6 +21,14 @@ HOLDERS = frozenset(("article", "main"))
 #: Words of a class, id or role that mark what surrounds articles.
 MARKED = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo banner comment comments disqus replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe popup modal overlay sidebar side related recommended share social breadcrumb breadcrumbs menu nav navbar navigation footer header masthead pagination pager widget toolbar complementary contentinfo search".split())
 SIGMA = 1.5
+#: Elements that are part of the block around them: a heading stands or falls with its text.
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd pre blockquote address center figure figcaption header".split())
+#: Regions that belong to the text around them if they have no link.
+LISTS = frozenset("ul ol dl table thead tbody tfoot tr td th".split())
+#: What the ratio of a block inside a holder is multiplied by; it never decides alone.
+WEIGHT = 1.5
+#: Characters to a tag that are text wherever the clusters part.
+PROSE = 40
 _SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
@@ -31,7 +39,9 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
-        self.dropped, self.held, self.region = 0, 0, 0
+        self.dropped, self.held = 0, 0
+        #: Open regions, and of every region its parent, whether it is a list, and whether it has a link.
+        self.regions, self.known = [0], [[0, False, False]]
         self.buffer: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, bool]] = []
@@ -39,7 +49,7 @@ class Lines(HTMLParser):
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            self.lines.append((text, self.tags, self.region, self.held > 0))
+            self.lines.append((text, self.tags, self.regions[-1], self.held > 0))
             self.tags = 0
         self.buffer = []
 
@@ -49,6 +59,8 @@ class Lines(HTMLParser):
             self.flush()
         elif tag == "br":
             self.buffer.append(" ")
+        elif tag == "a":
+            self.known[self.regions[-1]][2] = True
         if tag in VOID:
             return
         if tag in HOLDERS:
@@ -61,13 +73,16 @@ class Lines(HTMLParser):
         if tag in BLOCKS or out:
             self.open.append((tag, out))
             self.dropped += out
-            if tag != "p" and tag != "li":
-                self.region += 1
+            if tag not in INNER:
+                self.known.append([self.regions[-1], tag in LISTS, False])
+                self.regions.append(len(self.known) - 1)
 
     def close_last(self):
         tag, out = self.open.pop()
         self.dropped -= out
         self.held -= tag in HOLDERS
+        if tag not in INNER:
+            self.regions.pop()
         return tag
 
     def handle_endtag(self, tag):
@@ -77,8 +92,6 @@ class Lines(HTMLParser):
         if any(t == tag for t, _ in self.open):
             while self.close_last() != tag:
                 pass
-            if tag != "p" and tag != "li":
-                self.region += 1
 
     def handle_data(self, data):
         if not self.dropped:
@@ -102,7 +115,8 @@ def split_high(values: list[float]) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, one to a line."""
+    """The blocks of the regions whose smoothed text-to-tag ratio is in the upper cluster, one to a line. Being inside
+    an article or main raises the ratio and no more."""
     if not html:
         return ""
     parser = Lines()
@@ -110,22 +124,29 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if any(held for *_, held in lines):
-        lines = [x for x in lines if x[3]]
     if not lines:
         return ""
-    ratio = [len(text) / max(1, tags) for text, tags, _, _ in lines]
+    # Logarithms, so that one long paragraph doesn't make short ones look like menus.
+    ratio = [math.log1p(len(text) / max(1, tags) * (WEIGHT if held else 1)) for text, tags, _, held in lines]
     reach = math.ceil(3 * SIGMA)
     kernel = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-reach, reach + 1)]
     smooth = []
     for i in range(len(ratio)):
         near = [(kernel[j - i + reach], ratio[j]) for j in range(max(0, i - reach), min(len(ratio), i + reach + 1))]
         smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-    cut = min(split_high(smooth), max(smooth))
-    # A region is wanted if its smoothed ratio reaches the upper cluster somewhere; inside an article all of
-    # it is, since short paragraphs there are text too.
-    wanted = {region for (_, _, region, _), v in zip(lines, smooth) if v >= cut}
-    return "\n".join(text for text, _, region, held in lines if held or region in wanted)
+    # A region is judged whole, by the mean over its characters: short paragraphs beside long ones are text too.
+    sums: dict[int, list[float]] = {}
+    for (text, _, region, _), v in zip(lines, smooth):
+        total = sums.setdefault(region, [0, 0])
+        total[0] += len(text) * v
+        total[1] += len(text)
+    means = {region: v / n for region, (v, n) in sums.items()}
+    cut = min(split_high(smooth), math.log1p(PROSE), max(means.values()))
+    wanted = {region for region, v in means.items() if v >= cut}
+    for region, (parent, is_list, linked) in enumerate(parser.known):
+        if is_list and not linked and parent in wanted:
+            wanted.add(region)
+    return "\n".join(text for text, _, region, _ in lines if region in wanted)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -203,6 +203,16 @@ def test_main_text():
     assert html_text.main_text(bare).count("\n") == 4
 
 
+def test_main_text_by_ratio():
+    body = [f"Paragraph {i} of the story, " + "with many words in a row " * 6 for i in range(6)]
+    story = "<h1>The story</h1>" + "".join(f"<p>{t.strip()}</p>" for t in body)
+    want = "\n".join(["The story", *[t.strip() for t in body]])
+    cards = "".join(f'<article><h2><a href="/{i}">Other {i}</a></h2><p><a href="/{i}">Read it</a></p></article>' for i in range(8))
+    assert html_text.main_text(f"<body><div>{story}</div><div>{cards}</div></body>") == want
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(12)) + "</ul>"
+    assert html_text.main_text(f"<body><main>{links}<div>{story}<ul><li>One</li><li>Two</li></ul></div>{links}</main></body>") == want + "\nOne\nTwo"
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     rows, labels = [], []
