@@ -1,15 +1,16 @@
 """Interpolated modified Kneser-Ney model over characters, for the quality of documents (operator 7).
 
-Characters are folded to SYMBOLS classes, so an n-gram is a number below SYMBOLS**n and every table of the
-model has a bound that no corpus moves. Counts are sharded by that number, and the orders are joined with
-their contexts and with each other in Spark; only the finished, bounded tables meet on the driver.
+The model counts GRAM-grams of characters as they are, in tables that grow with the trusted texts and stay
+sharded by gram. Documents are dealt into groups; the distinct grams of a group are joined with the tables, order
+by order, and their answers meet the group's texts again. The first half of this module is the small model over
+folded characters, for callers who need one dense table; `judge` doesn't use it.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import members
@@ -23,13 +24,19 @@ SYMBOLS, ORDER = 36, 4
 QUANTILE = 0.995
 #: A text of n characters is judged by the lower end of what its mean may be: SLACK / sqrt(n) below it.
 SLACK = 2.0
+#: Characters in a gram of the model that judges; before a text stands PAD, a code point that no text may hold.
+GRAM, PAD = 5, "\uffff"
+#: Characters of text in a group of documents, and grams that a task holds before it passes them on.
+GROUP_CHARS, HELD_GRAMS = 24_000_000, 600_000
 #: One trusted document in so many sets the thresholds by a model that hasn't seen it: its own n-grams would
 #: make it look better than new texts of the same kind.
 FOLDS = 5
+#: Folds that are scored by a model of the others.
+BLIND = 1
 
 
-def _held(id_):
-    return F.pmod(F.xxhash64(id_), F.lit(FOLDS)) == 0
+def _fold(id_):
+    return F.pmod(F.xxhash64(id_), F.lit(FOLDS)).cast("int")
 
 
 def classes():
@@ -121,30 +128,129 @@ def model(grams: DataFrame):
     return np.log(dense).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, table, rest=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, perplexity, blind, n) of whole texts and their lengths; without a character it is null. blind is
-    the perplexity by the model `rest`, for the ids that it has not seen."""
-    short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((table, rest))
+def _grams(text: str) -> list[str]:
+    text = PAD * (GRAM - 1) + text
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(part, gram, n) of rows (text, part), added up in each task as far as it can hold them."""
+    short_batches(rows.sparkSession)
 
     def run(batches):
-        import numpy as np
+        from collections import Counter
+
         import pyarrow as pa
 
-        (logs, others), kinds = shared.value, classes()
-        for b in batches:
-            out, blind, n = [], [], []
-            for t, held in zip(b.column(2), b.column(3).to_pylist()):
-                x = t.as_py() or ""
-                grams = codes(x, kinds) if x else None
-                score = lambda m: float(np.exp(-m[grams].mean(dtype=np.float64)))  # noqa: B023, E731
-                out.append(score(logs) if x else None)
-                blind.append(score(others) if x and held and others is not None else None)
-                n.append(len(x))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array(blind, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "lang", "perplexity", "blind", "n"])
+        held: dict = {}
 
+        def out():
+            for part, found in held.items():
+                grams, n = list(found), list(found.values())
+                for at in range(0, len(grams), 1 << 16):
+                    own = grams[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
+            held.clear()
+
+        for b in batches:
+            for t, part in zip(b.column(0), b.column(1).to_pylist()):
+                if text := t.as_py():
+                    held.setdefault(part, Counter()).update(_grams(text))
+            if sum(map(len, held.values())) > HELD_GRAMS:
+                yield from out()
+        yield from out()
+
+    return rows.select("text", "part").mapInArrow(run, "part int, gram string, n long")
+
+
+def sharded(texts: DataFrame, blind: int = BLIND) -> tuple[list, float]:
+    """For orders 1 to GRAM the tables (gram, p0, ...) and (context, b0, ...) of seen grams' probabilities and of contexts' backing
+    off, and the probability of a character at order 0. Model 0 is of all texts (text, part), 1 + f of those outside
+    part f, for every f below `blind`."""
+    models = range(blind + 1)
+    whole = F.sum("n")
+    without = [whole - F.coalesce(F.sum(F.when(F.col("part") == f, F.col("n"))), F.lit(0)) for f in range(blind)]
+    counts = {GRAM: stored(_counted(texts).groupBy("gram").agg(*[c.alias(f"n{j}") for j, c in enumerate([whole, *without])]), "grams")}
+    for k in range(GRAM - 1, 0, -1):
+        counts[k] = stored(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*[F.count_if(F.col(f"n{j}") > 0).alias(f"n{j}") for j in models]), "grams")
+    base = 1 / (counts[1].count() + 1)
+    tables, lower = [], None
+    for k in range(1, GRAM + 1):
+        cuts = [discounts(counts[k].select(F.col(f"n{j}").alias("n"))) for j in models]
+        cut = lambda j: F.when(F.col(f"n{j}") <= 0, 0.0).when(F.col(f"n{j}") == 1, cuts[j][0]).when(F.col(f"n{j}") == 2, cuts[j][1]).otherwise(cuts[j][2])  # noqa: B023, E731
+        rows = counts[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"), *[f"n{j}" for j in models], *[cut(j).alias(f"d{j}") for j in models])
+        contexts = rows.groupBy("context").agg(*[F.sum(f"n{j}").alias(f"t{j}") for j in models], *[F.coalesce(F.try_divide(F.sum(f"d{j}"), F.sum(f"n{j}")), F.lit(1.0)).alias(f"b{j}") for j in models])
+        contexts = stored(contexts, "contexts")
+        full = rows.join(contexts, "context")
+        if lower is None:
+            full = full.select("*", *[F.lit(base).alias(f"r{j}") for j in models])
+        else:
+            full = full.join(lower.select(F.col("gram").alias("suffix"), *[F.col(f"p{j}").alias(f"r{j}") for j in models]), "suffix")
+        lower = stored(full.select("gram", *[(F.coalesce(F.try_divide(F.col(f"n{j}") - F.col(f"d{j}"), F.col(f"t{j}")), F.lit(0.0)) + F.col(f"b{j}") * F.col(f"r{j}")).alias(f"p{j}") for j in models]), "order")
+        tables.append((lower, contexts.select("context", *[f"b{j}" for j in models])))
+    return tables, base
+
+
+def answers(grams: DataFrame, tables: list, base: float) -> DataFrame:
+    """(gram, p0, ...) for distinct grams of as many characters as tables has orders: the seen ones' own probabilities, the
+    others' from backing off to their last characters."""
+    ps = [c for c in tables[0][0].columns if c != "gram"]
+    if not (k := len(tables)):
+        return grams
+    found = stored(grams.join(tables[-1][0], "gram", "left"), "found")
+    missing = found.where("p0 IS NULL").select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+    backed = missing.join(tables[-1][1], "context", "left")
+    if k == 1:
+        rest = backed.select("*", *[F.lit(base).alias(f"r{p}") for p in ps])
+    else:
+        less = answers(missing.select(F.col("suffix").alias("gram")).distinct(), tables[:-1], base)
+        rest = backed.join(less.select(F.col("gram").alias("suffix"), *[F.col(p).alias(f"r{p}") for p in ps]), "suffix")
+    return stored(found.where("p0 IS NOT NULL").unionByName(rest.select("gram", *[(F.coalesce(F.col(f"b{p[1:]}"), F.lit(1.0)) * F.col(f"r{p}")).alias(p) for p in ps])), "answers")
+
+
+def _freed(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def perplexities(docs: DataFrame, tables: list, base: float, blind: int = BLIND, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, perplexity, blind, n) of whole texts and their lengths; without a character it is null. blind is
+    the perplexity by the model that leaves out the id's fold, if there is one."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("held", _held("doc_id")).mapInArrow(run, "doc_id long, lang string, perplexity double, blind double, n long")
+    fold = F.coalesce(_fold("doc_id"), F.lit(0))
+    parts = int((rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (FOLDS * GROUP_CHARS)) + 1
+    rows = rows.withColumn("part", (F.pmod(F.xxhash64("lang", "text", "doc_id"), F.lit(parts)) * FOLDS + fold).cast("int"))
+    asked = stored(_counted(rows.repartition("part")).select("part", "gram").distinct(), "asked")
+    _freed(docs)
+    got = answers(asked.select("gram").distinct(), tables, base)
+    own: Column = F.lit(None).cast("double")
+    for f in range(blind):
+        own = F.when(F.col("part") % FOLDS == f, F.col(f"p{f + 1}")).otherwise(own)
+    got = stored(asked.join(got, "gram").select("part", "gram", F.log("p0").cast("float").alias("all"), F.log(own).cast("float").alias("own")), "logs")
+    _freed(docs)
+
+    def run(texts, logs):
+        import math
+
+        import pyarrow as pa
+
+        grams = logs.column("gram").to_pylist()
+        tables = [dict(zip(grams, logs.column(c).to_pylist())) for c in ("all", "own")]
+        blind = bool(grams) and logs.column("own").null_count == 0
+        out: list = [[], [], []]
+        for t in texts.column("text"):
+            found = _grams(text) if (text := t.as_py()) else []
+            score = lambda m: math.exp(-math.fsum(map(m.__getitem__, found)) / len(found))  # noqa: B023, E731
+            out[0].append(score(tables[0]) if found else None)
+            out[1].append(score(tables[1]) if found and blind else None)
+            out[2].append(len(found))
+        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "perplexity": pa.array(out[0], pa.float64()), "blind": pa.array(out[1], pa.float64()), "n": pa.array(out[2], pa.int64())})
+
+    return rows.groupBy("part").cogroup(got.groupBy("part")).applyInArrow(run, "doc_id long, lang string, perplexity double, blind double, n long")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -159,10 +265,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("k")).where("k IS NOT NULL").distinct()
     own = members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", trusted)
-    grams = stored(count_grams(own.select("text", _held("doc_id").alias("held"))), "grams")
-    table, rest = model(grams.groupBy("gram").agg(F.sum("n").alias("n"))), model(grams.where("NOT held").select("gram", "n"))
+    tables, base = sharded(own.select("text", _fold("doc_id").alias("part")))
+    _freed(docs)
     lower = F.exp(-SLACK / F.sqrt(F.greatest("n", F.lit(1))))
-    scored = stored(perplexities(docs, table, rest).withColumn("bound", F.col("perplexity") * lower).withColumn("blind", F.col("blind") * lower).drop("n"), "perplexity")
+    scored = stored(perplexities(docs, tables, base).withColumn("bound", F.col("perplexity") * lower).withColumn("blind", F.col("blind") * lower).drop("n"), "perplexity")
     known = scored.where("perplexity IS NOT NULL").join(trusted, F.col("doc_id") == F.col("k"), "left_semi")
     cut = lambda c: F.percentile_approx(c, quantile, 10000)
     by_lang = known.groupBy(F.col("lang").alias("of")).agg(cut("blind").alias("own"))

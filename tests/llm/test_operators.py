@@ -249,6 +249,23 @@ def test_language_model(spark):
     assert all(r.kept and r.threshold is None for r in empty)
 
 
+def test_language_model_sees_real_characters(spark):
+    rng = random.Random(10)
+    cyrillic = str.maketrans("abcdeéßx", "абвгдежз")
+    good = [(i, prose(60, rng).translate(cyrillic)) for i in range(80)]
+    junk = [(100 + i, "".join(rng.choice("αβγδ中文字号ウエ") if c != " " else c for c in prose(60, rng))) for i in range(20)]
+    table = docs(spark, good + junk)
+    got = {r.doc_id: r for r in language_model.judge(table, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert sum(got[i].kept for i in range(60, 80)) >= 15 and not any(got[100 + i].kept for i in range(20))
+    small, large = (language_model.sharded(docs(spark, good[:n]).select("text", F.lit(0).alias("part")), 0)[0][-1][0].count() for n in (20, 60))
+    assert large == len({g for _, t in good[:60] for g in language_model._grams(t)}) > small
+    # Probabilities after any context sum to one over the characters and the unseen one.
+    tables, base = language_model.sharded(docs(spark, [(1, "abcabcabd"), (2, "abcab")]).select("text", F.lit(0).alias("part")), 0)
+    ask = spark.createDataFrame([(c + x,) for c in ("cabc", "zzab") for x in "abcd?"], "gram string")
+    p = {r.gram: r.p0 for r in language_model.answers(ask, tables, base).collect()}
+    assert all(abs(sum(v for g, v in p.items() if g.startswith(c)) - 1) < 1e-9 for c in ("cabc", "zzab"))
+
+
 def test_urls(spark):
     link = lambda h: f'<a class="x" href="https://{h}/p">t</a>'
     rows = [
