@@ -10,8 +10,8 @@ from .common import ascii_lower, settled, stored
 #: (rule, verdict): a host, with all its subdomains, and a path that the url's must start with.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING, ITERATIONS = 0.85, 20
-#: Distrust received over links, as a share of all, at which a host without a rule is blocked; trust must be less.
-DISTRUST = 1e-6
+#: Distrust received, as a share of the host's own links, at which a host without a rule is blocked; trust must be less.
+DISTRUST = 0.01
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -32,35 +32,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, received): personalised PageRank from seeds (host, weight), without what a host holds as a seed.
-
-    edges (src, dst, n) are followed in proportion to n. Mass at hosts without links goes back to the seeds.
+    """(host, received): DAMPING times the mean level of the hosts that edges (src, dst, n) lead from, weighed by n. A level
+    is what a host received, or its weight of 0 to 1 as a seed (host, weight) if that is more: the personalised
+    PageRank that a walk from the host back over the edges leaves at the seeds. It depends on what the walk
+    can reach, and not on how many seeds or hosts there are elsewhere.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps = stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "edges")
-    total = seeds.agg(F.sum("weight")).first()[0] or 0.0
-    if not total or steps.isEmpty():
-        return seeds.select("host", F.lit(0.0).alias("received"))
-    base = settled(seeds.groupBy("host").agg((F.sum("weight") / total).alias("seed")))
-    rank = base.select("host", F.col("seed").alias("rank"))
-    moved = None
+    total = edges.groupBy("dst").agg(F.sum("n").alias("total"))
+    steps = stored(edges.join(total, "dst").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "edges")
+    base = seeds.groupBy("host").agg(F.max("weight").alias("seed"))
+    base = settled(base.join(steps.select(F.col("src").alias("host")).distinct(), "host"))
+    level, moved = base.select("host", F.col("seed").alias("level")), None
     for _ in range(ITERATIONS):
-        moved = steps.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg((DAMPING * F.sum(F.col("rank") * F.col("share"))).alias("received"))
-        both = base.join(moved, F.col("host") == F.col("dst"), "full").select(F.coalesce("host", "dst").alias("host"), F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("received", F.lit(0.0)).alias("received"))
-        both = settled(both)
-        sent = both.agg(F.sum("received")).first()[0]
-        rank = both.select("host", ((1 - sent) * F.col("seed") + F.col("received")).alias("rank"))
-        moved = both
-    return moved.select("host", "received")
+        moved = settled(steps.join(level, F.col("src") == F.col("host")).groupBy("dst").agg((DAMPING * F.sum(F.col("level") * F.col("share"))).alias("received")))
+        level = base.join(moved, F.col("host") == F.col("dst"), "full").select(F.coalesce("host", "dst").alias("host"), F.greatest(F.coalesce("seed", F.lit(0.0)), F.coalesce("received", F.lit(0.0))).alias("level"))
+    return moved.select(F.col("dst").alias("host"), "received")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) for every page.
 
-    The longest fitting rule decides. Elsewhere the host's links do: seeds are the hosts whose pages a rule
-    allows (or blocks), weighed by how many; trust flows along links from the allowed, distrust against
-    them from the blocked; a host is blocked if it received distrust of DISTRUST or more, and more of it than
-    trust. Null urls, and urls without ://, have an empty host and path, fit no rule and are allowed. Null
+    The longest fitting rule decides. Elsewhere the host's links do: seeds are the hosts with pages that a rule
+    allows (or blocks), weighed by the share of their pages; trust flows along links from the allowed, distrust
+    against them from the blocked, each as a mean over the receiving host's own links, in or out; a host is
+    blocked if it received distrust of DISTRUST or more, and more of it than trust. Null urls, and urls without ://, have an empty host and path, fit no rule and are allowed. Null
     html has no links; repeated rows and null ids keep a result each; no pages give no rows.
     """
     spark = pages.sparkSession
@@ -78,7 +72,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     edges = stored(host_edges(rows), "links")
     graph = None
     if not edges.isEmpty():
-        seeds = stored(ruled(rows.select("host", "path")).where("ruled IS NOT NULL").groupBy("host", "ruled").agg(F.count("*").cast("double").alias("weight")), "seeds")
+        seeds = stored(ruled(rows.select("host", "path")).where("ruled IS NOT NULL").groupBy("host", "ruled").agg(F.count("*").alias("n")).join(hosts, "host").select("host", "ruled", (F.col("n") / F.col("pages")).alias("weight")), "seeds")
         trust = spread(edges, seeds.where("ruled = 'allow'").select("host", "weight"))
         distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds.where("ruled = 'block'").select("host", "weight"))
         graph = distrust.select("host", F.col("received").alias("distrust")).join(trust.select("host", F.col("received").alias("trust")), "host", "left")

@@ -281,6 +281,17 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_distrust_does_not_shrink_with_the_graph(spark):
+    edges = spark.createDataFrame([("s1", "farm", 1), ("s1", "mixed", 1), ("good", "mixed", 3), ("farm", "second", 2)], "src string, dst string, n long")
+    want = {"farm": 0.85, "mixed": 0.2125, "second": 0.7225}
+    for n in (10, 1_000_000):
+        seeds = spark.range(n).select(F.concat(F.lit("s"), "id").alias("host"), F.lit(1.0).alias("weight"))
+        got = {r.host: r.received for r in urls.spread(edges, seeds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[h] - v) < 1e-9 for h, v in want.items())
+    hub = spark.range(100_000).select(F.lit("s1").alias("src"), F.concat(F.lit("h"), "id").alias("dst"), F.lit(1).cast("long").alias("n"))
+    assert urls.spread(hub, seeds).agg(F.min("received")).first()[0] >= 0.85
+
+
 def test_embeddings_against_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(40, 32))
