@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Digits of base 36 that two 63-bit numbers hold.
+BLOCK = 24
 #: The Gregorian calendar repeats after 146,097 = 189 x 773 days: 400 years from this day on are permuted.
 EPOCH, DATE_MODULI = "1800-01-01", (189, 773)
 #: What may be personal data; the validity of a match is judged afterwards.
@@ -65,12 +67,28 @@ def _feistel(a: Column, b: Column, of_a: Column, of_b: Column, tag: Column, key:
 
 
 def _string(text: Column, base: int, tag: str, key: str) -> Column:
-    """A string of digits below `base`, of two to 24 of them, permuted among those of its length."""
+    """A string of up to 64 digits below `base`, permuted among those of its length. Over BLOCK of them, the last, first and
+    third block are permuted in turn, each by a key of its own for every text around it, which is a bijection too."""
+    def block(x: Column, start: Column) -> Column:
+        rest = F.concat(F.substring(x, F.lit(1), start - 1), F.lit("."), F.substring(x, start + BLOCK, F.length(x)))
+        new = _block(F.substring(x, start, F.lit(BLOCK)), base, F.concat(F.lit(f"{tag}-"), start.cast("string"), F.lit("-"), rest, F.lit("-")), key)
+        return F.concat(F.substring(x, F.lit(1), start - 1), new, F.substring(x, start + BLOCK, F.length(x)))
+
+    def long(x: Column) -> Column:
+        out = F.transform(F.array(x), lambda y: block(y, F.length(y) - BLOCK + 1))
+        out = F.transform(out, lambda y: block(y, F.lit(1)))
+        return F.transform(out, lambda y: F.when(F.length(y) > 2 * BLOCK, block(y, F.lit(BLOCK + 1))).otherwise(y))[0]
+
+    return F.transform(F.array(text), lambda x: F.when(F.length(x) > BLOCK, long(x)).otherwise(_block(x, base, F.lit(tag), key)))[0]
+
+
+def _block(text: Column, base: int, tag: Column, key: str) -> Column:
+    """A string of BLOCK digits below `base` at most, permuted among those of its length."""
     n = F.length(text)
     left = F.floor(n / 2).cast("int")
     power = lambda k: F.pow(F.lit(float(base)), k).cast("decimal(38,0)").cast("long")
     number = lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0))
-    both = _feistel(number(F.substring(text, F.lit(1), left)), number(F.substring(text, left + 1, n)), power(left), power(n - left), F.concat(F.lit(tag), n.cast("string")), key)
+    both = _feistel(number(F.substring(text, F.lit(1), left)), number(F.substring(text, left + 1, n)), power(left), power(n - left), F.concat(tag, n.cast("string")), key)
     back = lambda v, k: F.when(k > 0, F.lpad(F.lower(F.conv(v.cast("string"), 10, base)), k, "0")).otherwise("")
     return F.transform(F.array(both), lambda p: F.concat(back(p["a"], left), back(p["b"], n - left)))[0]
 
@@ -120,11 +138,10 @@ def pseudonym(x: Column, of: Column, key: str) -> Column:
     rest = F.substring(x, F.length(code) + 1, F.length(x))
     phone = F.concat(code, _fill(rest, _string(_digits(rest), 10, "phone", key), "[0-9]"))
     body = F.substring(x, F.lit(5), F.length(x))
-    iban = F.transform(F.array(_fill(body, _string(F.substring(_digits(body), -24, 24), 10, "iban", key), "[0-9]")), lambda s: F.concat(F.substring(x, 1, 2), F.lpad((98 - _mod97(F.concat(s, F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), s))[0]
+    iban = F.transform(F.array(_fill(body, _string(_digits(body), 10, "iban", key), "[0-9]")), lambda s: F.concat(F.substring(x, 1, 2), F.lpad((98 - _mod97(F.concat(s, F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), s))[0]
     local = F.substring_index(x, "@", 1)
     letters = F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", ""))
-    keep = F.greatest(F.length(letters) - 24, F.lit(0))
-    email = F.concat(_fill(local, F.concat(F.substring(letters, F.lit(1), keep), _string(F.substring(letters, keep + 1, F.lit(24)), 36, "email", key)), "[A-Za-z0-9]"), F.substring(x, F.length(local) + 1, F.length(x)))
+    email = F.concat(_fill(local, _string(letters, 36, "email", key), "[A-Za-z0-9]"), F.substring(x, F.length(local) + 1, F.length(x)))
     out = x
     for name, made in (("iban", iban), ("phone", phone), ("card", card), ("ssn", ssn), ("date", date), ("ip", ip), ("email", email)):
         out = F.when(of == name, made).otherwise(out)

@@ -195,6 +195,27 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs(spark, [])).count() == 0
 
 
+def test_long_pseudonyms(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in range(25, 65):
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        rows += [(n, 36, text[:k] + ("a" if text[k] != "a" else "b") + text[k + 1 :]) for k in range(n)] + [(n, 36, text)]
+    frame = spark.createDataFrame(rows, "n int, base int, text string").select("text", pii._string(F.col("text"), 36, "email", "k").alias("new"))
+    got = {r.text: r.new for r in frame.collect()}
+    assert len(set(got.values())) == len(got) and all(len(a) == len(b) and re.fullmatch("[0-9a-z]+", b) for a, b in got.items())
+    # No part stays in clear: places that agree are as many as by chance.
+    agree = np.array([[x == y for x, y in zip(a[:25], b)] for a, b in got.items()]).mean(axis=0)
+    assert agree.max() < 0.1
+    bodies = ["".join(rng.choices("0123456789", k=29)) for _ in range(5)]
+    bodies += [f"{i:05d}" + bodies[0][5:] for i in range(20)]
+    ibans = [f"RU{98 - int(b + "273000") % 97:02d}{b}" for b in bodies]
+    out = [r.text for r in pii.pseudonymise(docs(spark, list(enumerate(ibans)))).orderBy("doc_id").collect()]
+    assert len(set(out)) == len(set(ibans)) and all(re.fullmatch(r"RU[0-9]{31}", x) and int(x[4:] + "2730" + x[2:4]) % 97 == 1 for x in out)
+    mail = pii.pseudonymise(docs(spark, [(1, "katharina.maria.featherstonehaughsmith@x.org")])).first().text
+    assert "katharina" not in mail and re.fullmatch(r"[a-z0-9]{9}\.[a-z0-9]{5}\.[a-z0-9]{22}@x\.org", mail)
+
+
 def test_main_text():
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/a">menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; tail</h1><p><b>One<br>two.<br><p>Long  text\n here &lt;b&gt; and more words to read.</p><aside>side</aside><p>Short.</p><div class="comments"><p>me too</p></div></article><footer>&copy; x</footer></body></html>'
     assert html_text.main_text(page) == "Head & tail\nOne two.\nLong text here <b> and more words to read.\nShort."
