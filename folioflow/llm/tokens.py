@@ -2,8 +2,8 @@
 
 The two files' pre-tokenizers cut a text into pieces that the model encodes on their own. Texts of common
 Latin characters are cut by the same expressions here, and a piece goes to the library's model once and to a
-cache from then on; every other text, and every other file, goes the library's whole way.
-tests/llm/test_operators.py holds this against the library on whole texts.
+cache from then on; every other text, every text that holds an added token of the file, and every other file, goes
+the library's whole way. tests/llm/test_operators.py holds this against the library on whole texts.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. Special tokens in a text are ordinary text."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes: those of the library's encode without its own special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,10 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = _Pieces(self.tokenizer.model)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        added = [t["content"] for t in file.get("added_tokens") or () if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         cut = file.get("pre_tokenizer") or {}
         self.lower, self.cut = False, None
         if cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not file.get("normalizer"):
@@ -76,6 +77,7 @@ class Encoder:
         """The encoder of this process for that file: a Python worker keeps its cache from task to task."""
         import tokenizers
 
+        # Functions reach executors by value, each time with globals of their own; the library's module is one for all.
         kept = vars(tokenizers).setdefault("_folioflow_encoders", {})
         if path not in kept:
             kept[path] = Encoder(path)
@@ -90,6 +92,6 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cut or _OTHER.search(text):
+        if not self.cut or _OTHER.search(text) or (self.added and self.added.search(text)):
             return self.plain(text)
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(text.lower() if self.lower else text)))

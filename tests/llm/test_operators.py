@@ -30,11 +30,13 @@ def docs(spark, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_match_the_library(name):
-    e = Encoder(tokenizer_path(name))
-    pool = list("aBcd 'st  \n\t.,!éÉßÀſİıŁ19%$&—’€\x1c\x85中文😀") + ["<|endoftext|>", "'ll", "don't"]
-    for _ in range(3000):
-        t = "".join(R.choices(pool, k=R.randint(1, 40)))
-        assert e.encode(t) == e.plain(t), t
+    from tokenizers import Tokenizer
+
+    e, library = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    pool = list("aBcd 'st  \n\t.,!éÉßÀſİıŁ19%$&—’€\x1c\x85中文😀") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "'ll", "don't"]
+    texts = ["".join(R.choices(pool[: R.randint(8, len(pool))], k=R.randint(1, 40))) for _ in range(3000)]
+    for t in [*texts, "a <|endoftext|> b", "<|startoftext|>a", "<|endoftext|>", " <|endoftext|>\n"]:
+        assert e.encode(t) == e.plain(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
 def test_simple8b_round_trip():
