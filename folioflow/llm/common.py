@@ -56,6 +56,76 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of frames that nothing refers to any more: it does so when the
+    driver collects its garbage, which a driver with little to do may put off for long."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bytes of rows that a task holds while it packs them, and bytes of one blob before compression.
+PACK_HELD, PACK_BLOB = 24 << 20, 192 << 10
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(key, blob) of rows whose first column, the key, is an int: the other columns of rows of one key in a task, as
+    compressed Arrow streams. A row longer than PACK_BLOB has a blob of its own size."""
+    short_batches(rows.sparkSession)
+    key = rows.columns[0]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+
+        def out(held):
+            table = pa.Table.from_batches(held)
+            table = table.take(pc.sort_indices(table.column(0)))
+            keys = table.column(0).to_numpy()
+            rest = table.drop_columns(table.column_names[0]).combine_chunks()
+            sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy() if pa.types.is_string(c.type) else 8 for c in rest.columns) + np.zeros(len(keys), np.int64)
+            weight = np.cumsum(sizes)
+            bounds, at = [0], 0
+            cuts = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+            for cut in cuts.tolist():
+                while at < cut:
+                    at = min(cut, max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + PACK_BLOB, "right"))))
+                    bounds.append(at)
+            blobs = []
+            for a, b in zip(bounds, bounds[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=options) as writer:
+                    writer.write_table(rest.slice(a, b - a))
+                blobs.append(sink.getvalue().to_pybytes())
+            firsts = keys[bounds[:-1]]
+            for a in range(0, len(blobs), 64):
+                yield pa.record_batch([pa.array(firsts[a : a + 64], pa.int32()), pa.array(blobs[a : a + 64], pa.binary())], names=[key, "blob"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+                if size >= PACK_HELD:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return rows.mapInArrow(run, f"{key} int, blob binary")
+
+
+def unpacked(blob):
+    """The rows of one blob as an Arrow table; blob is an Arrow binary scalar."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder, for small frames inside loops."""
     shared_dir(df.sparkSession)

@@ -2,148 +2,99 @@
 
 The model counts GRAM-grams of characters as they are, in tables that grow with the trusted texts and stay
 sharded by gram. Documents are dealt into groups; the distinct grams of a group are joined with the tables, order
-by order, and their answers meet the group's texts again. The first half of this module is the small model over
-folded characters, for callers who need one dense table; `judge` doesn't use it.
+by order, and the answers meet the group's texts again. Every text, trusted or not, is scored by a model that
+leaves out its own fold of the trusted ones, so that thresholds and decisions rest on scores of one kind.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import members
-from .common import short_batches, stored
+from .common import forget, packed, release, short_batches, stored, unpacked
 
-#: Classes: a-z 0-25 (accents folded), other letters, capitals, digits, space, line end, full stop and comma,
-#: ! and ?, other sentence marks, all other signs, start of text.
-LETTER, CAPITAL, DIGIT, SPACE, LINE, STOP, CRY, MARK, SIGN, START = range(26, 36)
-SYMBOLS, ORDER = 36, 4
 #: Share of trusted documents of a language that its threshold leaves below.
 QUANTILE = 0.995
 #: A text of n characters is judged by the lower end of what its mean may be: SLACK / sqrt(n) below it.
 SLACK = 2.0
-#: Characters in a gram of the model that judges; before a text stands PAD, a code point that no text may hold.
+#: Characters in a gram; before a text stands PAD, a code point that no text may hold.
 GRAM, PAD = 5, "\uffff"
-#: Characters of text in a group of documents, and grams that a task holds before it passes them on.
-GROUP_CHARS, HELD_GRAMS = 24_000_000, 600_000
-#: One trusted document in so many sets the thresholds by a model that hasn't seen it: its own n-grams would
-#: make it look better than new texts of the same kind.
+#: Characters of text in a group of documents, characters whose grams are sorted at a time, and grams that a
+#: task holds before it passes them on.
+GROUP_CHARS, BLOCK_CHARS, HELD_GRAMS = 16_000_000, 1 << 20, 1_000_000
+#: A trusted text is in one of so many folds, by its id.
 FOLDS = 5
-#: Folds that are scored by a model of the others.
-BLIND = 1
-
-
-def _fold(id_):
-    return F.pmod(F.xxhash64(id_), F.lit(FOLDS)).cast("int")
-
+#: Logarithms of probabilities travel as 16-bit numbers in steps of 1 / STEP.
+STEP = 1024
 
-def classes():
-    """The class of every code point below 0x250; higher ones are letters."""
-    import numpy as np
-
-    def of(c: str) -> int:
-        if c.isalpha():
-            if c.isupper():
-                return CAPITAL
-            base = unicodedata.normalize("NFD", c)[0]
-            return ord(base) - 97 if "a" <= base <= "z" else LETTER
-        return DIGIT if c.isdigit() else LINE if c in "\n\r" else SPACE if c.isspace() else STOP if c in ".," else CRY if c in "!?" else MARK if c in ";:'\"()-" else SIGN
 
-    return np.array([of(chr(i)) for i in range(0x250)], np.int32)
+def fold(id_):
+    """The fold of an id; null ids are in fold 0."""
+    return F.when(id_.isNull(), 0).otherwise(F.pmod(F.xxhash64(id_), F.lit(FOLDS))).cast("int")
 
 
-def codes(text: str, table):
-    """The numbers of a text's ORDER-grams, one for each character."""
+def gram_block(texts: list[str]):
+    """(the distinct GRAM-grams of texts, for every character of all texts in turn the number of the gram that it ends)."""
     import numpy as np
 
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    s = np.full(len(points) + ORDER - 1, START, np.int32)
-    s[ORDER - 1 :] = np.where(points < 0x250, table[np.minimum(points, 0x24F)], LETTER)
-    out = s[: len(points)]
-    for k in range(1, ORDER):
-        out = out * SYMBOLS + s[k : len(points) + k]
-    return out
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(held, gram, n) over all texts (text, held), added up in each task before they are shuffled by gram."""
-    short_batches(texts.sparkSession)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        table, totals = classes(), np.zeros((2, SYMBOLS**ORDER), np.int64)
-        for b in batches:
-            for t, held in zip(b.column(0), b.column(1).to_pylist()):
-                if text := t.as_py():
-                    grams, n = np.unique(codes(text, table), return_counts=True)
-                    totals[int(held)][grams] += n
-        for held, total in enumerate(totals):
-            grams = np.flatnonzero(total)
-            for at in range(0, len(grams), 1 << 16):
-                own = grams[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array([bool(held)] * len(own), pa.bool_()), pa.array(own.astype(np.int32)), pa.array(total[own])], names=["held", "gram", "n"])
-
-    return texts.select("text", "held").mapInArrow(run, "held boolean, gram int, n long").groupBy("held", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the numbers of grams seen once to four times."""
-    n = [0, *counts.agg(*[F.count_if(F.col("n") == k) for k in range(1, 5)]).first()]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return tuple(min(k, max(0.05 * k, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3))
-
-
-def fit(texts: DataFrame):
-    """The model of all texts."""
-    return model(count_grams(texts.select("text", F.lit(False).alias("held"))).select("gram", "n"))
-
-
-def model(grams: DataFrame):
-    """Natural logarithms of the probability of every ORDER-gram's last symbol after the others, as a dense
-    table of SYMBOLS**ORDER numbers: seen grams from the joins of counts, contexts and lower orders, all
-    others by backing off. Without texts every symbol is as likely as any other."""
-    import numpy as np
-
-    counts = {ORDER: stored(grams, "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("n"))
-    lower, dense = None, np.full(1, 1 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(counts[k])
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = counts[k].select("gram", "n", cut.alias("cut"), F.floor(F.col("gram") / SYMBOLS).cast("int").alias("context"), (F.col("gram") % SYMBOLS ** (k - 1)).cast("int").alias("suffix"))
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
-        full = rows.join(contexts, "context")
-        full = full.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("rest")), "suffix") if lower is not None else full.withColumn("rest", F.lit(1 / SYMBOLS))
-        lower = stored(full.select("gram", "context", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("back") * F.col("rest")).alias("p"), "back"), "order")
-        got = lower.select("gram", "context", "p", "back").toArrow()
-        back = np.ones(SYMBOLS ** (k - 1))
-        back[got.column("context").to_numpy()] = got.column("back").to_numpy()
-        dense = (back[:, None] * np.broadcast_to(dense.reshape(-1, SYMBOLS) if k > 1 else dense, (SYMBOLS ** (k - 2) if k > 1 else 1, SYMBOLS))[np.arange(SYMBOLS ** (k - 1)) % SYMBOLS ** max(0, k - 2)]).reshape(-1)
-        dense[got.column("gram").to_numpy()] = got.column("p").to_numpy()
-    return np.log(dense).astype(np.float32)
-
-
-def _grams(text: str) -> list[str]:
-    text = PAD * (GRAM - 1) + text
-    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
-
-
-def _counted(rows: DataFrame) -> DataFrame:
+    points = np.frombuffer("".join([PAD * (GRAM - 1) + t for t in texts]).encode("utf-32-le", "replace"), np.uint32)
+    present = np.zeros(0x110000, bool)
+    present[points] = True
+    alphabet = np.flatnonzero(present).astype(np.uint32)
+    if len(alphabet) ** GRAM >= 1 << 64:
+        # More characters than five places of a 64-bit number can tell apart.
+        number: dict[str, int] = {}
+        places = [number.setdefault(p[i : i + GRAM], len(number)) for p in (PAD * (GRAM - 1) + t for t in texts) for i in range(len(p) - GRAM + 1)]
+        return list(number), np.array(places, np.int64)
+    rank = np.zeros(0x110000, np.uint64)
+    rank[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    place, base = rank[points], np.uint64(len(alphabet))
+    ends = np.ones(len(points), bool)
+    starts = np.cumsum([0] + [len(t) + GRAM - 1 for t in texts])[:-1]
+    for k in range(GRAM - 1):
+        ends[starts + k] = False
+    keys = place[: len(place) - GRAM + 1]
+    for k in range(1, GRAM):
+        keys = keys * base + place[k : len(place) - GRAM + 1 + k]
+    found, number = np.unique(keys[ends[GRAM - 1 :]], return_inverse=True)
+    signs = np.empty((len(found), GRAM), np.uint32)
+    for k in reversed(range(GRAM)):
+        signs[:, k] = alphabet[(found % base).astype(np.int64)]
+        found = found // base
+    joined = signs.tobytes().decode("utf-32-le")
+    return [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)], number
+
+
+def _blocks(rows):
+    """Rows (size, row) in lists of about BLOCK_CHARS characters."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if size >= BLOCK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def counted(rows: DataFrame) -> DataFrame:
     """(part, gram, n) of rows (text, part), added up in each task as far as it can hold them."""
     short_batches(rows.sparkSession)
 
     def run(batches):
-        from collections import Counter
+        from collections import Counter, defaultdict
 
+        import numpy as np
         import pyarrow as pa
 
         held: dict = {}
 
+        def add(part, texts):
+            grams, number = gram_block(texts)
+            held.setdefault(part, Counter()).update(dict(zip(grams, np.bincount(number, minlength=len(grams)).tolist())))
+
         def out():
             for part, found in held.items():
                 grams, n = list(found), list(found.values())
@@ -152,51 +103,64 @@ def _counted(rows: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
             held.clear()
 
+        waiting, sizes = defaultdict(list), defaultdict(int)
         for b in batches:
             for t, part in zip(b.column(0), b.column(1).to_pylist()):
                 if text := t.as_py():
-                    held.setdefault(part, Counter()).update(_grams(text))
+                    waiting[part].append(text)
+                    sizes[part] += len(text)
+                    if sizes[part] >= BLOCK_CHARS:
+                        add(part, waiting.pop(part))
+                        del sizes[part]
             if sum(map(len, held.values())) > HELD_GRAMS:
                 yield from out()
+        for part, texts in waiting.items():
+            add(part, texts)
         yield from out()
 
     return rows.select("text", "part").mapInArrow(run, "part int, gram string, n long")
 
 
-def sharded(texts: DataFrame, blind: int = BLIND) -> tuple[list, float]:
-    """For orders 1 to GRAM the tables (gram, p0, ...) and (context, b0, ...) of seen grams' probabilities and of contexts' backing
-    off, and the probability of a character at order 0. Model 0 is of all texts (text, part), 1 + f of those outside
-    part f, for every f below `blind`."""
-    models = range(blind + 1)
-    whole = F.sum("n")
-    without = [whole - F.coalesce(F.sum(F.when(F.col("part") == f, F.col("n"))), F.lit(0)) for f in range(blind)]
-    counts = {GRAM: stored(_counted(texts).groupBy("gram").agg(*[c.alias(f"n{j}") for j, c in enumerate([whole, *without])]), "grams")}
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts from the numbers of grams seen once to four times."""
+    n = [0, *n]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return tuple(min(k, max(0.05 * k, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3))
+
+
+def sharded(texts: DataFrame) -> tuple[list, float]:
+    """For orders 1 to GRAM the tables (gram, p0, ...) and (context, b0, ...) of seen grams' probabilities and of contexts'
+    backing off, and the probability of a character at order 0. Model f is of the texts (text, part) outside part f."""
+    models = range(FOLDS)
+    without = [(F.sum("n") - F.coalesce(F.sum(F.when(F.col("part") == f, F.col("n"))), F.lit(0))).alias(f"n{f}") for f in models]
+    counts = {GRAM: stored(counted(texts).groupBy("gram").agg(*without), "grams")}
     for k in range(GRAM - 1, 0, -1):
-        counts[k] = stored(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*[F.count_if(F.col(f"n{j}") > 0).alias(f"n{j}") for j in models]), "grams")
+        counts[k] = stored(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in models]), "grams")
     base = 1 / (counts[1].count() + 1)
     tables, lower = [], None
     for k in range(1, GRAM + 1):
-        cuts = [discounts(counts[k].select(F.col(f"n{j}").alias("n"))) for j in models]
-        cut = lambda j: F.when(F.col(f"n{j}") <= 0, 0.0).when(F.col(f"n{j}") == 1, cuts[j][0]).when(F.col(f"n{j}") == 2, cuts[j][1]).otherwise(cuts[j][2])  # noqa: B023, E731
-        rows = counts[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"), *[f"n{j}" for j in models], *[cut(j).alias(f"d{j}") for j in models])
-        contexts = rows.groupBy("context").agg(*[F.sum(f"n{j}").alias(f"t{j}") for j in models], *[F.coalesce(F.try_divide(F.sum(f"d{j}"), F.sum(f"n{j}")), F.lit(1.0)).alias(f"b{j}") for j in models])
-        contexts = stored(contexts, "contexts")
+        seen = counts[k].agg(*[F.count_if(F.col(f"n{f}") == i) for f in models for i in range(1, 5)]).first()
+        cuts = [discounts(list(seen[4 * f : 4 * f + 4])) for f in models]
+        cut = lambda f: F.when(F.col(f"n{f}") <= 0, 0.0).when(F.col(f"n{f}") == 1, cuts[f][0]).when(F.col(f"n{f}") == 2, cuts[f][1]).otherwise(cuts[f][2])  # noqa: B023, E731
+        rows = counts[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"), *[f"n{f}" for f in models], *[cut(f).alias(f"d{f}") for f in models])
+        contexts = stored(rows.groupBy("context").agg(*[F.sum(f"n{f}").alias(f"t{f}") for f in models], *[F.coalesce(F.try_divide(F.sum(f"d{f}"), F.sum(f"n{f}")), F.lit(1.0)).alias(f"b{f}") for f in models]), "contexts")
         full = rows.join(contexts, "context")
         if lower is None:
-            full = full.select("*", *[F.lit(base).alias(f"r{j}") for j in models])
+            full = full.select("*", *[F.lit(base).alias(f"r{f}") for f in models])
         else:
-            full = full.join(lower.select(F.col("gram").alias("suffix"), *[F.col(f"p{j}").alias(f"r{j}") for j in models]), "suffix")
-        lower = stored(full.select("gram", *[(F.coalesce(F.try_divide(F.col(f"n{j}") - F.col(f"d{j}"), F.col(f"t{j}")), F.lit(0.0)) + F.col(f"b{j}") * F.col(f"r{j}")).alias(f"p{j}") for j in models]), "order")
-        tables.append((lower, contexts.select("context", *[f"b{j}" for j in models])))
+            full = full.join(lower.select(F.col("gram").alias("suffix"), *[F.col(f"p{f}").alias(f"r{f}") for f in models]), "suffix")
+        own = [(F.coalesce(F.try_divide(F.col(f"n{f}") - F.col(f"d{f}"), F.col(f"t{f}")), F.lit(0.0)) + F.col(f"b{f}") * F.col(f"r{f}")).alias(f"p{f}") for f in models]
+        lower = stored(full.select("gram", *own), "order")
+        tables.append((lower, contexts.select("context", *[f"b{f}" for f in models])))
+    for frame in counts.values():
+        forget(frame)
     return tables, base
 
 
 def answers(grams: DataFrame, tables: list, base: float) -> DataFrame:
     """(gram, p0, ...) for distinct grams of as many characters as tables has orders: the seen ones' own probabilities, the
     others' from backing off to their last characters."""
-    ps = [c for c in tables[0][0].columns if c != "gram"]
-    if not (k := len(tables)):
-        return grams
+    k, ps = len(tables), [f"p{f}" for f in range(FOLDS)]
     found = stored(grams.join(tables[-1][0], "gram", "left"), "found")
     missing = found.where("p0 IS NULL").select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
     backed = missing.join(tables[-1][1], "context", "left")
@@ -205,74 +169,113 @@ def answers(grams: DataFrame, tables: list, base: float) -> DataFrame:
     else:
         less = answers(missing.select(F.col("suffix").alias("gram")).distinct(), tables[:-1], base)
         rest = backed.join(less.select(F.col("gram").alias("suffix"), *[F.col(p).alias(f"r{p}") for p in ps]), "suffix")
-    return stored(found.where("p0 IS NOT NULL").unionByName(rest.select("gram", *[(F.coalesce(F.col(f"b{p[1:]}"), F.lit(1.0)) * F.col(f"r{p}")).alias(p) for p in ps])), "answers")
+    return found.where("p0 IS NOT NULL").unionByName(rest.select("gram", *[(F.coalesce(F.col(f"b{p[1:]}"), F.lit(1.0)) * F.col(f"r{p}")).alias(p) for p in ps]))
 
 
-def _freed(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
-    import gc
+def _asked(groups: DataFrame) -> DataFrame:
+    """(part, gram): the distinct grams of the texts in rows (part, blob), which come sorted by part."""
 
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    def run(batches):
+        import pyarrow as pa
 
+        now, held = None, set()
 
-def perplexities(docs: DataFrame, tables: list, base: float, blind: int = BLIND, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, perplexity, blind, n) of whole texts and their lengths; without a character it is null. blind is
-    the perplexity by the model that leaves out the id's fold, if there is one."""
-    short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    fold = F.coalesce(_fold("doc_id"), F.lit(0))
-    parts = int((rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (FOLDS * GROUP_CHARS)) + 1
-    rows = rows.withColumn("part", (F.pmod(F.xxhash64("lang", "text", "doc_id"), F.lit(parts)) * FOLDS + fold).cast("int"))
-    asked = stored(_counted(rows.repartition("part")).select("part", "gram").distinct(), "asked")
-    _freed(docs)
-    got = answers(asked.select("gram").distinct(), tables, base)
-    own: Column = F.lit(None).cast("double")
-    for f in range(blind):
-        own = F.when(F.col("part") % FOLDS == f, F.col(f"p{f + 1}")).otherwise(own)
-    got = stored(asked.join(got, "gram").select("part", "gram", F.log("p0").cast("float").alias("all"), F.log(own).cast("float").alias("own")), "logs")
-    _freed(docs)
+        def out():
+            grams = sorted(held)
+            for at in range(0, len(grams), 1 << 16):
+                own = grams[at : at + (1 << 16)]
+                yield pa.record_batch([pa.array([now] * len(own), pa.int32()), pa.array(own, pa.string())], names=["part", "gram"])
+            held.clear()
+
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if part != now:
+                    yield from out()
+                    now = part
+                texts = [t for t in unpacked(blob).column("text").to_pylist() if t]
+                for block in _blocks((len(t), t) for t in texts):
+                    held.update(gram_block(block)[0])
+        yield from out()
 
-    def run(texts, logs):
-        import math
+    return groups.select("part", "blob").mapInArrow(run, "part int, gram string")
 
-        import pyarrow as pa
 
-        grams = logs.column("gram").to_pylist()
-        tables = [dict(zip(grams, logs.column(c).to_pylist())) for c in ("all", "own")]
-        blind = bool(grams) and logs.column("own").null_count == 0
-        out: list = [[], [], []]
-        for t in texts.column("text"):
-            found = _grams(text) if (text := t.as_py()) else []
-            score = lambda m: math.exp(-math.fsum(map(m.__getitem__, found)) / len(found))  # noqa: B023, E731
-            out[0].append(score(tables[0]) if found else None)
-            out[1].append(score(tables[1]) if found and blind else None)
-            out[2].append(len(found))
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "perplexity": pa.array(out[0], pa.float64()), "blind": pa.array(out[1], pa.float64()), "n": pa.array(out[2], pa.int64())})
+def _scored(groups: DataFrame) -> DataFrame:
+    """(doc_id, lang, perplexity, n) of rows (part, kind, blob) sorted by part and kind: answers first, then texts."""
 
-    return rows.groupBy("part").cogroup(got.groupBy("part")).applyInArrow(run, "doc_id long, lang string, perplexity double, blind double, n long")
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, logs = None, {}
+        for b in batches:
+            for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if part != now:
+                    now, logs = part, {}
+                rows = unpacked(blob)
+                if kind == 0:
+                    logs.update(zip(rows.column("gram").to_pylist(), rows.column("log").to_pylist()))
+                    continue
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                score, n = np.full(len(texts), np.nan), np.array([len(t) for t in texts])
+                for block in _blocks((len(t), i) for i, t in enumerate(texts) if t):
+                    grams, number = gram_block([texts[i] for i in block])
+                    value = np.array([logs[g] for g in grams], float)[number] / STEP
+                    ends = np.cumsum(n[block])
+                    score[block] = np.exp(-np.add.reduceat(value, ends - n[block]) / n[block])
+                yield pa.record_batch([rows.column("doc_id").combine_chunks(), rows.column("lang").combine_chunks(), pa.array(score, pa.float64(), mask=np.isnan(score)), pa.array(n, pa.int64())], names=["doc_id", "lang", "perplexity", "n"])
+
+    return groups.mapInArrow(run, "doc_id long, lang string, perplexity double, n long")
+
+
+def perplexities(docs: DataFrame, tables: list, base: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, perplexity, n) of whole texts and their lengths; without a character it is null. The model is
+    that which leaves out the id's fold.
+
+    A group is a hash of language, text and id within a fold, so it has the same rows however docs are laid out,
+    and is read as a stream: what a task holds is the distinct grams of one group. Texts are shuffled twice,
+    packed and compressed.
+    """
+    short_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    groups = int((rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // (FOLDS * GROUP_CHARS)) + 1
+    part = (F.pmod(F.xxhash64("lang", "text", "doc_id"), F.lit(groups)) * FOLDS + fold(F.col("doc_id"))).cast("int")
+    texts = packed(rows.select(part.alias("part"), "doc_id", "lang", "text"))
+    asked = stored(_asked(texts.repartition("part").sortWithinPartitions("part")), "asked")
+    release(docs.sparkSession)
+    got = answers(asked.select("gram").distinct(), tables, base)
+    p = F.array(*[F.col(f"p{f}") for f in range(FOLDS)])[F.col("part") % FOLDS]
+    log = F.greatest(F.round(F.log(p) * STEP), F.lit(-32768)).cast("short")
+    logs = stored(packed(asked.join(got, "gram").select("part", "gram", log.alias("log"))), "logs")
+    forget(asked)
+    release(docs.sparkSession)
+    both = logs.select("part", F.lit(0).alias("kind"), "blob").unionByName(texts.select("part", F.lit(1).alias("kind"), "blob"))
+    return _scored(both.repartition("part").sortWithinPartitions("part", "kind"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, bound, threshold, kept) for every row of docs.
 
-    The model is trained on all texts whose label says quality 1. Thresholds come from one in FOLDS of them, scored
-    by a model of the others, from the same counts; without any such text, from all trusted ones. `bound` is the lower end of the perplexity,
-    so that a few words in a row don't condemn a short text. A language's threshold is that quantile of its
-    trusted texts' bounds, or of all trusted ones where it has none; kept means at or below it.
+    The models are trained on all texts whose label says quality 1; a text's perplexity is by the model of those
+    outside its fold, so no trusted text has been seen by the model that scores it. `bound` is the lower end of the
+    perplexity, so that a few words in a row don't condemn a short text. A language's threshold is that quantile of
+    its trusted texts' bounds, or of all trusted ones' where it has none; kept means at or below it.
     Null and empty texts have no perplexity and aren't kept. Null ids are scored, never trusted; repeated
-    rows are scored again; without trusted rows there is no threshold and every text is kept.
+    rows are scored again; without trusted rows there is no threshold and every text is kept. Other columns are
+    ignored.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("k")).where("k IS NOT NULL").distinct()
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("k")).where("k IS NOT NULL").distinct()
     own = members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", trusted)
-    tables, base = sharded(own.select("text", _fold("doc_id").alias("part")))
-    _freed(docs)
+    tables, base = sharded(own.select("text", fold(F.col("doc_id")).alias("part")))
+    release(docs.sparkSession)
     lower = F.exp(-SLACK / F.sqrt(F.greatest("n", F.lit(1))))
-    scored = stored(perplexities(docs, tables, base).withColumn("bound", F.col("perplexity") * lower).withColumn("blind", F.col("blind") * lower).drop("n"), "perplexity")
+    scored = stored(perplexities(docs, tables, base).withColumn("bound", F.col("perplexity") * lower).drop("n"), "perplexity")
+    for pair in tables:
+        for frame in pair:
+            forget(frame)
     known = scored.where("perplexity IS NOT NULL").join(trusted, F.col("doc_id") == F.col("k"), "left_semi")
-    cut = lambda c: F.percentile_approx(c, quantile, 10000)
-    by_lang = known.groupBy(F.col("lang").alias("of")).agg(cut("blind").alias("own"))
-    unseen, seen = known.agg(cut("blind"), cut("bound")).first()
-    overall = unseen if unseen is not None else seen
+    cut = F.percentile_approx("bound", quantile, 10000)
+    by_lang = known.groupBy(F.col("lang").alias("of")).agg(cut.alias("own"))
+    overall = known.agg(cut).first()[0]
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").select("doc_id", "lang", "perplexity", "bound", F.coalesce(F.col("own"), F.lit(overall).cast("double")).alias("threshold"))
     return joined.withColumn("kept", F.coalesce(F.col("bound") <= F.col("threshold"), F.col("perplexity").isNotNull() & F.col("threshold").isNull()))

@@ -259,17 +259,62 @@ def test_toxicity(spark):
     assert toxicity.score(table, none).where("score >= 0.5").count() == 0
 
 
-def test_language_model(spark):
+def plain_kneser_ney(texts):
+    """The probability of a five-character gram's last character: interpolated modified Kneser-Ney, from the formulas."""
+    from collections import Counter, defaultdict
+
+    counts = {5: Counter(p[i : i + 5] for p in ("\uffff" * 4 + t for t in texts) for i in range(len(p) - 4))}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, totals = {}, {}
+    for k, c in counts.items():
+        n = [0] + [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        cuts[k] = [0] + [min(i, max(0.05 * i, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * i for i in (1, 2, 3)]
+        totals[k] = defaultdict(lambda: [0, 0])
+        for g, v in c.items():
+            totals[k][g[:-1]][0] += v
+            totals[k][g[:-1]][1] += cuts[k][min(v, 3)]
+
+    def p(g, base):
+        if not g:
+            return base
+        v, (total, cut) = counts[len(g)][g], totals[len(g)].get(g[:-1], (0, 0))
+        return (v - cuts[len(g)][min(v, 3)]) / total + cut / total * p(g[1:], base) if total else p(g[1:], base)
+
+    return p
+
+
+def test_language_model_against_brute_force(spark):
     rng = random.Random(9)
-    rows = [(i, prose(60, rng)) for i in range(80)] + [(80 + i, " ".join(w + "%%$" for w in prose(60, rng).split())) for i in range(20)] + [(200, None), (201, ""), (None, "x")]
-    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1), (85, 0)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in language_model.judge(docs(spark, rows), labels).collect()}
-    assert sum(got[i].kept for i in range(60, 80)) >= 15 and not any(got[80 + i].kept for i in range(20))
-    assert got[200].perplexity is None and not got[200].kept and not got[201].kept
-    table = language_model.fit(docs(spark, rows[:80]).select("text"))
-    assert np.allclose(np.exp(table.astype(float)).reshape(-1, language_model.SYMBOLS).sum(axis=1), 1, atol=1e-3)
-    empty = language_model.judge(docs(spark, rows[:3]), spark.createDataFrame([], "doc_id long, quality int")).collect()
-    assert all(r.kept and r.threshold is None for r in empty)
+    rows = [(i, prose(60, rng)) for i in range(80)] + [(80 + i, " ".join(w + "%%$" for w in prose(60, rng).split())) for i in range(20)]
+    rows += [(300 + i, prose(rng.randint(1, 10), rng)) for i in range(20)] + [(200, None), (201, ""), (None, "x\x00\x00y"), (5, prose(61, rng)), (205, "again"), (205, "again"), (202, "".join(map(chr, range(0x4E00, 0x4E00 + 8000)))), (203, prose(20000, rng))]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(1, 1), (None, 1), (85, 0), (86, None)], "doc_id long, quality int")
+    table = docs(spark, rows)
+    got = language_model.judge(table.repartition(3), labels).collect()
+    fold = {r.doc_id: r.fold for r in table.select("doc_id", language_model.fold(F.col("doc_id")).alias("fold")).collect()}
+    good = [(i, t) for i, t in rows if i is not None and i < 60]
+    models = [plain_kneser_ney([t for i, t in good if fold[i] != f]) for f in range(language_model.FOLDS)]
+    base = 1 / (len({c for _, t in good for c in t}) + 1)
+    want = {}
+    for i, t in rows:
+        p = "\uffff" * 4 + (t or "")
+        logs = [math.log(models[fold[i]](p[k : k + 5], base)) for k in range(len(t or ""))]
+        want[i, len(t or "")] = math.exp(-sum(logs) / len(logs)) if logs else None
+    assert len(got) == len(rows)
+    bounds = []
+    for i, t in rows:
+        near = [r for r in got if r.doc_id == i and (r.perplexity is None) == (not t) and (not t or abs(r.perplexity / want[i, len(t)] - 1) < 1e-3)]
+        assert near, (i, t)
+        if i is not None and i < 60:
+            bounds.append(want[i, len(t)] * math.exp(-2 / math.sqrt(len(t))))
+    assert {r.threshold for r in got} == {got[0].threshold} and abs(got[0].threshold / max(bounds) - 1) < 1e-3
+    assert all(r.kept == (r.perplexity is not None and r.bound <= r.threshold) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert sum(by[i].kept for i in range(60, 80)) >= 18 and not any(by[80 + i].kept for i in range(20)) and not by[200].kept and not by[201].kept
+    none = language_model.judge(docs(spark, rows[:3]), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert all(r.kept and r.threshold is None for r in none)
+    assert language_model.judge(docs(spark, []), labels).count() == 0
 
 
 def test_language_model_sees_real_characters(spark):
@@ -280,10 +325,10 @@ def test_language_model_sees_real_characters(spark):
     table = docs(spark, good + junk)
     got = {r.doc_id: r for r in language_model.judge(table, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
     assert sum(got[i].kept for i in range(60, 80)) >= 15 and not any(got[100 + i].kept for i in range(20))
-    small, large = (language_model.sharded(docs(spark, good[:n]).select("text", F.lit(0).alias("part")), 0)[0][-1][0].count() for n in (20, 60))
-    assert large == len({g for _, t in good[:60] for g in language_model._grams(t)}) > small
+    small, large = (language_model.sharded(docs(spark, good[:n]).select("text", F.lit(0).alias("part")))[0][-1][0].count() for n in (20, 60))
+    assert large > small
     # Probabilities after any context sum to one over the characters and the unseen one.
-    tables, base = language_model.sharded(docs(spark, [(1, "abcabcabd"), (2, "abcab")]).select("text", F.lit(0).alias("part")), 0)
+    tables, base = language_model.sharded(docs(spark, [(1, "abcabcabd"), (2, "abcab")]).select("text", F.lit(1).alias("part")))
     ask = spark.createDataFrame([(c + x,) for c in ("cabc", "zzab") for x in "abcd?"], "gram string")
     p = {r.gram: r.p0 for r in language_model.answers(ask, tables, base).collect()}
     assert all(abs(sum(v for g, v in p.items() if g.startswith(c)) - 1) < 1e-9 for c in ("cabc", "zzab"))
