@@ -56,6 +56,12 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to the cores if it has fewer partitions than there are: one small file would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle and checkpoint files of frames that nothing refers to any more: it does so when the
     driver collects its garbage, which a driver with little to do may put off for long."""
@@ -137,12 +143,42 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that df hasn't got, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key that holds more than one in HEAVY of all rows is heavy; so there are fewer than HEAVY of them.
+HEAVY = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined with table, which has each key once, and in `weight` how many of the rows have it. Heavy keys are
+    broadcast, as there can't be more than HEAVY, and the others shuffled, so no key gathers its rows in one task.
+    weight is dropped. rows are read twice: they should be stored or cheap."""
+    found = fresh(rows.join(table.limit(0), key, "left"), "found")[0]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    table = table.withColumn(found, F.lit(True))
+    heavy, light = table.where(F.col(weight) * HEAVY > total).drop(weight), table.where(F.col(weight) * HEAVY <= total).drop(weight)
+    near = rows.join(F.broadcast(heavy), key, "left")
+    rest = near.where(F.col(found).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns]).join(light, key, "left")
+    return near.where(F.col(found)).unionByName(rest).drop(found)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Alternates the large-star and small-star steps: every node links itself to the smallest neighbour
     it sees, until nothing changes. No neighbour list is ever gathered; each step is an aggregate and a
-    join, and each round is checkpointed. Null ends and self links are ignored; no edges give no rows.
+    join. Each round is stored, and the one before forgotten. Null ends and self links are ignored; no edges
+    give no rows.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select("a", "b")
@@ -163,12 +199,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    pairs = settled(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     seen = mark(pairs)
     for _ in range(rounds):
         if not seen[0]:
             break
-        pairs = settled(star(star(pairs, True), False))
+        before, pairs = pairs, stored(star(star(pairs, True), False), "pairs")
+        forget(before)
+        release(pairs.sparkSession)
         now = mark(pairs)
         if now == seen:
             break

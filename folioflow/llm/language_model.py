@@ -8,6 +8,8 @@ leaves out its own fold of the trusted ones, so that thresholds and decisions re
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ QUANTILE = 0.995
 SLACK = 2.0
 #: Characters in a gram; before a text stands PAD, a code point that no text may hold.
 GRAM, PAD = 5, "\uffff"
-#: Characters of text in a group of documents, characters whose grams are sorted at a time, and grams that a
+#: Characters of text in a group of documents, characters whose grams are worked out at a time, and grams that a
 #: task holds before it passes them on.
-GROUP_CHARS, BLOCK_CHARS, HELD_GRAMS = 16_000_000, 1 << 20, 1_000_000
+GROUP_CHARS, BLOCK_CHARS, HELD_GRAMS = 32_000_000, 1 << 20, 1_000_000
 #: A trusted text is in one of so many folds, by its id.
 FOLDS = 5
 #: Logarithms of probabilities travel as 16-bit numbers in steps of 1 / STEP.
@@ -34,36 +36,143 @@ def fold(id_):
     return F.when(id_.isNull(), 0).otherwise(F.pmod(F.xxhash64(id_), F.lit(FOLDS))).cast("int")
 
 
-def gram_block(texts: list[str]):
-    """(the distinct GRAM-grams of texts, for every character of all texts in turn the number of the gram that it ends)."""
+#: Code points that a 12-bit number stands for, so that five of them fit a 64-bit key: all below the first bound, and
+#: from the second to the third, which holds dashes, quotation marks and currencies. PAD has a number too; texts with
+#: other characters are wide.
+_LOW, _HIGH, _END = 0x0F00, 0x2000, 0x20D0
+_BITS = 12
+
+
+def _numbers():
+    """The number of every 16-bit code point, 2**_BITS - 1 for those without one."""
+    import numpy as np
+
+    out = np.full(1 << 16, (1 << _BITS) - 1, np.uint16)
+    out[:_LOW] = np.arange(_LOW)
+    out[_HIGH:_END] = np.arange(_LOW, _LOW + _END - _HIGH)
+    out[ord(PAD)] = _LOW + _END - _HIGH
+    return out
+
+
+def _points(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def narrow(text: str) -> bool:
+    """Whether all characters of a text have a number."""
+    if text.isascii():
+        return True
+    return not _WIDE.search(text)
+
+
+_WIDE = re.compile(f"[{chr(_LOW)}-{chr(_HIGH - 1)}{chr(_END)}-{chr(0x10FFFF)}]")
+
+
+def gram_keys(texts: list[str]):
+    """(key of every gram of narrow texts, place of each text's first key). Between two texts lie GRAM - 1 keys of no text."""
     import numpy as np
 
-    points = np.frombuffer("".join([PAD * (GRAM - 1) + t for t in texts]).encode("utf-32-le", "replace"), np.uint32)
-    present = np.zeros(0x110000, bool)
-    present[points] = True
-    alphabet = np.flatnonzero(present).astype(np.uint32)
-    if len(alphabet) ** GRAM >= 1 << 64:
-        # More characters than five places of a 64-bit number can tell apart.
-        number: dict[str, int] = {}
-        places = [number.setdefault(p[i : i + GRAM], len(number)) for p in (PAD * (GRAM - 1) + t for t in texts) for i in range(len(p) - GRAM + 1)]
-        return list(number), np.array(places, np.int64)
-    rank = np.zeros(0x110000, np.uint64)
-    rank[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
-    place, base = rank[points], np.uint64(len(alphabet))
-    ends = np.ones(len(points), bool)
-    starts = np.cumsum([0] + [len(t) + GRAM - 1 for t in texts])[:-1]
-    for k in range(GRAM - 1):
-        ends[starts + k] = False
-    keys = place[: len(place) - GRAM + 1]
+    places = _numbers()[_points("".join([PAD * (GRAM - 1) + t for t in texts]))].astype(np.uint64)
+    keys = places[: len(places) - GRAM + 1].copy()
     for k in range(1, GRAM):
-        keys = keys * base + place[k : len(place) - GRAM + 1 + k]
-    found, number = np.unique(keys[ends[GRAM - 1 :]], return_inverse=True)
-    signs = np.empty((len(found), GRAM), np.uint32)
-    for k in reversed(range(GRAM)):
-        signs[:, k] = alphabet[(found % base).astype(np.int64)]
-        found = found // base
+        keys <<= np.uint64(_BITS)
+        keys |= places[k : len(places) - GRAM + 1 + k]
+    return keys, np.cumsum([0] + [len(t) + GRAM - 1 for t in texts])[:-1]
+
+
+def distinct(keys, weights=None):
+    """The distinct keys in order, and the sum of weights (or the number) of each."""
+    import numpy as np
+
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    sums = np.diff(np.append(starts, len(keys))) if weights is None else np.add.reduceat(weights, starts) if len(starts) else weights
+    return keys[starts], sums
+
+
+def own_keys(texts: list[str]):
+    """The keys of all grams of narrow texts."""
+    import numpy as np
+
+    keys, starts = gram_keys(texts)
+    own = np.ones(len(keys), bool)
+    for k in range(1, GRAM):
+        own[(starts - k)[starts >= k]] = False
+    return keys[own]
+
+
+def grams_of(keys) -> list[str]:
+    """The grams that keys stand for."""
+    import numpy as np
+
+    back = np.concatenate([np.arange(_LOW), np.arange(_HIGH, _END), [ord(PAD)]]).astype(np.uint32)
+    signs = np.empty((len(keys), GRAM), np.uint32)
+    for k in range(GRAM):
+        signs[:, GRAM - 1 - k] = back[((keys >> np.uint64(_BITS * k)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
     joined = signs.tobytes().decode("utf-32-le")
-    return [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)], number
+    return [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)]
+
+
+def keys_of(grams: list[str]):
+    """(keys, which grams have one)."""
+    import numpy as np
+
+    points = _points("".join(grams)).reshape(-1, GRAM)
+    none = (1 << _BITS) - 1
+    places = np.where(points < 1 << 16, _numbers()[points & 0xFFFF], none).astype(np.uint64)
+    keys = np.zeros(len(points), np.uint64)
+    for k in range(GRAM):
+        keys = (keys << np.uint64(_BITS)) | places[:, k]
+    return keys, (places < none).all(axis=1)
+
+
+def wide_grams(text: str) -> list[str]:
+    text = PAD * (GRAM - 1) + text
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
+class Table:
+    """Values by key, looked up for a million keys at once: each key has one slot of a large table, and those that would
+    share a slot are searched for."""
+
+    def __init__(self, keys, values):
+        import numpy as np
+
+        self.bits = max(12, int(len(keys)).bit_length() + 2)
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32)
+        slots = self._slots(keys)
+        self.keys[slots], self.values[slots] = keys, values
+        if len(keys):
+            # Key 0 is a gram of NULs: an empty slot must not look like it.
+            self.keys[np.setdiff1d([0], slots)] = np.uint64(1 << 63)
+        late = self.keys[slots] != keys
+        order = np.argsort(keys[late])
+        self.late, self.late_values = keys[late][order], np.asarray(values, np.float32)[late][order]
+
+    def _slots(self, keys):
+        import numpy as np
+
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys):
+        """The values of keys, 0 for those that aren't there."""
+        import numpy as np
+
+        slots = self._slots(keys)
+        out = self.values[slots]
+        other = np.flatnonzero(self.keys[slots] != keys)
+        out[other] = 0
+        if len(other) and len(self.late):
+            at = np.minimum(np.searchsorted(self.late, keys[other]), len(self.late) - 1)
+            hit = self.late[at] == keys[other]
+            out[other[hit]] = self.late_values[at[hit]]
+        return out
 
 
 def _blocks(rows):
@@ -89,33 +198,43 @@ def counted(rows: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        held: dict = {}
-
-        def add(part, texts):
-            grams, number = gram_block(texts)
-            held.setdefault(part, Counter()).update(dict(zip(grams, np.bincount(number, minlength=len(grams)).tolist())))
+        held, rare = defaultdict(list), defaultdict(Counter)
+        waiting, sizes = defaultdict(list), defaultdict(int)
 
         def out():
-            for part, found in held.items():
+            for part in [*held]:
+                keys, n = distinct(*map(np.concatenate, zip(*held.pop(part))))
+                for at in range(0, len(keys), 1 << 16):
+                    own = grams_of(keys[at : at + (1 << 16)])
+                    yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
+            for part, found in rare.items():
                 grams, n = list(found), list(found.values())
                 for at in range(0, len(grams), 1 << 16):
                     own = grams[at : at + (1 << 16)]
                     yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
-            held.clear()
+            rare.clear()
+
+        def add(part):
+            held[part].append(distinct(own_keys(waiting.pop(part))))
+            del sizes[part]
+            if sum(len(k) for k, _ in held[part]) > HELD_GRAMS // FOLDS:
+                held[part] = [distinct(*map(np.concatenate, zip(*held[part])))]
 
-        waiting, sizes = defaultdict(list), defaultdict(int)
         for b in batches:
             for t, part in zip(b.column(0), b.column(1).to_pylist()):
-                if text := t.as_py():
-                    waiting[part].append(text)
-                    sizes[part] += len(text)
-                    if sizes[part] >= BLOCK_CHARS:
-                        add(part, waiting.pop(part))
-                        del sizes[part]
-            if sum(map(len, held.values())) > HELD_GRAMS:
+                if not (text := t.as_py()):
+                    continue
+                if not narrow(text):
+                    rare[part].update(wide_grams(text))
+                    continue
+                waiting[part].append(text)
+                sizes[part] += len(text)
+                if sizes[part] >= BLOCK_CHARS:
+                    add(part)
+            if sum(len(k) for of in held.values() for k, _ in of) + sum(map(len, rare.values())) > 2 * HELD_GRAMS:
                 yield from out()
-        for part, texts in waiting.items():
-            add(part, texts)
+        for part in [*waiting]:
+            add(part)
         yield from out()
 
     return rows.select("text", "part").mapInArrow(run, "part int, gram string, n long")
@@ -137,13 +256,17 @@ def sharded(texts: DataFrame) -> tuple[list, float]:
     for k in range(GRAM - 1, 0, -1):
         counts[k] = stored(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in models]), "grams")
     base = 1 / (counts[1].count() + 1)
+    orders = None
+    for k, rows in counts.items():
+        rows = rows.select(F.lit(k).alias("k"), *[f"n{f}" for f in models])
+        orders = rows if orders is None else orders.unionByName(rows)
+    seen = {r["k"]: r for r in orders.groupBy("k").agg(*[F.count_if(F.col(f"n{f}") == i).alias(f"{f}_{i}") for f in models for i in range(1, 5)]).collect()}
     tables, lower = [], None
     for k in range(1, GRAM + 1):
-        seen = counts[k].agg(*[F.count_if(F.col(f"n{f}") == i) for f in models for i in range(1, 5)]).first()
-        cuts = [discounts(list(seen[4 * f : 4 * f + 4])) for f in models]
+        cuts = [discounts([seen[k][f"{f}_{i}"] if k in seen else 0 for i in range(1, 5)]) for f in models]
         cut = lambda f: F.when(F.col(f"n{f}") <= 0, 0.0).when(F.col(f"n{f}") == 1, cuts[f][0]).when(F.col(f"n{f}") == 2, cuts[f][1]).otherwise(cuts[f][2])  # noqa: B023, E731
         rows = counts[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"), *[f"n{f}" for f in models], *[cut(f).alias(f"d{f}") for f in models])
-        contexts = stored(rows.groupBy("context").agg(*[F.sum(f"n{f}").alias(f"t{f}") for f in models], *[F.coalesce(F.try_divide(F.sum(f"d{f}"), F.sum(f"n{f}")), F.lit(1.0)).alias(f"b{f}") for f in models]), "contexts")
+        contexts = rows.groupBy("context").agg(*[F.sum(f"n{f}").alias(f"t{f}") for f in models], *[F.coalesce(F.try_divide(F.sum(f"d{f}"), F.sum(f"n{f}")), F.lit(1.0)).alias(f"b{f}") for f in models])
         full = rows.join(contexts, "context")
         if lower is None:
             full = full.select("*", *[F.lit(base).alias(f"r{f}") for f in models])
@@ -151,9 +274,7 @@ def sharded(texts: DataFrame) -> tuple[list, float]:
             full = full.join(lower.select(F.col("gram").alias("suffix"), *[F.col(f"p{f}").alias(f"r{f}") for f in models]), "suffix")
         own = [(F.coalesce(F.try_divide(F.col(f"n{f}") - F.col(f"d{f}"), F.col(f"t{f}")), F.lit(0.0)) + F.col(f"b{f}") * F.col(f"r{f}")).alias(f"p{f}") for f in models]
         lower = stored(full.select("gram", *own), "order")
-        tables.append((lower, contexts.select("context", *[f"b{f}" for f in models])))
-    for frame in counts.values():
-        forget(frame)
+        tables.append((lower, contexts.select("context", *[f"b{f}" for f in models]), counts[k]))
     return tables, base
 
 
@@ -176,25 +297,45 @@ def _asked(groups: DataFrame) -> DataFrame:
     """(part, gram): the distinct grams of the texts in rows (part, blob), which come sorted by part."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        now, held = None, set()
+        now, held, rare, waiting, size = None, [], set(), [], 0
+
+        def settle():
+            if waiting:
+                held.append(distinct(own_keys(waiting))[0])
+                waiting.clear()
+            if sum(map(len, held)) > HELD_GRAMS:
+                held[:] = [distinct(np.concatenate(held))[0]]
 
         def out():
-            grams = sorted(held)
+            settle()
+            keys = distinct(np.concatenate(held))[0] if held else np.zeros(0, np.uint64)
+            for at in range(0, len(keys), 1 << 16):
+                own = grams_of(keys[at : at + (1 << 16)])
+                yield pa.record_batch([pa.array([now] * len(own), pa.int32()), pa.array(own, pa.string())], names=["part", "gram"])
+            grams = sorted(rare - set(grams_of(keys))) if rare else []
             for at in range(0, len(grams), 1 << 16):
                 own = grams[at : at + (1 << 16)]
                 yield pa.record_batch([pa.array([now] * len(own), pa.int32()), pa.array(own, pa.string())], names=["part", "gram"])
             held.clear()
+            rare.clear()
 
         for b in batches:
             for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 if part != now:
                     yield from out()
-                    now = part
-                texts = [t for t in unpacked(blob).column("text").to_pylist() if t]
-                for block in _blocks((len(t), t) for t in texts):
-                    held.update(gram_block(block)[0])
+                    now, size = part, 0
+                for text in unpacked(blob).column("text").to_pylist():
+                    if text and narrow(text):
+                        waiting.append(text)
+                        size += len(text)
+                        if size >= BLOCK_CHARS:
+                            settle()
+                            size = 0
+                    elif text:
+                        rare.update(wide_grams(text))
         yield from out()
 
     return groups.select("part", "blob").mapInArrow(run, "part int, gram string")
@@ -204,26 +345,46 @@ def _scored(groups: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity, n) of rows (part, kind, blob) sorted by part and kind: answers first, then texts."""
 
     def run(batches):
+        import math
+
         import numpy as np
         import pyarrow as pa
 
-        now, logs = None, {}
+        now, told, table, logs = None, [], None, None
         for b in batches:
             for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if part != now:
-                    now, logs = part, {}
+                    now, told, table, logs = part, [], None, None
                 rows = unpacked(blob)
                 if kind == 0:
-                    logs.update(zip(rows.column("gram").to_pylist(), rows.column("log").to_pylist()))
+                    told.append(rows)
                     continue
+                if table is None:
+                    answers = pa.concat_tables(told) if told else pa.table({"gram": pa.array([], pa.string()), "log": pa.array([], pa.int16())})
+                    value = answers.column("log").to_numpy().astype(np.float32) / STEP
+                    grams = answers.column("gram").to_pylist()
+                    keys, short = keys_of(grams)
+                    table = Table(keys[short], value[short])
                 texts = [t or "" for t in rows.column("text").to_pylist()]
-                score, n = np.full(len(texts), np.nan), np.array([len(t) for t in texts])
-                for block in _blocks((len(t), i) for i, t in enumerate(texts) if t):
-                    grams, number = gram_block([texts[i] for i in block])
-                    value = np.array([logs[g] for g in grams], float)[number] / STEP
-                    ends = np.cumsum(n[block])
-                    score[block] = np.exp(-np.add.reduceat(value, ends - n[block]) / n[block])
-                yield pa.record_batch([rows.column("doc_id").combine_chunks(), rows.column("lang").combine_chunks(), pa.array(score, pa.float64(), mask=np.isnan(score)), pa.array(n, pa.int64())], names=["doc_id", "lang", "perplexity", "n"])
+                total, n = np.zeros(len(texts)), np.array([len(t) for t in texts])
+                wide = [i for i, t in enumerate(texts) if t and not narrow(t)]
+                skip = set(wide)
+                for block in _blocks((len(t), i) for i, t in enumerate(texts) if t and i not in skip):
+                    keys, starts = gram_keys([texts[i] for i in block])
+                    spans = np.stack([starts, np.minimum(starts + n[block], len(keys) - 1)], axis=1).reshape(-1)
+                    found = table[keys].astype(float)
+                    # A span's end is the first of the keys that belong to no text, or the last key there is.
+                    sums = np.add.reduceat(found, spans)[::2]
+                    if starts[-1] + n[block[-1]] > len(keys) - 1:
+                        sums[-1] = found[starts[-1] :].sum()
+                    total[block] = sums
+                if wide and logs is None:
+                    logs = dict(zip(grams, value.tolist()))
+                for i in wide:
+                    total[i] = math.fsum(map(logs.__getitem__, wide_grams(texts[i])))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.exp(-total / n)
+                yield pa.record_batch([rows.column("doc_id").combine_chunks(), rows.column("lang").combine_chunks(), pa.array(score, pa.float64(), mask=n == 0), pa.array(n, pa.int64())], names=["doc_id", "lang", "perplexity", "n"])
 
     return groups.mapInArrow(run, "doc_id long, lang string, perplexity double, n long")
 
