@@ -9,7 +9,8 @@ shingle sets.
 
 No bucket is ever paired out. Its members are first compared with one of them, twice. Where a bucket still
 holds several components, each member that is near another component asks for it, and is compared with that
-component's members until one agrees; pairs are never rows, and a component is cut into blocks.
+component's members until one agrees; pairs are never rows. A bucket and a component are cut into blocks: a member
+is the target in one block, and asks only in blocks that may hold a near one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in, split_maybe
-from .common import components, settled, short_batches, stored
+from .common import components, forget, fresh, lookup, release, short_batches, stored
 
 SHINGLE, SIMILARITY = 5, 75
 POSITIONS, CHUNKS, LIMIT = 64, 16, 31
@@ -87,8 +88,13 @@ def minima(shingles, positions: int = POSITIONS, seed: int = 20240501):
     return best.astype("<u4")
 
 
+def _text_hashes(text) -> list:
+    """128 bits of a text; null has none."""
+    return [F.when(text.isNotNull(), h).alias(n) for n, h in (("t1", F.xxhash64(text)), ("t2", F.xxhash64(F.lit("second"), text)))]
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, check, signature): node and check are 128 bits of the set."""
+    """(doc_id, t1, t2, n_shingles, node, check, signature): node and check are 128 bits of the set."""
     short_batches(docs.sparkSession)
 
     def run(batches):
@@ -99,18 +105,30 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         shingler = Shingler()
         for b in batches:
             n, node, check, sig = [], [], [], []
-            for t in b.column(2):
+            for t in b.column(3):
                 s = shingler(t.as_py())
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 node.append(int.from_bytes(d[:8], "little", signed=True))
                 check.append(int.from_bytes(d[8:], "little", signed=True))
                 sig.append(minima(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "check", "signature"])
+            yield pa.record_batch([*b.columns[:3], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "t1", "t2", "n_shingles", "node", "check", "signature"])
 
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, check long, signature binary"), "sketch")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *_text_hashes(text), text.alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, node long, check long, signature binary"), "sketch")
+
+
+def apart(drawn: DataFrame) -> DataFrame:
+    """drawn with other nodes where sets that differ in check share one, until none do. Some pairs of sets in 10**10 share
+    64 bits."""
+    while True:
+        shared = drawn.groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").select("node")
+        if shared.isEmpty():
+            return drawn
+        marked = drawn.join(shared.withColumn("clash", F.lit(True)), "node", "left")
+        moved = F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        drawn = stored(marked.withColumn("node", moved).select(*drawn.columns), "sketch")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -194,49 +212,59 @@ def _groups(batches, of: int):
 
 
 def _reaching(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, to): members of a bucket that are within WIDE_LIMIT of a member of another component `to`, asked from
-    the side of the smaller component. left: (key, node, component, size). A bucket is cut into blocks that
-    meet two by two; the pairs themselves never leave a task."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = left.join(sizes, "key").join(texts.select("node", "wide"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    cut = cut.select("key", "node", "component", "size", "wide", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "size", "wide")
-    cut = cut.repartition(_tasks(left), "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
+    """(node, to, block): members of a bucket that are within WIDE_LIMIT of a member of another component `to`, which is
+    in that block of `to`, asked from the side of the smaller component. left: (key, node, component, size). The members
+    of a bucket's largest component ask for nothing; each other one visits the bucket's blocks, and the pairs
+    themselves never leave a task."""
+    largest = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max(F.struct("size", (-F.col("component")).alias("component"))).alias("top"))
+    cut = left.join(largest, "key").join(texts.select("node", "wide"), "node")
+    held = cut.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.lit(0).alias("asks"), "node", "component", "size", "wide")
+    asks = cut.where("component <> -top.component").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own"), F.lit(1).alias("asks"), "node", "component", "size", "wide")
+    rows = held.unionByName(asks).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    rows = rows.repartition(_tasks(left), "key", "own").sortWithinPartitions("key", "own", "asks", "node").select("key", "own", "asks", "node", "component", "size", "block", "wide")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held: set = set()
-        for rows in _groups(batches, 3):
-            low, high = rows[0][1], rows[0][2]
-            sig = np.frombuffer(b"".join(r[7] for r in rows), "u1").reshape(-1, WIDE)
-            own, node, comp, size = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
-            for i in range(len(rows)):
-                js = np.flatnonzero(own == (high if own[i] == low else low))
-                js = js[(comp[js] != comp[i]) & ((size[js] > size[i]) | ((size[js] == size[i]) & (comp[js] < comp[i])))]
-                if len(js):
-                    js = js[(sig[js] != sig[i]).sum(axis=1) <= WIDE_LIMIT]
-                    held.update((int(node[i]), c) for c in np.unique(comp[js]).tolist())
-            if len(held) > 50_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["node", "to"])
-                held = set()
-        if held:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["node", "to"])
-
-    return cut.mapInArrow(run, "node long, to long").distinct()
+        found: set = set()
+        now, held, there = None, [], None
+
+        def out():
+            rows = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "to", "block"])
+            found.clear()
+            return rows
+
+        for b in batches:
+            for key, own, asking, node, comp, size, block, wide in zip(*[c.to_pylist() for c in b.columns]):
+                if (key, own) != now:
+                    now, held, there = (key, own), [], None
+                sig = np.frombuffer(wide, "u1")
+                if not asking:
+                    held.append((comp, size, block, sig))
+                    continue
+                if there is None:
+                    there = [np.array([r[i] for r in held]) for i in range(4)] if held else []
+                if there:
+                    comps, sizes, blocks, sigs = there
+                    js = np.flatnonzero((comps != comp) & ((sizes > size) | ((sizes == size) & (comps < comp))))
+                    if len(js):
+                        js = js[(sigs[js] != sig).sum(axis=1) <= WIDE_LIMIT]
+                        found.update((node, *p) for p in zip(comps[js].tolist(), blocks[js].tolist()))
+            if len(found) > 50_000:
+                yield out()
+        if found:
+            yield out()
+
+    return rows.mapInArrow(run, "node long, to long, block long").distinct()
 
 
 def _joined(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes asked (node, to) and members (node, component) of the components they ask for:
-    all members within WIDE_LIMIT are compared in full until one agrees. A component is cut into blocks, each of
-    which sees every node that asks for it."""
-    wanted = asked.select(F.col("to").alias("component")).distinct()
-    own = members.join(wanted, "component", "left_semi")
-    blocks = own.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    held = own.join(blocks, "component").select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"), "node")
-    asks = asked.join(blocks, asked["to"] == blocks["component"]).select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node")
+    """Links (a, b) between nodes asked (node, to, block) and members (node, component, block) of the components they ask
+    for: all members of the block within WIDE_LIMIT are compared in full until one agrees."""
+    wanted = asked.select(F.col("to").alias("component"), "block").distinct()
+    held = members.join(wanted, ["component", "block"], "left_semi").select("component", "block", F.lit(0).alias("asks"), "node")
+    asks = asked.select(F.col("to").alias("component"), "block", F.lit(1).alias("asks"), "node")
     rows = held.unionByName(asks).join(texts, "node").select("component", "block", "asks", "node", "wide", "text")
     rows = rows.repartition(_tasks(asked), "component", "block").sortWithinPartitions("component", "block", "asks", "node")
 
@@ -275,57 +303,84 @@ def _joined(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
-
-    Equal sets are one node from the start. Null and empty texts have no shingles and link with nothing;
-    rows with a null id take part, are never the smallest and never kept; rows that repeat an id and a text
-    share their result; no rows give no rows. Other columns are ignored.
-    """
-    drawn = sketch(docs, id_col, text_col)
+def _labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, first) for every row: first is the least (doc_id, t1, t2) of its component, null if that
+    has no id."""
+    spark = docs.sparkSession
+    drawn = apart(sketch(docs, id_col, text_col))
     full = drawn.where("n_shingles > 0")
-    nodes = stored(full.groupBy("node").agg(F.min_by("signature", "text_hash").alias("signature"), F.min("text_hash").alias("text_hash"), (F.min("check") != F.max("check")).alias("clash")), "nodes")
-    if not nodes.where("clash").isEmpty():
-        raise RuntimeError("two different sets share 64 bits of their digest")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2")))
+    nodes = stored(full.groupBy("node").agg(F.min_by("signature", F.struct("t1", "t2")).alias("signature"), F.min(F.struct("t1", "t2")).alias("text"), least.alias("first"), F.count("*").alias("copies")), "nodes")
     keys = _keys(nodes)
     groups = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keys.join(groups, "key"), "buckets")
-    rank = met.groupBy("node").agg(F.sum("n").alias("rank"))
-    wanted = stored(rank.select("node").join(nodes.select("node", "text_hash"), "node").select("text_hash", "node"), "wanted")
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = stored(_texts(rows, wanted), "texts")
+    rank = stored(met.groupBy("node").agg(F.sum("n").alias("rank")), "rank")
+    texts = stored(_texts(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), rank.select("node").join(nodes.select("node", "text.t1", "text.t2"), "node")), "texts")
+    release(spark)
 
     # A hub is the member that meets most others over all buckets: the likely original of a group of copies.
-    open_ = settled(met.join(rank, "node").select("key", "node", "rank", F.col("node").alias("component")))
-    edges, linked = None, None
+    open_ = stored(met.join(rank, "node").select("key", "node", "rank", F.col("node").alias("component")), "open")
+    forget(met)
+    edges, linked, made = None, None, []
     for turn in range(HUBS):
-        hubs = open_.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("hub"))
+        hubs = stored(open_.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("hub")), "hubs")
         stars = open_.join(hubs, "key").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = stored(_confirmed(_near(stars, texts), texts), "edges")
-        edges = new if edges is None else edges.unionByName(new)
+        made.append(stored(_confirmed(_near(stars, texts), texts), "edges"))
+        release(spark)
+        edges = made[-1] if edges is None else edges.unionByName(made[-1])
+        if linked is not None:
+            forget(linked)
         linked = components(edges)
         # The hub's whole component has had its turn as far as it shares the hub's: the next hub comes from elsewhere.
         labelled = open_.select("key", "node", "rank").join(linked, "node", "left").select("key", "node", "rank", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        labelled = settled(labelled.join(mixed, "key", "left_semi"))
+        labelled = labelled.join(mixed, "key", "left_semi")
         seen = hubs.select("key", F.col("hub.node").alias("node"))
-        open_ = labelled.join(seen, ["key", "node"], "left_anti") if turn + 1 < HUBS else labelled
+        before, open_ = open_, stored(labelled.join(seen, ["key", "node"], "left_anti") if turn + 1 < HUBS else labelled, "open")
+        forget(before)
+        forget(hubs)
+        release(spark)
     sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
-    asked = settled(_reaching(open_.select("key", "node", "component").join(sizes, "component", "left").select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size")), texts))
+    sized = stored(lookup(linked, sizes.withColumn("members", F.col("size")), "component", "members"), "sized")
+    left = open_.select("key", "node").join(sized, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    asked = stored(_reaching(left, texts), "asked")
+    forget(open_)
+    release(spark)
     if not asked.isEmpty():
-        alone = rank.select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
-        more = stored(_joined(asked, linked.unionByName(alone), texts), "edges")
-        if not more.isEmpty():
-            linked = components(edges.unionByName(more))
-    of = drawn.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    least = of.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = of.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        alone = rank.select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
+        members = sized.unionByName(alone).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+        made.append(stored(_joined(asked, members.select("node", "component", "block"), texts), "edges"))
+        release(spark)
+        if not made[-1].isEmpty():
+            forget(linked)
+            linked = components(edges.unionByName(made[-1]))
+    # From here on rows are nodes, until each row looks its node up.
+    nodes_of = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "copies")
+    nodes_of = stored(nodes_of, "labelled")
+    groups = nodes_of.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    labels = stored(lookup(nodes_of.select("node", "component", "copies"), groups, "component", "n").select("node", "first", "copies"), "labels")
+    for frame in (linked, sized, asked, texts, rank, nodes, nodes_of, *made):
+        forget(frame)
+    rows = drawn.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    return lookup(rows, labels, "node", "copies").drop("node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+
+    Equal sets are one node from the start. Null and empty texts have no shingles and link with nothing;
+    rows with a null id take part, are never the smallest and never kept; rows that repeat an id and a text
+    share their result; no rows give no rows. Other columns are ignored.
+    """
+    found = _labels(docs, id_col, text_col)
+    out = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text, wide): one text for every wanted node, and its wide signature."""
-    found = maybe_in(rows, "text_hash", wanted).dropDuplicates(["text_hash"]).join(wanted, "text_hash").select("node", "text")
+    """(node, text, wide): one text for every wanted node (node, t1, t2), and its wide signature."""
+    rows = rows.select("text", *_text_hashes(F.col("text")))
+    found = maybe_in(rows, "t1", wanted.select("t1")).dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("node", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -341,13 +396,17 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest id; all columns stay.
 
-    Rows without an id and rows without words stay. Of rows that repeat an id, one stays. Only rows that
-    may go are shuffled.
+    Rows without an id stay, and so do rows without words. Of rows that repeat an id with different texts each is judged by its own
+    text, and the least text hash decides between them; of rows that repeat an id and a text, one stays. Only rows
+    that may go are shuffled.
     """
-    found = stored(near_duplicates(docs, id_col, text_col), "near")
-    gone = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = stored(gone.select("doc_id", F.lit(True).alias("gone")).unionByName(again.select("doc_id", F.lit(False).alias("gone"))).groupBy("doc_id").agg(F.max("gone").alias("gone")), "gone")
-    sure, maybe = split_maybe(docs, id_col, gone)
-    rest = maybe.join(gone.where("gone").select(F.col("doc_id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return sure.unionByName(rest)
+    found = stored(_labels(docs, id_col, text_col).where("doc_id IS NOT NULL").withColumn("own", F.struct("doc_id", "t1", "t2")), "near")
+    gone = found.where("n_shingles > 0 AND own <> first").select("own", F.lit(True).alias("gone"))
+    again = found.groupBy("own").count().where("count > 1").select("own", F.lit(False).alias("gone"))
+    gone = stored(gone.unionByName(again).groupBy("own").agg(F.max("gone").alias("gone")), "gone")
+    own, out = fresh(docs, "own", "gone")
+    text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    keyed = docs.withColumn(own, F.when(id_.isNotNull(), F.struct(id_.alias("doc_id"), *_text_hashes(text))))
+    sure, maybe = split_maybe(keyed, own, gone.select("own"))
+    rest = maybe.join(gone.where("gone").select(F.col("own").alias(out)), F.col(own) == F.col(out), "left_anti").dropDuplicates([own])
+    return sure.unionByName(rest).drop(own)
