@@ -189,8 +189,10 @@ def _blocks(rows):
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(part, gram, n) of rows (text, part), added up in each task as far as it can hold them."""
+    """(gram, m0, m1, ...) of rows (text, part): how often the texts of each part hold it, added up in each task as far as it
+    can hold them."""
     short_batches(rows.sparkSession)
+    columns = [f"m{f}" for f in range(FOLDS)]
 
     def run(batches):
         from collections import Counter, defaultdict
@@ -201,17 +203,21 @@ def counted(rows: DataFrame) -> DataFrame:
         held, rare = defaultdict(list), defaultdict(Counter)
         waiting, sizes = defaultdict(list), defaultdict(int)
 
+        def batch(grams, table):
+            return pa.record_batch([pa.array(grams, pa.string()), *[pa.array(np.ascontiguousarray(t), pa.int64()) for t in table]], names=["gram", *columns])
+
         def out():
-            for part in [*held]:
-                keys, n = distinct(*map(np.concatenate, zip(*held.pop(part))))
-                for at in range(0, len(keys), 1 << 16):
-                    own = grams_of(keys[at : at + (1 << 16)])
-                    yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
-            for part, found in rare.items():
-                grams, n = list(found), list(found.values())
-                for at in range(0, len(grams), 1 << 16):
-                    own = grams[at : at + (1 << 16)]
-                    yield pa.record_batch([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.string()), pa.array(n[at : at + (1 << 16)], pa.int64())], names=["part", "gram", "n"])
+            parts = {p: distinct(*map(np.concatenate, zip(*held.pop(p)))) for p in [*held]}
+            keys = distinct(np.concatenate([k for k, _ in parts.values()]))[0] if parts else np.zeros(0, np.uint64)
+            table = np.zeros((FOLDS, len(keys)), np.int64)
+            for p, (k, n) in parts.items():
+                table[p, np.searchsorted(keys, k)] = n
+            for at in range(0, len(keys), 1 << 16):
+                yield batch(grams_of(keys[at : at + (1 << 16)]), table[:, at : at + (1 << 16)])
+            grams = sorted({g for found in rare.values() for g in found})
+            for at in range(0, len(grams), 1 << 16):
+                own = grams[at : at + (1 << 16)]
+                yield batch(own, np.array([[rare[p][g] for g in own] for p in range(FOLDS)], np.int64))
             rare.clear()
 
         def add(part):
@@ -237,7 +243,7 @@ def counted(rows: DataFrame) -> DataFrame:
             add(part)
         yield from out()
 
-    return rows.select("text", "part").mapInArrow(run, "part int, gram string, n long")
+    return rows.select("text", "part").mapInArrow(run, "gram string, " + ", ".join(f"{c} long" for c in columns))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -251,8 +257,9 @@ def sharded(texts: DataFrame) -> tuple[list, float]:
     """For orders 1 to GRAM the tables (gram, p0, ...) and (context, b0, ...) of seen grams' probabilities and of contexts'
     backing off, and the probability of a character at order 0. Model f is of the texts (text, part) outside part f."""
     models = range(FOLDS)
-    without = [(F.sum("n") - F.coalesce(F.sum(F.when(F.col("part") == f, F.col("n"))), F.lit(0))).alias(f"n{f}") for f in models]
-    counts = {GRAM: stored(counted(texts).groupBy("gram").agg(*without), "grams")}
+    sums = counted(texts).groupBy("gram").agg(*[F.sum(f"m{f}").alias(f"m{f}") for f in models])
+    whole = sum((F.col(f"m{f}") for f in models[1:]), F.col("m0"))
+    counts = {GRAM: stored(sums.select("gram", *[(whole - F.col(f"m{f}")).alias(f"n{f}") for f in models]), "grams")}
     for k in range(GRAM - 1, 0, -1):
         counts[k] = stored(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in models]), "grams")
     base = 1 / (counts[1].count() + 1)
@@ -362,8 +369,7 @@ def _scored(groups: DataFrame) -> DataFrame:
                 if table is None:
                     answers = pa.concat_tables(told) if told else pa.table({"gram": pa.array([], pa.string()), "log": pa.array([], pa.int16())})
                     value = answers.column("log").to_numpy().astype(np.float32) / STEP
-                    grams = answers.column("gram").to_pylist()
-                    keys, short = keys_of(grams)
+                    keys, short = keys_of(answers.column("gram").to_pylist())
                     table = Table(keys[short], value[short])
                 texts = [t or "" for t in rows.column("text").to_pylist()]
                 total, n = np.zeros(len(texts)), np.array([len(t) for t in texts])
@@ -379,7 +385,7 @@ def _scored(groups: DataFrame) -> DataFrame:
                         sums[-1] = found[starts[-1] :].sum()
                     total[block] = sums
                 if wide and logs is None:
-                    logs = dict(zip(grams, value.tolist()))
+                    logs = dict(zip(answers.column("gram").to_pylist(), value.tolist()))
                 for i in wide:
                     total[i] = math.fsum(map(logs.__getitem__, wide_grams(texts[i])))
                 with np.errstate(invalid="ignore", divide="ignore"):
@@ -395,7 +401,7 @@ def perplexities(docs: DataFrame, tables: list, base: float, id_col: str = "doc_
 
     A group is a hash of language, text and id within a fold, so it has the same rows however docs are laid out,
     and is read as a stream: what a task holds is the distinct grams of one group. Texts are shuffled twice,
-    packed and compressed.
+    packed and compressed. The tables are forgotten once they have answered.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -408,7 +414,8 @@ def perplexities(docs: DataFrame, tables: list, base: float, id_col: str = "doc_
     p = F.array(*[F.col(f"p{f}") for f in range(FOLDS)])[F.col("part") % FOLDS]
     log = F.greatest(F.round(F.log(p) * STEP), F.lit(-32768)).cast("short")
     logs = stored(packed(asked.join(got, "gram").select("part", "gram", log.alias("log"))), "logs")
-    forget(asked)
+    for frame in (asked, *[frame for table in tables for frame in (table[0], table[2])]):
+        forget(frame)
     release(docs.sparkSession)
     both = logs.select("part", F.lit(0).alias("kind"), "blob").unionByName(texts.select("part", F.lit(1).alias("kind"), "blob"))
     return _scored(both.repartition("part").sortWithinPartitions("part", "kind"))
@@ -431,9 +438,6 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     release(docs.sparkSession)
     lower = F.exp(-SLACK / F.sqrt(F.greatest("n", F.lit(1))))
     scored = stored(perplexities(docs, tables, base).withColumn("bound", F.col("perplexity") * lower).drop("n"), "perplexity")
-    for pair in tables:
-        for frame in pair:
-            forget(frame)
     known = scored.where("perplexity IS NOT NULL").join(trusted, F.col("doc_id") == F.col("k"), "left_semi")
     cut = F.percentile_approx("bound", quantile, 10000)
     by_lang = known.groupBy(F.col("lang").alias("of")).agg(cut.alias("own"))
