@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, html_text, language_model, near_dup, packing, pii, simple8b, toxicity, urls
+from .common import spread
+
+#: Stated in the open only because the driver's tables are made up; a real key is a secret.
+PSEUDONYM_KEY = "key of the synthetic tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's; one in fewer files than there are cores is dealt out to them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,7 +40,7 @@ def op3_token_files(spark, sf_dir):
 
 
 def op4_pseudonyms(spark, sf_dir):
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "n_pii", "text")
 
 
 def op5_decontamination(spark, sf_dir):
@@ -62,7 +67,7 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
 
 
 def op10_main_text(spark, sf_dir):
