@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import split_maybe
-from .common import ascii_lower, stored
+from .common import ascii_lower, fresh, stored
 
 #: Words of a window that counts as shared, words of a fingerprinted gram, grams that one minimum stands for.
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
-#: A fingerprint is a long: the gram's hash above, its position in the text in the low bits.
-POSITION = (1 << 26) - 1
-#: Bytes of benchmark fingerprints with their words up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 32 << 20
+#: A fingerprint is a long: 33 bits of the gram's hash above its position, which no array's length can exceed. Grams
+#: whose hashes agree by chance are told apart when the meeting is extended.
+POSITION = (1 << 31) - 1
+#: Bytes of benchmark fingerprints up to which they are broadcast; beyond, the joins shuffle, and a fingerprint that
+#: very many texts share is dealt out to SALTS tasks.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
 
 
 def words(text: Column) -> Column:
@@ -22,25 +24,26 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _grams(ws: Column, size: int) -> Column:
-    """Hash and position of every run of `size` words."""
+def _grams(hashes: Column, size: int) -> Column:
+    """Hash and position of every run of `size` words, from the words' hashes."""
     high = F.lit(~POSITION)
-    hashed = lambda i: F.xxhash64(F.lit(size), F.slice(ws, i, size)).bitwiseAND(high).bitwiseOR((i - 1).cast("long"))
-    return F.when(F.size(ws) >= size, F.transform(F.sequence(F.lit(1), F.size(ws) - (size - 1)), hashed)).otherwise(F.array().cast("array<bigint>"))
+    hashed = lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]).bitwiseAND(high).bitwiseOR(i.cast("long"))
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _minima(grams: Column) -> Column:
     """The least gram of every window, each once: the leftmost of equals."""
-    low = F.transform(F.sequence(F.lit(1), F.size(grams) - (WINDOW - 1)), lambda i: F.array_min(F.slice(grams, i, WINDOW)))
+    low = F.transform(F.sequence(F.lit(0), F.size(grams) - WINDOW), lambda i: F.least(*[F.get(grams, i + k) for k in range(WINDOW)]))
     return F.when(F.size(grams) >= WINDOW, F.array_distinct(low)).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(print, item_at, item_id, item_words, span): winnowed fingerprints of items of SPAN words or more; a
     shorter item is one fingerprint of its whole length. Items without words have none."""
-    ws = items.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("item_words")).where("size(item_words) > 0")
-    ws = ws.withColumn("grams", _grams(F.col("item_words"), GRAM))
-    short = [F.when(F.size("item_words") == n, _grams(F.col("item_words"), n)) for n in range(1, SPAN)]
+    ws = items.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), words(F.col(f"`{text_col}`")).alias("item_words")).where("size(item_words) > 0")
+    ws = ws.withColumn("hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
+    ws = ws.withColumn("grams", _grams(F.col("hashes"), GRAM))
+    short = [F.when(F.size("item_words") == n, _grams(F.col("hashes"), n)) for n in range(1, SPAN)]
     marks = ws.select("item_id", "item_words", F.explode(F.coalesce(*short, _minima(F.col("grams")))).alias("v"))
     return marks.select(
         F.col("v").bitwiseAND(F.lit(~POSITION)).alias("print"), F.col("v").bitwiseAND(F.lit(POSITION)).cast("int").alias("item_at"),
@@ -48,46 +51,74 @@ def benchmark_prints(items: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
+def _printed(rows: DataFrame, least: list[int]) -> DataFrame:
+    """rows with the hashes of their words `ws`, and their fingerprints `prints`: winnowed, and all of the short lengths."""
+    rows = rows.withColumn("hashes", F.transform("ws", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("grams", _grams(F.col("hashes"), GRAM))
+    return rows.withColumn("prints", F.concat(_minima(F.col("grams")), *[_grams(F.col("hashes"), n) for n in least]))
+
+
+def _met(rows: DataFrame, marks: DataFrame, own: str, small: bool, how: str) -> DataFrame:
+    """rows joined with marks by their print; `own` tells rows of one print apart."""
+    if small:
+        return rows.join(F.broadcast(marks), "print", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(own, "print"), F.lit(SALTS)).cast("int"))
+    return salted.join(marks.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["print", "salt"], how).drop("salt")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, hit_windows (array of start and length), item_ids (array), n_hit.
 
     A run of SPAN words that a document shares with an item holds a whole window of grams, whose minimum is
     the same gram on both sides; so the join of fingerprints finds every such run, and each meeting is
     extended word by word over all windows around it, which confirms or refutes it. Items shorter than SPAN
-    words are met at their full length. One scan: a row's fingerprints are exploded with a marker that
-    always stays, so rows without a hit come out too. Nothing is matched on ids: repeated rows and null ids
-    keep a result each; null and empty texts have no words; null item ids are hit but not listed. Other
-    columns are ignored. The benchmark is broadcast only while BROADCAST_BYTES hold it.
+    words are met at their full length. A first pass joins bare fingerprints and keeps the hashes of texts that meet
+    any; only texts that may be among them are cut up again, with the words around each fingerprint. Nothing is matched on
+    ids: repeated rows and null ids keep a result each; null and empty texts have no words; null item ids are
+    hit but not listed. Other columns are ignored. The benchmark is broadcast only while BROADCAST_BYTES hold it.
     """
-    marks = benchmark_prints(items)
+    marks = stored(benchmark_prints(items), "prints")
     size, least = marks.agg(F.sum(F.length(F.concat_ws(" ", "item_words")) + 24 * F.size("item_words") + 64), F.collect_set(F.when(F.col("span") < SPAN, F.col("span")))).first()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    rows = rows.withColumn("grams", _grams(F.col("ws"), GRAM))
-    marker = F.xxhash64("row").bitwiseOR(F.lit(POSITION))
-    lists = [_minima(F.col("grams")), *[_grams(F.col("ws"), n) for n in sorted(least)], F.array(marker)]
-    seen = rows.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), "ws", F.explode(F.concat(*lists)).alias("v"))
-    at = F.col("v").bitwiseAND(F.lit(POSITION)).cast("int")
-    first = F.greatest(at - (WINDOW - 1), F.lit(0))
-    seen = seen.select("row", "doc_id", "n_words", F.col("v").bitwiseAND(F.lit(~POSITION)).alias("print"), at.alias("at"), first.alias("first"), F.when(at < POSITION, F.slice("ws", first + 1, SPAN + WINDOW - 1)).alias("near"))
-    marks = F.broadcast(marks) if (size or 0) <= BROADCAST_BYTES else marks
-    met = seen.join(marks, (seen["print"] == marks["print"]) & (F.col("at") < POSITION), "left").where(F.col("item_words").isNotNull() | (F.col("at") == POSITION))
+    small, least = (size or 0) <= BROADCAST_BYTES, sorted(least)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")))
+    bare = _printed(rows.select("key", words(F.col("text")).alias("ws")), least).select("key", F.explode("prints").alias("v"))
+    bare = bare.select("key", F.col("v").bitwiseAND(F.lit(~POSITION)).alias("print"))
+    known = marks.select("print").distinct()
+    met = stored(_met(bare, known, "key", small, "inner").select("key").distinct(), "met")
+    sure, maybe = split_maybe(rows, "key", met)
+    spans = "array<struct<start:int,length:int>>"
+    clean = sure.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast(spans).alias("hit_windows"), F.array().cast("array<string>").alias("item_ids"))
+
+    found = maybe.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
+    found = _printed(found, least)
+    at = lambda v: v.bitwiseAND(F.lit(POSITION)).cast("int")
+    first = lambda v: F.greatest(at(v) - (WINDOW - 1), F.lit(0))
+    pieces = F.transform("prints", lambda v: F.struct(v.alias("v"), F.slice("ws", first(v) + 1, SPAN + WINDOW - 1).alias("near")))
+    # A piece without a fingerprint stays in any case, so rows without a hit come out too.
+    marker = F.array(F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("array<string>").alias("near")))
+    seen = found.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.explode(F.concat(pieces, marker)).alias("p"))
+    seen = seen.select("row", "doc_id", "n_words", F.col("p.v").bitwiseAND(F.lit(~POSITION)).alias("print"), at(F.col("p.v")).alias("at"), first(F.col("p.v")).alias("first"), "p.near")
+    hits = _met(seen, marks, "row", small, "left").where("item_words IS NOT NULL OR at IS NULL")
     shifts = F.sequence(-F.least(F.lit(WINDOW - 1), F.col("at"), F.col("item_at")), F.lit(0))
     same = lambda d: (F.col("item_at") + d + F.col("span") <= F.size("item_words")) & (F.slice("near", F.col("at") + d - F.col("first") + 1, F.col("span")) == F.slice("item_words", F.col("item_at") + d + 1, F.col("span")))
-    starts = F.when(F.col("at") < POSITION, F.transform(F.filter(shifts, same), lambda d: F.struct((F.col("at") + d).alias("start"), F.col("span").alias("length"))))
-    met = met.select("row", "doc_id", "n_words", F.when(F.size(starts) > 0, F.col("item_id")).alias("item_id"), F.explode_outer(starts).alias("window"))
-    per = met.groupBy("row", "doc_id", "n_words").agg(F.collect_set("window").alias("hit_windows"), F.collect_set("item_id").alias("item_ids"))
+    starts = F.when(F.col("at").isNotNull(), F.transform(F.filter(shifts, same), lambda d: F.struct((F.col("at") + d).alias("start"), F.col("span").alias("length"))))
+    hits = hits.select("row", "doc_id", "n_words", F.when(F.size(starts) > 0, F.col("item_id")).alias("item_id"), F.explode_outer(starts).alias("window"))
+    per = hits.groupBy("row", "doc_id", "n_words").agg(F.collect_set("window").alias("hit_windows"), F.collect_set("item_id").alias("item_ids"))
+    both = clean.unionByName(per.select("doc_id", "n_words", F.col("hit_windows").cast(spans), F.array_sort("item_ids").alias("item_ids")))
     covered = F.array_distinct(F.flatten(F.transform("hit_windows", lambda w: F.sequence(w["start"], w["start"] + w["length"] - 1))))
-    return per.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "hit_windows", F.array_sort("item_ids").alias("item_ids"))
+    return both.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "hit_windows", "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that share a window with an item; every other row as it was, with all its columns.
 
-    A contaminated row takes every row of its id with it; rows without an id are judged by their text.
+    A contaminated row takes every row of its id with it; rows without an id are judged by their text. Null and empty
+    texts stay, and so do repeated rows; no rows give no rows.
     """
+    own, bad_key = fresh(docs, "key", "bad")
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text "), F.sha2(F.col(f"`{text_col}`").cast("string"), 256)))
-    keyed = docs.withColumn("__key", key)
-    bad = stored(overlaps(keyed, items, "__key", text_col).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    sure, maybe = split_maybe(keyed, "__key", bad)
-    rest = maybe.join(bad.select(F.col("doc_id").alias("__bad")), F.col("__key") == F.col("__bad"), "left_anti")
-    return sure.unionByName(rest).drop("__key")
+    keyed = docs.withColumn(own, key)
+    bad = stored(overlaps(keyed, items, own, text_col).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
+    sure, maybe = split_maybe(keyed, own, bad)
+    rest = maybe.join(bad.select(F.col("doc_id").alias(bad_key)), F.col(own) == F.col(bad_key), "left_anti")
+    return sure.unionByName(rest).drop(own)
