@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settled, stored
+from .common import ascii_lower, forget, lookup, release, stored
 
 #: (rule, verdict): a host, with all its subdomains, and a path that the url's must start with.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -40,14 +40,28 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     total = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     steps = stored(edges.join(total, "dst").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "edges")
     base = seeds.groupBy("host").agg(F.max("weight").alias("seed"))
-    base = settled(base.join(steps.select(F.col("src").alias("host")).distinct(), "host"))
+    base = stored(base.join(steps.select(F.col("src").alias("host")).distinct(), "host"), "seeds")
     level, moved = base.select("host", F.col("seed").alias("level")), None
-    for _ in range(ITERATIONS):
-        moved = settled(steps.join(level, F.col("src") == F.col("host")).groupBy("dst").agg((DAMPING * F.sum(F.col("level") * F.col("share"))).alias("received")))
+    for turn in range(ITERATIONS):
+        before, moved = moved, stored(steps.join(level, F.col("src") == F.col("host")).groupBy("dst").agg((DAMPING * F.sum(F.col("level") * F.col("share"))).alias("received")), "received")
+        if before is not None:
+            forget(before)
+        if turn % 7 == 6:
+            release(edges.sparkSession)
         level = base.join(moved, F.col("host") == F.col("dst"), "full").select(F.coalesce("host", "dst").alias("host"), F.greatest(F.coalesce("seed", F.lit(0.0)), F.coalesce("received", F.lit(0.0))).alias("level"))
     return moved.select(F.col("dst").alias("host"), "received")
 
 
+def rule_of(host: Column, path: Column, rules) -> Column:
+    """The longest fitting rule as (rule, verdict), or null. Rules are a short list, so each row looks at all of them."""
+    fitting = []
+    for rule, verdict in sorted(rules, key=lambda r: (len(r[0]), r[0]), reverse=True):
+        of, _, rest = rule.partition("/")
+        fits = ((host == of) | host.endswith("." + of)) & path.startswith("/" + rest)
+        fitting.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    return F.coalesce(*fitting, F.lit(None).cast("struct<rule:string,verdict:string>"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) for every page.
 
@@ -57,26 +71,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     blocked if it received distrust of DISTRUST or more, and more of it than trust. Null urls, and urls without ://, have an empty host and path, fit no rule and are allowed. Null
     html has no links; repeated rows and null ids keep a result each; no pages give no rows.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col("page_id"), F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html"))
-    known = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules], "of string, prefix string, rule string, verdict string")
-    hosts = stored(rows.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = hosts.select("host", F.explode(parents).alias("of")).join(known, "of").groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "prefix", "verdict")).alias("rules"))
-
-    def ruled(frame: DataFrame) -> DataFrame:
-        best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])))
-        return frame.join(fitting, "host", "left").withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("ruled", F.col("best.verdict"))
-
+    rows = rows.withColumn("best", rule_of(F.col("host"), F.col("path"), rules))
+    out = rows.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
     edges = stored(host_edges(rows), "links")
-    graph = None
-    if not edges.isEmpty():
-        seeds = stored(ruled(rows.select("host", "path")).where("ruled IS NOT NULL").groupBy("host", "ruled").agg(F.count("*").alias("n")).join(hosts, "host").select("host", "ruled", (F.col("n") / F.col("pages")).alias("weight")), "seeds")
-        trust = spread(edges, seeds.where("ruled = 'allow'").select("host", "weight"))
-        distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds.where("ruled = 'block'").select("host", "weight"))
-        graph = distrust.select("host", F.col("received").alias("distrust")).join(trust.select("host", F.col("received").alias("trust")), "host", "left")
-        graph = graph.where((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("linked"))
-    out = ruled(rows.drop("html"))
-    out = out.join(graph, "host", "left") if graph is not None else out.withColumn("linked", F.lit(None).cast("string"))
-    return out.select("page_id", "url", "host", "path", "rule", F.coalesce("ruled", "linked", F.lit("allow")).alias("verdict"))
+    if edges.isEmpty():
+        return out.select("page_id", "url", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    hosts = stored(out.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")), "hosts")
+    seeds = lambda c: hosts.where(F.col(c) > 0).select("host", (F.col(c) / F.col("pages")).alias("weight"))
+    trust = spread(edges, seeds("allowed"))
+    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("blocked"))
+    graph = distrust.select("host", F.col("received").alias("distrust")).join(trust.select("host", F.col("received").alias("trust")), "host", "left")
+    graph = graph.where((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("linked"))
+    judged = stored(hosts.select("host", "pages").join(graph, "host", "left"), "judged")
+    return lookup(out, judged, "host", "pages").select("page_id", "url", "host", "path", "rule", F.coalesce("ruled", "linked", F.lit("allow")).alias("verdict"))
