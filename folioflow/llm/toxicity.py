@@ -8,17 +8,19 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .bloom import maybe_in
+from .common import short_batches, stored
 
 #: Hash buckets of words, numbers in an embedding, filter widths in words and filters of each.
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
-#: Labelled rows of each class that the model is fitted on, at most.
-MAX_ROWS = 3000
+#: Labelled rows of each class that the model is fitted on, at most, and characters of a text that is fitted on.
+MAX_ROWS, MAX_CHARS = 3000, 1 << 15
 EPOCHS, BATCH = 10, 64
 #: A bucket that fewer fitting rows hold has no embedding; log odds count from ODDS standard errors on.
 MIN_ROWS, ODDS = 5, 2.0
-#: Rows of a language that its own threshold needs.
-MIN_LANG = 100
+#: Thresholds are multiples of 1 / BINS. A language with a RARE-th of the labelled rows or more has its own, for which
+#: the errors over all languages count as PRIOR_ROWS of its rows; there can't be more than RARE such languages.
+BINS, RARE, PRIOR_ROWS = 100, 1000, 50
 _WORD = r"[^\W_]+"
 
 
@@ -76,14 +78,14 @@ class Model:
 
 
 def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
-    """Fit on (buckets, label 0/1, language) by Adam. The first embedding number starts as the bucket's log odds
+    """Fit on (buckets, label 0/1) by Adam. The first embedding number starts as the bucket's log odds
     between the classes, the rest at random; `prior` is the share of toxic rows among all labelled ones."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     pad = max(WIDTHS) - 1
-    docs = [np.concatenate([np.asarray(ids, np.int64), np.full(pad, BUCKETS)]) if len(ids) else np.full(pad + 1, BUCKETS) for ids, _, _ in rows]
-    labels = np.array([y for _, y, _ in rows], float)
+    docs = [np.concatenate([np.asarray(ids, np.int64), np.full(pad, BUCKETS)]) if len(ids) else np.full(pad + 1, BUCKETS) for ids, _ in rows]
+    labels = np.array([y for _, y in rows], float)
     embedding = rng.normal(0, 0.1, (BUCKETS + 1, DIMS)).astype(np.float32)
     filters = [rng.normal(0, 0.2, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
@@ -156,27 +158,26 @@ def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
     here = labels[fit].mean()
     p = min(max(prior, 1e-4), 1 - 1e-4)
     model.bias += float(np.log(p / (1 - p)) - np.log(here / (1 - here)))
-    tables = model.prepared()
-    scores = np.array([model.score(d[: len(d) - pad], tables) for d in docs])
-    weight = np.where(labels == 1, p / max(here, 1e-9), (1 - p) / max(1 - here, 1e-9))
-    for lang in {lang for _, _, lang in rows if lang}:
-        own = np.flatnonzero(held & np.array([x == lang for _, _, x in rows]))
-        if len(own) >= MIN_LANG:
-            cuts = np.unique(np.concatenate([[0.5], np.linspace(0.05, 0.95, 19)]))
-            wrong = [((scores[own] >= c) != (labels[own] == 1)) @ weight[own] for c in cuts]
-            model.thresholds[lang] = float(min(zip(wrong, np.abs(cuts - 0.5), cuts))[2])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on labelled rows whose crc32(id as text) mod 5 is not 0, at most max_rows of each class: those
-    with the least hash of their id. Only the buckets of their words come to the driver."""
-    known = labels.select(F.col(id_col).alias("k"), F.col("toxic").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(F.crc32(F.col("k").cast("string")) % 5 != 0)
+    """Train on labelled rows whose crc32(id as text) mod 5 is not 0, at most max_rows of each class with texts of at most
+    MAX_CHARS characters: those with the least hash of their id. Only the buckets of their words come to the driver.
+
+    The thresholds by language come from all such labelled rows, each scored by a model that hasn't seen it: rows
+    of the sample by one that was fitted on the other half of it. Null ids and labels teach nothing; an id that is labelled
+    twice is toxic if either says so; of texts that repeat an id one is fitted on; without labels every text scores alike
+    and nothing is rejected.
+    """
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col("toxic").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(F.crc32(F.col("k").cast("string")) % 5 != 0)
     known = known.groupBy("k").agg(F.max("y").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     ordered = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_rows)
     sample = ordered(0).unionByName(ordered(1))
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(sample), "k")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = texts.join(F.broadcast(sample), "k").where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_CHARS)
+    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r")).select("k", "r.text", "r.y")
     short_batches(docs.sparkSession)
 
     def hashed(batches):
@@ -184,22 +185,70 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
 
         cache: dict = {}
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([bucket_ids(t.as_py(), cache) for t in b.column(1)], pa.list_(pa.int32())), b.column(2), b.column(3)], names=["k", "ids", "lang", "y"])
+            yield pa.record_batch([b.column(0), pa.array([bucket_ids(t.as_py(), cache) for t in b.column(1)], pa.list_(pa.int32())), b.column(2)], names=["k", "ids", "y"])
 
-    got = rows.select(F.col("k").cast("string"), "text", "lang", "y").mapInArrow(hashed, "k string, ids array<int>, lang string, y int").toArrow()
+    got = rows.mapInArrow(hashed, "k long, ids array<int>, y int").toArrow()
     import numpy as np
 
     got = got.sort_by([("k", "ascending")])
-    found = [(np.asarray(i.values), y, lang) for i, y, lang in zip(got.column("ids"), got.column("y").to_pylist(), got.column("lang").to_pylist())]
+    found = [(np.asarray(i.values), y) for i, y in zip(got.column("ids"), got.column("y").to_pylist())]
     total = sum(counts.values())
-    return train(found, counts.get(1, 0) / total if total else 0.0)
+    prior = counts.get(1, 0) / total if total else 0.0
+    model = train(found, prior)
+    if total:
+        half = {k: crc32(b"half%d" % k) % 2 for k in got.column("k").to_pylist()}
+        blind = [train([r for r, h in zip(found, half.values()) if h != side], prior) for side in (0, 1)]
+        model.threshold, model.thresholds = calibrated(texts, known, [*blind, model], half)
+    return model
+
+
+def calibrated(texts: DataFrame, known: DataFrame, models: list, half: dict) -> tuple[float, dict]:
+    """(threshold, thresholds by language) with the fewest errors over all texts (k, text, lang) that are known (k, y): a text
+    whose id is in `half` is scored by models[half], every other one by the last model. Scores are counted by bin in
+    Spark; ties go to the threshold nearest to a half."""
+    import numpy as np
+
+    shared = texts.sparkSession.sparkContext.broadcast(([vars(m) for m in models], half))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, half = shared.value
+        models, cache = [Model(**m) for m in held], {}
+        tables = [m.prepared() for m in models]
+        for b in batches:
+            use = [half.get(k, len(models) - 1) for k in b.column(0).to_pylist()]
+            bins = [int(models[u].score(bucket_ids(t.as_py(), cache), tables[u]) * BINS) for u, t in zip(use, b.column(1))]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(bins, pa.int32())], names=["k", "lang", "bin"])
+
+    scored = maybe_in(texts, "k", known.select("k")).mapInArrow(run, "k long, lang string, bin int").join(known, "k")
+    counts = stored(scored.groupBy("lang", "bin").agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic")), "bins")
+    total = counts.agg(F.sum(F.col("clean") + F.col("toxic"))).first()[0] or 0
+    often = counts.groupBy("lang").agg(F.sum(F.col("clean") + F.col("toxic")).alias("n")).where((F.col("n") * RARE >= total) & F.col("lang").isNotNull()).select("lang")
+    every = counts.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    own = counts.join(often, "lang").select("lang", "bin", "clean", "toxic").collect()
+
+    def errors(rows):
+        table = np.zeros((2, BINS + 1))
+        for r in rows:
+            table[:, r["bin"]] += r["clean"], r["toxic"]
+        # At threshold bin b all clean texts from b on are wrong, and all toxic ones below it.
+        return table[0].sum() - np.concatenate([[0], np.cumsum(table[0])[:-1]]) + np.concatenate([[0], np.cumsum(table[1])[:-1]])
+
+    def best(wrong) -> float:
+        return min(range(1, BINS), key=lambda b: (wrong[b], abs(b - BINS // 2))) / BINS
+
+    overall = errors(every)
+    share = overall / max(1, total)
+    by_lang = {lang: best(errors([r for r in own if r["lang"] == lang]) + PRIOR_ROWS * share) for lang in sorted({r["lang"] for r in own})}
+    return best(overall), by_lang
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs' id, language and score, and `rejected`: score at or over the threshold of the row's language.
 
     The score depends on the text alone. Null and empty texts get the score of no words; null ids and
-    languages stay (a language without a threshold of its own takes 0.5); repeated rows are scored again.
+    languages stay (a language without a threshold of its own takes that of all); repeated rows are scored again.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -220,7 +269,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that the model rejects; every other row as it was, with all its columns."""
+    """docs without the rows that the model rejects; every other row as it was, with all its columns. Null and empty texts have the
+    score of no words, repeated rows go or stay together, and no rows give no rows."""
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(vars(model))
