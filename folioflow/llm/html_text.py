@@ -1,9 +1,14 @@
-"""Main text of HTML pages by text-to-tag ratio (operator 10)."""
+"""Main text of HTML pages by text-to-tag ratio (operator 10).
+
+Elements that never hold text (scripts, styles) are skipped. What tags or class names say to be around an article is set
+aside, unless nothing that reads like prose is left without it; the rest is judged by its ratio alone.
+"""
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -13,8 +18,9 @@ from .common import short_batches
 
 #: Elements that end a block of text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is never part of an article.
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea input label iframe object canvas svg math audio video dialog menu".split())
+#: Elements without text of a page, and elements that stand around an article.
+SILENT = frozenset("head title script style noscript template select option textarea iframe object canvas svg math audio video".split())
+AROUND = frozenset("nav footer aside form button input label dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold an article; a header inside one belongs to it.
 HOLDERS = frozenset(("article", "main"))
@@ -29,28 +35,37 @@ LISTS = frozenset("ul ol dl table thead tbody tfoot tr td th".split())
 WEIGHT = 1.5
 #: Characters to a tag that are text wherever the clusters part.
 PROSE = 40
+#: How much longer prose must be than the rest of the page for a marked name to be wrong.
+OUTWEIGHS = 10
 _SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 class Lines(HTMLParser):
-    """Blocks of text in page order, each with its tags and the region it stands in."""
+    """Blocks of text in page order, each with its tags and the region and the set-aside element it stands in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.dropped, self.held = 0, 0
+        self.open: list[tuple[str, bool, bool]] = []
+        self.count: Counter = Counter()
+        self.silent, self.held = 0, 0
         #: Open regions, and of every region its parent, whether it is a list, and whether it has a link.
         self.regions, self.known = [0], [[0, False, False]]
-        self.buffer: list[str] = []
+        #: Open elements that are set aside, the parent of each such element (0 is the page), and those that must stay so.
+        self.aside, self.around, self.surely = [0], [0], {0}
+        self.buffer: list[tuple[int, str]] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
 
     def flush(self):
-        text = _SPACE.sub(" ", "".join(self.buffer)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.regions[-1], self.held > 0))
-            self.tags = 0
+        apart: dict[int, list[str]] = {}
+        for where, text in self.buffer:
+            apart.setdefault(where, []).append(text)
+        for where, texts in apart.items():
+            text = _SPACE.sub(" ", "".join(texts)).strip()
+            if text:
+                self.lines.append((text, self.tags, self.regions[-1], self.held > 0, where))
+                self.tags = 0
         self.buffer = []
 
     def handle_starttag(self, tag, attrs):
@@ -58,28 +73,38 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.buffer.append(" ")
+            self.buffer.append((self.aside[-1], " "))
         elif tag == "a":
             self.known[self.regions[-1]][2] = True
         if tag in VOID:
             return
         if tag in HOLDERS:
-            while self.dropped:
+            while self.silent or len(self.aside) > 1:
                 self.close_last()
             self.held += 1
         named = dict(attrs)
         words = re.split(r"[^a-z0-9]+", " ".join(named.get(k) or "" for k in ("class", "id", "role")).lower())
-        out = tag in DROPPED or (tag == "header" and not self.held) or (tag not in ("body", "html", "article", "main", "p") and not MARKED.isdisjoint(words)) or "hidden" in named
-        if tag in BLOCKS or out:
-            self.open.append((tag, out))
-            self.dropped += out
+        silent = tag in SILENT
+        aside = tag in AROUND or (tag == "header" and not self.held) or (tag not in ("body", "html", "article", "main", "p") and not MARKED.isdisjoint(words)) or "hidden" in named
+        if tag in BLOCKS or silent or aside:
+            self.open.append((tag, silent, aside))
+            self.count[tag] += 1
+            self.silent += silent
+            if aside:
+                self.around.append(self.aside[-1])
+                self.aside.append(len(self.around) - 1)
+                if tag in AROUND and tag != "form":
+                    self.surely.add(self.aside[-1])
             if tag not in INNER:
                 self.known.append([self.regions[-1], tag in LISTS, False])
                 self.regions.append(len(self.known) - 1)
 
     def close_last(self):
-        tag, out = self.open.pop()
-        self.dropped -= out
+        tag, silent, aside = self.open.pop()
+        self.count[tag] -= 1
+        self.silent -= silent
+        if aside:
+            self.aside.pop()
         self.held -= tag in HOLDERS
         if tag not in INNER:
             self.regions.pop()
@@ -89,13 +114,36 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        if any(t == tag for t, _ in self.open):
+        if self.count[tag]:
             while self.close_last() != tag:
                 pass
 
     def handle_data(self, data):
-        if not self.dropped:
-            self.buffer.append(data)
+        if not self.silent:
+            self.buffer.append((self.aside[-1], data))
+
+    def kept(self) -> list[tuple[str, int, int, bool]]:
+        """The lines outside what is set aside. If they are not prose, and a form or an element with a marked name has some
+        OUTWEIGHS times as long, that element is taken back in; what is set aside beside or inside it stays so."""
+        prose, plain = [0] * len(self.around), 0
+        for text, tags, _, _, where in self.lines:
+            if len(text) >= PROSE * max(1, tags):
+                prose[where] += len(text)
+            plain += 0 if where else len(text)
+        back = {0}
+        if not prose[0]:
+            whole, inner = prose[:], defaultdict(list)
+            for where in reversed(range(1, len(prose))):
+                if where not in self.surely:
+                    whole[self.around[where]] += whole[where]
+                    inner[self.around[where]].append(where)
+            at = 0
+            while not prose[at] and inner[at]:
+                at = max(inner[at], key=lambda w: (whole[w], -w))
+                if whole[at] < OUTWEIGHS * plain or not whole[at]:
+                    break
+                back.add(at)
+        return [line[:4] for line in self.lines if line[4] in back]
 
 
 def split_high(values: list[float]) -> float:
@@ -123,7 +171,7 @@ def main_text(html: str | None) -> str:
     parser.feed(_CUT.sub("", html))
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.kept()
     if not lines:
         return ""
     # Logarithms, so that one long paragraph doesn't make short ones look like menus.
