@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, near_dup, packing, pii, toxicity
 from folioflow.llm.common import shared_dir, stored
-from folioflow.llm.queries import table, tokenizer_path
+from folioflow.llm.queries import PSEUDONYM_KEY, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced within their format, and n_chars follows the text."""
-    out = pii.pseudonymise(docs.select(*COLUMNS), count_col="n_pii")
+    out = pii.pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY, count_col="n_pii")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
