@@ -104,3 +104,14 @@ def publisher(kind: Column, scope: Column) -> Column:
 
 def publisher_rank(value: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in PUBLISHER_RANK.items() for x in kv])[value], F.lit(100))
+
+
+# Short codes of provinces, their names, and other words for them.
+PROVINCES = {"sc": ("四川", "川建"), "cq": ("重庆",), "gd": ("广东", "粤"), "hu": ("湖北", "鄂"), "bj": ("北京", "京")}
+
+
+def province_short(text: Column) -> Column:
+    """The short code of a province given as such, by name or by another word for it; anything else, null too, raises."""
+    known = {code: code for code in PROVINCES} | {word: code for code, words in PROVINCES.items() for word in words}
+    found = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.trim(text)]
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no such province: "), F.coalesce(text, F.lit("null")))).cast("string"))

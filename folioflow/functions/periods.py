@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Chinese numerals up to twelve.
 NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12}
 # The forms in which a month is written, in the order in which they are tried.
-MONTH_FORMS = (r"(20\d{2})-(0?[1-9]|1[0-2])(?!\d)", r"(20\d{2})\s*年\s*(0?[1-9]|1[0-2])\s*月", r"(20\d{2})[/.](0?[1-9]|1[0-2])(?!\d)")
+MONTH_FORMS = (r"(?<!\d)(\d{4})-(0[1-9]|1[0-2])", r"(?<!\d)(\d{4})年(0?[1-9]|1[0-2])月", r"(?<!\d)(\d{4})[/.](1[0-2]|0?[1-9])")
 
 
 def month_of(text: Column) -> Column:
@@ -47,8 +47,8 @@ def province_of(code: Column) -> Column:
 
 
 def region_and_parent(code: Column) -> Column:
-    """The codes a region counts for: itself, and the part before a dash."""
-    return F.array_distinct(F.array(code, F.substring_index(code, "-", 1)))
+    """The codes a region counts for: itself, and the six digits before a dash."""
+    return F.array_compact(F.array(code, F.when(code.rlike("^[0-9]{6}-"), F.substring(code, 1, 6))))
 
 
 def in_window(period: Column, first: str | None, last: str | None) -> Column:
@@ -122,3 +122,20 @@ def edition_year(year: Column, label: Column, title: Column, noted: Column) -> C
 
 def legal_status(effective: Column, today: Column) -> Column:
     return F.when(effective.isNull(), "unknown").when(F.to_date(effective) <= F.to_date(today), "effective").otherwise("pending")
+
+
+def issue_period(title: Column, pattern: str) -> Column:
+    """(period, year, issue_no, issue_end_no) of a title by a pattern whose first group is the year and whose second holds
+    one issue or two; null where it doesn't match."""
+    year, issues = F.regexp_extract(title, pattern, 1), F.regexp_extract_all(F.regexp_extract(title, pattern, 2), F.lit("[0-9]{1,2}"), F.lit(0))
+    first, last = F.get(issues, F.lit(0)).cast("int"), F.get(issues, F.lit(1)).cast("int")
+    period = F.concat(year, F.lit("年第"), first.cast("string"), F.coalesce(F.concat(F.lit("—"), last.cast("string")), F.lit("")), F.lit("期"))
+    return F.when(year != "", F.struct(period.alias("period"), year.cast("int").alias("year"), first.alias("issue_no"), last.alias("issue_end_no")))
+
+
+def bimonthly_period(title: Column, pattern: str) -> Column:
+    """(period, period_start, year) of a title by a pattern whose groups are the year and two months, in any digits."""
+    year, a, b = (F.regexp_extract(title, pattern, i) for i in (1, 2, 3))
+    start, end = numeral(a), numeral(b)
+    period = F.concat(year, F.lit("年"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("月"))
+    return F.when(year != "", F.struct(period.alias("period"), F.concat(year, F.lit("-"), F.lpad(start.cast("string"), 2, "0")).alias("period_start"), year.cast("int").alias("year")))

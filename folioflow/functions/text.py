@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,20 +39,42 @@ def key_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[（）()【】\[\]{}]", " "), r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def url_key(urls: pd.Series) -> pd.Series:
-    """A url for comparison: scheme and host in lower case, tracking parameters and fragment gone, the rest sorted."""
+# Schemes whose urls have a host even when it is empty.
+HOST_SCHEMES = ("http", "https", "ftp", "file", "ws", "wss", "sftp")
+
+
+def _decoded(text: Column) -> Column:
+    """Form encoding undone; a text with a broken escape only has its plus signs read as blanks."""
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
-    def one(url: str) -> str:
-        parts = urlsplit(url.strip())
-        kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in TRACKING and not k.lower().startswith("utm_")]
-        return urlunsplit(((parts.scheme or "https").lower(), parts.netloc.lower(), parts.path, urlencode(sorted(kept)), ""))
 
-    return urls.map(one, na_action="ignore")
+def _encoded(text: Column) -> Column:
+    """Form encoding in which letters, digits and _.-~ stand for themselves."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def url_key(url: Column) -> Column:
+    """A url for comparison: scheme (https if there is none) and host in lower case, the fragment and tracking parameters gone,
+    the other parameters decoded, sorted and encoded again. A url with an open bracket in its host stays as it is."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|\s+$", ""), "[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    host = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+    path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
+    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    pair = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), _decoded(F.regexp_extract(p, "=(.*)$", 1))).otherwise("").alias("v"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING) & ~F.lower(p["k"]).startswith("utm_")))
+    form = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    scheme = F.when(scheme == "", "https").otherwise(scheme)
+    rooted = F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+    place = F.when((host != "") | scheme.isin(*HOST_SCHEMES), F.concat(F.lit("//"), F.lower(host), rooted)).otherwise(path)
+    whole = F.concat(scheme, F.lit(":"), place, F.when(form != "", F.concat(F.lit("?"), form)).otherwise(""))
+    return F.when(F.contains(host, F.lit("[")) != F.contains(host, F.lit("]")), url).otherwise(whole)
 
 
 def url_key_plain(url: Column) -> Column:
-    """url_key for urls without percent escapes, inside the JVM."""
+    """url_key without decoding, for urls that have no escapes; parameters stay as they are written."""
     host = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
     path = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -175,3 +196,20 @@ def spaced(text: Column) -> Column:
     """A space between Chinese and Latin or Greek letters or digits that touch."""
     han, latin = "\\p{IsHan}", "A-Za-z0-9\\p{IsGreek}"
     return F.regexp_replace(F.regexp_replace(text, f"([{han}])([{latin}])", "$1 $2"), f"([{latin}])([{han}])", "$1 $2")
+
+
+# The characters of the watermark of scanned books.
+WATERMARK = "四川省住房和城乡建设厅信息公开浏览专用"
+
+
+def without_watermark(text: Column, characters: str = WATERMARK) -> Column:
+    """Text without white space; none if it is only characters of the watermark."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    return F.when(bare.rlike(f"^[{characters}]+$"), "").otherwise(bare)
+
+
+def attachment_fingerprint(detail_url: Column, attachments: Column) -> Column:
+    """A digest of an issue's page and attachments, whatever their order: of the JSON object of both, keys in order."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(attachments), quoted), ","), F.lit("]"))
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit('{"attachment_urls":'), listed, F.lit(',"detail_url":'), F.coalesce(quoted(detail_url), F.lit("null")), F.lit("}")), 256))

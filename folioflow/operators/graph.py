@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,16 +36,24 @@ def components(rows: DataFrame, node: str, evidence: str) -> DataFrame:
         labels = new.select("n", F.col("m").alias("c"))
 
 
+def numbered(rows: DataFrame, *order: Column, out: str = "number") -> DataFrame:
+    """rows with their place in the order, from 1. Rows are dealt out by ranges, numbered in each, and offset by the sizes of
+    the ranges before; only those sizes meet in one task."""
+    ranged = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + local + 1).drop("__at", "__part", "__before")
+
+
 def duplicate_groups(found: DataFrame, archives: DataFrame) -> DataFrame:
     """Groups of two or more archives (archive_id, is_valid, is_rebuilt, status_score, created_at), numbered from the
     largest: the canonical one has a valid mount, wasn't rebuilt, has the best status and is the oldest."""
     joined = found.select(F.col("node").alias("archive_id"), "component").join(archives, "archive_id")
     rank = F.struct(F.col("is_valid"), ~F.col("is_rebuilt"), F.col("status_score"), -F.unix_timestamp("created_at"), F.col("archive_id"))
     groups = joined.groupBy("component").agg(F.count("*").alias("size"), F.max_by("archive_id", rank).alias("canonical"), F.array_sort(F.collect_set("archive_id")).alias("members")).where("size > 1")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
-    return groups.withColumn("group_id", F.format_string("DUP-%04d", number))
+    return numbered(groups, F.desc("size"), F.asc("component")).withColumn("group_id", F.format_string("DUP-%04d", "number")).drop("number")
 
 
 def shared_by_all(rows: DataFrame, group: str, member: str, evidence: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
-
 
 def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Rows that name a parent which isn't there."""
@@ -54,22 +52,40 @@ def duplicates_across(rows: DataFrame, source: str, keys: list[str], proofs: lis
 
 def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92, others: bool = False) -> DataFrame:
     """Each resource (id, category, name, unit) with its best candidate (candidate_id, category, name, unit): score
-    0.8 x name + 0.2 x unit similarity, where different units count 0.5; the smallest id wins ties. others: a
-    candidate of the same name isn't one.
-
-    Only candidates that share a bigram of the name are scored, as any other has a name score of 0 and can't reach
-    a threshold over 0.2.
+    0.8 x name + 0.2 x unit similarity of the normalised texts, where different units count 0.5; the smallest id wins ties.
+    others: a candidate of the same name isn't one.
+
+    Every resource comes out. One whose name shares no bigram with any candidate of its category has the score that the units
+    alone give, the smallest id of those, and no match; without a candidate in the category, or with `others`, it has none and a
+    score of 0. Names are
+    compared once each, however many resources and candidates have them, and shared bigrams are counted, so what is
+    joined is a row for each bigram that two names share.
     """
-    from ..functions.text import bigrams
-
-    left = resources.select("id", "category", "name", "unit", F.explode(bigrams(F.col("name"))).alias("gram"))
-    right = candidates.select(F.col("candidate_id"), "category", F.col("name").alias("c_name"), F.col("unit").alias("c_unit"), F.explode(bigrams(F.col("name"))).alias("gram"))
-    met = left.join(right, ["category", "gram"]).select("id", "name", "unit", "candidate_id", "c_name", "c_unit").distinct()
+    from ..functions.text import bigrams, resource_name, resource_text
+
+    plain = lambda c, f: f(F.coalesce(F.col(c), F.lit("")))
+    left = resources.select("id", "category", plain("name", resource_name).alias("name"), plain("unit", resource_text).alias("unit"))
+    right = candidates.select("candidate_id", "category", plain("name", resource_name).alias("c_name"), plain("unit", resource_text).alias("c_unit"))
+    mine, theirs = left.select("category", "name").distinct(), right.select("category", "c_name").distinct()
+    size = lambda c: F.size(bigrams(F.col(c)))
+    shared = mine.select("category", "name", size("name").alias("n"), F.explode(bigrams(F.col("name"))).alias("gram")).join(
+        theirs.select("category", "c_name", size("c_name").alias("m"), F.explode(bigrams(F.col("c_name"))).alias("gram")), ["category", "gram"]
+    )
+    alike = shared.groupBy("category", "name", "c_name").agg((F.count("*") / F.greatest(F.max("n"), F.max("m"))).alias("alike"))
+    if others:
+        alike = alike.where("name <> c_name")
+    score = 0.8 * F.col("alike") + 0.2 * F.when(F.col("unit") == F.col("c_unit"), 1.0).otherwise(0.5)
+    scored = left.select("category", "name", "unit").distinct().join(alike, ["category", "name"]).join(right, ["category", "c_name"]).withColumn("score", score)
+    first = F.min(F.struct((-F.col("score")).alias("minus"), "candidate_id"))
+    best = scored.groupBy("category", "name", "unit").agg(first.alias("best"))
+    # What the units alone give: the same for all resources of a category and unit.
+    of_unit = right.groupBy("category", F.col("c_unit").alias("unit")).agg(F.min("candidate_id").alias("same"))
+    of_any = right.groupBy("category").agg(F.min("candidate_id").alias("any"))
     if others:
-        met = met.where("name <> c_name")
-    score = 0.8 * similarity(F.col("name"), F.col("c_name")) + 0.2 * F.when(F.col("unit") == F.col("c_unit"), 1.0).otherwise(0.5)
-    best = met.withColumn("score", score).groupBy("id").agg(F.min_by(F.struct("candidate_id", "score"), F.struct(-F.col("score"), "candidate_id")).alias("best"))
-    return best.select("id", "best.candidate_id", "best.score", (F.col("best.score") >= threshold).alias("matched"))
+        of_unit, of_any = of_unit.limit(0), of_any.limit(0)
+    out = left.join(best, ["category", "name", "unit"], "left").join(of_unit, ["category", "unit"], "left").join(of_any, "category", "left")
+    value = F.coalesce(-F.col("best.minus"), F.when(F.col("same").isNotNull(), 0.2), F.when(F.col("any").isNotNull(), 0.1), F.lit(0.0))
+    return out.select("id", F.coalesce("best.candidate_id", "same", "any").alias("candidate_id"), value.alias("score"), (value >= threshold).alias("matched"))
 
 
 def full_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -40,19 +40,67 @@ def _archives(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT c_nationkey AS region_code, strftime(o_orderdate, '%Y-%m') AS period, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
-n AS (SELECT region_code, period, count(DISTINCT o_orderkey) AS archives FROM a GROUP BY ALL),
-b AS (SELECT region_code, min(period) AS earliest, max(period) AS latest FROM n GROUP BY 1),
-m AS (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '1999-06-01', INTERVAL 1 MONTH)), '%Y-%m') AS period),
-s AS (SELECT n_nationkey AS region_code, n_name LIKE '%7' AS blocked, period FROM nation, m)
-SELECT s.region_code, s.period, coalesce(archives, 0) AS archives, earliest, latest,
-  CASE WHEN archives > 0 THEN 'covered' WHEN s.period > '1999-01' THEN 'future' WHEN blocked THEN 'blocked' WHEN s.period < earliest OR s.period > latest THEN 'pending_verify' ELSE 'missing' END AS status,
-  CASE WHEN archives > 0 THEN '' WHEN s.period > latest THEN 'later than the latest issue' WHEN s.period < earliest THEN 'earlier than the first issue' ELSE '' END AS note
-FROM s LEFT JOIN n USING (region_code, period) LEFT JOIN b USING (region_code)""")
+WITH src AS (SELECT n_nationkey AS k, 'N' || n_nationkey AS source_id, n_name AS name, (11 + n_regionkey) || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00' AS region, CASE WHEN n_nationkey % 3 = 0 THEN 'province' ELSE 'city' END AS scope,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'https://s' || n_nationkey WHEN n_nationkey % 5 = 0 THEN 'http://b' || n_nationkey END AS link FROM nation),
+t AS (SELECT substr(region, 1, 2) || '0000' AS province, region, name, FALSE AS explicit, NULL AS level, scope = 'city' AS needs, FALSE AS blocked, 'note ' || k AS note, CAST([] AS VARCHAR[]) AS declared, k, 0 AS pos, source_id, scope FROM src WHERE scope = 'city'
+  UNION ALL SELECT substr(a.region, 1, 2) || '0000', b.region, 'named ' || b.name, TRUE, CASE WHEN b.k = a.k AND b.region NOT IN ('110000', '120000', '310000', '500000') THEN 'province' ELSE 'city' END, TRUE, b.k % 4 = 3, NULL, CASE WHEN b.k = a.k THEN ['1995-03', '2001-09'] ELSE ['1998-02'] END, a.k, b.k - a.k, a.source_id, a.scope FROM src a JOIN src b ON a.scope = 'province' AND b.k BETWEEN a.k AND a.k + 1),
+target AS (SELECT province, region, coalesce(arg_min(name, k * 10 + pos) FILTER (explicit), arg_min(name, k * 10 + pos)) AS name, arg_min(level, k * 10 + pos) FILTER (level IS NOT NULL) AS level, bool_or(needs) AS needs, bool_or(blocked) AS blocked, arg_min(note, k * 10 + pos) FILTER (note IS NOT NULL) AS note,
+  coalesce(list(DISTINCT source_id) FILTER (NOT blocked AND scope = 'province'), []) AS p_reg, coalesce(list(DISTINCT source_id) FILTER (NOT blocked AND scope = 'city'), []) AS c_reg FROM t GROUP BY ALL),
+said AS (SELECT province, region, source_id, scope, unnest(declared) AS period FROM t),
+dec AS (SELECT province, region, period, coalesce(list(DISTINCT source_id) FILTER (scope = 'province'), []) AS p_dec, coalesce(list(DISTINCT source_id) FILTER (scope = 'city'), []) AS c_dec FROM said GROUP BY ALL),
+arch AS (SELECT o_orderkey AS id, 'T' || o_custkey % 7 AS title, src.region || CASE WHEN o_orderkey % 11 = 0 THEN '-1' ELSE '' END AS own, strftime(o_orderdate, '%Y-%m') AS period, source_id, CASE WHEN o_orderkey % 5 = 0 THEN 'province' ELSE CASE WHEN c_nationkey % 3 = 1 THEN 'municipality' ELSE scope END END AS scope, CASE WHEN o_custkey % 3 = 0 THEN '第' || o_custkey % 12 || '期' END AS label
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN src ON k = c_nationkey WHERE o_orderpriority = '1-URGENT'),
+placed AS (SELECT *, unnest(CASE WHEN contains(own, '-') THEN [own, substr(own, 1, 6)] ELSE [own] END) AS region FROM arch),
+ev AS (SELECT region, period, min(label) AS label, string_agg(DISTINCT title, ',' ORDER BY title) AS titles, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids, coalesce(list(DISTINCT source_id) FILTER (scope = 'province'), []) AS p_ev, coalesce(list(DISTINCT source_id) FILTER (scope = 'city'), []) AS c_ev FROM placed GROUP BY ALL),
+f AS (SELECT l_orderkey AS id, l_orderkey * 10 + l_linenumber AS file_id, l_shipmode AS file_name, l_returnflag = 'R' AS is_primary, l_linestatus = 'O' AS main, l_linenumber AS sort_order, l_shipdate AS added_at FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
+mounted AS (SELECT region, period, count(*) AS files, min((NOT is_primary, NOT main, sort_order, added_at, file_id, file_name)) AS first FROM placed JOIN f USING (id) GROUP BY ALL),
+ob AS (SELECT region, min(period) AS e_min, max(period) AS e_max FROM ev GROUP BY 1), pr AS (SELECT province, region, min(period) AS d_min, max(period) AS d_max FROM said GROUP BY ALL),
+m AS (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)), '%Y-%m') AS period),
+c AS (SELECT target.*, m.period, label, titles, ids, files, first, list_sort(list_distinct(list_concat(coalesce(p_ev, []), coalesce(p_dec, []), p_reg))) AS ps, list_sort(list_distinct(list_concat(coalesce(c_ev, []), coalesce(c_dec, []), c_reg))) AS cs,
+  n IS NOT NULL OR len(coalesce(p_dec, [])) + len(coalesce(c_dec, [])) > 0 AS covered, coalesce(m.period > greatest(e_max, d_max), FALSE) AS later, coalesce(m.period < least(e_min, d_min), FALSE) AS earlier
+  FROM target CROSS JOIN m LEFT JOIN ev USING (region, period) LEFT JOIN mounted USING (region, period) LEFT JOIN dec USING (province, region, period) LEFT JOIN ob USING (region) LEFT JOIN pr USING (province, region)),
+v AS (SELECT province, region, period, arg_min(link, pos) AS visit FROM (SELECT province, region, period, unnest(list_concat(cs, ps)) AS source_id, generate_subscripts(list_concat(cs, ps), 1) AS pos FROM c) q JOIN (SELECT source_id, link FROM src) l USING (source_id) WHERE link IS NOT NULL GROUP BY ALL)
+SELECT province AS province_code, region AS coverage_region_code, name AS coverage_region_name, level AS target_level, c.period, label AS period_label, coalesce(titles, '') AS evidence_titles, coalesce(ids, '') AS evidence_archive_ids, first[5] AS primary_file_id, first[6] AS primary_file_name, '/api/file-assets/' || first[5] || '/download' AS primary_download_url, coalesce(files, 0) AS file_count,
+  CASE WHEN covered THEN 'covered' WHEN blocked OR later OR earlier THEN 'pending_verify' ELSE 'missing' END AS business_coverage_status,
+  CASE WHEN len(ps) > 0 AND len(cs) > 0 THEN 'dual_source' WHEN len(cs) > 0 THEN 'city_source_present' WHEN blocked THEN 'source_blocked' WHEN len(ps) > 0 AND needs THEN 'city_source_missing' WHEN len(ps) > 0 THEN 'province_source_only' ELSE 'pending_source_audit' END AS source_completeness_status,
+  visit AS source_visit_url, len(ps) AS province_source_count, len(cs) AS city_source_count, array_to_string(list_concat(ps, cs), ',') AS source_ids,
+  nullif(concat_ws('；', note, CASE WHEN NOT covered AND later THEN '未发布或发布节奏待核，不按采集失败处理' END, CASE WHEN NOT covered AND earlier THEN '历史期次待回填核验，不按采集失败处理' END), '') AS coverage_note
+FROM c LEFT JOIN v USING (province, region, period)""")
 def coverage_matrix(spark, d):
-    targets = table(spark, d, "nation").select(F.col("n_nationkey").alias("region_code"), F.col("n_name").like("%7").alias("blocked"))
-    evidence = _archives(spark, d).where("o_orderpriority = '1-URGENT'").select(F.col("c_nationkey").alias("region_code"), "period", F.col("o_orderkey").alias("archive_id"))
-    return coverage.matrix(targets, evidence, "1995-01", "1999-06", "1999-01")
+    """Nations as sources; the orders of their customers as archives, and order lines as files."""
+    return _matrix(spark, d).select(
+        *[c for c in "province_code coverage_region_code coverage_region_name target_level period period_label primary_file_id primary_file_name primary_download_url file_count business_coverage_status source_completeness_status source_visit_url province_source_count city_source_count coverage_note".split()],
+        *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("evidence_titles", "evidence_archive_ids", "source_ids")],
+    )
+
+
+def _region(nation, region):
+    return F.concat((region + 11).cast("string"), F.lpad(nation.cast("string"), 2, "0"), F.lit("00"))
+
+
+def _matrix(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), _region(F.col("n_nationkey"), F.col("n_regionkey")).alias("region_code"))
+    k, none = F.col("k"), F.lit(None).cast("string")
+    after = nation.select((k - 1).alias("k"), F.col("name").alias("name_2"), F.col("region_code").alias("region_2"))
+    target = lambda key, code, name, level, months: F.struct(code.alias("region_code"), F.concat(F.lit("named "), name).alias("region_name"), F.lit(level).alias("target_level"), F.lit(True).alias("requires_city_source"), F.when(key % 4 == 3, "source_blocked").alias("source_completeness_status"), none.alias("source_audit_status"), none.alias("source_audit_note"), none.alias("city_source_url"), none.alias("coverage_note"), F.array(*[F.lit(m) for m in months]).alias("declared_periods"))
+    two = F.array_compact(F.array(target(k, F.col("region_code"), F.col("name"), "province", ["1995年3月", "2001/09"]), F.when(F.col("region_2").isNotNull(), target(k + 1, F.col("region_2"), F.col("name_2"), "prefecture", ["1998-02", "soon"]))))
+    link = lambda test, head: F.when(test, F.concat(F.lit(head), k.cast("string")))
+    sources = nation.join(F.broadcast(after), "k", "left").select(
+        F.concat(F.lit("N"), k.cast("string")).alias("source_id"), k.alias("seq"), "name", "region_code", none.alias("province"), none.alias("city"), F.when(k % 3 == 0, "province").when(k % 3 == 1, "municipality").otherwise("city").alias("scope"), none.alias("publisher_region_code"), none.alias("coverage_region_code"), F.concat(F.lit("note "), k.cast("string")).alias("remark"),
+        F.when(k % 3 == 0, two).alias("targets"), link(k % 2 == 0, "https://s").alias("entry_url"), none.alias("official_url"), none.alias("public_url"), none.alias("url"), link(k % 5 == 0, "http://b").alias("base_url"),
+    )
+    rows = _archives(spark, d).where("o_orderpriority = '1-URGENT'").join(nation.select(k.alias("c_nationkey"), "region_code"), "c_nationkey")
+    archives = rows.select(
+        F.col("o_orderkey").alias("archive_id"), F.concat(F.lit("T"), (F.col("o_custkey") % 7).cast("string")).alias("title"), F.concat("region_code", F.when(F.col("o_orderkey") % 11 == 0, "-1").otherwise("")).alias("region_code"), "period",
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("source_id"), F.when(F.col("o_orderkey") % 5 == 0, "province").alias("publisher_scope"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("第"), (F.col("o_custkey") % 12).cast("string"), F.lit("期"))).alias("issue_label"),
+    )
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_id"), F.concat("l_returnflag", "l_linestatus").alias("file_name"), (F.col("l_returnflag") == "R").alias("is_primary"), F.when(F.col("l_linestatus") == "O", "primary").otherwise("attachment").alias("representation_role"), F.col("l_linenumber").alias("sort_order"), F.col("l_shipdate").alias("added_at"))
+    return coverage.matrix(sources, archives, files, "1995-01", "2001-12")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (business_coverage_status = 'covered') AS covered, count(*) FILTER (business_coverage_status = 'pending_verify') AS pending_verify, count(*) FILTER (business_coverage_status = 'missing') AS missing FROM (" + ORACLE_SQL["coverage_matrix"] + ")")
+def coverage_stats(spark, d):
+    return coverage.coverage_stats(_matrix(spark, d))
 
 
 @query("""SELECT c_nationkey AS region, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY CAST(o_orderkey AS BIGINT)) AS ids
@@ -110,7 +158,8 @@ def dimension_index(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(small, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select(F.col("c_mktsegment").alias("org"), F.col("r_name").alias("province"), F.col("n_name").alias("city"), F.year("o_orderdate").alias("year"), F.date_format("o_orderdate", "MM").alias("month"), F.col("n_name").alias("place"))
     measures = [F.count_distinct("year").alias("years"), F.count_distinct("month").alias("months"), F.count_distinct("place").alias("cities")]
-    return catalog.dimension_index(rows, "org", "province", "city", measures)
+    # Every measure counts distinct values, so the grouping sets read each combination once.
+    return catalog.dimension_index(rows.distinct(), "org", "province", "city", measures)
 
 
 @query("SELECT k.event_type, coalesce(n, 0) AS n FROM (SELECT event_type FROM events UNION SELECT * FROM (VALUES ('click'), ('refund'), ('view'))) k LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)")
@@ -121,8 +170,9 @@ def status_counts_seeded(spark, d):
 @query("""SELECT l_partkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_returnflag) AS flags, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS flag_list
 FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1 AND count(DISTINCT l_returnflag) > 1""")
 def having_multi_distinct(spark, d):
-    agg = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_returnflag").alias("flags"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("flag_list"))
-    return agg.where("suppliers > 1 AND flags > 1")
+    # One distinct count and a small set, so that no row is expanded.
+    agg = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"), F.array_sort(F.collect_set("l_returnflag")).alias("flag_set"))
+    return agg.where("suppliers > 1 AND size(flag_set) > 1").select("l_partkey", "n", "suppliers", F.size("flag_set").cast("long").alias("flags"), F.array_join("flag_set", "|").alias("flag_list"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -204,14 +254,17 @@ def url_normalise(spark, d):
     return table(spark, d, "pages").select("page_id", text.url_key_plain(F.col("url")).alias("url_key"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+  list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: (url_decode(replace(split_part(x, '=', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '=(.*)$', 1), '+', ' ')))) AS pairs FROM pages),
+k AS (SELECT *, list_sort(list_filter(pairs, lambda x: NOT lower(x[1]) IN ('spm', 'from') AND NOT starts_with(lower(x[1]), 'utm_'))) AS kept FROM p)
+SELECT page_id, lower(scheme) || '://' || lower(host) || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') ELSE '' END AS url_key FROM k""")
 def url_normalise_exact(spark, d):
-    """The same for urls with escapes, in Python."""
+    """The same with parameters decoded and encoded again."""
     return table(spark, d, "pages").select("page_id", text.url_key(F.col("url")).alias("url_key"))
 
 
 @query("""WITH k AS (SELECT DISTINCT 'N' || chr(CAST(65 + c_nationkey AS INTEGER)) AS prefix, o_orderkey // 16 AS num FROM orders JOIN customer ON o_custkey = c_custkey),
-g AS (SELECT prefix, num, lag(num) OVER (PARTITION BY prefix ORDER BY num) AS b FROM k)
+g AS (SELECT prefix, num, lag(num) OVER (PARTITION BY prefix ORDER BY CAST(num AS VARCHAR)) AS b FROM k)
 SELECT prefix, prefix || lpad(CAST(n AS VARCHAR), CAST(greatest(4, len(CAST(n AS VARCHAR))) AS INTEGER), '0') AS missing FROM (SELECT prefix, unnest(generate_series(b + 1, num - 1)) AS n FROM g WHERE num > b + 1)""")
 def sequence_gaps(spark, d):
     rows = _archives(spark, d).select(F.concat(F.lit("N"), F.chr(F.col("c_nationkey") + 65), F.floor(F.col("o_orderkey") / 16).cast("string")).alias("code"))
@@ -248,18 +301,23 @@ def header_changes(spark, d):
     return sequences.changed(table(spark, d, "conversations"), ["conv_id"], ["turn"], ["role"]).select("conv_id", "turn", "is_new")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS code, sum(l_quantity * l_discount) AS expected FROM lineitem GROUP BY 1)
-SELECT code, CAST(round(expected, 2) AS DOUBLE) AS expected, CASE WHEN abs(o_totalprice / 10000 - expected) > 5.0 THEN 'BASE_PRICE_MISMATCH' ELSE 'ok' END AS issue FROM l JOIN orders ON code = o_orderkey""")
+@query("""WITH l AS (SELECT l_orderkey AS code, sum(l_quantity * l_discount) AS expected FROM lineitem WHERE l_orderkey % 17 > 0 GROUP BY 1)
+SELECT o_orderkey AS code, CASE WHEN price IS NOT NULL THEN CAST(round(coalesce(expected, 0), 2) AS DOUBLE) END AS expected,
+  CASE WHEN price IS NULL THEN 'skipped' WHEN abs(price - coalesce(expected, 0)) > 5.0 THEN 'BASE_PRICE_MISMATCH' ELSE 'ok' END AS issue
+FROM (SELECT *, CASE WHEN o_orderkey % 13 > 0 THEN o_totalprice / 10000 END AS price FROM orders) LEFT JOIN l ON code = o_orderkey""")
 def price_check(spark, d):
-    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("code"), (F.col("o_totalprice") / 10000).alias("base_price"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("code"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("price"))
-    return quality.price_check(items, lines, 5.0).select("code", F.round("expected", 2).alias("expected"), "issue")
+    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("code"), F.when(F.col("o_orderkey") % 13 > 0, F.col("o_totalprice") / 10000).alias("base_price"))
+    lines = table(spark, d, "lineitem").where("l_orderkey % 17 > 0").select(F.col("l_orderkey").alias("code"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("price"))
+    return quality.price_check(items, lines, 5.0).select("code", F.when(F.col("base_price").isNotNull(), F.round("expected", 2)).alias("expected"), "issue")
 
 
-@query("""SELECT row_no, unnest(list_filter([CASE WHEN b < a THEN 'tax_below_net' END, CASE WHEN unit = '' THEN 'no_unit' END], lambda x: x IS NOT NULL)) AS risk
-FROM (SELECT o_orderkey AS row_no, round(o_totalprice / 100, 2) AS a, 2000.0 AS b, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 't' END AS unit FROM orders)""")
+@query("""SELECT row_no, unnest(list_filter([CASE WHEN unit = '' THEN 'no_unit' END, CASE WHEN b IS NULL THEN 'no_price' END, CASE WHEN b <= 0 THEN 'not_positive' END, CASE WHEN name = '螺纹钢 HRB400' AND b < 1000 THEN 'steel_too_cheap' END, CASE WHEN a <> 0 AND b < a THEN 'tax_below_net' END], lambda x: x IS NOT NULL)) AS risk
+FROM (SELECT o_orderkey AS row_no, CASE o_orderkey % 3 WHEN 0 THEN '螺纹钢 HRB400' WHEN 1 THEN '不锈钢管' ELSE '砂' END AS name, round(o_totalprice / 100, 2) AS a, CASE WHEN o_custkey % 19 > 0 THEN o_orderkey % 2500 - 10 END AS b, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 't' END AS unit FROM orders)""")
 def risk_rows(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_no"), F.lit("part").alias("name"), F.when(F.col("o_orderstatus") == "P", "").otherwise("t").alias("unit"), F.round(F.col("o_totalprice") / 100, 2).cast("string").alias("price"), F.lit("2,000.0").alias("price_with_tax"))
+    key = F.col("o_orderkey")
+    gross = F.when(F.col("o_custkey") % 19 > 0, F.format_number(key % 2500 - 10, 2)).otherwise("")
+    name = F.when(key % 3 == 0, "螺纹钢 HRB400").when(key % 3 == 1, "不锈钢管").otherwise("砂")
+    rows = table(spark, d, "orders").select(key.alias("row_no"), name.alias("name"), F.when(F.col("o_orderstatus") == "P", "").otherwise("t").alias("unit"), F.round(F.col("o_totalprice") / 100, 2).cast("string").alias("price"), gross.alias("price_with_tax"))
     return quality.price_risks(rows)
 
 
@@ -268,7 +326,8 @@ n AS (SELECT name, count(*) AS size FROM g GROUP BY 1), r AS (SELECT DISTINCT p_
 h AS (SELECT a.name AS x, b.name AS y, count(*) AS shared FROM g a JOIN g b USING (gram) GROUP BY ALL),
 s AS (SELECT p_brand || '/' || r.p_type || '/' || r.p_name AS id, c.p_name AS candidate_id, 0.8::DOUBLE * (shared::DOUBLE / greatest(m.size, k.size)) + 0.2::DOUBLE * 0.5::DOUBLE AS score
   FROM r JOIN c ON r.p_type = c.p_type AND r.p_name <> c.p_name JOIN h ON x = r.p_name AND y = c.p_name JOIN n m ON m.name = x JOIN n k ON k.name = y)
-SELECT id, candidate_id, score, score >= 0.6 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate_id) AS r FROM s) WHERE r = 1""")
+SELECT id, candidate_id, coalesce(score, 0) AS score, coalesce(score >= 0.6, FALSE) AS matched
+FROM (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name AS id FROM r) LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate_id) AS r FROM s) WHERE r = 1) USING (id)""")
 def ngram_align(spark, d):
     """Every part of every brand with the most similar other name of its type."""
     part = table(spark, d, "part")
@@ -285,11 +344,11 @@ def conditional_counts(spark, d):
     return rows.groupBy("n_name").agg(state("O").alias("n_open"), state("F").alias("n_final"), state("P").alias("n_partial"), F.count("*").alias("n"), F.count_distinct(F.year("o_orderdate")).alias("years"))
 
 
-@query("""SELECT n_name, count(*) FILTER (y = 1995) AS "1995", count(*) FILTER (y = 1996) AS "1996", count(*) FILTER (y = 1997) AS "1997"
+@query("""SELECT n_name, count(*) FILTER (y = 1995) AS "1995", count(*) FILTER (y = 1996) AS "1996", count(*) FILTER (y = 1997) AS "1997", count(*) FILTER (y = 1998) AS "1998", count(*) FILTER (y = 1999) AS "1999", count(*) FILTER (y = 2000) AS "2000", count(*) FILTER (y = 2001) AS "2001"
 FROM (SELECT n_name, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1""")
 def period_pivot(spark, d):
     rows = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").pivot("y", [1995, 1996, 1997]).count().na.fill(0)
+    return rows.groupBy("n_name").pivot("y", list(range(1995, 2002))).count().na.fill(0)
 
 
 @query("SELECT source, count(*) AS n, count(l.doc_id) AS n_labelled, coalesce(sum(toxic), 0) AS n_toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -527,14 +586,14 @@ def blob_integrity(spark, d):
 c AS (SELECT region_code, period, CASE WHEN bool_or(p = '1-URGENT') THEN 'covered' ELSE 'missing' END AS status FROM o GROUP BY ALL),
 s AS (SELECT s_nationkey AS region_code, min(s_suppkey) AS source_id FROM supplier WHERE s_acctbal > 0 GROUP BY 1), t AS (SELECT DISTINCT source_id, period, true AS busy FROM o JOIN s USING (region_code) WHERE p = '2-HIGH' AND s = 'O')
 SELECT n_nationkey AS region_code, w.period, s.source_id, CASE WHEN status IS NULL THEN 'coverage_cell_not_found' WHEN status = 'covered' THEN 'covered' WHEN s.source_id IS NULL THEN 'source_not_found' WHEN busy THEN 'pending_or_running_exists' ELSE 'task' END AS outcome
-FROM nation, (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '1999-06-01', INTERVAL 1 MONTH)), '%Y-%m') AS period) w LEFT JOIN c ON c.region_code = n_nationkey AND c.period = w.period LEFT JOIN s ON s.region_code = n_nationkey LEFT JOIN t ON t.source_id = s.source_id AND t.period = w.period""")
+FROM nation, (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)), '%Y-%m') AS period) w LEFT JOIN c ON c.region_code = n_nationkey AND c.period = w.period LEFT JOIN s ON s.region_code = n_nationkey LEFT JOIN t ON t.source_id = s.source_id AND t.period = w.period""")
 def backfill_plan(spark, d):
     o = _archives(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").withColumnRenamed("c_nationkey", "region_code")
     cells = o.groupBy("region_code", "period").agg(F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), "covered").otherwise("missing").alias("status"))
     sources = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("region_code"), F.col("s_suppkey").alias("source_id"))
     serving = sources.groupBy("region_code").agg(F.min("source_id").alias("source_id"))
     tasks = o.where("o_orderpriority = '2-HIGH' AND o_orderstatus = 'O'").join(serving, "region_code").select("source_id", "period", F.lit("pending").alias("status"))
-    months = spark.range(1).select(F.explode(periods.months_between(F.lit("1995-01"), F.lit("1999-06"))).alias("period"))
+    months = spark.range(1).select(F.explode(periods.months_between(F.lit("1995-01"), F.lit("2001-12"))).alias("period"))
     return coverage.backfill_plan(coverage.spine(table(spark, d, "nation").select(F.col("n_nationkey").alias("region_code")), months), cells, sources, tasks)
 
 
@@ -549,3 +608,50 @@ def keyword_blocks(spark, d):
     rows = rows.select(F.col("conv_id").cast("string").alias("province"), F.col("turn").alias("row_no"), kind.alias("kind"), F.col("text").alias("code"), F.col("text").alias("name"))
     out = comparison.item_hits(rows, catalog.keyword(F.col("name"), ["the"]), F.lit(1), 1)
     return out.select("province", "row_no", F.when(F.col("kind") == comparison.ITEM, "user").otherwise(F.col("kind")).alias("kind"), "name")
+
+
+# The catalogue's eight tables out of the driver's, as DuckDB views and as frames.
+_CATALOGUE_SQL = """
+WITH blob AS (SELECT 'h' || c_custkey AS blob_hash, CASE WHEN c_custkey % 10 = 0 THEN 'other' ELSE 'cost-raw' END AS bucket, 'objects/' || c_custkey % 7 || '/' || c_custkey || '.PDF' AS object_key, CASE WHEN c_custkey % 3 > 0 THEN 'application/pdf' END AS mime, c_custkey * 10 AS size FROM customer),
+asset AS (SELECT o_orderkey AS file_id, 'h' || o_custkey AS blob_hash, 'F' || o_orderkey % 5 AS file_name, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders),
+event AS (SELECT l_orderkey * 10 + l_linenumber AS event_id, l_orderkey AS file_id, 'T' || l_suppkey AS task_id, CASE WHEN l_partkey % 3 = 0 THEN 'N' || l_partkey % 30 END AS source_id, CASE WHEN l_linenumber = 1 THEN ' ' || l_returnflag || ' ' ELSE ' ' END AS original_name, 'B' || l_linenumber AS batch_id, strftime(l_shipdate, '%Y-%m-%d') || 'T00:00:00+00:00' AS seen_at FROM lineitem WHERE l_linenumber <= 2),
+task AS (SELECT 'T' || s_suppkey AS task_id, CASE WHEN s_suppkey % 2 = 0 THEN 'N' || s_nationkey END AS source_id, 'b' || s_suppkey % 4 AS batch_id, CASE WHEN s_suppkey % 5 = 0 THEN '2024-0' || (1 + s_suppkey % 9) END AS period_start FROM supplier WHERE s_suppkey % 7 > 0),
+mount AS (SELECT 'A' || o_custkey % 120 AS archive_id, o_orderkey AS file_id, o_orderpriority AS file_role FROM orders WHERE o_orderstatus = 'F'),
+archive AS (SELECT 'A' || c_custkey AS archive_id, c_name AS title, c_nationkey AS region_code, CASE WHEN c_custkey % 2 = 0 THEN 'cost_info' ELSE 'quota' END AS domain_type, 'N' || c_nationkey AS source_id, CASE WHEN c_custkey % 4 = 0 THEN '2024-02' END AS period FROM customer WHERE c_custkey < 100),
+source AS (SELECT 'N' || n_nationkey AS source_id, n_name AS name, 'P' || n_regionkey AS province, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS city FROM nation),
+region AS (SELECT n_nationkey AS region_code, 'R' || n_regionkey AS province_name, CASE WHEN n_nationkey % 3 = 0 THEN 'r' || n_nationkey ELSE '' END AS region_name FROM nation WHERE n_nationkey < 20),
+"""
+
+
+def _catalogue(spark, d) -> dict[str, DataFrame]:
+    of = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    c, none = F.col, F.lit(None).cast("string")
+    customer, orders, supplier, nation = (table(spark, d, t) for t in ("customer", "orders", "supplier", "nation"))
+    key = c("c_custkey")
+    return {
+        "blobs": customer.select(of("h", key).alias("blob_hash"), F.when(key % 10 == 0, "other").otherwise("cost-raw").alias("storage_bucket"), F.concat(of("objects/", key % 7), of("/", key), F.lit(".PDF")).alias("blob_storage_key"), F.when(key % 3 > 0, "application/pdf").alias("mime_type"), (key * 10).alias("byte_size"), none.alias("etag"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at")),
+        "assets": orders.select(c("o_orderkey").alias("file_id"), of("h", c("o_custkey")).alias("blob_hash"), of("F", c("o_orderkey") % 5).alias("file_name")),
+        "events": table(spark, d, "lineitem").where("l_linenumber <= 2").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("event_id"), c("l_orderkey").alias("file_id"), of("T", c("l_suppkey")).alias("task_id"), F.when(c("l_partkey") % 3 == 0, of("N", c("l_partkey") % 30)).alias("source_id"), F.when(c("l_linenumber") == 1, F.concat(F.lit(" "), c("l_returnflag"), F.lit(" "))).otherwise(" ").alias("original_name"), none.alias("source_url"), of("B", c("l_linenumber")).alias("batch_id"), c("l_shipdate").cast("date").cast("timestamp").alias("ingested_at")),
+        "tasks": supplier.where("s_suppkey % 7 > 0").select(of("T", c("s_suppkey")).alias("task_id"), F.when(c("s_suppkey") % 2 == 0, of("N", c("s_nationkey"))).alias("source_id"), of("b", c("s_suppkey") % 4).alias("batch_id"), F.when(c("s_suppkey") % 5 == 0, of("2024-0", c("s_suppkey") % 9 + 1)).alias("period_start"), none.alias("period_end"), none.alias("period_raw")),
+        "mounts": orders.where("o_orderstatus = 'F'").select(of("A", c("o_custkey") % 120).alias("archive_id"), c("o_orderkey").alias("file_id"), c("o_orderpriority").alias("file_role")),
+        "archives": customer.where("c_custkey < 100").select(of("A", key).alias("archive_id"), c("c_name").alias("title"), c("c_nationkey").alias("region_code"), F.when(key % 2 == 0, "cost_info").otherwise("quota").alias("domain_type"), none.alias("period_kind"), none.alias("publish_date"), none.alias("source_url"), of("N", c("c_nationkey")).alias("source_id"), none.alias("task_id"), none.alias("batch_id"), F.when(key % 4 == 0, "2024-02").alias("period"), none.alias("period_start"), none.alias("period_end"), none.alias("period_raw")),
+        "sources": nation.select(of("N", c("n_nationkey")).alias("source_id"), c("n_name").alias("name"), of("P", c("n_regionkey")).alias("province"), F.when(c("n_nationkey") % 2 == 0, c("n_name")).alias("city")),
+        "regions": nation.where("n_nationkey < 20").select(c("n_nationkey").alias("region_code"), of("R", c("n_regionkey")).alias("province_name"), F.when(c("n_nationkey") % 3 == 0, of("r", c("n_nationkey"))).otherwise("").alias("region_name")),
+    }
+
+
+@query(_CATALOGUE_SQL + """
+j AS (SELECT b.*, a.file_id, a.file_name, e.event_id, e.task_id AS event_task, e.source_id AS event_source, e.original_name, e.batch_id AS event_batch, e.seen_at, t.task_id AS known_task, t.source_id AS task_source, t.batch_id AS task_batch, t.period_start, m.file_role, r.archive_id, r.title, r.region_code, r.domain_type, r.source_id AS archive_source, r.period, coalesce(e.source_id, t.source_id, r.source_id) AS sid
+  FROM blob b LEFT JOIN asset a USING (blob_hash) LEFT JOIN event e USING (file_id) LEFT JOIN task t ON t.task_id = e.task_id LEFT JOIN mount m ON m.file_id = a.file_id LEFT JOIN archive r ON r.archive_id = m.archive_id WHERE bucket = 'cost-raw'),
+k AS (SELECT j.*, s.source_id AS s_id, s.name AS s_name, s.province AS s_province, s.city AS s_city, g.province_name, g.region_name FROM j LEFT JOIN source s ON s.source_id = sid LEFT JOIN region g USING (region_code)),
+v AS (SELECT blob_hash, unnest([('file_ids', CAST(file_id AS VARCHAR)), ('archive_ids', archive_id), ('file_names', file_name), ('original_names', original_name), ('resolved_provinces', province_name), ('resolved_provinces', s_province), ('resolved_regions', region_name), ('resolved_regions', s_city), ('source_provinces', s_province), ('source_cities', s_city),
+  ('region_codes', CAST(region_code AS VARCHAR)), ('archive_titles', title), ('domain_types', domain_type), ('file_roles', file_role), ('period_starts', period_start), ('period_starts', period), ('period_raws', title), ('source_names', s_name), ('source_ids', event_source), ('source_ids', archive_source), ('source_ids', s_id), ('task_ids', event_task), ('task_ids', known_task), ('batch_ids', event_batch), ('batch_ids', task_batch), ('ingested_ats', seen_at)]) AS p FROM k),
+f AS (SELECT blob_hash, p[1] AS field, string_agg(DISTINCT trim(p[2]), ' | ' ORDER BY trim(p[2])) AS value FROM v WHERE trim(p[2]) <> '' GROUP BY ALL),
+w AS (SELECT blob_hash, """ + ", ".join(f"coalesce(max(value) FILTER (field = '{x}'), '') AS {x}" for x in manifest.SET_FIELDS) + """ FROM f GROUP BY 1),
+x AS (SELECT blob_hash, bucket, object_key, mime, size, count(DISTINCT file_id) AS files, count(DISTINCT event_id) AS events FROM k GROUP BY ALL),
+y AS (SELECT x.*, """ + ", ".join(f"coalesce({x}, '') AS {x}" for x in manifest.SET_FIELDS) + """ FROM x LEFT JOIN w USING (blob_hash))
+SELECT 'parse_manifest.v1' AS manifest_schema_version, bucket, object_key, '/nas/' || object_key AS nas_path, blob_hash AS sha256, '.pdf' AS file_ext, coalesce(mime, '') AS mime_type, CAST(size AS VARCHAR) AS byte_size, '' AS etag, '2024-01-01T00:00:00+00:00' AS blob_created_at, CAST(files AS VARCHAR) AS file_asset_count, CAST(events AS VARCHAR) AS ingest_event_count, """ + ", ".join(manifest.SET_FIELDS) + """,
+  concat_ws('|', CASE WHEN archive_ids = '' THEN 'archive_ids' END, CASE WHEN original_names || file_names = '' THEN 'original_names' END, CASE WHEN period_starts || period_raws = '' THEN 'period' END, CASE WHEN resolved_regions || region_codes = '' THEN 'region' END) AS missing_fields, CASE WHEN missing_fields = '' THEN 'true' ELSE 'false' END AS parse_ready FROM y""")
+def parse_manifest(spark, d):
+    """Customers as stored objects, their orders as files, order lines as observations and suppliers as tasks."""
+    return manifest.parse_manifest(**_catalogue(spark, d), nas_root="/nas/")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import first_filled
+
 SEPARATOR = " | "
 
 
@@ -66,3 +68,84 @@ def inventory(*legs: DataFrame) -> DataFrame:
 def drift(planned: DataFrame, approved: DataFrame) -> DataFrame:
     """Actions on one side only: none if the plan is still what was approved."""
     return planned.exceptAll(approved).withColumn("side", F.lit("planned")).unionByName(approved.exceptAll(planned).withColumn("side", F.lit("approved")))
+
+
+# The columns of a parse manifest, in order, and its version.
+MANIFEST_VERSION = "parse_manifest.v1"
+OBJECT_FIELDS = ("manifest_schema_version", "bucket", "object_key", "nas_path", "sha256", "file_ext", "mime_type", "byte_size", "etag", "blob_created_at", "file_asset_count", "ingest_event_count")
+SET_FIELDS = (
+    "file_ids", "archive_ids", "file_names", "original_names", "resolved_provinces", "resolved_regions", "source_provinces", "source_cities", "region_codes", "archive_titles", "domain_types", "file_roles",
+    "period_kinds", "publish_dates", "period_starts", "period_ends", "period_raws", "source_urls", "source_names", "source_ids", "task_ids", "batch_ids", "ingested_ats",
+)
+MANIFEST_FIELDS = (*OBJECT_FIELDS, *SET_FIELDS, "parse_ready", "missing_fields")
+
+
+def _iso(at: Column) -> Column:
+    """A time of a session in UTC as ISO text, with microseconds if it has any."""
+    fraction = F.when(F.date_format(at, "SSSSSS") != "000000", F.date_format(at, "'.'SSSSSS")).otherwise("")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def parse_manifest(blobs: DataFrame, assets: DataFrame, events: DataFrame, tasks: DataFrame, mounts: DataFrame, archives: DataFrame, sources: DataFrame, regions: DataFrame, bucket: str = "cost-raw", nas_root: str = "", domain: str | None = None) -> DataFrame:
+    """One row of MANIFEST_FIELDS, all text, for each stored object of the bucket: what its files, observations, tasks, archives and
+    sources say about it, each as its distinct values in order.
+
+    blobs: blob_hash, storage_bucket, blob_storage_key, mime_type, byte_size, etag, created_at; assets: file_id, blob_hash, file_name;
+    events: event_id, file_id, task_id, source_id, original_name, source_url, batch_id, ingested_at; tasks: task_id, source_id, batch_id,
+    period_start, period_end, period_raw; mounts: archive_id, file_id, file_role; archives: archive_id, title, region_code,
+    domain_type, period_kind, publish_date, source_url, source_id, task_id, batch_id, period, period_start, period_end, period_raw; sources:
+    source_id, name, province, city; regions: region_code, province_name, region_name. domain: only files that an archive of it holds.
+
+    Observations and archives of a file would multiply each other in one join. Here each branch gives rows (object, field, value),
+    and one aggregate folds them. The source of a pair is that of the observation, else of its task, else of the archive; so
+    archives name a source only for files with an observation that has none, or without any.
+    """
+    blobs = blobs.where(F.col("storage_bucket") == bucket)
+    if domain is not None:
+        archives = archives.where(F.col("domain_type") == domain)
+        mounts = mounts.join(archives.select("archive_id"), "archive_id", "left_semi")
+        assets = assets.join(mounts.select("file_id"), "file_id", "left_semi")
+    assets = assets.join(blobs.select("blob_hash"), "blob_hash", "left_semi")
+    if domain is not None:
+        blobs = blobs.join(assets.select("blob_hash"), "blob_hash", "left_semi")
+    of_file = assets.select("file_id", "blob_hash")
+    seen = events.select("event_id", "file_id", "task_id", F.col("source_id").alias("event_source"), "original_name", "source_url", F.col("batch_id").alias("event_batch"), "ingested_at").join(of_file, "file_id")
+    done = tasks.select("task_id", F.col("task_id").alias("known_task"), F.col("source_id").alias("task_source"), F.col("batch_id").alias("task_batch"), "period_start", "period_end", "period_raw")
+    seen = seen.join(done, "task_id", "left").withColumn("source", first_filled(F.col("event_source"), F.col("task_source")))
+    held = mounts.join(of_file, "file_id").join(archives.withColumn("archive", F.col("archive_id")), "archive_id", "left").join(regions, "region_code", "left")
+    sourced = seen.groupBy("file_id").agg(F.bool_or(F.col("source").isNull()).alias("open"))
+    lent = held.join(sourced, "file_id", "left").where(F.coalesce("open", F.lit(True))).select("blob_hash", first_filled(F.col("source_id")).alias("source_id"))
+    named = seen.select("blob_hash", F.col("source").alias("source_id")).unionByName(lent).where("source_id IS NOT NULL").distinct().join(sources, "source_id")
+
+    def said(rows: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(v.cast("string")).alias("value")) for f, v in values])
+        return rows.select("blob_hash", F.explode(F.filter(pairs, lambda p: p["value"] != "")).alias("p")).select("blob_hash", "p.field", "p.value")
+
+    c = F.col
+    folded = (
+        said(assets, [("file_ids", c("file_id")), ("file_names", c("file_name"))])
+        .unionByName(said(seen, [
+            ("original_names", c("original_name")), ("source_urls", c("source_url")), ("source_ids", c("event_source")), ("task_ids", c("task_id")), ("task_ids", c("known_task")), ("batch_ids", c("event_batch")), ("batch_ids", c("task_batch")),
+            ("ingested_ats", _iso(c("ingested_at"))), ("period_starts", c("period_start")), ("period_ends", c("period_end")), ("period_raws", c("period_raw")),
+        ]))
+        .unionByName(said(held, [
+            ("file_roles", c("file_role")), ("archive_ids", c("archive")), ("archive_titles", c("title")), ("region_codes", c("region_code")), ("domain_types", c("domain_type")), ("period_kinds", c("period_kind")), ("publish_dates", c("publish_date")),
+            ("source_urls", c("source_url")), ("source_ids", c("source_id")), ("task_ids", c("task_id")), ("batch_ids", c("batch_id")), ("period_starts", first_filled(c("period_start"), c("period"))), ("period_ends", c("period_end")), ("period_raws", first_filled(c("period_raw"), c("title"))),
+            ("resolved_provinces", c("province_name")), ("resolved_regions", c("region_name")),
+        ]))
+        .unionByName(said(named, [("source_names", c("name")), ("source_ids", c("source_id")), ("source_provinces", c("province")), ("source_cities", c("city")), ("resolved_provinces", c("province")), ("resolved_regions", c("city"))]))
+    )
+    sets = folded.groupBy("blob_hash").pivot("field", list(SET_FIELDS)).agg(F.array_join(F.array_sort(F.collect_set("value")), " | "))
+    files = assets.groupBy("blob_hash").agg(F.count_distinct("file_id").alias("files"))
+    observed = seen.groupBy("blob_hash").agg(F.count_distinct("event_id").alias("events"))
+    rows = blobs.join(sets, "blob_hash", "left").join(files, "blob_hash", "left").join(observed, "blob_hash", "left")
+    rows = rows.na.fill("", list(SET_FIELDS))
+    lacks = lambda name, *fields: F.when(F.concat(*[F.col(f) for f in fields]) == "", name)
+    missing = F.concat_ws("|", lacks("archive_ids", "archive_ids"), lacks("original_names", "original_names", "file_names"), lacks("period", "period_starts", "period_raws"), lacks("region", "resolved_regions", "region_codes"))
+    key, text = c("blob_storage_key"), lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    path = F.concat(F.lit(nas_root.rstrip("/") + "/"), key) if nas_root else F.lit("")
+    return rows.select(
+        F.lit(MANIFEST_VERSION).alias("manifest_schema_version"), c("storage_bucket").alias("bucket"), key.alias("object_key"), path.alias("nas_path"), c("blob_hash").alias("sha256"), F.lower(F.regexp_extract(key, r"[^/](\.[^./]+)$", 1)).alias("file_ext"),
+        text(c("mime_type")).alias("mime_type"), text(c("byte_size")).alias("byte_size"), text(c("etag")).alias("etag"), text(_iso(c("created_at"))).alias("blob_created_at"), F.coalesce("files", F.lit(0)).cast("string").alias("file_asset_count"), F.coalesce("events", F.lit(0)).cast("string").alias("ingest_event_count"),
+        *SET_FIELDS, F.when(missing == "", "true").otherwise("false").alias("parse_ready"), missing.alias("missing_fields"),
+    )

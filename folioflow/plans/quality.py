@@ -8,13 +8,47 @@ from pyspark.sql import functions as F
 from ..functions.text import number_or_null, plain_number
 
 
-def price_check(items: DataFrame, lines: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """(code, base_price, expected, issue) for items (code, base_price) against lines (code, quantity, price): the
-    sum of quantity x price must be the base price within the tolerance; items with an unpriced line are skipped."""
-    sums = lines.groupBy("code").agg(F.sum(F.col("quantity") * F.col("price")).alias("expected"), F.count_if(F.col("price").isNull() | F.col("quantity").isNull()).alias("unpriced"))
-    off = F.abs(F.col("base_price") - F.col("expected")) > tolerance
-    issue = F.when(F.col("unpriced") > 0, "skipped").when(F.col("base_price").isNull() | F.col("expected").isNull(), "skipped").when(off, "BASE_PRICE_MISMATCH").otherwise("ok")
-    return items.join(sums, "code").select("code", "base_price", "expected", issue.alias("issue"))
+def price_check(items: DataFrame, lines: DataFrame, tolerance: float = 0.05, appendix: DataFrame | None = None) -> DataFrame:
+    """(code, base_price, expected, issue) for items (code, base_price) against lines (code, quantity, price, and name for an
+    appendix): the sum of quantity x price must be the base price within the tolerance.
+
+    A line without a price takes that of its name in the appendix (name, price), which has each name once; items without a
+    base price, or with a line that stays unpriced, are skipped. A missing quantity counts as 0, and an item without lines
+    is expected to cost nothing.
+    """
+    if appendix is not None:
+        lines = lines.join(appendix.select("name", F.col("price").alias("listed")), "name", "left").withColumn("price", F.coalesce("price", "listed"))
+    sums = lines.groupBy("code").agg(F.sum(F.coalesce("quantity", F.lit(0.0)) * F.col("price")).alias("sum"), F.count_if(F.col("price").isNull()).alias("unpriced"))
+    expected = F.coalesce("sum", F.lit(0.0))
+    skipped = F.col("base_price").isNull() | (F.coalesce("unpriced", F.lit(0)) > 0)
+    issue = F.when(skipped, "skipped").when(F.abs(F.col("base_price") - expected) > tolerance, "BASE_PRICE_MISMATCH").otherwise("ok")
+    return items.join(sums, "code", "left").select("code", "base_price", F.when(F.col("unpriced").isNull() | (F.col("unpriced") == 0), expected).alias("expected"), issue.alias("issue"))
+
+
+def qa_issues(items: DataFrame, lines: DataFrame, tolerance: float = 0.05, appendix: DataFrame | None = None) -> DataFrame:
+    """(code, level, issue) of items (code, name, unit, base_price) and their lines: prices that don't add up, codes left out
+    of a sequence, missing units and names, and a base price without any line."""
+    from ..operators.sequences import sequence_gaps
+
+    off = price_check(items, lines, tolerance, appendix).where("issue = 'BASE_PRICE_MISMATCH'").select("code", F.lit("error").alias("level"), "issue")
+    gaps = sequence_gaps(items, "code").select(F.col("missing").alias("code"), F.lit("warning").alias("level"), F.lit("CODE_GAP").alias("issue"))
+    held = lines.select("code", F.lit(True).alias("held")).distinct()
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    found = lambda test, level, name: F.when(test, F.struct(F.lit(level).alias("level"), F.lit(name).alias("issue")))
+    rules = F.array_compact(F.array(found(blank("unit"), "warning", "MISSING_UNIT"), found(F.col("base_price").isNotNull() & F.col("held").isNull(), "warning", "EMPTY_RESOURCES"), found(blank("name"), "error", "MISSING_NAME")))
+    shape = items.join(held, "code", "left").select("code", F.explode(rules).alias("r")).select("code", "r.level", "r.issue")
+    return off.unionByName(gaps).unionByName(shape)
+
+
+def qa_summary(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: items, those passed and failed, warnings, the pass rate, and issues by kind. Two errors of an item count
+    twice, as each is one issue; without items everything passes."""
+    total = items.agg(F.count("*").alias("total"))
+    of = lambda name: F.count_if(F.col("issue") == name)
+    errors = issues.agg(F.count_if(F.col("level") == "error").alias("failed"), F.count_if(F.col("level") == "warning").alias("warnings"), of("BASE_PRICE_MISMATCH").alias("price_failed"), of("CODE_GAP").alias("gaps"), F.count_if(~F.col("issue").isin("BASE_PRICE_MISMATCH", "CODE_GAP")).alias("structural"))
+    passed = F.when(F.col("total") > 0, F.col("total") - F.col("failed")).otherwise(0)
+    rate = F.when(F.col("total") > 0, F.round(passed / F.col("total"), 4)).otherwise(1.0)
+    return total.crossJoin(errors).select("total", passed.alias("passed"), "failed", "warnings", rate.alias("pass_rate"), "price_failed", "gaps", "structural")
 
 
 def line_values(lines: DataFrame) -> DataFrame:
@@ -45,13 +79,6 @@ def price_risks(rows: DataFrame) -> DataFrame:
     return rows.select("row_no", F.explode(rules).alias("risk"))
 
 
-def qa_summary(items: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: items, error issues, and what passed; two errors of an item count twice, as each is one issue."""
-    total = items.agg(F.count("*").alias("total"))
-    errors = issues.agg(F.count_if(F.col("severity") == "error").alias("failed"))
-    return total.crossJoin(errors).select("total", "failed", (F.col("total") - F.col("failed")).alias("passed"))
-
-
 def five_numbers(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Least, quartiles and greatest of a value by key."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
@@ -59,9 +86,16 @@ def five_numbers(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return out.select(*key, "low", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "high")
 
 
+#: Places and known prices that may be paired: districts of a city times its materials.
+PAIRS = 50_000_000
+
+
 def interpolated(known: DataFrame, wanted: DataFrame, least: int = 3, power: float = 2.0) -> DataFrame:
     """Prices at wanted places (place, lat, lon) from known ones (material, lat, lon, price), weighted by the inverse
-    distance to a power; none from fewer than `least`. Both are districts of a city: dimensions, so the smaller is broadcast."""
+    distance to a power; none from fewer than `least`. Every known price bears on every place, so both have to be
+    dimensions: more than PAIRS pairs raise."""
+    if wanted.count() * known.count() > PAIRS:
+        raise ValueError("interpolation is for the districts of a city; give fewer places or prices at a time")
     rad = lambda c: F.radians(F.col(c))
     pairs = wanted.crossJoin(known.select("material", F.col("lat").alias("k_lat"), F.col("lon").alias("k_lon"), "price"))
     h = F.pow(F.sin((rad("k_lat") - rad("lat")) / 2), 2) + F.cos(rad("lat")) * F.cos(rad("k_lat")) * F.pow(F.sin((rad("k_lon") - rad("lon")) / 2), 2)

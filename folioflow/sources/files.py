@@ -106,22 +106,33 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, "path string, sheet string, row_no long, cells array<string>")
 
 
-def price_sheet(rows: DataFrame, scan: int = 80) -> DataFrame:
-    """Price rows of read_xlsx: the first of a sheet's first `scan` rows that names material, unit and a price is
-    the header; rows without a name, notes, and rows without unit and price are left out."""
+# What names the column of materials, notes below a table, and the price without tax.
+NAME_HEADS, NOTE_STARTS, NET_HEADS = ("材料名称", "产品名称", "设备名称", "设备材料名称"), ("备注", "注：", "注:"), ("不含税", "除税")
+
+
+def price_sheet(rows: DataFrame, scan: int = 80, width: int = 50) -> DataFrame:
+    """Price rows of read_xlsx: the first of a sheet's first `scan` rows that names material, unit and a price in its first
+    `width` cells is the header; rows without a name, notes, and rows without unit and price are left out. A head that
+    speaks of a price without tax is never the price with tax; of several columns that fit, the first counts."""
     from pyspark.sql import Window
 
-    text = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    head = lambda test: F.array_position(F.transform("cells", test), True)
-    name, unit = head(lambda c: F.contains(text(c), F.lit("名称"))), head(lambda c: F.contains(text(c), F.lit("单位")))
-    net = head(lambda c: F.contains(text(c), F.lit("除税")))
-    tax = head(lambda c: F.contains(text(c), F.lit("含税")))
-    found = rows.where(F.col("row_no") <= scan).select("path", "sheet", "row_no", name.alias("n"), unit.alias("u"), net.alias("p"), tax.alias("t")).where("n > 0 AND u > 0 AND (p > 0 OR t > 0)")
+    head = F.transform(F.slice("cells", 1, width), lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    holds = lambda c, *words: c.rlike("|".join(words))
+    at = lambda test: F.array_position(F.transform(head, test), True)
+    columns = {
+        "sequence": at(lambda c: holds(c, "序号")), "code": at(lambda c: holds(c, "代号", "编码")), "name": at(lambda c: holds(c, *NAME_HEADS)),
+        "spec": at(lambda c: holds(c, "规格") & ~holds(c, *NAME_HEADS)), "unit": at(lambda c: holds(c, "单位")),
+        "price": at(lambda c: holds(c, *NET_HEADS)), "price_with_tax": at(lambda c: holds(c, "含税") & ~holds(c, *NET_HEADS)),
+    }
+    found = rows.where(F.col("row_no") <= scan).select("path", "sheet", "row_no", *[c.alias(f"at_{n}") for n, c in columns.items()]).where("at_name > 0 AND at_unit > 0 AND (at_price > 0 OR at_price_with_tax > 0)")
     first = F.row_number().over(Window.partitionBy("path", "sheet").orderBy("row_no"))
-    found = found.withColumn("__r", first).where("__r = 1").select("path", "sheet", F.col("row_no").alias("head"), "n", "u", "p", "t")
-    cell = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.when(F.col(i) > 0, F.col(i).cast("int"))), F.lit("")))
-    out = rows.join(found, ["path", "sheet"]).where("row_no > head").select("path", "sheet", "row_no", cell("n").alias("name"), cell("u").alias("unit"), cell("p").alias("price"), cell("t").alias("price_with_tax"))
-    return out.where("name <> '' AND NOT name RLIKE '^(备注|注)' AND NOT (unit = '' AND price = '' AND price_with_tax = '')")
+    found = found.withColumn("__r", first).where("__r = 1").drop("__r").withColumnRenamed("row_no", "head")
+    cell = lambda n: F.trim(F.coalesce(F.try_element_at("cells", F.when(F.col(f"at_{n}") > 0, F.col(f"at_{n}").cast("int"))), F.lit("")))
+    out = rows.join(found, ["path", "sheet"]).where("row_no > head").select("path", "sheet", "row_no", *[cell(n).alias(n) for n in columns])
+    noted = F.lit(False)
+    for start in NOTE_STARTS:
+        noted = noted | F.startswith("name", F.lit(start))
+    return out.where((F.col("name") != "") & ~noted & ~((F.col("unit") == "") & (F.col("price") == "") & (F.col("price_with_tax") == "")))
 
 
 def write_xlsx(sheets: dict[str, list[list]]) -> bytes:

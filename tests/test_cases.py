@@ -6,8 +6,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folioflow.functions import keys, periods, text
-from folioflow.operators import graph, sequences
-from folioflow.plans import audit, cleanup, comparison, coverage, ingest, manifest, notes, quality
+from folioflow.operators import graph, joins, sequences
+from folioflow.plans import archives, audit, cleanup, comparison, coverage, ingest, manifest, notes, quality
 from folioflow.sources import files, registry, tables
 from folioflow.streaming import feeds
 
@@ -186,3 +186,78 @@ def test_cleanup(spark):
     orphans = spark.createDataFrame([("a", 1), ("c", 2), ("d", 1), ("e", 1), ("e", 0)], "archive_id string, candidates int")
     got = {r.archive_id: (r.action, r.canonical_id) for r in cleanup.actions(members, archives, orphans).collect()}
     assert got == {"a": ("withdraw_duplicate", "b"), "c": ("remove_redundant_orphan_reference", None), "d": ("relink_orphan", None), "e": ("manual_review", None)}
+
+
+def matrix(spark, sources, archives, first, last, files=()):
+    """The matrix of sources given as dicts, with targets as dicts, and archives (id, title, region, period, source, label)."""
+    fields = [f.split(" ") for f in coverage.TARGET.split(", ")]
+    target = "struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">"
+    names = "source_id seq name region_code province city scope publisher_region_code coverage_region_code remark targets entry_url official_url public_url url base_url".split()
+    schema = ", ".join(f"{n} {'int' if n == 'seq' else f'array<{target}>' if n == 'targets' else 'string'}" for n in names)
+    rows = [tuple([tuple(t.get(n) for n, _ in fields) for t in s[n]] if n == "targets" and n in s else i if n == "seq" else s.get(n) for n in names) for i, s in enumerate(sources)]
+    held = spark.createDataFrame([(*a[:5], None, a[5]) for a in archives], "archive_id string, title string, region_code string, period string, source_id string, publisher_scope string, issue_label string")
+    mounted = spark.createDataFrame(list(files), "archive_id string, file_id string, file_name string, is_primary boolean, representation_role string, sort_order int, added_at int")
+    return {(r.coverage_region_code, r.period): r for r in coverage.matrix(spark.createDataFrame(rows, schema), held, mounted, first, last).collect()}
+
+
+def test_coverage_matrix(spark):
+    city = {"source_id": "city", "name": "C", "region_code": "510700", "city": "绵阳市", "scope": "city", "publisher_region_code": "510700", "coverage_region_code": "510700-市区", "entry_url": "https://c"}
+    said = lambda code, name: {"region_code": code, "region_name": name, "requires_city_source": True, "declared_periods": ["2026-04"], "coverage_note": "said"}
+    province = {"source_id": "prov", "name": "P", "region_code": "510000", "scope": "province", "publisher_region_code": "510000", "entry_url": "http://p", "targets": [said("510700-市区", "绵阳市区"), said("510725", "梓潼县")]}
+    got = matrix(spark, [city, province], [("a", "t", "510700-市区", "2026-04", "city", None)], "2026-04", "2026-04", [("a", "f2", "n2", False, "primary", 1, 1), ("a", "f1", "n1", True, "x", 9, 1)])
+    a, b = got["510700-市区", "2026-04"], got["510725", "2026-04"]
+    assert (a.business_coverage_status, a.coverage_region_name, a.source_completeness_status, a.province_source_count, a.city_source_count, a.source_visit_url, a.source_ids) == ("covered", "绵阳市区", "dual_source", 1, 1, "https://c", ["prov", "city"])
+    assert (a.primary_file_id, a.primary_download_url, a.file_count, a.evidence_archive_ids) == ("f1", "/api/file-assets/f1/download", 2, ["a"])
+    assert (b.business_coverage_status, b.source_completeness_status, b.province_source_count, b.city_source_count, b.source_visit_url, b.primary_file_id) == ("covered", "city_source_missing", 1, 0, "http://p", None)
+    one = lambda code, **t: {"source_id": "s", "name": "S", "region_code": code, "scope": "city", "targets": [{"region_code": code, **t}]}
+    got = matrix(spark, [one("650100")], [("a", "三明2026年第5期", "650100", "2026-04", "s", "第5期")], "2026-03", "2026-05")
+    assert [got["650100", p].business_coverage_status for p in ("2026-03", "2026-04", "2026-05")] == ["pending_verify", "covered", "pending_verify"]
+    assert "待回填核验" in got["650100", "2026-03"].coverage_note and "未发布" in got["650100", "2026-05"].coverage_note and got["650100", "2026-04"].coverage_note is None
+    assert got["650100", "2026-04"].period_label == "第5期" and got["650100", "2026-04"].evidence_titles == ["三明2026年第5期"]
+    got = matrix(spark, [one("350500", target_level="prefecture"), one("110000", target_level="province"), one("220000", source_completeness_status="source_blocked")], [], "2026-05", "2026-05")
+    assert got["350500", "2026-05"].target_level == got["110000", "2026-05"].target_level == "city" and got["350500", "2026-05"].business_coverage_status == "missing"
+    assert (got["220000", "2026-05"].business_coverage_status, got["220000", "2026-05"].source_completeness_status, got["220000", "2026-05"].source_ids) == ("pending_verify", "source_blocked", [])
+    part = matrix(spark, [one("510100")], [("a", "t", "510100-xx", "2026-05", "s", None)], "2026-05", "2026-05")
+    assert part["510100", "2026-05"].evidence_archive_ids == ["a"]
+
+
+def test_published_rules(spark, tmp_path):
+    sheets = {"A": [["序号", "材料名称", "单位", "不含税价", "含税价"], [1, "钢", "t", 3200, 3616], [2, "注：x", "t", 1, 1], [3, "空", "", "", ""]], "B": [["材料名称", "单位", "含税价", "除税价", "规格"], ["砂", "m3", 116, 100, "细"]], "C": [["名称", "单位", "含税价"], ["x", "t", 1]]}
+    (tmp_path / "p.xlsx").write_bytes(files.write_xlsx(sheets))
+    found = files.price_sheet(files.read_xlsx(spark.read.format("binaryFile").load(str(tmp_path / "p.xlsx")))).collect()
+    assert sorted((r.name, r.spec, r.price, r.price_with_tax) for r in found) == [("砂", "细", "100", "116"), ("钢", "", "3200", "3616")]
+    c = F.col("x")
+    assert [one(spark, text.url_key(c), x=u) for u in ("http://[bad/x", "e.cn/p?b=%E4%B8%AD+a&a", "http://H/p?x=%zz&utm_X=1", "  HTTPS://h/#f ")] == ["http://[bad/x", "https:///e.cn/p?a=&b=%E4%B8%AD+a", "http://h/p?x=%25zz", "https://h/"]
+    resources = spark.createDataFrame([(1, "材", "普通硅酸盐水泥", "公斤"), (2, "材", "xyz", "t"), (3, "机", "q", "t"), (4, "材", "普通硅酸盐水泥", "m3"), (5, "材", None, None)], "id int, category string, name string, unit string")
+    candidates = spark.createDataFrame([("c1", "材", "普通硅酸盐水泥", "kg"), ("c2", "材", "水泥", "吨")], "candidate_id string, category string, name string, unit string")
+    got = {r.id: (r.candidate_id, round(r.score, 4), r.matched) for r in joins.aligned(resources, candidates).collect()}
+    assert got == {1: ("c1", 1.0, True), 2: ("c2", 0.2, False), 3: (None, 0.0, False), 4: ("c1", 0.9, False), 5: ("c1", 0.1, False)}
+    items = spark.createDataFrame([("AA0001", "n", "m3", 10.0), ("AA0004", None, "", 5.0), ("AA0005", "n", "m3", None)], "code string, name string, unit string, base_price double")
+    lines = spark.createDataFrame([("AA0001", "砂", 2.0, None), ("AA0001", "水", None, 3.0)], "code string, name string, quantity double, price double")
+    appendix = spark.createDataFrame([("砂", 5.0)], "name string, price double")
+    issues = quality.qa_issues(items, lines, appendix=appendix)
+    assert sorted((r.code, r.issue) for r in issues.collect()) == [("AA0002", "CODE_GAP"), ("AA0003", "CODE_GAP"), ("AA0004", "BASE_PRICE_MISMATCH"), ("AA0004", "EMPTY_RESOURCES"), ("AA0004", "MISSING_NAME"), ("AA0004", "MISSING_UNIT")]
+    assert tuple(quality.qa_summary(items, issues).first()) == (3, 1, 2, 4, 0.3333, 1, 2, 3)
+    wide = spark.createDataFrame([("A1",), ("A9999999999999",), ("A" + "9" * 30,)], "code string")
+    assert [tuple(r) for r in sequences.gap_ranges(wide, "code").collect()] == [("A", 1, 9999999999999)]
+    assert sequences.sequence_gaps(spark.createDataFrame([("A1",), ("A250002",)], "code string"), "code").agg(F.count("*"), F.min("missing"), F.max("missing")).first()[:] == (250000, "A0002", "A99999")
+    ids = graph.numbered(spark.range(1000).repartition(7), F.desc("id")).collect()
+    assert sorted((r.number, r.id) for r in ids) == [(i + 1, 999 - i) for i in range(1000)]
+    groups = graph.duplicate_groups(spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c"), ("f", "f")], "node string, component string"), spark.createDataFrame([(x, x == "b", False, 1) for x in "abcdef"], "archive_id string, is_valid boolean, is_rebuilt boolean, status_score int").withColumn("created_at", F.lit("2026-01-01").cast("timestamp")))
+    assert sorted((r.group_id, r.canonical, r.members) for r in groups.collect()) == [("DUP-0001", "e", ["c", "d", "e"]), ("DUP-0002", "b", ["a", "b"])]
+
+
+def test_more_scalars(spark):
+    c = F.col("x")
+    assert many(spark, text.without_watermark(c), ["四川 省住房", "四川 混凝土", "", None]) == ["", "四川混凝土", "", ""]
+    assert many(spark, keys.province_short(c), ["sc", "重庆", " 川建 "]) == ["sc", "cq", "sc"]
+    import hashlib
+    import json
+
+    payload = json.dumps({"detail_url": 'http://x/"1"', "attachment_urls": ["a", "b"]}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert one(spark, text.attachment_fingerprint(c, F.array(F.lit("b"), F.lit("a"))), x='http://x/"1"') == "sha256:" + hashlib.sha256(payload.encode()).hexdigest()
+    assert tuple(one(spark, periods.issue_period(c, r"(20\d{2})年第([\d—]+)期"), x="造价 2026年第5—6期")) == ("2026年第5—6期", 2026, 5, 6)
+    assert tuple(one(spark, periods.bimonthly_period(c, r"(20\d{2})年(\d+)[-—](\d+)月"), x="2026年3—4月")) == ("2026年3-4月", "2026-03", 2026) and one(spark, periods.bimonthly_period(c, r"(20\d{2})年(\d+)-(\d+)月"), x="x") is None
+    path = archives.mirror_path(F.lit("信息价"), F.lit("四川省"), F.lit("a/b"), F.lit("2026"), F.lit(" t.. "), c, F.lit("f?.pdf"))
+    assert many(spark, path, ["original", "attachment"]) == ["信息价/四川省/a_b/2026/f_.pdf", "信息价/四川省/a_b/2026/t_/attachment-f_.pdf"]
+    assert archives.markdown(spark.createDataFrame([(1, "a|b")], "n int, t string")) == "| n | t |\n|-|-|\n| 1 | a\\|b |"

@@ -5,6 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from folioflow.plans import more_queries  # noqa: F401
 from folioflow.plans.driver_queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
