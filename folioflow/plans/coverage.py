@@ -183,6 +183,26 @@ def coverage_stats(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count("*").alias("total"), state("covered").alias("covered"), state("pending_verify").alias("pending_verify"), state("missing").alias("missing"))
 
 
+def filtered_cells(cells: DataFrame, city: str | None = None, period: str | None = None, years: tuple[int, int] | None = None, business: str | None = None, sources: str | None = None, query: str = "") -> DataFrame:
+    """Cells of the matrix of a city and its parts (by the first four digits), a month or a range of years, in a state, whose
+    codes, names and notes hold the query, whatever its case. Without a month the years decide; a month that is none stays."""
+    if city:
+        cells = cells.where((F.col("coverage_region_code") == city) | F.startswith("coverage_region_code", F.lit(city[:4])))
+    if period:
+        cells = cells.where(F.col("period") == period)
+    elif years:
+        year = F.regexp_extract("period", r"^(\d{4})-\d{2}$", 1).try_cast("int")
+        cells = cells.where(year.isNull() | year.between(*years))
+    if business:
+        cells = cells.where(F.col("business_coverage_status") == business)
+    if sources:
+        cells = cells.where(F.col("source_completeness_status") == sources)
+    if query.strip():
+        texts = ("coverage_region_code", "coverage_region_name", "period", "business_coverage_status", "source_completeness_status", "source_audit_status", "coverage_note", "source_audit_note")
+        cells = cells.where(F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(query.strip().lower())))
+    return cells
+
+
 def issue_groups(archives: DataFrame) -> DataFrame:
     """(region, period, n, ids): how many archives, and their sorted ids as text."""
     return archives.groupBy("region", "period").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))

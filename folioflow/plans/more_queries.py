@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..session import table
-from . import archives, quality
+from . import archives, coverage, quality
 from .driver_queries import ORACLE_SQL, _archives, _matrix, query
 
 
@@ -194,6 +194,15 @@ def coverage_labels(spark, d):
     return _matrix(spark, d).groupBy(business.alias("business"), sources.alias("sources"), archives.state_label(business, sources).alias("label"), archives.cell_kind(business, sources, F.col("primary_download_url")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(r"""SELECT coverage_region_code, period, coverage_note FROM (COVERAGE) WHERE coverage_region_code LIKE '1104%' AND CAST(substr(period, 1, 4) AS INTEGER) BETWEEN 1996 AND 1999 AND business_coverage_status = 'covered' AND contains(lower(concat_ws(' ', coverage_region_code, coverage_region_name, period, business_coverage_status, source_completeness_status, coverage_note)), 'note 4')
+UNION ALL SELECT coverage_region_code, period, coverage_note FROM (COVERAGE) WHERE period = '1998-02' AND source_completeness_status = 'dual_source'""".replace("COVERAGE", ORACLE_SQL["coverage_matrix"]))
+def coverage_filters(spark, d):
+    cells = _matrix(spark, d)
+    columns = ["coverage_region_code", "period", "coverage_note"]
+    first = coverage.filtered_cells(cells, city="110400", years=(1996, 1999), business="covered", query=" NOTE 4 ")
+    return first.select(*columns).unionByName(coverage.filtered_cells(cells, period="1998-02", sources="dual_source").select(*columns))
+
+
 def _items(spark, d):
     number = F.floor(F.col("o_orderkey") / 8)
     code = lambda n: F.concat(F.lit("Q"), F.lpad(n.cast("string"), 5, "0"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import keys, periods, text
 from folioflow.operators import graph, joins, sequences
 from folioflow.plans import archives, audit, cleanup, comparison, coverage, ingest, manifest, notes, quality
-from folioflow.sources import files, registry, tables
+from folioflow.sources import dimensions, files, registry, tables
 from folioflow.streaming import feeds
 
 
@@ -261,3 +261,34 @@ def test_more_scalars(spark):
     path = archives.mirror_path(F.lit("信息价"), F.lit("四川省"), F.lit("a/b"), F.lit("2026"), F.lit(" t.. "), c, F.lit("f?.pdf"))
     assert many(spark, path, ["original", "attachment"]) == ["信息价/四川省/a_b/2026/f_.pdf", "信息价/四川省/a_b/2026/t_/attachment-f_.pdf"]
     assert archives.markdown(spark.createDataFrame([(1, "a|b")], "n int, t string")) == "| n | t |\n|-|-|\n| 1 | a\\|b |"
+
+
+def test_dimensions(spark, tmp_path):
+    import json
+
+    import pytest
+
+    head = "admin_division_version,province_code,province_name,target_region_code,target_region_name,target_level,is_required,source_note\n"
+    good = "v1,510000,四川,510100,成都,prefecture,是,\nv1,510000,四川,510131,蒲江,county,1,x\nv1,510000,四川,510131,蒲江,county,no,\n"
+    (tmp_path / "r.csv").write_text("\ufeff" + head + good, encoding="utf-8")
+    regions = dimensions.national_regions(spark, str(tmp_path / "r.csv"))
+    assert [(r.province_code, r.required_targets, r.levels) for r in dimensions.region_levels(regions).collect()] == [("510000", 2, {"county": 1, "prefecture": 1})]
+    assert dimensions.repeated_targets(regions).count() == 0
+    for line, error in (("v1,510000,四川,510100,成都,planet,1,\n", "INVALID_TARGET_LEVEL line=2"), ("v1,,四川,510100,,county,1,\n", "NATIONAL_REGION_REQUIRED_FIELD_MISSING line=2: province_code,target_region_name")):
+        (tmp_path / "bad.csv").write_text(head + line, encoding="utf-8")
+        with pytest.raises(Exception, match=error):
+            dimensions.national_regions(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "m.csv").write_text("target_region_code,province_name,target_region_name\n 1 ,P,R\n1,P2,\n2,,\n", encoding="utf-8")
+    assert [tuple(r) for r in dimensions.region_map(spark, str(tmp_path / "m.csv")).collect()] == [("1", "P2", "")]
+    (tmp_path / "x.json").write_text(json.dumps({"schema": "s", "rows": [{"name": "砂", "unit": "t"}, {"name": "水"}]}), encoding="utf-8")
+    assert [(r.row_no, r.name, r.unit) for r in dimensions.payload_rows(spark, str(tmp_path / "x.json"), ["name", "unit"]).orderBy("row_no").collect()] == [(0, "砂", "t"), (1, "水", "")]
+    sha = "ab" + "cd" + "0" * 60
+    (tmp_path / "store/objects/ab/cd").mkdir(parents=True)
+    (tmp_path / f"store/objects/ab/cd/{sha}.PDF").write_bytes(b"12345")
+    (tmp_path / "store/objects/odd.txt").write_bytes(b"1")
+    objects = dimensions.listed_objects(spark, str(tmp_path / "store"))
+    plan = dimensions.backfill_plan(objects, spark.createDataFrame([("objects/none",)], "object_key string"))
+    assert sorted((r.object_key, r.size, r.sha256, r.file_ext, r.outcome) for r in plan.collect()) == [(f"objects/ab/cd/{sha}.PDF", 5, sha, ".pdf", "insert"), ("objects/odd.txt", 1, None, ".txt", "unreadable")]
+    (tmp_path / "q.xlsx").write_bytes(files.write_xlsx({"a": [["no"]], "定额条目": [["banner"], ["类型", "项目编码", "名称"], ["定", "X1", "挖土"], ["工"]]}))
+    rows = dimensions.standard_rows(files.read_xlsx(spark.read.format("binaryFile").load(str(tmp_path / "q.xlsx")))).orderBy("row_no").collect()
+    assert [(r.cells[:3], len(r.cells)) for r in rows] == [(["定", "X1", "挖土"], 9), (["工", None, None], 9)]
