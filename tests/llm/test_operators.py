@@ -16,7 +16,9 @@ from folioflow.llm.tokens import Encoder
 
 R = random.Random(3)
 WORDS = ["".join(R.choices("abcdeéßx", k=R.randint(2, 6))) for _ in range(400)]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node int, component int, k int, __x int"
+#: Columns that operators might name themselves.
+CLASHES = "node component k __x bits piece key maybe wanted own gone part row found kinds new bad prints t1".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES)
 
 
 def prose(n, rng=R):
@@ -24,7 +26,7 @@ def prose(n, rng=R):
 
 
 def docs(spark, texts):
-    rows = [(i, t, "en", "s", 0, 1, 2, 3, 4) for i, t in texts]
+    rows = [(i, t, "en", "s", 0, *range(len(CLASHES))) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -122,11 +124,36 @@ def test_near_duplicates_against_brute_force(spark):
     want = brute_components(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
     assert got == want
-    kept = near_dup.drop_duplicates(docs(spark, texts + [(None, texts[3][1])])).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
+    # A repeated id with other words is judged by its own text, one with the same text goes, and rows without an id stay.
+    other = prose(80, rng)
+    frame = docs(spark, texts + [(None, texts[3][1]), (0, other), (0, other), (2, texts[2][1])])
+    left = near_dup.drop_duplicates(frame)
+    kept = left.collect()
+    assert left.columns == frame.columns and sum(r.doc_id is None for r in kept) == 1
+    assert sorted((r.doc_id, r.text or "") for r in kept if r.doc_id is not None) == sorted([(i, texts[i][1] or "") for i, (_, c) in want.items() if i == c] + [(0, other)])
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """Copies of copies, in blocks of four members: buckets and components are cut, and nothing is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = random.Random(6)
+    base, texts = prose(120, rng), []
+    for _ in range(40):
+        base = next(near_copies(base, 1, rng, 0.02))
+        texts += [base, *near_copies(base, 2, rng, 0.03)]
+    texts.append("word " * 100_000 + prose(50, rng))
+    texts = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5)]
+    got = {r.doc_id: r.node for r in near_dup.apart(spark.createDataFrame(rows, "doc_id long, node long, check long")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8
+
+
 def brute_overlap(text, items):
     split = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w]
     ws, hit, found = split(text), set(), set()
@@ -137,12 +164,12 @@ def brute_overlap(text, items):
         for k in range(len(ws) - n + 1) if n else ():
             if tuple(ws[k : k + n]) in grams:
                 hit |= set(range(k, k + n))
-                found.add(str(i))
+                found |= {str(i)} - {"None"}
     return len(ws), len(hit), sorted(found)
 
 
 def test_decontamination_against_brute_force(spark):
-    items = [(i, prose(R.randint(8, 40))) for i in range(12)] + [(20, "Solo"), (21, "two words"), (22, None), (23, ""), (24, "a " * 30)]
+    items = [(i, prose(R.randint(8, 40))) for i in range(12)] + [(None, "no id two"), (20, "Solo"), (21, "two words"), (22, None), (23, ""), (24, "a " * 30)]
     texts = []
     for i in range(60):
         w = prose(R.randint(0, 80)).split()
@@ -151,12 +178,13 @@ def test_decontamination_against_brute_force(spark):
             a = R.randint(0, len(iw) - 5)
             w[R.randint(0, len(w)) : 0] = [x.upper() if x.isascii() else x for x in iw[a : a + R.randint(5, 20)]]
         texts.append((i, ", ".join(w)))
-    texts += [(90, None), (91, ""), (92, "solo. TWO-words!"), (92, "a " * 50), (None, items[0][1])]
+    texts += [(90, None), (91, ""), (93, "There is NO id, two. No id; two"), (94, "w " * 60_000 + items[1][1]), (92, "solo. TWO-words!"), (92, "a " * 50), (None, items[0][1])]
     got = decontaminate.overlaps(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(got) == len(texts)
     want = sorted(((i, *brute_overlap(t, items)) for i, t in texts), key=repr)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got), key=repr) == want
     left = decontaminate.drop_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == docs(spark, []).columns
     bad = {i for i, _, n, _ in want if n and i is not None}
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, t in texts if i is not None and i not in bad)
     assert decontaminate.overlaps(docs(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
@@ -310,12 +338,12 @@ def test_pseudonyms_against_brute_force(spark):
 def test_pseudonyms_leave_the_rest(spark):
     invalid = "999.1.1.1 4111111111111112 1980-02-30 31.02.1999 000-12-3456 DE00370400440532013000 12:30 v1.2.3 2024"
     texts = [(1, invalid), (3, None), (4, ""), (5, "no data 12 here"), (None, "10.20.30.255"), (None, "10.20.30.255"), (6, "1.2.3.4 " + "word " * 50_000 + "1.2.3.4")]
-    frame = docs(spark, texts).withColumn("found", F.lit(1)).withColumn("kinds", F.lit(2))
+    frame = docs(spark, texts)
     out = pii.pseudonymise(frame, KEY)
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].text == invalid and rows[1].n_pii == 0 and rows[3].text is None and rows[4].text == "" and rows[5].text == "no data 12 here"
     new = plain_pseudonym("10.20.30.255", "ip")
-    assert [r.text for r in out.where("doc_id IS NULL").collect()] == [new, new] and rows[1].found == 1 and rows[1].kinds == 2
+    assert [r.text for r in out.where("doc_id IS NULL").collect()] == [new, new] and rows[1].found == CLASHES.index("found") and out.columns == [*frame.columns, "n_pii"]
     assert rows[6].text.startswith(plain_pseudonym("1.2.3.4", "ip") + " word") and rows[6].n_pii == 2
     assert len({plain_feistel(i // 773, i % 773, 189, 773, "date") for i in range(146097)}) == 146097
     assert pii.pseudonymise(docs(spark, []), KEY).count() == 0
@@ -352,6 +380,18 @@ def test_main_text():
     assert html_text.main_text(bare).count("\n") == 4
 
 
+def test_marked_elements_come_back_if_they_hold_the_text(spark):
+    body = "<p>" + "Many words of a story in a row. " * 8 + "</p>"
+    for page in (f'<body><div class="article-body side-story">{body}<div class="comments"><p>me too</p></div></div></body>', f'<article><div class="comment-free">{body}</div></article>', f"<article><form>{body}</form></article>"):
+        assert html_text.main_text(page) == ("Many words of a story in a row. " * 8).strip()
+    assert html_text.main_text('<article><p>Short text.</p></article><footer>' + "Notes of the house in a long line. " * 3 + "</footer>") == "Short text."
+    pages = [(1, "u", body), (1, "u", body), (None, None, None), (2, "u", ""), (3, "u", "<div>" * 3000 + "x</b></li>" * 3000), (4, "u", f"<article>{body * 2000}</article>")]
+    frame = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")
+    got = sorted((r.page_id or 0, r.text) for r in html_text.extract_text(frame).collect())
+    assert got == sorted((i or 0, html_text.main_text(h)) for i, _, h in pages) and got[-1][1].count("\n") == 1999
+    assert html_text.extract_text(frame.limit(0)).count() == 0
+
+
 def test_main_text_by_ratio():
     body = [f"Paragraph {i} of the story, " + "with many words in a row " * 6 for i in range(6)]
     story = "<h1>The story</h1>" + "".join(f"<p>{t.strip()}</p>" for t in body)
@@ -493,6 +533,21 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_spread_against_power_iteration(spark):
+    rng = random.Random(2)
+    hosts = [f"h{i}" for i in range(30)]
+    edges = {(a, b): rng.randint(1, 4) for a, b in (rng.sample(hosts, 2) for _ in range(90))}
+    seeds = {h: rng.random() for h in hosts[:6]}
+    total = {b: sum(n for (_, y), n in edges.items() if y == b) for _, b in edges}
+    level, received = dict(seeds), {}
+    for _ in range(urls.ITERATIONS):
+        received = {b: urls.DAMPING * sum(n / total[b] * level.get(a, 0) for (a, y), n in edges.items() if y == b) for b in total}
+        level = {h: max(seeds.get(h, 0), received.get(h, 0)) for h in hosts}
+    frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    got = {r.host: r.received for r in urls.spread(frame, spark.createDataFrame(list(seeds.items()), "host string, weight double")).collect()}
+    assert all(abs(got.get(h, 0) - v) < 1e-9 for h, v in received.items()) and set(got) <= set(received)
+
+
 def test_distrust_does_not_shrink_with_the_graph(spark):
     edges = spark.createDataFrame([("s1", "farm", 1), ("s1", "mixed", 1), ("good", "mixed", 3), ("farm", "second", 2)], "src string, dst string, n long")
     want = {"farm": 0.85, "mixed": 0.2125, "second": 0.7225}
