@@ -44,7 +44,7 @@ def benchmark_prints(items: DataFrame, id_col: str = "item_id", text_col: str =
     ws = ws.withColumn("hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
     ws = ws.withColumn("grams", _grams(F.col("hashes"), GRAM))
     short = [F.when(F.size("item_words") == n, _grams(F.col("hashes"), n)) for n in range(1, SPAN)]
-    marks = ws.select("item_id", "item_words", F.explode(F.coalesce(*short, _minima(F.col("grams")))).alias("v"))
+    marks = ws.select("item_id", "item_words", F.explode_outer(F.coalesce(*short, _minima(F.col("grams")))).alias("v")).where("v IS NOT NULL")
     return marks.select(
         F.col("v").bitwiseAND(F.lit(~POSITION)).alias("print"), F.col("v").bitwiseAND(F.lit(POSITION)).cast("int").alias("item_at"),
         "item_id", "item_words", F.least(F.size("item_words"), F.lit(SPAN)).alias("span"),
@@ -52,7 +52,11 @@ def benchmark_prints(items: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _printed(rows: DataFrame, least: list[int]) -> DataFrame:
-    """rows with the hashes of their words `ws`, and their fingerprints `prints`: winnowed, and all of the short lengths."""
+    """rows with the hashes of their words `ws`, and their fingerprints `prints`: winnowed, and all of the short lengths.
+
+    Explode them as explode_outer: for a plain explode Spark puts a filter on their number below these columns, with
+    all of their expressions written into one another, so that every gram would hash the whole text again.
+    """
     rows = rows.withColumn("hashes", F.transform("ws", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("grams", _grams(F.col("hashes"), GRAM))
     return rows.withColumn("prints", F.concat(_minima(F.col("grams")), *[_grams(F.col("hashes"), n) for n in least]))
@@ -81,7 +85,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     size, least = marks.agg(F.sum(F.length(F.concat_ws(" ", "item_words")) + 24 * F.size("item_words") + 64), F.collect_set(F.when(F.col("span") < SPAN, F.col("span")))).first()
     small, least = (size or 0) <= BROADCAST_BYTES, sorted(least)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.struct(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")))
-    bare = _printed(rows.select("key", words(F.col("text")).alias("ws")), least).select("key", F.explode("prints").alias("v"))
+    bare = _printed(rows.select("key", words(F.col("text")).alias("ws")), least).select("key", F.explode_outer("prints").alias("v")).where("v IS NOT NULL")
     bare = bare.select("key", F.col("v").bitwiseAND(F.lit(~POSITION)).alias("print"))
     known = marks.select("print").distinct()
     met = stored(_met(bare, known, "key", small, "inner").select("key").distinct(), "met")
@@ -96,7 +100,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     pieces = F.transform("prints", lambda v: F.struct(v.alias("v"), F.slice("ws", first(v) + 1, SPAN + WINDOW - 1).alias("near")))
     # A piece without a fingerprint stays in any case, so rows without a hit come out too.
     marker = F.array(F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("array<string>").alias("near")))
-    seen = found.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.explode(F.concat(pieces, marker)).alias("p"))
+    seen = found.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.explode_outer(F.concat(pieces, marker)).alias("p"))
     seen = seen.select("row", "doc_id", "n_words", F.col("p.v").bitwiseAND(F.lit(~POSITION)).alias("print"), at(F.col("p.v")).alias("at"), first(F.col("p.v")).alias("first"), "p.near")
     hits = _met(seen, marks, "row", small, "left").where("item_words IS NOT NULL OR at IS NULL")
     shifts = F.sequence(-F.least(F.lit(WINDOW - 1), F.col("at"), F.col("item_at")), F.lit(0))

@@ -27,7 +27,7 @@ def path_of(url: Column) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): pages of src that link to another host dst, counted before the shuffle as far as they can be."""
     links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), ascii_lower))
-    rows = pages.select("host", F.explode(links).alias("dst")).where("host <> '' AND dst <> '' AND host <> dst")
+    rows = pages.select("host", F.explode_outer(links).alias("dst")).where("host <> '' AND dst <> '' AND host <> dst")
     return rows.groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
