@@ -28,6 +28,8 @@ WIDE, WIDE_LIMIT = 256, 96
 CHUNK = POSITIONS // CHUNKS
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 1024
+#: Hashes of words that a worker keeps at a time.
+CACHED_WORDS = 100_000
 #: Times that the members of a bucket are compared with one of them before components ask for each other.
 HUBS = 2
 _PRIME = 0x9E3779B97F4A7C15
@@ -60,7 +62,7 @@ class Shingler:
         try:
             h = np.array([known[w] for w in found], np.uint64)
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > CACHED_WORDS:
                 known.clear()
             for w in found:
                 if w not in known:
@@ -251,8 +253,8 @@ def _reaching(left: DataFrame, texts: DataFrame) -> DataFrame:
                     if len(js):
                         js = js[(sigs[js] != sig).sum(axis=1) <= WIDE_LIMIT]
                         found.update((node, *p) for p in zip(comps[js].tolist(), blocks[js].tolist()))
-            if len(found) > 50_000:
-                yield out()
+                if len(found) > 50_000:
+                    yield out()
         if found:
             yield out()
 

@@ -21,6 +21,8 @@ MIN_ROWS, ODDS = 5, 2.0
 #: Thresholds are multiples of 1 / BINS. A language with a RARE-th of the labelled rows or more has its own, for which
 #: the errors over all languages count as PRIOR_ROWS of its rows; there can't be more than RARE such languages.
 BINS, RARE, PRIOR_ROWS = 100, 1000, 50
+#: Buckets of words that a worker keeps at a time.
+CACHED_WORDS = 100_000
 _WORD = r"[^\W_]+"
 
 
@@ -32,7 +34,7 @@ def bucket_ids(text: str | None, cache: dict) -> list[int]:
     try:
         return [cache[w] for w in found]
     except KeyError:
-        if len(cache) > 500_000:
+        if len(cache) > CACHED_WORDS:
             cache.clear()
         for w in found:
             if w not in cache:
