@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_text, language_model, near_dup, packing, pii, simple8b, toxicity, urls
+from . import decontaminate, embeddings, fill_in_middle, html_text, language_model, merkle, near_dup, packing, pii, relative_lz, simple8b, toxicity, urls
 from .common import spread
 
 #: Stated in the open only because the driver's tables are made up; a real key is a secret.
@@ -74,9 +74,29 @@ def op10_main_text(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    # The later state of the table, in which some texts have lost their line ends.
+    cut = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    later = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(*cut))
+    proved = merkle.manifest(table(spark, sf_dir, "documents"), {"later": later})
+    folded = merkle.fold(F.coalesce("later", "leaf"), F.col("path"))
+    hexed = [merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    out = proved.select("doc_id", *hexed, F.sha2(merkle.hex_text(merkle.proof(F.col("path"))), 256).alias("proof_sha256"), merkle.hex_text(folded).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark, sf_dir):
+    return relative_lz.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_packing, op3_token_files, op4_pseudonyms, op5_decontamination, op6_url_filter, op7_quality, op8_embedding_duplicates, op9_toxicity, op10_main_text)
+    for f in (op1_near_duplicates, op2_packing, op3_token_files, op4_pseudonyms, op5_decontamination, op6_url_filter, op7_quality, op8_embedding_duplicates, op9_toxicity, op10_main_text,
+              op11_merkle_manifest, op12_fill_in_middle, op13_substring_dedup)
 }
 
 ORACLE_SQL = {
@@ -123,4 +143,65 @@ c AS (SELECT a AS vec_id, least(a, min(b)) AS component_id FROM r GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT x.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, x.vec_id) AS component_id, x.vec_id = coalesce(component_id, x.vec_id) AS kept
 FROM embeddings x LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, coalesce('+' || source, '') AS grp, text,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head
+  FROM documents),
+l AS (
+  SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    xor(4294967295, list_reduce([4294967295] || [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(doc_id AS VARCHAR), '')],
+      lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) AS sum32,
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS later
+  FROM f),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS members FROM l),
+t AS (
+  SELECT grp, 0 AS level, idx, leaf AS node, members FROM n0
+  UNION ALL
+  SELECT grp, level + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (members + 2) // 3 FROM t WHERE members > 1 GROUP BY grp, level, idx // 3, members),
+h0 AS (SELECT grp AS of, node, level AS height, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS members FROM t WHERE members = 1),
+u AS (
+  SELECT 0 AS level, idx, node, members FROM h0
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (members + 2) // 3 FROM u WHERE members > 1 GROUP BY level, idx // 3, members),
+s AS (
+  SELECT a.grp, a.level, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+  FROM t a JOIN t b ON a.grp = b.grp AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.members > 1 GROUP BY a.grp, a.level, a.idx),
+v AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+  FROM u a JOIN u b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.members > 1 GROUP BY a.level, a.idx),
+steps AS (
+  SELECT n0.grp, n0.idx, s.level AS step, lft, rgt FROM n0 JOIN s ON s.grp = n0.grp AND s.idx = n0.idx // CAST(pow(3, s.level) AS BIGINT)
+  UNION ALL
+  SELECT n0.grp, n0.idx, h0.height + v.level, lft, rgt FROM n0 JOIN h0 ON h0.of = n0.grp JOIN v ON v.idx = h0.idx // CAST(pow(3, v.level) AS BIGINT)),
+w AS (
+  SELECT grp, idx, 0 AS step, CASE WHEN sum32 % 2 = 0 THEN later ELSE leaf END AS node FROM n0
+  UNION ALL
+  SELECT w.grp, w.idx, w.step + 1, sha256(steps.lft || w.node || steps.rgt) FROM w JOIN steps ON steps.grp = w.grp AND steps.idx = w.idx AND steps.step = w.step),
+last AS (SELECT grp, idx, arg_max(node, step) AS folded FROM w GROUP BY grp, idx),
+p AS (SELECT grp, idx, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof FROM steps GROUP BY grp, idx)
+SELECT n0.doc_id, n0.leaf, h0.node AS subroot, u.node AS root, coalesce(p.proof, sha256('')) AS proof_sha256, last.folded AS folded_root, last.folded = u.node AS verified
+FROM n0 JOIN h0 ON h0.of = n0.grp JOIN u ON u.members = 1 LEFT JOIN p ON p.grp = n0.grp AND p.idx = n0.idx JOIN last ON last.grp = n0.grp AND last.idx = n0.idx""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, length(t) AS n, [CAST('0x' || substr(h, 1 + 8 * k, 8) AS BIGINT) for k in [0, 1, 2, 3]] AS r FROM d),
+f AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f""",
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, k, md5(array_to_string(ws[k:k + 19], ' ')) AS window_md5 FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS k FROM d)),
+r AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY window_md5 ORDER BY doc_id, k) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 19)) AS k FROM r),
+x AS (SELECT d.doc_id, k, word FROM (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS k FROM d) d ANTI JOIN g USING (doc_id, k)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM x GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, len(d.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
