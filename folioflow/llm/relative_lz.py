@@ -13,23 +13,21 @@ sends what it has seen before only once, and the index is read as a sorted strea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, short_batches, stored
 
-SPAN, ANCHOR = 20, 8
+SPAN, ANCHOR = 20, 6
 #: Blocks that a task remembers at a time, to send those that come again only once.
 REMEMBERED = 200_000
 #: Hashes of words that a worker keeps at a time.
 CACHED_WORDS = 200_000
-#: `lo` and `hi` are the first and the last window of a block, by their first words. A row without source is a block that
-#: is sought in the index; one with a source has been found, and shard only deals it out.
-BLOCKS = "shard long, identity long, doc_id long, row long, lo long, hi long, found boolean, source long, source_lo long"
+#: A span has the first word of its first window in the upper half and that of its last one in the lower. A row without
+#: source_lo is a block that is sought in the index; one with it has been found, and shard only deals it out.
+BLOCKS = "shard long, identity long, doc_id long, row long, span long, source long, source_lo long"
 #: Found windows, and blocks whose windows are to be looked up (gram is not null).
-FOUND = "gram long, doc_id long, row long, lo long, hi long, source long, source_lo long"
+FOUND = "gram long, row long, span long, source long, source_lo long"
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BITS = (1 << 64) - 1
 
@@ -102,154 +100,210 @@ def blocks(words):
     return grams[anchor].view(np.int64), identity.view(np.int64), lo, hi
 
 
-class Seen:
-    """Remembers where keys were seen first, up to REMEMBERED of them; those that came again stay longest."""
+class Places:
+    """Where blocks or windows start, as arrays: whether the document has an id, its id, its row, the first word."""
 
-    def __init__(self):
-        self.first, self.again = {}, set()
+    def __init__(self, known, ids, rows, lo):
+        self.parts = (known, ids, rows, lo)
 
-    def __call__(self, key, place: tuple):
-        """The place, before this one, where the key was seen; None, and this one is remembered, if there is none."""
-        known = self.first.get(key)
-        if known is not None and known < place:
-            self.again.add(key)
-            return known
-        if known is None and len(self.first) >= REMEMBERED:
-            kept = self.again if len(self.again) < REMEMBERED // 2 else ()
-            self.first, self.again = {k: self.first[k] for k in kept}, set()
-        self.first[key] = place
-        return None
+    def __getitem__(self, at):
+        return Places(*[p[at] for p in self.parts])
 
+    def before(self, other: Places):
+        """Whether each place comes before the other's, nulls first."""
+        import numpy as np
 
-def _order(doc_id: int | None) -> int:
-    """A document's place by its id, nulls first."""
-    return -(1 << 63) - 1 if doc_id is None else doc_id
+        less, same = np.zeros(len(self.parts[0]), bool), np.ones(len(self.parts[0]), bool)
+        for a, b in zip(self.parts, other.parts):
+            less |= same & (a < b)
+            same &= a == b
+        return less
 
+    def joined(self, other: Places) -> Places:
+        import numpy as np
 
-def _id(order: int) -> int | None:
-    return None if order < -(1 << 63) else order
+        return Places(*[np.concatenate(x) for x in zip(self.parts, other.parts)])
 
 
-def _merged(found: list[tuple]) -> Iterator[list]:
-    """[lo, hi, source, source_lo] of (lo, hi, source, source_lo) in order of lo, where those that go on in the same
-    source are one: the greedy factors."""
-    now = None
-    for lo, hi, source, source_lo in found:
-        if now and source == now[2] and source_lo - lo == now[3] - now[0] and lo <= now[1] + 1:
-            now[1] = max(now[1], hi)
-            continue
-        if now:
-            yield now
-        now = [lo, hi, source, source_lo]
-    if now:
-        yield now
+class Seen:
+    """Remembers where keys were seen first, up to REMEMBERED of them; of more, those that came again stay."""
+
+    def __init__(self):
+        import numpy as np
+
+        none = np.zeros(0, np.int64)
+        self.key, self.shard, self.identity, self.again = none.view(np.uint64), none, none, none.astype(bool)
+        self.places = Places(none.astype(bool), none, none, none)
 
+    def __call__(self, shard, identity, places: Places):
+        """Whether each of some distinct keys was seen at an earlier place, and the places of those that were. The others
+        are remembered."""
+        import numpy as np
+
+        key = shard.view(np.uint64) ^ _mix(identity.view(np.uint64))
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        met = (self.key[at] == key) & (self.shard[at] == shard) & (self.identity[at] == identity) if len(self.key) else np.zeros(len(key), bool)
+        earlier = met.copy()
+        earlier[met] = self.places[at[met]].before(places[met])
+        self.again[at[met]] = True
+        sources, new = self.places[at[earlier]], ~earlier
+        kept = np.ones(len(self.key), bool)
+        kept[at[met & new]] = False
+        if int(kept.sum()) + int(new.sum()) > REMEMBERED:
+            kept &= self.again if int(self.again.sum()) <= REMEMBERED // 2 else False
+        merged = np.concatenate([self.key[kept], key[new]])
+        order = np.argsort(merged, kind="stable")
+        self.key = merged[order]
+        self.shard, self.identity = np.concatenate([self.shard[kept], shard[new]])[order], np.concatenate([self.identity[kept], identity[new]])[order]
+        self.again = np.concatenate([self.again[kept], np.zeros(int(new.sum()), bool)])[order]
+        self.places = self.places[kept].joined(places[new])[order]
+        return earlier, sources
+
+
+def _factors(row, lo, hi, known, source, source_lo):
+    """Where, in arrays sorted by row and lo, a new factor begins: those that go on in the same source are one, greedily."""
+    import numpy as np
 
-def _batches(rows, names: str, size: int = 1 << 16):
-    """Rows as Arrow batches."""
+    on = (row[1:] == row[:-1]) & (known[1:] == known[:-1]) & (source[1:] == source[:-1]) & (source_lo[1:] - lo[1:] == source_lo[:-1] - lo[:-1]) & (lo[1:] <= hi[:-1] + 1)
+    return np.flatnonzero(np.append(True, ~on)) if len(row) else np.zeros(0, np.int64)
+
+
+def _longs(values, known=None):
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "factors": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "source", "source_start")]))}
-    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in names.split(", "))])
-    held, weight = [], 0
-    for row in rows:
-        held.append(row)
-        weight += 1 + (len(row[-1]) >> 6 if isinstance(row[-1], str) else 0)
-        if weight >= size:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, weight = [], 0
-    if held:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    return pa.array(values, pa.int64(), mask=None if known is None else ~known)
 
 
-def _rows(batches) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*[c.to_pylist() for c in b.columns])
+def _dealt(seen: Seen, shard, identity, hi, places: Places):
+    """A batch of BLOCKS: what this task sees first, and what it has seen earlier as found, in factors."""
+    import numpy as np
+    import pyarrow as pa
+
+    known, ids, rows, lo = places.parts
+    order = np.lexsort((lo, rows, ids, known, identity, shard))
+    s, i = shard[order], identity[order]
+    first = np.append(True, (s[1:] != s[:-1]) | (i[1:] != i[:-1]))[: len(order)]
+    leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    lead = order[first]
+    earlier, sources = seen(shard[lead], identity[lead], places[lead])
+    # What the batch repeats comes from its first, what earlier batches had from there.
+    found, of = np.concatenate([order[~first], lead[earlier]]), places[leader[~first]].joined(sources)
+    sort = np.lexsort((lo[found], rows[found]))
+    found, of = found[sort], of[sort]
+    starts = _factors(rows[found], lo[found], hi[found], of.parts[0], of.parts[1], of.parts[3])
+    ends = np.append(starts[1:], len(found))[: len(starts)] - 1
+    head, sent = found[starts], lead[~earlier]
+    none, every = np.zeros(len(sent), np.int64), np.concatenate([sent, head])
+    columns = [
+        _longs(np.concatenate([shard[sent], rows[head] ^ lo[head] << 40])), _longs(np.concatenate([identity[sent], 0 * head])), _longs(ids[every], known[every]), _longs(rows[every]),
+        _longs(np.concatenate([lo[sent] << 32 | hi[sent], lo[head] << 32 | hi[found[ends]]])),
+        _longs(np.concatenate([none, of.parts[1][starts]]), np.concatenate([none.astype(bool), of.parts[0][starts]])), _longs(np.concatenate([none, of.parts[3][starts]]), np.arange(len(every)) >= len(sent)),
+    ]
+    return pa.record_batch(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def _documents(batch, id_column: int = 1, row_column: int = 0):
+    """Whether the documents of a batch have ids, their ids, and their rows."""
+    import pyarrow.compute as pc
+
+    ids = batch.column(id_column)
+    return pc.is_valid(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy(), batch.column(row_column).to_numpy()
 
 
 def _cut(batches):
     """Blocks of (row, doc_id, text); those that this task has seen before are found already."""
-    words, seen = Words(), Seen()
-
-    def rows():
-        for row, doc, text in _rows(batches):
-            gram, identity, lo, hi = blocks(words(text))
-            order, found = _order(doc), []
-            for g, i, a, b in zip(gram.tolist(), identity.tolist(), lo.tolist(), hi.tolist()):
-                known = seen((g, i), (order, row, a))
-                if known is None:
-                    yield g, i, doc, row, a, b, False, None, None
-                else:
-                    found.append((a, b, known[0], known[2]))
-            for a, b, source, source_lo in _merged(found):
-                yield row ^ a << 40, 0, doc, row, a, b, True, _id(source), source_lo
+    import numpy as np
 
-    return _batches(rows(), BLOCKS)
+    words, seen = Words(), Seen()
+    for b in batches:
+        cut = [blocks(words(t.as_py())) for t in b.column(2)]
+        if not any(len(c[0]) for c in cut):
+            continue
+        shard, identity, lo, hi = (np.concatenate(x) for x in zip(*cut))
+        of = np.repeat(np.arange(len(cut)), [len(c[0]) for c in cut])
+        known, ids, rows = (x[of] for x in _documents(b))
+        yield _dealt(seen, shard, identity, hi, Places(known, ids, rows, lo))
 
 
 def _parsed(batches):
     """Sorted blocks against the index: a block that isn't the first of its identity is found in that; the first ones of
-    a gram that leads to several are handed on with the gram."""
-
-    def rows():
-        gram = identity = first = None
-        alone = None  # the gram's first block, as long as no other identity has come
-        for shard, ident, doc, row, lo, hi, found, source, source_lo in _rows(batches):
-            if found:
-                yield None, doc, row, lo, hi, source, source_lo
-                continue
-            if shard != gram:
-                gram, identity, first, alone = shard, ident, (doc, lo), (doc, row, lo, hi)
-            elif ident == identity:
-                yield None, doc, row, lo, hi, *first
-            else:
-                if alone:
-                    yield gram, *alone, None, None
-                    alone = None
-                identity, first = ident, (doc, lo)
-                yield gram, doc, row, lo, hi, None, None
-
-    return _batches(rows(), FOUND)
+    a gram that leads to several are handed on with the gram. What a gram holds back is its first block, as long as no
+    other identity has come."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    gram = identity = first = alone = None
+    for b in batches:
+        done = np.asarray(b.column(6).is_valid())
+        yield pa.record_batch([pa.nulls(int(done.sum()), pa.int64()), *[b.column(k).filter(pa.array(done)) for k in (3, 4, 5, 6)]], names=names)
+        if done.all():
+            continue
+        shard, ident, span = (b.column(k).to_numpy()[~done] for k in (0, 1, 4))
+        known, ids, row = (x[~done] for x in _documents(b, 2, 3))
+        n = len(shard)
+        new_gram = np.append(gram is None or shard[0] != gram, shard[1:] != shard[:-1])
+        new = new_gram | np.append(identity is None or ident[0] != identity, ident[1:] != ident[:-1])
+        run = np.cumsum(new_gram)
+        several = np.bincount(run, weights=new).astype(int)
+        opened = new & np.where(new_gram, several[run] > 1, True)
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        source_known, source, source_lo = known[at], ids[at], span[at] >> 32
+        if at[0] < 0:
+            source_known[at < 0], source[at < 0], source_lo[at < 0] = first
+        again = ~new
+        held = [alone] if alone and several[0] else []
+        grams = np.concatenate([np.array([gram for _ in held], np.int64), shard[opened]])
+        out = [np.concatenate([np.array([h[k] for h in held], np.int64), x[opened]]) for k, x in enumerate((row, span))]
+        yield pa.record_batch([_longs(grams), *map(_longs, out), pa.nulls(len(grams), pa.int64()), pa.nulls(len(grams), pa.int64())], names=names)
+        yield pa.record_batch([pa.nulls(int(again.sum()), pa.int64()), _longs(row[again]), _longs(span[again]), _longs(source[again], source_known[again]), _longs(source_lo[again])], names=names)
+        if new_gram.any():
+            k = int(np.flatnonzero(new_gram)[-1])
+            alone = (int(row[k]), int(span[k])) if several[run[-1]] == 1 else None
+        elif held:
+            alone = None
+        if new.any():
+            k = int(np.flatnonzero(new)[-1])
+            first = bool(known[k]), int(ids[k]), int(span[k]) >> 32
+        gram, identity = int(shard[-1]), int(ident[-1])
 
 
 def _windows(batches):
-    """Single windows of (row, doc_id, text, open blocks) under the names of BLOCKS: shard is the window, identity its gram."""
+    """Single windows of (row, doc_id, text, undecided blocks) as BLOCKS: shard is the window, identity its gram."""
     import numpy as np
 
     words, seen = Words(), Seen()
-
-    def rows():
-        for row, doc, text, undecided in _rows(batches):
-            second, order = Runs(words(text), _SECOND), _order(doc)
-            found = []
-            of = sorted((k, x["gram"]) for x in undecided for k in range(x["lo"], x["hi"] + 1))
-            at = np.array([k for k, _ in of])
-            for window, (k, gram) in zip(second(at, at + SPAN).view(np.int64).tolist(), of):
-                known = seen((window, gram), (order, row, k))
-                if known is None:
-                    yield window, gram, doc, row, k, k, False, None, None
-                else:
-                    found.append((k, k, known[0], known[2]))
-            for a, b, source, source_lo in _merged(sorted(found)):
-                yield row ^ a << 40, 0, doc, row, a, b, True, _id(source), source_lo
-
-    return _batches(rows(), BLOCKS)
+    for b in batches:
+        lists = b.column(3)
+        bounds, inner = lists.offsets.to_numpy(), lists.values
+        gram, span = (inner.field(k).to_numpy() for k in (0, 1))
+        made = []
+        for k, text in enumerate(b.column(2)):
+            own = slice(int(bounds[k]), int(bounds[k + 1]))
+            lo, hi = span[own] >> 32, span[own] & 0xFFFFFFFF
+            sizes = hi - lo + 1
+            at = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            made.append((Runs(words(text.as_py()), _SECOND)(at, at + SPAN).view(np.int64), np.repeat(gram[own], sizes), at))
+        if made:
+            window, grams, at = (np.concatenate(x) for x in zip(*made))
+            known, ids, rows = (x[np.repeat(np.arange(len(made)), [len(m[0]) for m in made])] for x in _documents(b))
+            yield _dealt(seen, window, grams, at, Places(known, ids, rows, at))
 
 
 def _looked_up(sought: DataFrame) -> DataFrame:
     """BLOCKS, those of one shard together and in order."""
-    return sought.repartition("shard").sortWithinPartitions("shard", "identity", F.col("doc_id").asc_nulls_first(), "row", "lo")
+    return sought.repartition("shard").sortWithinPartitions("shard", "identity", F.col("doc_id").asc_nulls_first(), "row", "span")
 
 
 def _found(held: DataFrame) -> DataFrame:
-    """(row, lo, hi, source, source_lo) of the windows of held (row, doc_id, text) that also start earlier."""
+    """(row, span, source, source_lo) of the windows of held (row, doc_id, text) that also start earlier."""
     parsed = stored(_looked_up(held.mapInArrow(_cut, BLOCKS)).mapInArrow(_parsed, FOUND), "blocks")
     release(held.sparkSession)
-    undecided = parsed.where("gram IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("undecided"))
+    undecided = parsed.where("gram IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("gram", "span")).alias("undecided"))
     windows = held.join(undecided, "row").select("row", "doc_id", "text", "undecided").mapInArrow(_windows, BLOCKS)
     singles = stored(_looked_up(windows).mapInArrow(_parsed, FOUND), "windows")
     release(held.sparkSession)
-    return parsed.unionByName(singles).where("gram IS NULL").select("row", "lo", "hi", "source", "source_lo")
+    return parsed.unionByName(singles).where("gram IS NULL").select("row", "span", "source", "source_lo")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,27 +318,42 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
-    spans = _found(held).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "source", "source_lo")).alias("spans"))
-    names = "doc_id long, n_words long, n_removed long, factors factors, kept string"
+    spans = _found(held).groupBy("row").agg(F.collect_list(F.struct("span", "source", "source_lo")).alias("spans"))
 
     def kept(batches):
-        import numpy as np
+        from itertools import compress
 
-        def rows():
-            for doc, text, spans in _rows(batches):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                found = [[*x.values()] for x in spans or ()]
-                factors = [*_merged(sorted(found, key=lambda x: x[:2]))]
-                edges = np.zeros(len(words) + 1, np.int64)
-                for lo, hi, *_ in factors:
-                    edges[lo] += 1
-                    edges[hi + SPAN] -= 1
-                gone = np.cumsum(edges)[: len(words)] > 0
-                left = b" ".join(words[k] for k in np.flatnonzero(~gone)).decode("utf-8", "surrogatepass") if factors else b" ".join(words).decode("utf-8", "surrogatepass")
-                told = [{"start": lo, "length": hi - lo + SPAN, "source": source, "source_start": start} for lo, hi, source, start in factors]
-                yield doc, len(words), int(gone.sum()), told, left
-
-        yield from _batches(rows(), names)
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            lists = b.column(2)
+            of = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            inner = lists.flatten()
+            span, source, start = (pc.fill_null(inner.field(k), 0).to_numpy() for k in range(3))
+            lo, hi, known = span >> 32, span & 0xFFFFFFFF, pc.is_valid(inner.field(1)).to_numpy(zero_copy_only=False)
+            order = np.lexsort((hi, lo, of))
+            of, lo, hi, source, start, known = (x[order] for x in (of, lo, hi, source, start, known))
+            begin = _factors(of, lo, hi, known, source, start)
+            end = np.append(begin[1:], len(of))[: len(begin)] - 1
+            bounds = np.searchsorted(of[begin], np.arange(len(b) + 1))
+            n_words, n_removed, left = [], [], []
+            for k, text in enumerate(b.column(1)):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                own = slice(bounds[k], bounds[k + 1])
+                n_words.append(len(words))
+                if bounds[k] < bounds[k + 1]:
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edges, lo[begin[own]], 1)
+                    np.add.at(edges, hi[end[own]] + SPAN, -1)
+                    stays = (np.cumsum(edges)[:-1] == 0).tolist()
+                    words = list(compress(words, stays))
+                n_removed.append(n_words[-1] - len(words))
+                left.append(b" ".join(words))
+            told = pa.StructArray.from_arrays([_longs(lo[begin]), _longs(hi[end] - lo[begin] + SPAN), _longs(source[begin], known[begin]), _longs(start[begin])], ["start", "length", "source", "source_start"])
+            columns = [b.column(0), _longs(n_words), _longs(n_removed), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), told), pa.array(left, pa.binary()).cast(pa.string())]
+            yield pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "factors", "kept"])
 
     out = "doc_id long, n_words long, n_removed long, factors array<struct<start:long,length:long,source:long,source_start:long>>, kept string"
     return held.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(kept, out)
