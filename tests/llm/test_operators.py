@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, embeddings, html_text, language_model, near_dup, packing, pii, simple8b, toxicity, urls
+from folioflow.llm import decontaminate, embeddings, fill_in_middle, html_text, language_model, merkle, near_dup, packing, pii, relative_lz, simple8b, toxicity, urls
 from folioflow.llm.queries import tokenizer_path
 from folioflow.llm.tokens import Encoder
 
@@ -578,3 +578,168 @@ def test_embeddings_against_brute_force(spark):
     got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(table).collect()}
     assert got == want
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+# Operators 11 to 13: rows with null and repeated ids, equal rows, null and empty texts, clashing columns
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_merkle(rows, fan):
+    """Per row (id, leaf, subroot, root, siblings) of (id, group, leaf), by walking every tree."""
+
+    def climb(level):
+        steps = [[] for _ in level]
+        own = list(range(len(level)))
+        while len(level) > 1:
+            for k, at in enumerate(own):
+                run = level[at - at % fan : at - at % fan + fan]
+                steps[k] += run[: at % fan] + run[at % fan + 1 :]
+            level = [sha("".join(level[k : k + fan])) for k in range(0, len(level), fan)]
+            own = [at // fan for at in own]
+        return level[0], steps
+
+    groups = {}
+    for row in sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0] is not None, r[0] or 0, r[2])):
+        groups.setdefault(row[1], []).append(row)
+    tops = [climb([r[2] for r in g]) for g in groups.values()]
+    root, over = climb([t for t, _ in tops])
+    return sorted((str(r[0]), r[2], top, root, sha("".join(steps[k] + above))) for g, (top, steps), above in zip(groups.values(), tops, over) for k, r in enumerate(g))
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_merkle_against_brute_force(spark, fan):
+    rng = random.Random(fan)
+    rows = [(i, rng.choice(["a\nb", "", None, "é\n\n", "x" * 5000]), rng.choice(["en", None]), rng.choice(["s1", "s1", "s1", "S", "", None, "ü", "-"]), rng.choice([1, None])) for i in [*range(70), None, None, 5, 5, -3]]
+    rows += [(9, "same", "en", "s1", 1)] * 3 + [(1000, "alone", "en", "only", 1)]
+    frame = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, grp int, node string, idx int")
+
+    def leaf(r, cut=False):
+        text = r[1].replace("\n", "") if cut and r[1] is not None else r[1]
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (r[0], r[3], r[2], r[4], text)))
+
+    cut = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    found = merkle.manifest(frame, {"later": merkle.leaf(*cut)}, fan=fan)
+    hexed = [merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    out = found.select("doc_id", *hexed, F.sha2(merkle.hex_text(merkle.proof(F.col("path"))), 256).alias("proof"), merkle.hex_text(merkle.fold(F.col("leaf"), F.col("path"))).alias("folded"), merkle.hex_text(merkle.fold(F.col("later"), F.col("path"))).alias("later")).collect()
+    assert sorted((str(r.doc_id), r.leaf, r.subroot, r.root, r.proof) for r in out) == brute_merkle([(r[0], r[3], leaf(r)) for r in rows], fan)
+    assert all(r.folded == r.root for r in out)
+    changed = {leaf(r) for r in rows if leaf(r) != leaf(r, True)}
+    assert changed and all((r.later == r.root) == (r.leaf not in changed) for r in out)
+    assert merkle.manifest(frame.limit(0)).count() == 0
+    lone = merkle.manifest(frame.where("doc_id = 1000")).collect()[0]
+    assert lone.leaf == lone.subroot == lone.root and lone.path == []
+
+
+def test_merkle_deals_a_hot_group_out(spark):
+    """Leaves of one group lie in several partitions, and are numbered without gaps."""
+    frame = spark.range(3000).select(F.lit("").alias("grp"), F.lit(None).cast("long").alias("id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("node"))
+    placed = merkle._ranked(frame, [F.col("id").asc_nulls_first(), F.col("node").asc()])
+    assert sorted(r.idx for r in placed.collect()) == list(range(3000)) and {r.members for r in placed.collect()} == {3000}
+    assert [r.node for r in placed.orderBy("idx").collect()] == sorted(r.node for r in placed.collect())
+
+
+def test_fill_in_middle_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(fill_in_middle, "CHUNK", 7)
+    tricky = ["", None, "<", "<P", "a<S", "x<P>y", "<<<<SSS>>>", "é中😀" * 9, "a", "<S" * 30, "long " * 3000, "<M>", "\n\t "]
+    texts = [(i, tricky[i % len(tricky)]) for i in range(260)] + [(None, "no id"), (None, "no id"), (4, "again"), (4, "again"), (4, None)]
+    frame = docs(spark, texts).repartition(3)
+
+    def want(i, t):
+        t = t or ""
+        h = [int(sha(f"1:{'' if i is None else i}")[k : k + 8], 16) for k in (0, 8, 16, 24)]
+        a, b = sorted(x % (len(t) + 1) for x in h[:2])
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            return "plain", None, None, t
+        if h[3] % 100 < 20:
+            return "spm", a, b - a, f"<S>{t[b:]}<P>{t[:a]}<M>{t[a:b]}"
+        return "psm", a, b - a, f"<P>{t[:a]}<S>{t[b:]}<M>{t[a:b]}"
+
+    rows = [(str(i), len(t or ""), *want(i, t), t or "") for i, t in texts]
+    got = fill_in_middle.digests(frame).collect()
+    assert sorted(map(str, ((str(r.doc_id), r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) for r in got))) == sorted(map(str, ((*r[:5], sha(r[5]), sha(r[6])) for r in rows)))
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    outputs = fill_in_middle.assembled(fill_in_middle.pieces(frame))
+    assert sorted((str(r.doc_id), r.text) for r in fill_in_middle.texts(outputs).collect()) == sorted((r[0], r[5]) for r in rows)
+    assert sorted((str(r.doc_id), r.text) for r in fill_in_middle.texts(fill_in_middle.restored(outputs)).collect()) == sorted((r[0], r[6]) for r in rows)
+    assert fill_in_middle.digests(docs(spark, [])).count() == 0
+
+
+def brute_repeats(texts):
+    """(n_words, kept) per text in the order of the documents: every window of 20 words against all before it."""
+    seen, out = set(), []
+    for _, t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(window)
+        out.append((len(words), " ".join(w for w, g in zip(words, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("remembered", [1, 50, 200_000])
+def test_relative_lz_against_brute_force(spark, monkeypatch, remembered):
+    monkeypatch.setattr(relative_lz, "REMEMBERED", remembered)
+    rng = random.Random(remembered)
+    passage, border = prose(60, rng), prose(20, rng)
+    texts = []
+    for i in range(160):
+        parts = [prose(rng.randint(0, 40), rng)]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice([passage, border, texts[rng.randrange(len(texts))][1] if texts else border]).split()
+            a = rng.randrange(max(1, len(w) - 15))
+            parts += [" ".join(w[a : a + rng.choice([19, 20, 21, 35, 200])]), prose(rng.randint(0, 3), rng)]
+        texts.append((i, rng.choice([" ", "\n ", "\t"]).join(parts)))
+    texts += [(200, "a " * 300), (201, "b " + "a " * 40), (202, "a b " * 100), (203, None), (204, ""), (205, "\x1c \x85 \u3000"), (206, texts[3][1]), (207, "one " * 19), (208, "one " * 20), (209, "two " * 21)]
+    texts = [(None, prose(30, rng)), (None, texts[5][1])] + texts
+    got = relative_lz.deduplicate(docs(spark, texts).repartition(5)).collect()
+    for order in (texts, [texts[1], texts[0], *texts[2:]]):  # rows without an id have no order among themselves
+        want = sorted(zip((str(i) for i, _ in order), brute_repeats(order)), key=str)
+        if want == sorted(((str(r.doc_id), (r.n_words, r.kept)) for r in got), key=str):
+            break
+    assert sorted(((str(r.doc_id), (r.n_words, r.kept)) for r in got), key=str) == want
+    of = {i: (t or "").split() if i != 205 else [] for i, t in texts if i is not None}
+    for r in got:
+        assert r.n_removed == r.n_words - len(r.kept.split(" ")) * bool(r.kept)
+        for f in r.factors if r.doc_id is not None else ():
+            assert f.length >= 20 and (f.source is None or (f.source, f.source_start) < (r.doc_id, f.start))
+            if f.source is not None:
+                assert of[f.source][f.source_start : f.source_start + f.length] == of[r.doc_id][f.start : f.start + f.length]
+    assert relative_lz.deduplicate(docs(spark, [])).count() == 0
+
+
+def test_relative_lz_repeated_rows(spark):
+    """Rows of one id are documents one after another: one of equal rows stays."""
+    base = prose(50)
+    got = relative_lz.deduplicate(docs(spark, [(1, base)] * 4 + [(2, base), (None, base + " tail")]).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 50)] * 4 + [("2", 50), ("None", 0)]
+
+
+def test_index_stream_is_the_same_in_any_batches():
+    """What _parsed hands on doesn't depend on where batches end."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(9), k, rng.randrange(5) << 32 | 7, None, None) for k in range(200))
+    rows += [(3, 0, 1, 900, 5 << 32 | 6, 4, 2)]
+    rows.sort(key=lambda r: r[:5])
+
+    def run(size):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size])], names=list("abcdefg")) for k in range(0, len(rows), size)]
+        return sorted(str(r) for b in relative_lz._parsed(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns]))
+
+    whole = run(1000)
+    assert all(run(n) == whole for n in (1, 2, 3, 7, 50))
+    firsts, grams = {}, {}
+    for g, i, d, r, s, src, at in rows:
+        if at is None:
+            grams.setdefault(g, set()).add(i)
+            firsts.setdefault((g, i), (d, s >> 32, r))
+    want = [(None, r, s, *firsts[g, i][:2]) for g, i, d, r, s, _, at in rows if at is None and firsts[g, i][2] != r]
+    want += [(g, r, s, None, None) for g, i, d, r, s, _, at in rows if at is None and firsts[g, i][2] == r and len(grams[g]) > 1] + [(None, 900, 5 << 32 | 6, 4, 2)]
+    assert whole == sorted(map(str, want))
