@@ -85,6 +85,75 @@ def table_cells(pages: DataFrame, key: str, html: str, width: int | None = None)
     return pages.select(F.col(key).cast("string"), F.col(html)).mapInArrow(run, "key string, table_no int, row int, col int, text string")
 
 
+class _Spaced(_Table):
+    """Texts of inner elements stand apart."""
+
+    def handle_data(self, data):
+        if self.cell is not None and data.strip():
+            self.cell.append(f" {data} ")
+
+
+def placed(html: str | None) -> list[tuple[list[str], list[tuple[str, int, int, int]]]]:
+    """For each table row its grid, spans filled in, and its own cells as (text, first column, last column, row span). The
+    first row sets the number of columns; cells beyond it are cut off."""
+    parser = _Spaced()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_cell()
+    width = sum(right for row, _, _, right in parser.cells if row == 0)
+    grid: list[dict[int, str]] = [{} for _ in range(parser.row + 1)]
+    own: list[list] = [[] for _ in grid]
+    at: dict[int, int] = {}
+    for row, text, down, right in parser.cells:
+        col = at.get(row, 0)
+        while col in grid[row]:
+            col += 1
+        if col >= width:
+            continue
+        own[row].append((text, col, col + right - 1, down))
+        for c in range(col, min(col + right, width)):
+            grid[row][c] = text
+            for below in grid[row + 1 : row + down]:
+                below.setdefault(c, text)
+        at[row] = col + right
+    return [([line.get(c, "") for c in range(width)], cells) for line, cells in zip(grid, own)]
+
+
+ROWS = "file string, table_no int, row int, prefix string, grid array<string>, cells array<struct<text:string,start:int,stop:int,down:int>>"
+
+
+def table_rows(files: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of every table in the files' texts, with their spans, as ROWS. prefix, in a table's first row, is what
+    stands between it and the table before. Null texts and texts without tables give no rows; a null key stays null."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cell = pa.struct([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("down", pa.int32())])
+        schema = pa.schema([("file", pa.string()), ("table_no", pa.int32()), ("row", pa.int32()), ("prefix", pa.string()), ("grid", pa.list_(pa.string())), ("cells", pa.list_(cell))])
+
+        def rows(batch):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                end = 0
+                for n, m in enumerate(re.finditer(r"(?is)<table\b.*?</table>", content or "")):
+                    for r, (grid, cells) in enumerate(placed(m[0])):
+                        told = [{"text": t, "start": a, "stop": b, "down": d} for t, a, b, d in cells]
+                        yield file, n, r, content[end : m.start()] if r == 0 else None, grid, told
+                    end = m.end()
+
+        for b in batches:
+            held = []
+            for row in rows(b):
+                held.append(row)
+                if len(held) >= 4096:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                    held = []
+            if held:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    return files.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, ROWS)
+
+
 CODE = r"^[A-Z]{1,3}\d{3,5}(-\d+)?$"
 
 
