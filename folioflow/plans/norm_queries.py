@@ -14,6 +14,7 @@ from ..session import table
 from ..sources.tables import table_rows
 from .driver_queries import query
 from .norm_tables import Form, parse
+from .sections import sections
 
 FORM = Form(code=r"[AB]\d{5,}", fees="missing", material_fee="missing")
 
@@ -94,3 +95,41 @@ def norm_lines(spark, d):
     item = Window.partitionBy("file", "table_no", "part", "item").orderBy("slot", "place")
     out = parsed.lines.select("file", F.first("code").over(item).alias("code"), F.row_number().over(item).cast("long").alias("line"), "kind", "name", "unit", "quantity", "price", "verify")
     return out.withColumn("verify", F.col("verify").try_cast("double"))
+
+
+@query(r"""
+WITH RECURSIVE d AS (SELECT source AS file, doc_id // 400 AS table_no, doc_id AS doc, (doc_id * 7919 + doc_id // 13) % 10 AS kind, doc_id % 12 + 1 AS n, ['一', '二', '三', '四', '五', '六', '七', '八', '九', '十', '十一', '十二'][doc_id % 12 + 1] AS cn FROM documents),
+w AS (
+  SELECT *, lead(kind) OVER t AS next, lag(kind) OVER t AS prev, lag(doc) OVER t AS prev_at, max(CASE WHEN kind = 0 THEN doc END) OVER (PARTITION BY file, table_no) = doc AS last_chapter,
+    bool_or(kind IN (7, 8)) OVER (PARTITION BY file, table_no ORDER BY doc ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS near, row_number() OVER (PARTITION BY file ORDER BY table_no, doc) AS i
+  FROM d WINDOW t AS (PARTITION BY file, table_no ORDER BY doc)),
+e AS (
+  SELECT *, CASE WHEN kind = 0 THEN CASE WHEN last_chapter THEN 'chapter' END WHEN kind < 3 THEN CASE WHEN near THEN 'section' END WHEN kind < 5 THEN CASE WHEN next BETWEEN 3 AND 8 THEN 'subsection' END
+    WHEN next NOT IN (7, 8) OR next IS NULL THEN NULL WHEN kind = 9 THEN 'title' WHEN kind < 7 THEN CASE WHEN prev = 9 THEN 'under title' ELSE 'paragraph' END END AS ev FROM w),
+r AS (
+  SELECT DISTINCT file, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS s, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS BIGINT) AS c0, CAST(NULL AS BIGINT) AS s0, CAST(NULL AS VARCHAR) AS b0 FROM d
+  UNION ALL
+  SELECT e.file, e.i, CASE WHEN ev = 'chapter' OR (ev = 'section' AND c IS NULL) THEN n ELSE c END, CASE WHEN ev = 'chapter' THEN NULL WHEN ev = 'section' AND c IS NOT NULL THEN n ELSE s END,
+    CASE WHEN ev IN ('chapter', 'section') THEN NULL WHEN s IS NULL THEN b WHEN ev = 'subsection' THEN CAST(n AS VARCHAR) WHEN ev = 'title' OR (ev = 'under title' AND b IS NULL) THEN 'X' ELSE b END, c, s, b
+  FROM r JOIN e ON e.file = r.file AND e.i = r.i + 1),
+x AS (
+  SELECT e.*, unnest(CASE
+    WHEN ev = 'chapter' THEN [(0, 'A.' || n, '墙' || doc)] WHEN ev = 'section' AND c0 IS NULL THEN [(0, 'A.' || n, cn || '、节' || doc)] WHEN ev = 'section' THEN [(0, 'A.' || c0 || '.' || n, cn || '、节' || doc)]
+    WHEN s0 IS NULL THEN [] WHEN ev = 'subsection' THEN [(0, concat_ws('.', 'A', c0, s0, n), n || '. 目' || doc)] WHEN ev = 'title' THEN [(0, concat_ws('.', 'A', c0, s0, 'X'), '名' || doc)]
+    WHEN ev IN ('paragraph', 'under title') AND b0 IS NOT NULL THEN [(0, concat_ws('.', 'A', c0, s0, b0, CASE WHEN b0 = 'X' OR kind = 6 THEN 'X' ELSE CAST(n AS VARCHAR) END), CASE kind WHEN 5 THEN '(' || n || ') 段' ELSE '() 段' END || doc)]
+    WHEN ev = 'under title' THEN [(0, concat_ws('.', 'A', c0, s0, 'X'), '名' || prev_at), (1, concat_ws('.', 'A', c0, s0, 'X', 'X'), CASE kind WHEN 5 THEN '(' || n || ') 段' ELSE '() 段' END || doc)] ELSE [] END) AS made
+  FROM e JOIN r USING (file, i))
+SELECT file, table_no, made[1] AS place, made[2] AS code, made[3] AS name FROM x
+""")
+def section_paths(spark, d):
+    """Documents as lines of the book of their source, four hundred ids between two tables."""
+    n, at = F.col("doc_id") % 12 + 1, F.col("doc_id").cast("string")
+    numeral = F.get(F.array(*[F.lit(c) for c in ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二")]), (n - 1).cast("int"))
+    kind, word = (F.col("doc_id") * 7919 + F.floor(F.col("doc_id") / 13)) % 10, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], at)
+    number = n.cast("string")
+    line = F.when(kind == 0, word("## 第", numeral, "章 墙")).when(kind < 3, word(numeral, "、节")).when(kind < 5, word(number, ". 目")).when(kind == 5, word("(", number, ") 段"))
+    line = line.when(kind == 6, word("() 段")).when(kind < 9, word("工作内容：")).otherwise(word("名"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("file"), F.floor(F.col("doc_id") / 400).alias("table_no"), "doc_id", line.alias("line"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    prefixes = rows.groupBy("file", "table_no").agg(F.array_join(texts, "\n\n").alias("prefix")).withColumn("volume", F.lit("A"))
+    return sections(prefixes, "chinese").select("file", "table_no", F.col("place").cast("int").alias("place"), "code", "name")
