@@ -113,15 +113,14 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     return both.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "hit_windows", "item_ids")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that share a window with an item; every other row as it was, with all its columns.
 
-    A contaminated row takes every row of its id with it; rows without an id are judged by their text. Null and empty
-    texts stay, and so do repeated rows; no rows give no rows.
+    A row is judged by its own text, whatever its id: rows that share an id, or have none, stay or go one by one, and rows
+    of the same text together. Null and empty texts stay; no rows give no rows.
     """
     own, bad_key = fresh(docs, "key", "bad")
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text "), F.sha2(F.col(f"`{text_col}`").cast("string"), 256)))
-    keyed = docs.withColumn(own, key)
+    keyed = docs.withColumn(own, F.sha2(F.col(f"`{text_col}`").cast("string"), 256))
     bad = stored(overlaps(keyed, items, own, text_col).where("n_hit > 0").select("doc_id").distinct(), "contaminated")
     sure, maybe = split_maybe(keyed, own, bad)
     rest = maybe.join(bad.select(F.col("doc_id").alias(bad_key)), F.col(own) == F.col(bad_key), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settled, short_batches, stored
+from .near_dup import apart
 
 LIMIT = 0.9
 #: Cosine to a leader at which a vector joins its ball: twice that angle is under the limit's.
@@ -147,9 +148,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = good & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     clean = F.transform(v, lambda x: x + F.lit(0.0))
     known = stored(rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), clean).alias("embedding")).withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))).withColumn("check", F.hash("embedding")), "vectors")
-    nodes = known.where("node IS NOT NULL").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("mass"), (F.min("check") != F.max("check")).alias("clash"))
-    if not nodes.where("clash").isEmpty():
-        raise RuntimeError("two different vectors share a 64-bit hash")
+    known = apart(known)
+    nodes = known.where("node IS NOT NULL").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("mass"))
     vectors = stored(_coded(nodes.select("node", "embedding", "mass")), "codes")
     bits, tables = plan(vectors.count())
 

@@ -185,8 +185,10 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got), key=repr) == want
     left = decontaminate.drop_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert left.columns == docs(spark, []).columns
-    bad = {i for i, _, n, _ in want if n and i is not None}
-    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, t in texts if i is not None and i not in bad)
+    clean = [(i, t) for i, t in texts if not brute_overlap(t, items)[1]]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(clean, key=repr)
+    twins = decontaminate.drop_contaminated(docs(spark, [(1, items[0][1]), (1, "clean text"), (2, None), (None, items[0][1])]), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in twins.collect()), key=repr) == [(1, "clean text"), (2, None)]
     assert decontaminate.overlaps(docs(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
