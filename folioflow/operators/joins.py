@@ -55,17 +55,17 @@ def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92
     0.8 x name + 0.2 x unit similarity of the normalised texts, where different units count 0.5; the smallest id wins ties.
     others: a candidate of the same name isn't one.
 
-    Every resource comes out. One whose name shares no bigram with any candidate of its category has the score that the units
-    alone give, the smallest id of those, and no match; without a candidate in the category, or with `others`, it has none and a
-    score of 0. Names are
-    compared once each, however many resources and candidates have them, and shared bigrams are counted, so what is
-    joined is a row for each bigram that two names share.
+    Every resource comes out, and every candidate of its category counts: one whose name shares no bigram has what the units
+    give, 0.2 or 0.1, so it can beat a name that shares a few and has another unit. A null category is a category. Without a
+    candidate there is none, and a score of 0. Names are compared once each, however many resources and candidates have
+    them, and shared bigrams are counted, so what is joined is a row for each bigram that two names share.
     """
     from ..functions.text import bigrams, resource_name, resource_text
 
     plain = lambda c, f: f(F.coalesce(F.col(c), F.lit("")))
-    left = resources.select("id", "category", plain("name", resource_name).alias("name"), plain("unit", resource_text).alias("unit"))
-    right = candidates.select("candidate_id", "category", plain("name", resource_name).alias("c_name"), plain("unit", resource_text).alias("c_unit"))
+    grouped = F.when(F.col("category").isNull(), "").otherwise(F.concat(F.lit("+"), F.col("category").cast("string"))).alias("category")
+    left = resources.select("id", grouped, plain("name", resource_name).alias("name"), plain("unit", resource_text).alias("unit"))
+    right = candidates.select("candidate_id", grouped, plain("name", resource_name).alias("c_name"), plain("unit", resource_text).alias("c_unit"))
     mine, theirs = left.select("category", "name").distinct(), right.select("category", "c_name").distinct()
     size = lambda c: F.size(bigrams(F.col(c)))
     shared = mine.select("category", "name", size("name").alias("n"), F.explode(bigrams(F.col("name"))).alias("gram")).join(
@@ -78,14 +78,23 @@ def aligned(resources: DataFrame, candidates: DataFrame, threshold: float = 0.92
     scored = left.select("category", "name", "unit").distinct().join(alike, ["category", "name"]).join(right, ["category", "c_name"]).withColumn("score", score)
     first = F.min(F.struct((-F.col("score")).alias("minus"), "candidate_id"))
     best = scored.groupBy("category", "name", "unit").agg(first.alias("best"))
-    # What the units alone give: the same for all resources of a category and unit.
-    of_unit = right.groupBy("category", F.col("c_unit").alias("unit")).agg(F.min("candidate_id").alias("same"))
-    of_any = right.groupBy("category").agg(F.min("candidate_id").alias("any"))
-    if others:
-        of_unit, of_any = of_unit.limit(0), of_any.limit(0)
-    out = left.join(best, ["category", "name", "unit"], "left").join(of_unit, ["category", "unit"], "left").join(of_any, "category", "left")
-    value = F.coalesce(-F.col("best.minus"), F.when(F.col("same").isNotNull(), 0.2), F.when(F.col("any").isNotNull(), 0.1), F.lit(0.0))
-    return out.select("id", F.coalesce("best.candidate_id", "same", "any").alias("candidate_id"), value.alias("score"), (value >= threshold).alias("matched"))
+    # What the units alone give: for each category and unit the first candidate, and the first of another name for it.
+    def firsts(keys: list[str], prefix: str) -> DataFrame:
+        first = right.groupBy(*keys).agg(F.min(F.struct(F.col("candidate_id").alias("id"), F.col("c_name").alias("name"))).alias(f"{prefix}1"))
+        if not others:
+            return first.withColumn(f"{prefix}2", F.lit(None).cast(first.schema[f"{prefix}1"].dataType))
+        second = right.join(first, keys).where(F.col("c_name") != F.col(f"{prefix}1.name")).groupBy(*keys).agg(F.min(F.struct(F.col("candidate_id").alias("id"), F.col("c_name").alias("name"))).alias(f"{prefix}2"))
+        return first.join(second, keys, "left")
+
+    def taken(prefix: str) -> Column:
+        return F.when((F.col(f"{prefix}1.name") != F.col("name")) | F.lit(not others), F.col(f"{prefix}1.id")).otherwise(F.col(f"{prefix}2.id"))
+
+    of_unit = firsts(["category", "c_unit"], "same").withColumnRenamed("c_unit", "unit")
+    out = left.join(best, ["category", "name", "unit"], "left").join(of_unit, ["category", "unit"], "left").join(firsts(["category"], "any"), "category", "left")
+    pick = lambda minus, of: F.when(of.isNotNull(), F.struct(minus.alias("minus"), of.alias("candidate_id")))
+    out = out.withColumn("pick", F.array_min(F.filter(F.array(pick(F.col("best.minus"), F.col("best.candidate_id")), pick(F.lit(-0.2), taken("same")), pick(F.lit(-0.1), taken("any"))), lambda x: x.isNotNull())))
+    value = F.coalesce(-F.col("pick.minus"), F.lit(0.0))
+    return out.select("id", F.col("pick.candidate_id").alias("candidate_id"), value.alias("score"), (value >= threshold).alias("matched"))
 
 
 def full_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -326,8 +326,9 @@ n AS (SELECT name, count(*) AS size FROM g GROUP BY 1), r AS (SELECT DISTINCT p_
 h AS (SELECT a.name AS x, b.name AS y, count(*) AS shared FROM g a JOIN g b USING (gram) GROUP BY ALL),
 s AS (SELECT p_brand || '/' || r.p_type || '/' || r.p_name AS id, c.p_name AS candidate_id, 0.8::DOUBLE * (shared::DOUBLE / greatest(m.size, k.size)) + 0.2::DOUBLE * 0.5::DOUBLE AS score
   FROM r JOIN c ON r.p_type = c.p_type AND r.p_name <> c.p_name JOIN h ON x = r.p_name AND y = c.p_name JOIN n m ON m.name = x JOIN n k ON k.name = y)
-SELECT id, candidate_id, coalesce(score, 0) AS score, coalesce(score >= 0.6, FALSE) AS matched
-FROM (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_name AS id FROM r) LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate_id) AS r FROM s) WHERE r = 1) USING (id)""")
+SELECT id, coalesce(candidate_id, other) AS candidate_id, coalesce(score, CASE WHEN other IS NOT NULL THEN 0.1 ELSE 0 END) AS score, coalesce(score >= 0.6, FALSE) AS matched
+FROM (SELECT p_brand || '/' || p_type || '/' || p_name AS id, (SELECT min(c.p_name) FROM c WHERE c.p_type = r.p_type AND c.p_name <> r.p_name) AS other FROM r)
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate_id) AS r FROM s) WHERE r = 1) USING (id)""")
 def ngram_align(spark, d):
     """Every part of every brand with the most similar other name of its type."""
     part = table(spark, d, "part")

@@ -292,3 +292,27 @@ def test_dimensions(spark, tmp_path):
     (tmp_path / "q.xlsx").write_bytes(files.write_xlsx({"a": [["no"]], "定额条目": [["banner"], ["类型", "项目编码", "名称"], ["定", "X1", "挖土"], ["工"]]}))
     rows = dimensions.standard_rows(files.read_xlsx(spark.read.format("binaryFile").load(str(tmp_path / "q.xlsx")))).orderBy("row_no").collect()
     assert [(r.cells[:3], len(r.cells)) for r in rows] == [(["定", "X1", "挖土"], 9), (["工", None, None], 9)]
+
+
+def test_alignment_takes_the_greatest_score(spark):
+    """A candidate that shares no bigram but has the unit beats one that shares few and has another; the smaller id wins ties."""
+    from folioflow.operators import joins
+
+    def brute(name, unit, category, known, others=False):
+        grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)} or {t} - {""}
+        best = None
+        for i, c, n, u in sorted(known):
+            if c == category and not (others and n == name):
+                a, b = grams(name), grams(n)
+                score = 0.8 * (len(a & b) / max(len(a), len(b)) if a and b else 0.0) + 0.2 * (1.0 if u == unit else 0.5)
+                if best is None or score > best[0] + 1e-12:
+                    best = (score, i)
+        return best
+
+    known = [(1, "m", "abqrstuvwxyzqrsx", "t"), (2, "m", "zzzyyy", "m3"), (3, "m", "zzzyyy", "m3"), (4, None, "ab", "t"), (5, "n", "q", "t"), (6, "m", "abcd", "kg"), (7, "m", "other", "t")]
+    rows = [(k, *r) for k, r in enumerate([("m", "abcdefghijklmnop", "m3"), ("m", "abcdefghijklmnop", "x"), (None, "abc", "t"), ("k", "ab", "t"), ("n", "zzz", "t"), ("m", "zzzyyy", "m3"), ("m", "", "kg"), ("m", "abcd", "t"), ("m", "other", "t")])]
+    for others in (False, True):
+        frames = spark.createDataFrame(rows, "id int, category string, name string, unit string"), spark.createDataFrame(known, "candidate_id int, category string, name string, unit string")
+        got = {r.id: (r.candidate_id, round(r.score, 9)) for r in joins.aligned(*frames, others=others).collect()}
+        want = {i: brute(n, u, c, known, others) for i, c, n, u in rows}
+        assert got == {i: (b[1], round(b[0], 9)) if b else (None, 0.0) for i, b in want.items()}
