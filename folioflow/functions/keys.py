@@ -115,3 +115,37 @@ def province_short(text: Column) -> Column:
     known = {code: code for code in PROVINCES} | {word: code for code, words in PROVINCES.items() for word in words}
     found = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.trim(text)]
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no such province: "), F.coalesce(text, F.lit("null")))).cast("string"))
+
+
+# For each publisher, in the order they are tried, patterns of a year and a period or month in file names.
+CITY_PATTERNS = {
+    "成都": (
+        r"成都(?:市)?信息价(\d{4})[\-年](\d{1,2})(?:期)?", r"成都(?:市)?(\d{4})年(\d{1,2})期", r"(\d{4})年成都(?:市)?信息价(\d{1,2})期", r"(\d{4})年成都(?:市)?(\d{1,2})期", r"(\d{4})年成都(?:市)?[^0-9\n]{0,20}?第?(\d{1,2})期",
+    ),
+    "重庆": (
+        r"重庆(?:市)?[^0-9\s]{0,12}?(\d{4})[\-/年]?(\d{1,2})期", r"(\d{4})年重庆(?:市)?[^0-9\s]{0,12}?(\d{1,2})期", r"重庆(?:市)?(\d{4})年第?(\d{1,2})期", r"(\d{4})年重庆(?:市)?(\d{1,2})期", r"重庆[^0-9\s]{0,12}?(\d{4})[\-/年]?(\d{1,2})(?:期|\D|$)",
+    ),
+    "北京": (r"北京(?:市)?(\d{4})年(\d{1,2})月", r"(\d{4})年(\d{1,2})月北京(?:市)?"),
+    "武汉": (r"武汉市建设工程综合价格信息.*?(\d{4})年(\d{1,2})月", r"(\d{4})年(\d{1,2})月武汉市"),
+    "湖北": (r"(\d{4})年第(\d{1,2})期[《<]湖北工程造价管理[》>]",),
+}
+CITY_OF_REGION = {"440100": "广州"}
+
+
+def detected_city(filename: Column, title: Column, region: Column) -> Column:
+    """(city, year, period) of a file: by its name without the extension, then by its title, then by its region, where year
+    and period aren't known (0 and 00); null if nothing tells."""
+    kind = "struct<city:string,year:int,period:string>"
+    name = F.regexp_replace(F.regexp_replace(filename, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+
+    def by(text: Column) -> Column:
+        out = F.lit(None).cast(kind)
+        for city, patterns in reversed(CITY_PATTERNS.items()):
+            for p in reversed(patterns):
+                own = F.struct(F.lit(city).alias("city"), F.regexp_extract(text, p, 1).cast("int").alias("year"), F.regexp_extract(text, p, 2).cast("int").cast("string").alias("period"))
+                out = F.when(text.rlike(p), own.cast(kind)).otherwise(out)
+        return out
+
+    place = F.create_map(*[F.lit(x) for pair in CITY_OF_REGION.items() for x in pair])[region]
+    of_region = F.when(place.isNotNull(), F.struct(place.alias("city"), F.lit(0).alias("year"), F.lit("00").alias("period")).cast(kind))
+    return F.coalesce(by(name), by(F.regexp_replace(title, r"(?<=.)\.[^.]*$", "")), of_region)

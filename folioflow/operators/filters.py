@@ -75,8 +75,8 @@ def listed(rows: DataFrame, key: str, column: str, descending: bool = True, page
 
 
 def sampled(rows: DataFrame, key: str, n: int = 50, seed: int = 0) -> DataFrame:
-    """n rows at random, the same for the same seed: those with the least hash of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows at random, the same for the same seed: those with the least MD5 of seed and key, which SQL has as well."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def capped(issues: DataFrame, kind: str, order: list[Column], limit: int) -> tuple[DataFrame, DataFrame]:

@@ -175,9 +175,9 @@ def having_multi_distinct(spark, d):
     return agg.where("suppliers > 1 AND size(flag_set) > 1").select("l_partkey", "n", "suppliers", F.size("flag_set").cast("long").alias("flags"), F.array_join("flag_set", "|").alias("flag_list"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def orphans_anti(spark, d):
-    return joins.orphans(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey").select("c_custkey")
+    return joins.orphans(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey").select("c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_quantity AS BIGINT) IS DISTINCT FROM CAST(p_size AS BIGINT)")
@@ -511,10 +511,11 @@ def period_change(spark, d):
     return out.select("l_partkey", "year", F.round("mean", 6).alias("mean"), "before", F.round("change_pct", 6).alias("change_pct"))
 
 
-@query("""WITH k AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
-SELECT l_partkey, l_returnflag FROM (SELECT l_partkey, l_returnflag, count(DISTINCT l_orderkey) AS h FROM lineitem GROUP BY ALL) JOIN k USING (l_partkey) WHERE h = n""")
+@query("""WITH k AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_returnflag FROM (SELECT l_orderkey, l_returnflag, count(DISTINCT l_linenumber) AS h FROM lineitem GROUP BY ALL) JOIN k USING (l_orderkey) WHERE h = n""")
 def evidence_intersection(spark, d):
-    return graph.shared_by_all(table(spark, d, "lineitem"), "l_partkey", "l_orderkey", "l_returnflag")
+    """Return flags that all lines of an order have."""
+    return graph.shared_by_all(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("""WITH s AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL), k AS (SELECT upper(sha) AS sha, min(doc_id) AS canonical FROM s GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..operators import filters
 from ..session import table
 from . import archives, coverage, quality
@@ -61,7 +62,7 @@ def sorted_page(spark, d):
     return filters.listed(table(spark, d, "orders"), "o_orderkey", "o_totalprice", True, 3, 50).select("o_orderkey", "o_totalprice")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 50")
 def random_sample(spark, d):
     """50 orders by the hash of their key: a sample is what is asked for."""
     return filters.sampled(table(spark, d, "orders"), "o_orderkey", 50, 7).select("o_orderkey")
@@ -237,3 +238,18 @@ def qa_issues(spark, d):
 def qa_summary(spark, d):
     items, lines, listed = _items(spark, d)
     return quality.qa_summary(items, quality.qa_issues(items, lines, 20.0, listed))
+
+
+@query(r"""WITH f AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '成都市信息价' || (2000 + doc_id % 27) || '-' || (doc_id % 12 + 1) WHEN 1 THEN (2000 + doc_id % 27) || '年成都市工程造价信息价第' || (doc_id % 12 + 1) || '期.pdf' WHEN 2 THEN '重庆工程造价' || (2000 + doc_id % 27) || '-' || (doc_id % 12 + 1) || '期6-17.pdf'
+  WHEN 3 THEN (2000 + doc_id % 27) || '年' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '月北京市造价.pdf' WHEN 4 THEN '武汉市建设工程综合价格信息（' || (2000 + doc_id % 27) || '年' || (doc_id % 12 + 1) || '月）.pdf' ELSE doc_id || '.pdf' END AS name FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 1) THEN '成都' WHEN doc_id % 8 = 2 THEN '重庆' WHEN doc_id % 8 = 3 THEN '北京' WHEN doc_id % 8 = 4 THEN '武汉' WHEN doc_id % 8 = 5 THEN '湖北' WHEN doc_id % 8 = 6 THEN '广州' END AS city,
+  CASE WHEN doc_id % 8 < 6 THEN 2000 + doc_id % 27 WHEN doc_id % 8 = 6 THEN 0 END AS year, CASE WHEN doc_id % 8 < 6 THEN CAST(doc_id % 12 + 1 AS VARCHAR) WHEN doc_id % 8 = 6 THEN '00' END AS period FROM f""")
+def city_detection(spark, d):
+    """File names, titles and regions of six publishers, made of document ids."""
+    kind, year, month = F.col("doc_id") % 8, (F.col("doc_id") % 27 + 2000).cast("string"), (F.col("doc_id") % 12 + 1).cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = F.when(kind == 0, put("成都市信息价", year, "-", month)).when(kind == 1, put(year, "年成都市工程造价信息价第", month, "期.pdf")).when(kind == 2, put("重庆工程造价", year, "-", month, "期6-17.pdf"))
+    name = name.when(kind == 3, put(year, "年", F.lpad(month, 2, "0"), "月北京市造价.pdf")).when(kind == 4, put("武汉市建设工程综合价格信息（", year, "年", month, "月）.pdf")).otherwise(put(F.col("doc_id").cast("string"), ".pdf"))
+    title = F.when(kind == 5, put(year, "年第", month, "期《湖北工程造价管理》"))
+    found = keys.detected_city(name, title, F.when(kind == 6, "440100").otherwise("110000"))
+    return table(spark, d, "documents").select("doc_id", found.alias("c")).select("doc_id", "c.city", F.col("c.year").cast("long").alias("year"), "c.period")
