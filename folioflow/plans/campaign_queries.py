@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import campaigns
+from . import campaigns, ingest
 from .driver_queries import query
 
 
@@ -32,10 +32,10 @@ def campaign_merge(spark, d):
     return _merged(spark, d).select("campaign_id", "source_item_key", "title", "fingerprint", "status", F.year("first_seen_at").cast("long").alias("first_seen"), F.year("last_seen_at").cast("long").alias("last_seen"))
 
 
-@query(_SQL + """SELECT campaign_id, count(*) AS discovered_count, count(*) FILTER (status = 'done') AS completed_count, count(*) FILTER (status = 'duplicate') AS duplicate_count, count(*) FILTER (status = 'failed') AS failed_count,
-  CASE WHEN count(*) FILTER (status IN ('discovered', 'downloading')) > 0 THEN 'running' WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM m GROUP BY 1""")
+@query(_SQL + """SELECT campaign_id, count(*) AS discovered, count(*) FILTER (status = 'done') AS completed, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'failed') AS failed,
+  CASE WHEN count(*) FILTER (status IN ('discovered', 'downloading')) > 0 THEN 'running' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM m GROUP BY 1""")
 def campaign_progress(spark, d):
-    return campaigns.progress(_merged(spark, d))
+    return ingest.campaign_status(_merged(spark, d)).drop("active")
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_type, event_id, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),

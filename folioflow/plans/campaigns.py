@@ -40,10 +40,3 @@ def intervals(sightings: DataFrame, key: list[str], seen: str, fingerprint: str)
     states = runs.groupBy(*key, "__state").agg(F.first(fingerprint).alias(fingerprint), F.min(seen).alias("valid_from"), F.max(seen).alias("last_seen"), F.count("*").alias("sightings"))
     after = F.lead("valid_from").over(Window.partitionBy(*key).orderBy("__state"))
     return states.select(*key, fingerprint, "valid_from", after.alias("valid_to"), "last_seen", "sightings")
-
-
-def progress(items: DataFrame) -> DataFrame:
-    """Counts of each campaign's items, and its status: completed, or completed_with_errors, once none is open."""
-    n = lambda *s: F.count_if(F.col("status").isin(*s))
-    out = items.groupBy("campaign_id").agg(F.count("*").alias("discovered_count"), n("done").alias("completed_count"), n("duplicate").alias("duplicate_count"), n("failed").alias("failed_count"), n("discovered", "downloading").alias("open_count"))
-    return out.withColumn("status", F.when(F.col("open_count") > 0, "running").when(F.col("failed_count") > 0, "completed_with_errors").otherwise("completed")).drop("open_count")
