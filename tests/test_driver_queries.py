@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from folioflow.plans import campaign_queries, guarded_queries, more_queries, norm_queries  # noqa: F401
+from folioflow.plans import blob_queries, campaign_queries, guarded_queries, more_queries, norm_queries  # noqa: F401
 from folioflow.plans.driver_queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
