@@ -105,7 +105,8 @@ def test_layouts(spark):
     free = got(Form(layout="unpriced", fees="none", material_fee="none"), "工料机名称|||||", "人工|00010701|worker||工日|2", "机械|99010101|其他机具费||%|5", "x|1|2|3|4|5")
     assert free == [("工", "worker", "工日", "2", "", ""), ("机", "其他机具费", "%", "5", "", "")]
     brackets = got(Form(brackets_unpriced=True), "名称|||||", "材料|duct||m|-|(10.5)", "材料|glue||kg|3|2")
-    assert brackets == [("主材", "duct", "m", "10.5", "", ""), ("料", "glue", "kg", "2", "3", "6")]
+    # where material has no price, the material fee is a line even if the table prints none
+    assert brackets == [("主材", "duct", "m", "10.5", "", ""), ("料", "材料费", "元", "", "1.00", "0"), ("料", "glue", "kg", "2", "3", "6")]
     last = got(Form(code="AA0001"), "名称|||||", "附项 |extra||m|2|3")
     assert last == [("料", "extra", "m", "3", "2", "6")]
     assert lines(spark, [("f", table("名称|||||", "附项|extra||m|2|3"))])[0][0][-1] == "0"
