@@ -69,26 +69,29 @@ def rewritten(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
 
 
 def rewrite(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Column form of rewritten(); null stays null. Texts without an ASCII letter pass as they are."""
+    """Column form of rewritten(); null stays null."""
     fixed = tuple(pairs)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: rewritten(t, fixed), na_action="ignore")
 
-    return F.when(text.rlike("[A-Za-z]"), run(text)).otherwise(text)
+    return run(text)
 
 
 def clean_name(text: Column) -> Column:
     """A name out of formula markup: dollar signs, wrappers and braces go, commands become their characters, escaped
     markup signs are written out. Null is empty."""
     out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\$\$(.*?)\$\$", "$1"), r"\$(.*?)\$", "$1")
+    braced = out
     for name in WRAPPERS:
-        out = F.regexp_replace(out, rf"\\?{name}\s*\{{([^}}]*)\}}", "$1")
-    out = F.replace(out, F.lit("\\relax"), F.lit(""))
+        braced = F.regexp_replace(braced, rf"\\?{name}\s*\{{([^}}]*)\}}", "$1")
+    braced = F.replace(braced, F.lit("\\relax"), F.lit(""))
     for _ in range(3):
-        out = F.regexp_replace(out, r"\{\{([^}]*)\}\}", r"{$1}")
-    out = rewrite(F.regexp_replace(out, r"\{([^}]*)\}", "$1"), COMMANDS)
+        braced = F.regexp_replace(braced, r"\{\{([^}]*)\}\}", r"{$1}")
+    # Most names have no braces, and only those that have go through the patterns with braces.
+    bare = F.replace(out, F.lit("\\relax"), F.lit(""))
+    out = rewrite(F.when(F.contains(out, F.lit("{")), F.regexp_replace(braced, r"\{([^}]*)\}", "$1")).otherwise(bare), COMMANDS)
     for entity, sign in (("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))
     return F.regexp_replace(F.trim(out), r"\s+", " ")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,28 +95,77 @@ class _Spaced(_Table):
             self.cell.append(f" {data} ")
 
 
-def placed(html: str | None) -> list[tuple[list[str], list[tuple[str, int, int, int]]]]:
-    """For each table row its grid, spans filled in, and its own cells as (text, first column, last column, row span). The
-    first row sets the number of columns; cells beyond it are cut off."""
+def _span(text: str | None) -> int:
+    return max(1, int(text)) if (text or "").strip().isdigit() else 1
+
+
+# Markup that needs no parser: plain elements with quoted attributes, without references, comments or scripts.
+_NAMES = "table|thead|tbody|tr|td|th|b|i|u|p|em|strong|span|div|sub|sup"
+_PLAIN = re.compile(rf'(?:[^<&]++|<(?:(?:{_NAMES})(?:\s+[a-z][\w-]*="[^"<>&]*")*+\s*|br\s*/?|/(?:{_NAMES})\s*)>)*+', re.I | re.A)
+_PIECES = re.compile(r"<(/?)([a-z]+)([^>]*)>([^<]*)", re.I | re.A)
+_SPANS = re.compile(r'([a-z][\w-]*)="([^"]*)"', re.I | re.A)
+
+
+@lru_cache(maxsize=4096)
+def _spans(attrs: str) -> tuple[int, int]:
+    named = {k.lower(): v for k, v in _SPANS.findall(attrs)}
+    return _span(named.get("rowspan")), _span(named.get("colspan"))
+
+
+def _plain_cells(html: str) -> tuple[int, list[tuple[int, str, int, int]]]:
+    """The number of the last row, and the cells of _Spaced, of a table that is plain."""
+    row, cells, texts, down, right = -1, [], None, 1, 1
+    for end, tag, attrs, text in _PIECES.findall(html):
+        tag = tag.lower()
+        if tag in ("td", "th", "tr") or (end and tag == "table"):
+            if texts is not None:
+                cells.append((row, " ".join("".join(texts).split()), down, right))
+                texts = None
+            if not end:
+                if tag == "tr":
+                    row += 1
+                else:
+                    row, texts, down, right = max(row, 0), [], 1, 1
+                    if attrs:
+                        down, right = _spans(attrs)
+        elif tag == "br" and texts is not None:
+            texts.append(" ")
+        if texts is not None and text and not text.isspace():
+            texts.append(f" {text} ")
+    return row, cells
+
+
+def _cells(html: str) -> tuple[int, list[tuple[int, str, int, int]]]:
+    """The number of the last row, and the cells as (row, text, row span, column span)."""
+    if html.endswith(">") and _PLAIN.fullmatch(html):
+        return _plain_cells(html)
     parser = _Spaced()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
     parser.close_cell()
-    width = sum(right for row, _, _, right in parser.cells if row == 0)
-    grid: list[dict[int, str]] = [{} for _ in range(parser.row + 1)]
+    return parser.row, parser.cells
+
+
+def placed(html: str | None) -> list[tuple[list[str], list[tuple[str, int, int, int]]]]:
+    """For each table row its grid, spans filled in, and its own cells as (text, first column, last column, row span). The
+    first row sets the number of columns; cells beyond it are cut off."""
+    last, cells = _cells(html or "")
+    width = sum(right for row, _, _, right in cells if row == 0)
+    grid: list[dict[int, str]] = [{} for _ in range(last + 1)]
     own: list[list] = [[] for _ in grid]
     at: dict[int, int] = {}
-    for row, text, down, right in parser.cells:
-        col = at.get(row, 0)
-        while col in grid[row]:
+    for row, text, down, right in cells:
+        col, line = at.get(row, 0), grid[row]
+        while col in line:
             col += 1
         if col >= width:
             continue
         own[row].append((text, col, col + right - 1, down))
         for c in range(col, min(col + right, width)):
-            grid[row][c] = text
-            for below in grid[row + 1 : row + down]:
-                below.setdefault(c, text)
+            line[c] = text
+            if down > 1:
+                for below in grid[row + 1 : row + down]:
+                    below.setdefault(c, text)
         at[row] = col + right
     return [([line.get(c, "") for c in range(width)], cells) for line, cells in zip(grid, own)]
 
@@ -129,27 +180,36 @@ def table_rows(files: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        cell = pa.struct([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("down", pa.int32())])
-        schema = pa.schema([("file", pa.string()), ("table_no", pa.int32()), ("row", pa.int32()), ("prefix", pa.string()), ("grid", pa.list_(pa.string())), ("cells", pa.list_(cell))])
-
         def rows(batch):
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 end = 0
                 for n, m in enumerate(re.finditer(r"(?is)<table\b.*?</table>", content or "")):
                     for r, (grid, cells) in enumerate(placed(m[0])):
-                        told = [{"text": t, "start": a, "stop": b, "down": d} for t, a, b, d in cells]
-                        yield file, n, r, content[end : m.start()] if r == 0 else None, grid, told
+                        yield file, n, r, content[end : m.start()] if r == 0 else None, grid, cells
                     end = m.end()
 
+        def listed(lists, made):
+            return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), made([x for one in lists for x in one]))
+
+        def cells(told):
+            parts = zip(*told) if told else [()] * 4
+            kinds = {"text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "down": pa.int32()}
+            return pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds.values())], names=list(kinds))
+
+        def made(held):
+            plain = zip(list(zip(*held))[:4], (pa.string(), pa.int32(), pa.int32(), pa.string()))
+            lists = [listed([h[4] for h in held], lambda texts: pa.array(texts, pa.string())), listed([h[5] for h in held], cells)]
+            return pa.record_batch([*[pa.array(c, k) for c, k in plain], *lists], names=["file", "table_no", "row", "prefix", "grid", "cells"])
+
         for b in batches:
             held = []
             for row in rows(b):
                 held.append(row)
                 if len(held) >= 4096:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                    yield made(held)
                     held = []
             if held:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                yield made(held)
 
     return files.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, ROWS)
 
