@@ -66,12 +66,14 @@ def rebuild_plan(manifest: DataFrame, sources: DataFrame, known: DataFrame, moun
     rows = rows.withColumn("ready", F.coalesce("ready", F.lit(False)) & F.col("region_code").isNotNull() & F.col("period").isNotNull())
     matched = source_match(rows, sources)
     key = ["region_code", "period", "title"]
-    other = known.select(*key, F.col("source_id").alias("k_source"), url_key(F.col("source_url")).alias("k_url"), F.col("sha256").alias("k_sha")).distinct()
-    # One equi-join for each proof, so that no side is paired by an OR.
-    probe = matched.where("ready").select("sha256", "source_id", *key, url_key(F.col("source_url")).alias("url"))
-    twice = probe.join(other, key)
-    same_url = twice.where((F.col("source_id") != F.col("k_source")) & (F.col("url") == F.col("k_url"))).select("sha256")
-    same_file = probe.join(other, [*key]).where((F.col("source_id") != F.col("k_source")) & (F.col("sha256") == F.col("k_sha"))).select("sha256")
+    # A proof is one row for its key: another source has it if the least or the greatest of its sources is another one.
+    proof = lambda frame, by: frame.groupBy(*key, by).agg(F.min("source_id").alias("least"), F.max("source_id").alias("most"))
+    foreign = (F.col("source_id") != F.col("least")) | (F.col("source_id") != F.col("most"))
+    probe = matched.where("ready").select("sha256", "source_id", *key, "source_url")
+    # A url is normalised once, however many rows have it: what an explode makes can't be worked out again below the distinct.
+    urls = rows.select("source_url").union(known.select("source_url")).distinct().select("source_url", F.explode_outer(F.array(url_key(F.col("source_url")))).alias("url"))
+    same_url = probe.join(urls, "source_url").join(proof(known.select(*key, "source_id", "source_url").distinct().join(urls, "source_url"), "url"), [*key, "url"]).where(foreign).select("sha256")
+    same_file = probe.join(proof(known, "sha256"), [*key, "sha256"]).where(foreign).select("sha256")
     doubled = same_url.union(same_file).distinct().withColumn("doubled", F.lit(True))
     held = mounted.select("sha256").distinct().withColumn("held", F.lit(True))
     out = matched.join(doubled, "sha256", "left").join(held, "sha256", "left")

@@ -33,6 +33,23 @@ def test_names_without_braces_pass_their_patterns_once(spark):
     assert plan.count("rlike(") + plan.count("RLIKE") == 0
 
 
+def test_proofs_of_a_rebuild_are_one_row_for_a_key(spark):
+    n = 300
+    manifest = spark.range(n).select(
+        F.concat(F.lit("h"), "id").alias("sha256"), F.lit("k").alias("object_key"), F.lit("cost_info").alias("domain_types"), F.lit("true").alias("parse_ready"), F.lit("T").alias("archive_titles"), F.lit("").alias("period_raws"), F.lit("2024-01").alias("period_starts"),
+        F.lit("").alias("original_names"), F.lit("110000").alias("region_codes"), F.when(F.col("id") == 5, None).otherwise("https://x/a").alias("source_urls"), F.lit("").alias("source_names"),
+    )
+    sources = spark.createDataFrame([("s1", 1, "110000", "S", None)], "source_id string, seq int, region_code string, name string, publisher_scope string")
+    known = lambda source, url: spark.range(n).select(F.lit(source).alias("source_id"), F.lit("110000").alias("region_code"), F.lit("2024-01").alias("period"), F.lit("T").alias("title"), F.lit(url).alias("source_url"), F.concat(F.lit("h"), F.col("id") + 290).alias("sha256"))
+    plan = lambda k: archives.rebuild_plan(manifest, sources, k, manifest.select("sha256").where("sha256 = 'h5'"))
+    own = plan(known("s1", "HTTPS://X/a"))
+    assert dict(own.groupBy("outcome").count().collect()) == {"archive": n - 1, "existing": 1}
+    assert dict(plan(known("s1", "HTTPS://X/a").unionByName(known("s0", "HTTPS://X/a"))).groupBy("outcome").count().collect()) == {"cross_source_duplicate": n - 1, "existing": 1}
+    assert dict(plan(known("s2", None)).groupBy("outcome").count().collect()) == {"cross_source_duplicate": 10, "archive": n - 11, "existing": 1}
+    # Urls that are alike meet as one row, so no join makes rows beyond those asked for.
+    assert "min(source_id#" in own._jdf.queryExecution().analyzed().toString()
+
+
 def test_blob_sections_join_each_side_once(spark):
     assets = spark.createDataFrame([(1, "b1", "s" * 64, 5, "x", "k1"), (2, "b1", "s" * 64, 6, "x", "k2"), (3, None, "t", None, None, None), (4, "b9", "t", 1, "x", ""), (5, "", "", 1, "y", "k1")], "file_id long, blob_hash string, sha256 string, file_size long, bucket string, object_key string")
     blobs = spark.createDataFrame([("b1", 5, "x", "k1")], "blob_hash string, byte_size long, bucket string, object_key string")
