@@ -21,9 +21,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame, node: str, evidence: str) -> DataFrame:
     """(node, component) for rows (node, evidence): nodes that share evidence, directly or over others, get the
-    smallest of their nodes. Labels go to the evidence and back, and jump to their own label's label, until none
-    changes: each round is two aggregates, and no group is gathered."""
-    links = settled(rows.select(F.col(node).alias("n"), F.col(evidence).alias("e")).where("n IS NOT NULL AND e IS NOT NULL").distinct())
+    smallest of their nodes. Labels of nodes that share any go to the evidence and back, and jump to their own label's
+    label, until none changes: each round is two aggregates, and no group is gathered."""
+    rows = rows.select(F.col(node).alias("n"), F.col(evidence).alias("e")).where("n IS NOT NULL AND e IS NOT NULL")
+    # Evidence of one node links nothing: only what several share goes through the rounds.
+    shared = rows.groupBy("e").agg(F.min("n").alias("first"), F.max("n").alias("last")).where("first < last").select("e")
+    links = settled(rows.join(shared, "e", "left_semi").distinct())
+    nodes = rows.select("n").distinct()
     labels = settled(links.select("n").distinct().withColumn("c", F.col("n")))
     while True:
         least = links.join(labels, "n").groupBy("e").agg(F.min("c").alias("c"))
@@ -32,7 +36,7 @@ def components(rows: DataFrame, node: str, evidence: str) -> DataFrame:
         jump = stepped.select(F.col("n").alias("m"), F.col("m").alias("j"))
         new = settled(stepped.join(jump, "m", "left").select("n", "c", F.least("m", F.coalesce("j", "m")).alias("m")))
         if new.where("m < c").isEmpty():
-            return new.select(F.col("n").alias("node"), F.col("m").alias("component"))
+            return nodes.join(new.select("n", "m"), "n", "left").select(F.col("n").alias("node"), F.coalesce("m", "n").alias("component"))
         labels = new.select("n", F.col("m").alias("c"))
 
 

@@ -33,6 +33,15 @@ def test_names_without_braces_pass_their_patterns_once(spark):
     assert plan.count("rlike(") + plan.count("RLIKE") == 0
 
 
+def test_only_shared_evidence_goes_through_the_rounds(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (9, "c"), (9, "c"), (8, "d"), (7, None), (None, "a")], "n long, e string")
+    kept, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    assert sorted(map(tuple, graph.components(rows, "n", "e").collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 9)]
+    assert sorted((r.n, r.e) for r in kept[0].collect()) == [(1, "a"), (2, "a"), (2, "b"), (3, "b")]
+    assert graph.components(rows.where("n > 7"), "n", "e").count() == 2
+
+
 def test_proofs_of_a_rebuild_are_one_row_for_a_key(spark):
     n = 300
     manifest = spark.range(n).select(
