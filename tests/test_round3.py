@@ -59,6 +59,13 @@ def test_proofs_of_a_rebuild_are_one_row_for_a_key(spark):
     assert "min(source_id#" in own._jdf.queryExecution().analyzed().toString()
 
 
+def test_chunks_of_a_gap_are_dealt_out(spark):
+    codes = spark.createDataFrame([("A1",), ("A2500002",)], "code string")
+    out = sequences.sequence_gaps(codes, "code")
+    assert out.agg(F.count("*"), F.count_distinct("missing")).first()[:] == (2500000, 2500000)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
 def test_blob_sections_join_each_side_once(spark):
     assets = spark.createDataFrame([(1, "b1", "s" * 64, 5, "x", "k1"), (2, "b1", "s" * 64, 6, "x", "k2"), (3, None, "t", None, None, None), (4, "b9", "t", 1, "x", ""), (5, "", "", 1, "y", "k1")], "file_id long, blob_hash string, sha256 string, file_size long, bucket string, object_key string")
     blobs = spark.createDataFrame([("b1", 5, "x", "k1")], "blob_hash string, byte_size long, bucket string, object_key string")
