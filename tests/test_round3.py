@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.patterns import clean_name
 from folioflow.operators import graph, sequences
 from folioflow.plans import archives, blob_audit
+from folioflow.plans.driver_queries import QUERIES
 from folioflow.sources import tables
 
 
@@ -79,3 +80,8 @@ def test_blob_sections_join_each_side_once(spark):
     assert {k[1]: v for k, v in got.items()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 0 and plan.count("Union") == 0
+
+
+def test_lines_are_dealt_out_by_number(spark):
+    out = QUERIES["unnest_lateral"](spark, "/root/testdata/sf0.001")
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 8
