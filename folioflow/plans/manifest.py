@@ -96,8 +96,8 @@ def parse_manifest(blobs: DataFrame, assets: DataFrame, events: DataFrame, tasks
     domain_type, period_kind, publish_date, source_url, source_id, task_id, batch_id, period, period_start, period_end, period_raw; sources:
     source_id, name, province, city; regions: region_code, province_name, region_name. domain: only files that an archive of it holds.
 
-    Observations and archives of a file would multiply each other in one join. Here each branch gives rows (object, field, value),
-    and one aggregate folds them. The source of a pair is that of the observation, else of its task, else of the archive; so
+    Observations and archives of a file would multiply each other in one join. Here each branch is folded by object before it is
+    joined, a row for a row: no value becomes a row of its own. The source of a pair is that of the observation, else of its task, else of the archive; so
     archives name a source only for files with an observation that has none, or without any.
     """
     blobs = blobs.where(F.col("storage_bucket") == bucket)
@@ -109,36 +109,50 @@ def parse_manifest(blobs: DataFrame, assets: DataFrame, events: DataFrame, tasks
     if domain is not None:
         blobs = blobs.join(assets.select("blob_hash"), "blob_hash", "left_semi")
     of_file = assets.select("file_id", "blob_hash")
-    seen = events.select("event_id", "file_id", "task_id", F.col("source_id").alias("event_source"), "original_name", "source_url", F.col("batch_id").alias("event_batch"), "ingested_at").join(of_file, "file_id")
     done = tasks.select("task_id", F.col("task_id").alias("known_task"), F.col("source_id").alias("task_source"), F.col("batch_id").alias("task_batch"), "period_start", "period_end", "period_raw")
-    seen = seen.join(done, "task_id", "left").withColumn("source", first_filled(F.col("event_source"), F.col("task_source")))
-    held = mounts.join(of_file, "file_id").join(archives.withColumn("archive", F.col("archive_id")), "archive_id", "left").join(regions, "region_code", "left")
-    sourced = seen.groupBy("file_id").agg(F.bool_or(F.col("source").isNull()).alias("open"))
-    lent = held.join(sourced, "file_id", "left").where(F.coalesce("open", F.lit(True))).select("blob_hash", first_filled(F.col("source_id")).alias("source_id"))
-    named = seen.select("blob_hash", F.col("source").alias("source_id")).unionByName(lent).where("source_id IS NOT NULL").distinct().join(sources, "source_id")
-
-    def said(rows: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(v.cast("string")).alias("value")) for f, v in values])
-        return rows.select("blob_hash", F.explode(F.filter(pairs, lambda p: p["value"] != "")).alias("p")).select("blob_hash", "p.field", "p.value")
+    told = events.select("file_id", "task_id", F.col("source_id").alias("event_source"), "original_name", "source_url", F.col("batch_id").alias("event_batch"), "ingested_at")
+    told = told.join(done, "task_id", "left").withColumn("source", first_filled(F.col("event_source"), F.col("task_source")))
+    of_source = sources.select(F.col("source_id").alias("source"), F.col("source_id").alias("known_source"), F.col("name").alias("source_name"), "province", "city")
+    seen = told.join(of_file, "file_id").join(of_source, "source", "left")
+    # The source of an archive counts for files with an observation that has none, or without any.
+    sourced = told.groupBy("file_id").agg(F.bool_or(F.col("source").isNull()).alias("open"))
+    held = mounts.join(of_file, "file_id").join(archives.withColumn("archive", F.col("archive_id")), "archive_id", "left").join(regions, "region_code", "left").join(sourced, "file_id", "left")
+    held = held.withColumn("source", F.when(F.coalesce("open", F.lit(True)), first_filled(F.col("source_id")))).join(of_source, "source", "left")
+
+    sets: dict[str, list[str]] = {f: [] for f in SET_FIELDS}
+
+    def said(rows: DataFrame, branch: str, values: list[tuple[str, Column]]) -> DataFrame:
+        """The distinct values of each column of a branch, by object; a field may have several columns."""
+        found = []
+        for k, (field, value) in enumerate(values):
+            sets[field].append(f"{branch}_{k}")
+            found.append(F.collect_set(F.nullif(F.trim(value.cast("string")), F.lit(""))).alias(f"{branch}_{k}"))
+        return rows.groupBy("blob_hash").agg(*found)
 
     c = F.col
-    folded = (
-        said(assets, [("file_ids", c("file_id")), ("file_names", c("file_name"))])
-        .unionByName(said(seen, [
+    by_source = [("source_names", c("source_name")), ("source_ids", c("known_source")), ("source_provinces", c("province")), ("source_cities", c("city"))]
+    branches = [
+        said(assets, "asset", [("file_ids", c("file_id")), ("file_names", c("file_name"))]),
+        said(seen, "event", [
             ("original_names", c("original_name")), ("source_urls", c("source_url")), ("source_ids", c("event_source")), ("task_ids", c("task_id")), ("task_ids", c("known_task")), ("batch_ids", c("event_batch")), ("batch_ids", c("task_batch")),
-            ("ingested_ats", _iso(c("ingested_at"))), ("period_starts", c("period_start")), ("period_ends", c("period_end")), ("period_raws", c("period_raw")),
-        ]))
-        .unionByName(said(held, [
+            ("ingested_ats", _iso(c("ingested_at"))), ("period_starts", c("period_start")), ("period_ends", c("period_end")), ("period_raws", c("period_raw")), *by_source,
+        ]),
+        said(held, "archive", [
             ("file_roles", c("file_role")), ("archive_ids", c("archive")), ("archive_titles", c("title")), ("region_codes", c("region_code")), ("domain_types", c("domain_type")), ("period_kinds", c("period_kind")), ("publish_dates", c("publish_date")),
             ("source_urls", c("source_url")), ("source_ids", c("source_id")), ("task_ids", c("task_id")), ("batch_ids", c("batch_id")), ("period_starts", first_filled(c("period_start"), c("period"))), ("period_ends", c("period_end")), ("period_raws", first_filled(c("period_raw"), c("title"))),
-            ("resolved_provinces", c("province_name")), ("resolved_regions", c("region_name")),
-        ]))
-        .unionByName(said(named, [("source_names", c("name")), ("source_ids", c("source_id")), ("source_provinces", c("province")), ("source_cities", c("city")), ("resolved_provinces", c("province")), ("resolved_regions", c("city"))]))
-    )
-    sets = folded.groupBy("blob_hash").pivot("field", list(SET_FIELDS)).agg(F.array_join(F.array_sort(F.collect_set("value")), " | "))
+            ("resolved_provinces", c("province_name")), ("resolved_regions", c("region_name")), *by_source,
+        ]),
+    ]
+    for into, out_of in (("resolved_provinces", "source_provinces"), ("resolved_regions", "source_cities")):
+        sets[into] += sets[out_of]
     files = assets.groupBy("blob_hash").agg(F.count_distinct("file_id").alias("files"))
-    observed = seen.groupBy("blob_hash").agg(F.count_distinct("event_id").alias("events"))
-    rows = blobs.join(sets, "blob_hash", "left").join(files, "blob_hash", "left").join(observed, "blob_hash", "left")
+    observed = events.select("event_id", "file_id").join(of_file, "file_id").groupBy("blob_hash").agg(F.count_distinct("event_id").alias("events"))
+    rows = blobs
+    for branch in (*branches, files, observed):
+        rows = rows.join(branch, "blob_hash", "left")
+    none = F.array().cast("array<string>")
+    folded = [F.array_join(F.array_sort(F.array_distinct(F.concat(none, *[F.coalesce(x, none) for x in columns]))), SEPARATOR).alias(f) for f, columns in sets.items()]
+    rows = rows.select(*blobs.columns, "files", "events", *folded)
     rows = rows.na.fill("", list(SET_FIELDS))
     lacks = lambda name, *fields: F.when(F.concat(*[F.col(f) for f in fields]) == "", name)
     missing = F.concat_ws("|", lacks("archive_ids", "archive_ids"), lacks("original_names", "original_names", "file_names"), lacks("period", "period_starts", "period_raws"), lacks("region", "resolved_regions", "region_codes"))

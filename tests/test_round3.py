@@ -85,3 +85,8 @@ def test_blob_sections_join_each_side_once(spark):
 def test_lines_are_dealt_out_by_number(spark):
     out = QUERIES["unnest_lateral"](spark, "/root/testdata/sf0.001")
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_no_value_of_a_manifest_becomes_a_row(spark):
+    out = QUERIES["parse_manifest"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
