@@ -176,9 +176,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Alternates the large-star and small-star steps: every node links itself to the smallest neighbour
-    it sees, until nothing changes. No neighbour list is ever gathered; each step is an aggregate and a
-    join. Each round is stored, and the one before forgotten. Null ends and self links are ignored; no edges
-    give no rows.
+    it sees, until each one hangs on one node that hangs on none. No neighbour list is ever gathered; each step is an
+    aggregate and a join, and the joins are merges, so no round sends anything through the driver. Each round is stored,
+    and the one before forgotten. Null ends and self links are ignored; no edges give no rows.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select("a", "b")
@@ -187,7 +187,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(low, "a")
+        joined = both.join(low.hint("merge"), "a")
         if large:
             moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -195,24 +195,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             moved = moved.unionByName(low.select("a", F.col("m").alias("b")))
         return moved.where("a <> b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        row = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(row)
+    def stars(pairs: DataFrame) -> bool:
+        """Whether no node hangs on two, or on one that hangs itself. a is more than b in every pair, so b is the smallest."""
+        ends = pairs.select(F.col("a").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(pairs.select(F.col("b").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        return ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 AND hangs > 0").isEmpty()
 
     pairs = stored(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    seen = mark(pairs)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    left = rounds
+    while not stars(pairs):
+        if not left:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        left -= 1
         before, pairs = pairs, stored(star(star(pairs, True), False), "pairs")
         forget(before)
         release(pairs.sparkSession)
-        now = mark(pairs)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -305,6 +305,15 @@ def _joined(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _widened(linked: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components by the links so far, given as (node, component), and more edges (a, b). linked is forgotten."""
+    if linked is None:
+        return components(edges)
+    wider = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
+    forget(linked)
+    return wider
+
+
 def _labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, t1, t2, n_shingles, first) for every row: first is the least (doc_id, t1, t2) of its component, null if that
     has no id."""
@@ -323,16 +332,13 @@ def _labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # A hub is the member that meets most others over all buckets: the likely original of a group of copies.
     open_ = stored(met.join(rank, "node").select("key", "node", "rank", F.col("node").alias("component")), "open")
     forget(met)
-    edges, linked, made = None, None, []
+    linked, made = None, []
     for turn in range(HUBS):
         hubs = stored(open_.groupBy("key").agg(F.max(F.struct("rank", "node", "component")).alias("hub")), "hubs")
         stars = open_.join(hubs, "key").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         made.append(stored(_confirmed(_near(stars, texts), texts), "edges"))
         release(spark)
-        edges = made[-1] if edges is None else edges.unionByName(made[-1])
-        if linked is not None:
-            forget(linked)
-        linked = components(edges)
+        linked = _widened(linked, made[-1])
         # The hub's whole component has had its turn as far as it shares the hub's: the next hub comes from elsewhere.
         labelled = open_.select("key", "node", "rank").join(linked, "node", "left").select("key", "node", "rank", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -354,8 +360,7 @@ def _labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         made.append(stored(_joined(asked, members.select("node", "component", "block"), texts), "edges"))
         release(spark)
         if not made[-1].isEmpty():
-            forget(linked)
-            linked = components(edges.unionByName(made[-1]))
+            linked = _widened(linked, made[-1])
     # From here on rows are nodes, until each row looks its node up.
     nodes_of = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "copies")
     nodes_of = stored(nodes_of, "labelled")

@@ -86,7 +86,7 @@ def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
 
     rng = np.random.default_rng(seed)
     pad = max(WIDTHS) - 1
-    docs = [np.concatenate([np.asarray(ids, np.int64), np.full(pad, BUCKETS)]) if len(ids) else np.full(pad + 1, BUCKETS) for ids, _ in rows]
+    docs = [np.concatenate([np.asarray(ids, np.uint16), np.full(pad if len(ids) else pad + 1, BUCKETS, np.uint16)]) for ids, _ in rows]
     labels = np.array([y for _, y in rows], float)
     embedding = rng.normal(0, 0.1, (BUCKETS + 1, DIMS)).astype(np.float32)
     filters = [rng.normal(0, 0.2, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -183,17 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     short_batches(docs.sparkSession)
 
     def hashed(batches):
+        import numpy as np
         import pyarrow as pa
 
         cache: dict = {}
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([bucket_ids(t.as_py(), cache) for t in b.column(1)], pa.list_(pa.int32())), b.column(2)], names=["k", "ids", "y"])
+            yield pa.record_batch([b.column(0), pa.array([np.array(bucket_ids(t.as_py(), cache), "<u2").tobytes() for t in b.column(1)], pa.binary()), b.column(2)], names=["k", "ids", "y"])
 
-    got = rows.mapInArrow(hashed, "k long, ids array<int>, y int").toArrow()
+    # Two bytes a word: the driver holds the sample as it came.
+    got = rows.mapInArrow(hashed, "k long, ids binary, y int").toArrow()
     import numpy as np
 
     got = got.sort_by([("k", "ascending")])
-    found = [(np.asarray(i.values), y) for i, y in zip(got.column("ids"), got.column("y").to_pylist())]
+    found = [(np.frombuffer(i.as_buffer(), "<u2"), y) for i, y in zip(got.column("ids"), got.column("y").to_pylist())]
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     model = train(found, prior)
