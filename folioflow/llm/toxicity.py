@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .common import short_batches, stored
+from .common import short_batches, spread, stored
 
 #: Hash buckets of words, numbers in an embedding, filter widths in words and filters of each.
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
@@ -18,19 +18,60 @@ MAX_ROWS, MAX_CHARS = 3000, 1 << 15
 EPOCHS, BATCH = 10, 64
 #: A bucket that fewer fitting rows hold has no embedding; log odds count from ODDS standard errors on.
 MIN_ROWS, ODDS = 5, 2.0
+#: A mark is a word that toxic fitting rows hold more often, or a beginning of STEMS letters of which other words show the same:
+#: its log odds are STRONG or more after ODDS standard errors, and the likelihood ratio (G) against chance is SURE or
+#: more. The surest MAX_MARKS of either kind are rows.
+STEMS, STRONG, SURE, MAX_MARKS = (3, 4, 5, 6), 1.0, 24.0, 2048
+#: Rows of the embedding: the buckets, one of zeros, and marks.
+ROWS = BUCKETS + 1 + 2 * MAX_MARKS
 #: Thresholds are multiples of 1 / BINS. A language with a RARE-th of the labelled rows or more has its own, for which
 #: the errors over all languages count as PRIOR_ROWS of its rows; there can't be more than RARE such languages.
 BINS, RARE, PRIOR_ROWS = 100, 1000, 50
-#: Buckets of words that a worker keeps at a time.
-CACHED_WORDS = 100_000
+#: Rows of words that a worker keeps at a time, and parts of words that it counts at a time.
+CACHED_WORDS, COUNTED = 100_000, 200_000
 _WORD = r"[^\W_]+"
 
 
-def bucket_ids(text: str | None, cache: dict) -> list[int]:
-    """The buckets of a text's lower-cased words."""
+def words(text: str | None) -> list[str]:
+    """A text's lower-cased words."""
     import re
 
-    found = re.findall(_WORD, (text or "").lower())
+    return re.findall(_WORD, (text or "").lower())
+
+
+def beginnings(word: str) -> list[str]:
+    """A word's beginnings that may be marks, the longest first."""
+    return [word[:n] for n in reversed(STEMS) if n <= len(word)]
+
+
+def row_of(word: str, marks: dict) -> int:
+    """A word's row of the embedding: its mark's, else that of its longest beginning that is a mark, else its bucket; a
+    bucket that a mark has for itself is no other word's, and those have the row of zeros."""
+    if marks:
+        for part in (word + " ", *beginnings(word)):
+            if part in marks:
+                return marks[part]
+    at = crc32(word.encode()) % BUCKETS
+    return marks.get(at, at)
+
+
+def placed(known: list[str], starts: list[str]) -> dict:
+    """Rows of the words (keyed with a blank behind) and beginnings that are marks, the surest first. A word has its bucket for itself,
+    unless a surer one has it; all else has a row behind the buckets."""
+    marks: dict = {}
+    for i, word in enumerate(known):
+        at = crc32(word.encode()) % BUCKETS
+        if at in marks:
+            at = BUCKETS + 1 + i
+        else:
+            marks[at] = BUCKETS
+        marks[word + " "] = at
+    return marks | {part: BUCKETS + 1 + MAX_MARKS + i for i, part in enumerate(starts)}
+
+
+def bucket_ids(text: str | None, cache: dict, marks: dict = {}) -> list[int]:  # noqa: B006  never written to
+    """The rows of a text's words; a cache is for one set of marks."""
+    found = words(text)
     try:
         return [cache[w] for w in found]
     except KeyError:
@@ -38,7 +79,7 @@ def bucket_ids(text: str | None, cache: dict) -> list[int]:
             cache.clear()
         for w in found:
             if w not in cache:
-                cache[w] = crc32(w.encode()) % BUCKETS
+                cache[w] = row_of(w, marks)
         return [cache[w] for w in found]
 
 
@@ -50,15 +91,16 @@ class Model:
     bias: float
     thresholds: dict
     threshold: float = 0.5
+    marks: dict = field(default_factory=dict)
 
     def prepared(self):
-        """For each width and place in it, the filters' answers to every bucket."""
+        """For each width and place in it, the filters' answers to every row."""
         import numpy as np
 
         return [[np.ascontiguousarray(self.embedding @ w[j]) for j in range(len(w))] for w in self.filters]
 
     def score(self, ids, tables) -> float:
-        """Probability of the toxic class for a text's buckets; windows reach over the ends by zeros."""
+        """Probability of the toxic class for the rows of a text's words; windows reach over the ends by zeros."""
         import numpy as np
 
         pad = max(WIDTHS) - 1
@@ -80,7 +122,7 @@ class Model:
 
 
 def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
-    """Fit on (buckets, label 0/1) by Adam. The first embedding number starts as the bucket's log odds
+    """Fit on (rows of words, label 0/1) by Adam. The first embedding number starts as the row's log odds
     between the classes, the rest at random; `prior` is the share of toxic rows among all labelled ones."""
     import numpy as np
 
@@ -88,7 +130,7 @@ def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
     pad = max(WIDTHS) - 1
     docs = [np.concatenate([np.asarray(ids, np.uint16), np.full(pad if len(ids) else pad + 1, BUCKETS, np.uint16)]) for ids, _ in rows]
     labels = np.array([y for _, y in rows], float)
-    embedding = rng.normal(0, 0.1, (BUCKETS + 1, DIMS)).astype(np.float32)
+    embedding = rng.normal(0, 0.1, (ROWS, DIMS)).astype(np.float32)
     filters = [rng.normal(0, 0.2, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0, :] += 0.4 / len(f)
@@ -99,7 +141,7 @@ def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
     if len(set(labels[fit])) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(embedding, filters, out * 0, float(np.log(p / (1 - p))), {})
-    seen = np.zeros((2, BUCKETS + 1))
+    seen = np.zeros((2, ROWS))
     for i in fit:
         seen[int(labels[i]), np.unique(docs[i])] += 1
     of = [(labels[fit] == c).sum() for c in (0, 1)]
@@ -165,10 +207,10 @@ def train(rows: list[tuple], prior: float, seed: int = 7) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on labelled rows whose crc32(id as text) mod 5 is not 0, at most max_rows of each class with texts of at most
-    MAX_CHARS characters: those with the least hash of their id. Only the buckets of their words come to the driver.
+    MAX_CHARS characters: those with the least hash of their id. Only the rows of their words and the marks come to the driver.
 
     The thresholds by language come from all such labelled rows, each scored by a model that hasn't seen it: rows
-    of the sample by one that was fitted on the other half of it. Null ids and labels teach nothing; an id that is labelled
+    of the sample by one that was fitted on the other half of it, with that half's own marks. Null ids and labels teach nothing; an id that is labelled
     twice is toxic if either says so; of texts that repeat an id one is fitted on; without labels every text scores alike
     and nothing is rejected.
     """
@@ -179,33 +221,88 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     sample = ordered(0).unionByName(ordered(1))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = texts.join(F.broadcast(sample), "k").where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_CHARS)
-    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r")).select("k", "r.text", "r.y")
+    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    rows = spread(stored(rows.select("k", "r.text", "r.y", (F.crc32(F.concat(F.lit("half"), F.col("k").cast("string"))) % 2).cast("int").alias("half")), "sample"))
     short_batches(docs.sparkSession)
+    # Marks of all rows, and of each half.
+    every = marks_of(rows)
 
     def hashed(batches):
         import numpy as np
         import pyarrow as pa
 
-        cache: dict = {}
+        caches: list = [{} for _ in every]
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([np.array(bucket_ids(t.as_py(), cache), "<u2").tobytes() for t in b.column(1)], pa.binary()), b.column(2)], names=["k", "ids", "y"])
+            ids = lambda t, m: np.array(bucket_ids(t, caches[m], every[m]), "<u2").tobytes()
+            texts, halves = b.column(1).to_pylist(), b.column(3).to_pylist()
+            whole, own = [ids(t, 0) for t in texts], [ids(t, 1 + h) for t, h in zip(texts, halves)]
+            yield pa.record_batch([b.column(0), pa.array(whole, pa.binary()), pa.array(own, pa.binary()), b.column(2), b.column(3)], names=["k", "ids", "own", "y", "half"])
 
-    # Two bytes a word: the driver holds the sample as it came.
-    got = rows.mapInArrow(hashed, "k long, ids binary, y int").toArrow()
+    # Two bytes a word and set of marks: the driver holds the sample as it came.
+    got = rows.mapInArrow(hashed, "k long, ids binary, own binary, y int, half int").toArrow()
     import numpy as np
 
     got = got.sort_by([("k", "ascending")])
-    found = [(np.frombuffer(i.as_buffer(), "<u2"), y) for i, y in zip(got.column("ids"), got.column("y").to_pylist())]
+    found, own = [[(np.frombuffer(i.as_buffer(), "<u2"), y) for i, y in zip(got.column(c), got.column("y").to_pylist())] for c in ("ids", "own")]
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     model = train(found, prior)
+    model.marks = every[0]
     if total:
-        half = {k: crc32(b"half%d" % k) % 2 for k in got.column("k").to_pylist()}
-        blind = [train([r for r, h in zip(found, half.values()) if h != side], prior) for side in (0, 1)]
+        half = dict(zip(got.column("k").to_pylist(), got.column("half").to_pylist()))
+        blind = [train([r for r, h in zip(own, half.values()) if h != side], prior) for side in (0, 1)]
+        for side in (0, 1):
+            blind[side].marks = every[2 - side]
         model.threshold, model.thresholds = calibrated(texts, known, [*blind, model], half)
     return model
 
 
+def marks_of(rows: DataFrame) -> list[dict]:
+    """Marks with their rows of the embedding, as all rows (k, text, y, half) show them, those of half 0 and those of half 1. A
+    beginning is for words that are no marks, so it is counted over these alone."""
+    sizes = {(r.half, r.y): r["count"] for r in rows.groupBy("half", "y").count().collect()}
+    n = [[float(sum(sizes.get((h, y), 0) for h in side)) for y in (0, 1)] for side in ((0, 1), (0,), (1,))]
+
+    def sure(taken: list[set] | None) -> list[list[str]]:
+        def counted(batches):
+            import pyarrow as pa
+
+            found: dict = {}
+
+            def out():
+                columns = [[p for p, _ in found], [s for _, s in found], *zip(*found.values())]
+                types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+                return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "side", "clean", "toxic"])
+
+            for b in batches:
+                for t, y, h in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    own = set(words(t.as_py()))
+                    for side in (0, 1 + h):
+                        for part in own if taken is None else {p for w in own - taken[side] for p in beginnings(w)}:
+                            of = found.get((part, side))
+                            if of is None:
+                                of = found[part, side] = [0, 0]
+                            of[y] += 1
+                    if len(found) > COUNTED:
+                        yield out()
+                        found.clear()
+            if found:
+                yield out()
+
+        counts = rows.mapInArrow(counted, "part string, side int, clean long, toxic long").groupBy("side", "part").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= MIN_ROWS)
+        n0, n1 = (F.element_at(F.array(*[F.lit(x[y]) for x in n]), F.col("side") + 1) for y in (0, 1))
+        a, b = F.col("a"), F.col("b")
+        x_log = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
+        g = 2 * (x_log(a) + x_log(b) + x_log(n0 - a) + x_log(n1 - b) - x_log(a + b) - x_log(n0 + n1 - a - b) - x_log(n0) - x_log(n1) + x_log(n0 + n1))
+        gap = F.ln((b + 0.5) / (n1 - b + 0.5)) - F.ln((a + 0.5) / (n0 - a + 0.5))
+        error = F.sqrt(1 / (a + 0.5) + 1 / (n0 - a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - b + 0.5))
+        marks = stored(counts.select("side", "part", g.alias("g"), (gap - ODDS * error).alias("gap")).where((F.col("g") >= SURE) & (F.col("gap") >= STRONG)), "marks")
+        return [[r.part for r in marks.where(F.col("side") == s).orderBy(F.desc("g"), "part").limit(MAX_MARKS).collect()] for s in range(3)]
+
+    known = sure(None)
+    return [placed(w, s) for w, s in zip(known, sure([set(w) for w in known]))]
+
+
 def calibrated(texts: DataFrame, known: DataFrame, models: list, half: dict) -> tuple[float, dict]:
     """(threshold, thresholds by language) with the fewest errors over all texts (k, text, lang) that are known (k, y): a text
     whose id is in `half` is scored by models[half], every other one by the last model. Scores are counted by bin in
@@ -218,11 +315,11 @@ def calibrated(texts: DataFrame, known: DataFrame, models: list, half: dict) ->
         import pyarrow as pa
 
         held, half = shared.value
-        models, cache = [Model(**m) for m in held], {}
-        tables = [m.prepared() for m in models]
+        models = [Model(**m) for m in held]
+        tables, caches = [m.prepared() for m in models], [{} for _ in models]
         for b in batches:
             use = [half.get(k, len(models) - 1) for k in b.column(0).to_pylist()]
-            bins = [int(models[u].score(bucket_ids(t.as_py(), cache), tables[u]) * BINS) for u, t in zip(use, b.column(1))]
+            bins = [int(models[u].score(bucket_ids(t.as_py(), caches[u], models[u].marks), tables[u]) * BINS) for u, t in zip(use, b.column(1))]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(bins, pa.int32())], names=["k", "lang", "bin"])
 
     scored = maybe_in(texts, "k", known.select("k")).mapInArrow(run, "k long, lang string, bin int").join(known, "k")
@@ -264,7 +361,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model, cache = Model(**shared.value), {}
         tables = model.prepared()
         for b in batches:
-            scores = [model.score(bucket_ids(t.as_py(), cache), tables) for t in b.column(2)]
+            scores = [model.score(bucket_ids(t.as_py(), cache, model.marks), tables) for t in b.column(2)]
             cuts = [model.thresholds.get(x, model.threshold) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([s >= c for s, c in zip(scores, cuts)], pa.bool_())], names=["doc_id", "lang", "score", "rejected"])
 
@@ -287,6 +384,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
         tables = model.prepared()
         for b in batches:
             cuts = [model.thresholds.get(x, model.threshold) for x in b.column(lang_at).to_pylist()]
-            yield b.filter(pa.array([model.score(bucket_ids(t.as_py(), cache), tables) < c for t, c in zip(b.column(at), cuts)], pa.bool_()))
+            yield b.filter(pa.array([model.score(bucket_ids(t.as_py(), cache, model.marks), tables) < c for t, c in zip(b.column(at), cuts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

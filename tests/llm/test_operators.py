@@ -445,6 +445,49 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0 and toxicity.drop_toxic(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_of_rare_endings_and_shared_buckets(spark):
+    """A toxic word that shares its bucket with a common one is told apart, and so are words of one stem that occur once each."""
+    rng = random.Random(11)
+    at = lambda w: zlib.crc32(w.encode()) % toxicity.BUCKETS
+    common = "".join(rng.choice("abcde") for _ in range(9))
+    toxic = next(w for i in range(10**6) if at(w := f"zork{i}") == at(common))
+    rows, labels = [], []
+    for i in range(1200):
+        bad = rng.random() < 0.2
+        w = prose(rng.randint(10, 40), rng).split() + [common]
+        if bad:
+            w.insert(rng.randint(0, len(w)), toxic if i % 2 else "grumpf" + "".join(rng.choice("aeioulmnrst") for _ in range(8)))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    table = docs(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(table, model).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    for kind in (0, 1):
+        own = [got[i] for i, y in held if y and i % 2 == kind]
+        assert len(own) > 10 and np.mean([r.score >= 0.5 for r in own]) > 0.95 and np.mean([r.rejected for r in own]) > 0.95
+    assert np.mean([got[i].rejected for i, y in held if not y]) < 0.02
+
+
+def test_marks(spark):
+    """Counted here one by one: of all rows, and of either half. A beginning counts words that are no marks."""
+    rng = random.Random(5)
+    rows = [(i, f"{rng.choice('abc')}xx {'vile vilest' if i % 4 == 0 else ''} {'mur' + chr(97 + i % 26) * 3 if i % 4 == 1 else 'plain'}", int(i % 4 < 2), i // 4 % 2) for i in range(400)]
+    got = toxicity.marks_of(spark.createDataFrame([*rows, (400, None, 0, 0)], "k long, text string, y int, half int"))
+    for marks in got:
+        whole = {m[:-1] for m in marks if isinstance(m, str) and m[-1] == " "}
+        starts = {m for m in marks if isinstance(m, str) and m[-1] != " "}
+        assert whole == {"vile", "vilest"} and starts == {"mur"}
+        assert toxicity.row_of("vile", marks) == toxicity.crc32(b"vile") % toxicity.BUCKETS
+        assert toxicity.row_of("murzz", marks) == marks["mur"] > toxicity.BUCKETS
+        assert toxicity.row_of("villa", marks) == toxicity.crc32(b"villa") % toxicity.BUCKETS
+    # Two words of one bucket: the surer has it, the other a row behind, and no third one gets in.
+    at = lambda w: zlib.crc32(w.encode()) % toxicity.BUCKETS
+    second, third = [w for i in range(200_000) if at(w := f"w{i}") == at("vile")][:2]
+    marks = toxicity.placed(["vile", second], [])
+    assert [toxicity.row_of(w, marks) for w in ("vile", second, third)] == [at("vile"), toxicity.BUCKETS + 2, toxicity.BUCKETS]
+
+
 def plain_kneser_ney(texts):
     """The probability of a five-character gram's last character: interpolated modified Kneser-Ney, from the formulas."""
     from collections import Counter, defaultdict
