@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the cluster's folder, or in a temporary one in local mode."""
+def _shared(df: DataFrame) -> str:
+    """The folder for checkpoints: the cluster's, or a temporary one in local mode."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not root and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="folioflow-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the cluster's folder, or in a temporary one in local mode."""
+    _shared(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet beside the checkpoints and read back: for wide rows, as columns take a fraction of a checkpoint."""
+    path = f"{_shared(df)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(rows: DataFrame, node: str, evidence: str) -> DataFrame:
     """(node, component) for rows (node, evidence): nodes that share evidence, directly or over others, get the
     smallest of their nodes. Labels of nodes that share any go to the evidence and back, and jump to their own label's

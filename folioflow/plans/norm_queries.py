@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..sources.tables import table_rows
+from ..sources.tables import whole_tables
 from .driver_queries import query
 from .norm_tables import Form, parse
 from .sections import sections
@@ -91,7 +91,7 @@ a AS (
 SELECT CAST(file AS VARCHAR) AS file, CASE item WHEN 0 THEN 'A' ELSE 'B' END || (k + 10000) AS code, row_number() OVER (PARTITION BY k, item ORDER BY slot, page, r) AS line, kind, name, unit, quantity, price, CAST(round(verify, 2) AS DOUBLE) AS verify FROM a
 """)
 def norm_lines(spark, d):
-    parsed = parse(table_rows(_books(spark, d), "file", "content"), FORM)
+    parsed = parse(whole_tables(_books(spark, d), "file", "content"), FORM)
     item = Window.partitionBy("file", "table_no", "part", "item").orderBy("slot", "place")
     out = parsed.lines.select("file", F.first("code").over(item).alias("code"), F.row_number().over(item).cast("long").alias("line"), "kind", "name", "unit", "quantity", "price", "verify")
     return out.withColumn("verify", F.col("verify").try_cast("double"))

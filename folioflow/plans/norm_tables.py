@@ -1,8 +1,9 @@
 """Norm tables: items and their resource lines out of tables with spanning cells.
 
-A table row is a row of the frame, with its cells as placed by the reader. What a table says once (its item codes, its
-base prices, its fees) is an aggregate over the table, and a line's parts are found with array functions on its own row.
-Tables that go on over pages meet their beginning by (file, code), so no file is ever gathered.
+A table is a row of the frame, with its rows as placed by the reader. What it says once (its item codes, its base prices,
+its fees) is found with array functions over its rows, and a line's parts on its own row, so the rows' wide grids are never
+dealt out. Items and resource rows are stored as columns and dealt out once by file: tables that go on over pages meet their
+beginning by (file, code) there, and no file is ever gathered.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioflow.functions.patterns import clean_name
 from folioflow.functions.text import markup_unit, number_or_zero, out_of_brackets, plain_number
-from folioflow.operators.graph import settled
+from folioflow.operators.graph import stored
 from folioflow.operators.sequences import SO_FAR
 
 # Labels as the books print them.
@@ -24,6 +26,8 @@ FULL_COST_LABELS = ("全费用(元)", "全费用（元）", "全费用")
 CATEGORIES = ("材", "料", "机", "机具", "材 料", "材料", "机 具", "机 械", "料 料", "机械")
 MORE_CATEGORIES = ("未计价", "附项", "人工")
 CONTINUES_WITH = ("材料", "机具", "工", "未计价", "配")
+#: One of them is in each label of base prices, units and fees above and in facts.
+SIGNS = ("价", "费", "位", "利", "税")
 IMPLICIT_LABELS = ("人工", "材料", "机械", "材", "料", "机", "机具")
 MACHINE_FEES = ("机械费", "施工机具使用费", "机具费")
 OTHER_MATERIAL = ("其他材料费", "其它材料费")
@@ -99,60 +103,88 @@ def _with(frame: DataFrame, **columns: Column) -> DataFrame:
     return frame.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def split_tables(rows: DataFrame) -> DataFrame:
-    """rows with part: 0, or where several tables were printed as one, the number of the one that began at or before the
-    row. Rows before the first are gone; the cells of such rows are the runs of equal texts in their grid."""
-    table = Window.partitionBy(*TABLE)
-    begins = (F.get("grid", F.lit(0)) == CODE_ROW).cast("int")
-    many = F.coalesce(F.sum(begins).over(table), F.lit(0)) > 1
-    part = F.when(many, F.sum(begins).over(table.orderBy("row").rowsBetween(*SO_FAR))).otherwise(F.lit(0)).cast("int")
-    own, whole = F.transform("cells", lambda c: _cell(c["text"], c["start"], c["stop"])), F.transform("grid", lambda t, i: _cell(t, i, i))
-    numbered = rows.withColumn("many", many).withColumn("part", part).withColumn("prefix", F.max("prefix").over(table)).where(~F.col("many") | (F.col("part") > 0))
-    return numbered.select("file", "table_no", "part", "row", "prefix", "grid", F.when(F.col("many"), _merged(whole)).otherwise(own.cast(_CELLS)).alias("cells"))
-
-
-def facts(rows: DataFrame, form: Form) -> DataFrame:
-    """What each table part says once: projects (its codes in reading order, each with its column), the first rows of base
-    prices, units and fees, the titles above the items, where its lines begin, and whether it names a base price."""
-    grid = F.col("grid")
-    rows = _with(rows, text=F.array_join(F.filter(grid, lambda t: t != ""), " "), col0=F.get(grid, F.lit(0)), col2=F.coalesce(F.get(grid, F.lit(2)), F.lit("")))
-    rows = _with(rows, tight=F.regexp_replace("text", r"\s+", ""))
-    text, tight, col0, col2 = (F.col(c) for c in ("text", "tight", "col0", "col2"))
-    numeric_from = lambda k: F.exists(F.filter(F.slice(grid, k + 1, 1 << 20), lambda t: t != ""), lambda t: t.rlike(NUMERIC))
-    machine = _any_in(tight, form.machine_fees)
-    has = lambda w: F.contains(tight, F.lit(w))
+def gathered(rows: DataFrame) -> DataFrame:
+    """Table rows (file, table_no, row, prefix, grid, cells) as one row a table, the form of sources.tables.whole_tables."""
+    told = F.sort_array(F.collect_list(F.struct("row", "grid", "cells")))
+    return rows.where(F.size("grid") >= 4).groupBy(*TABLE).agg(F.max("prefix").alias("prefix"), told.alias("rows"))
+
+
+def split_tables(tables: DataFrame) -> DataFrame:
+    """(file, table_no, part, prefix, many, rows): part 0 has all rows of a table; where several tables were printed as one
+    (many), each is a part from 1 on with its own rows, and rows before the first are gone."""
+    tables = tables.where("file IS NOT NULL").select(*TABLE, "prefix", F.filter("rows", lambda r: F.size(r["grid"]) >= 4).alias("rows"))
+    begins = F.filter(F.transform("rows", lambda r, i: F.when(F.get(r["grid"], F.lit(0)) == CODE_ROW, i)), lambda i: i.isNotNull())
+    tables = _with(tables, begins=begins)
+    own = lambda b, k: F.slice("rows", b + 1, F.coalesce(F.get("begins", k + 1), F.size("rows")) - b)
+    several = F.transform("begins", lambda b, k: F.struct((k + 1).alias("part"), F.lit(True).alias("many"), own(b, k).alias("rows")))
+    one = F.array(F.struct(F.lit(0).alias("part"), F.lit(False).alias("many"), F.col("rows")))
+    return tables.select(*TABLE, "prefix", F.inline_outer(F.when(F.size("begins") > 1, several).otherwise(one)))
+
+
+def facts(parts: DataFrame, form: Form) -> DataFrame:
+    """parts with what each says once: projects (its codes in reading order, each with its column), the first rows of base
+    prices, units and fees, the titles above the items, where its lines begin, and whether it names a base price. Parts
+    without a code are gone."""
+    told = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), r["grid"].alias("grid"), F.array_join(F.filter(r["grid"], lambda t: t != ""), " ").alias("text")))
+    parts = _with(parts, told=told)
+    more = lambda r: (F.regexp_replace(r["text"], r"\s+", "").alias("tight"), F.get(r["grid"], F.lit(0)).alias("col0"), F.coalesce(F.get(r["grid"], F.lit(2)), F.lit("")).alias("col2"))
+    parts = _with(parts, each=F.transform("told", lambda r: F.struct(r["row"].alias("row"), r["grid"].alias("grid"), r["text"].alias("text"), *more(r))))
+    numeric_from = lambda r, k: F.exists(F.filter(F.slice(r["grid"], k + 1, 1 << 20), lambda t: t != ""), lambda t: t.rlike(NUMERIC))
+    machine = lambda r: _any_in(r["tight"], form.machine_fees)
+    has = lambda r, w: F.contains(r["tight"], F.lit(w))
+    holds = lambda w: lambda r: has(r, w)
     conditions = {
-        "base": (_any_in(text, BASE_LABELS) & numeric_from(4)) | (_any_in(text, FULL_COST_LABELS) & numeric_from(0)),
-        "units": F.contains(text, F.lit("计量单位")) | F.contains(text, F.lit("计 量 单 位")),
-        "labour": has("人工费"),
-        "material": has("材料费") & ~has("人工费") & ~machine & ~has("管理费") & ~has("利润") & ~has("一般风险费"),
+        "base": lambda r: (_any_in(r["text"], BASE_LABELS) & numeric_from(r, 4)) | (_any_in(r["text"], FULL_COST_LABELS) & numeric_from(r, 0)),
+        "units": lambda r: F.contains(r["text"], F.lit("计量单位")) | F.contains(r["text"], F.lit("计 量 单 位")),
+        "labour": lambda r: has(r, "人工费"),
+        "material": lambda r: has(r, "材料费") & ~has(r, "人工费") & ~machine(r) & ~has(r, "管理费") & ~has(r, "利润") & ~has(r, "一般风险费"),
         "machine": machine,
-        "management": has("管理费"),
-        "profit": has("利") & ~has("管理"),
-        "fee": has("费用") & ~has("管理费") & ~has("全费用"),
-        "vat": has("增值税"),
-        "risk": has("一般风险费"),
-        **{f"more_{k}": has(label) for k, label in enumerate(form.more_fees)},
+        "management": lambda r: has(r, "管理费"),
+        "profit": lambda r: has(r, "利") & ~has(r, "管理"),
+        "fee": lambda r: has(r, "费用") & ~has(r, "管理费") & ~has(r, "全费用"),
+        "vat": lambda r: has(r, "增值税"),
+        "risk": lambda r: has(r, "一般风险费"),
+        **{f"more_{k}": holds(label) for k, label in enumerate(form.more_fees)},
     }
-    found = [F.min(F.when(c, F.struct("row", "grid")))["grid"].alias(n) for n, c in conditions.items()]
-    codes = F.filter(F.transform(grid, lambda t, i: F.struct(F.col("row").alias("row"), i.alias("col"), t.alias("code"))), lambda x: x["code"].rlike(f"^(?:{form.code})$"))
-    header = col0.startswith("名 称") | col0.startswith("名称") | F.replace(col0, F.lit(" "), F.lit("")).startswith("工料机名称") | (col0.isin("", "分类") & (col2 == "名称"))
-    labelled = F.replace(col0, F.lit(" "), F.lit("")).isin(*IMPLICIT_LABELS)
-    starts = F.min(F.when(header, F.col("row") + 1))
+    # Few rows hold any of the signs and labels that these ask for.
+    parts = _with(parts, signed=F.filter("each", lambda r: _any_in(r["tight"], (*SIGNS, *form.machine_fees, *form.more_fees))))
+    found = [_first(F.filter("signed", c))["grid"].alias(n) for n, c in conditions.items()]
+    is_code = lambda t: t.rlike(f"^(?:{form.code})$")
+    codes = lambda r: F.filter(F.transform(r["grid"], lambda t, i: F.struct(r["row"].alias("row"), i.alias("col"), t.alias("code"))), lambda x: is_code(x["code"]))
+    tight0 = lambda r: F.replace(r["col0"], F.lit(" "), F.lit(""))
+    header = lambda r: r["col0"].startswith("名 称") | r["col0"].startswith("名称") | tight0(r).startswith("工料机名称") | (r["col0"].isin("", "分类") & (r["col2"] == "名称"))
+    first = lambda c: _first(F.filter("each", c))["row"]
+    starts = first(header) + 1
     if form.header_implied:
-        starts = F.coalesce(starts, F.min(F.when(labelled, F.col("row"))))
-    titled = col0.rlike(r"^(项目|项 目)(?!\s*编)") | (col0 == "子目名称")
-    out = rows.groupBy(*PART).agg(
-        F.max("prefix").alias("prefix"), F.max(F.size(grid)).alias("width"), F.sort_array(F.flatten(F.collect_list(codes))).alias("hits"), *found,
-        starts.alias("lines_from"), F.min(F.when(col0.isin(*CONTINUES_WITH), F.col("row"))).alias("goes_on_from"),
-        F.sort_array(F.collect_list(F.when(titled, F.struct("row", "grid")))).alias("titles"),
-        F.bool_or((F.contains(text, F.lit("基价")) & text.rlike("[元(（]")) | _any_in(text, ("综合基价", "综合单价"))).alias("names_base"),
-        F.bool_or(col0.isin("机", "机具", "机 具")).alias("has_machine_rows"), F.bool_or(col0.isin("材", "料", "材料", "材 料")).alias("has_material_rows"),
-    )
-    out = _with(out, ids=F.transform("hits", lambda h: h["code"]))
+        starts = F.coalesce(starts, first(lambda r: tight0(r).isin(*IMPLICIT_LABELS)))
+    titled = lambda r: r["col0"].rlike(r"^(项目|项 目)(?!\s*编)") | (r["col0"] == "子目名称")
+    names_base = lambda r: (F.contains(r["text"], F.lit("基价")) & r["text"].rlike("[元(（]")) | _any_in(r["text"], ("综合基价", "综合单价"))
+    out = _with(parts, hits=F.flatten(F.transform(F.filter("rows", lambda r: F.exists(r["grid"], is_code)), codes)))
+    out = _with(out.where("size(hits) > 0"), ids=F.transform("hits", lambda h: h["code"]))
     ids = F.col("ids")
     firsts = F.filter("hits", lambda h, i: F.array_position(ids, h["code"]) == i + 1)
-    return out.withColumn("projects", F.transform(firsts, lambda h, i: F.struct(i.alias("item"), h["code"].alias("code"), h["col"].alias("col")))).drop("hits", "ids").where("size(projects) > 0")
+    return out.select(
+        *PART, "prefix", "many", "rows", F.transform(firsts, lambda h, i: F.struct(i.alias("item"), h["code"].alias("code"), h["col"].alias("col"))).alias("projects"),
+        F.array_max(F.transform("rows", lambda r: F.size(r["grid"]))).alias("width"), *found, starts.alias("lines_from"), first(lambda r: r["col0"].isin(*CONTINUES_WITH)).alias("goes_on_from"),
+        F.transform(F.filter("each", titled), lambda r: F.struct(r["row"].alias("row"), r["grid"].alias("grid"))).alias("titles"), F.exists("signed", names_base).alias("names_base"),
+        F.exists("each", lambda r: r["col0"].isin("机", "机具", "机 具")).alias("has_machine_rows"), F.exists("each", lambda r: r["col0"].isin("材", "料", "材料", "材 料")).alias("has_material_rows"),
+    )
+
+
+def _fee_columns(form: Form) -> list[str]:
+    return ["labour", "material", "machine", "management", "profit", "fee", "vat", "risk", *[f"more_{k}" for k in range(len(form.more_fees))]]
+
+
+def items_and_rows(known: DataFrame, form: Form) -> DataFrame:
+    """A row for each item of a part, with p (its project) and said (what its table says), and one for each table row that
+    may be a resource, with its row, grid and cells; the others of these are null."""
+    said = ["prefix", "base", "units", "titles", *_fee_columns(form), "names_base", "has_machine_rows", "has_material_rows"]
+    of_row, project = known.schema["rows"].dataType.elementType, known.schema["projects"].dataType.elementType
+    none = lambda kind: F.lit(None).cast(kind)
+    items = F.transform("projects", lambda p: F.struct(p.alias("p"), F.struct(*said).alias("said"), *[none(f.dataType).alias(f.name) for f in of_row.fields]))
+    found = F.filter("rows", lambda r: r["row"] >= F.least("lines_from", "goes_on_from"))
+    rows = F.transform(found, lambda r: F.struct(none(project).alias("p"), none(StructType([known.schema[c] for c in said])).alias("said"), *[r[f.name].alias(f.name) for f in of_row.fields]))
+    return known.select(*PART, "many", "projects", "width", "lines_from", "goes_on_from", F.inline_outer(F.concat(items, rows)))
 
 
 def _category(raw: Column, rest: Column, form: Form) -> Column:
@@ -169,16 +201,19 @@ def _category(raw: Column, rest: Column, form: Form) -> Column:
     return out
 
 
-def resource_rows(rows: DataFrame, known: DataFrame, form: Form) -> DataFrame:
-    """A row for every table row that is a resource: category, name, unit, price, amounts (one for each of the table's
-    projects) and what kind of line it is. A row whose first cells come from above gets them from its grid."""
-    told = known.select(*PART, "projects", "width", "lines_from", "goes_on_from")
-    rows = rows.join(told, PART).where(F.col("row") >= F.least("lines_from", "goes_on_from"))
-    first_start = _first(F.col("cells"))["start"]
+def told_rows(rows: DataFrame, form: Form) -> DataFrame:
+    """(file, table_no, part, i, r, name) for items_and_rows: i is an item with its unit, base price and fees, r a resource
+    with its category, unit, price, amounts (one for each of the table's projects) and what kind of line it is; one of them is
+    null. A row whose first cells come from above gets them from its grid, rows that are no resources are gone, and names
+    are written out."""
+    is_item = F.col("row").isNull()
+    whole, own = F.transform("grid", lambda t, i: _cell(t, i, i)), F.transform("cells", lambda c: _cell(c["text"], c["start"], c["stop"]))
+    rows = _with(rows, own=F.when(F.col("many"), _merged(whole)).otherwise(own.cast(_CELLS)))
+    first_start = _first(F.col("own"))["start"]
     above = F.filter(F.transform(F.slice("grid", F.lit(1), F.coalesce(first_start, F.lit(0))), lambda t, i: _cell(t, i, i)), lambda c: c["text"] != "")
-    rows = _with(rows, every=F.when(first_start > 0, _merged(F.concat(above.cast(_CELLS), "cells"))).otherwise(F.col("cells")))
+    rows = _with(rows, every=F.when(first_start > 0, _merged(F.concat(above.cast(_CELLS), "own"))).otherwise(F.col("own")))
     rows = _with(rows, full=F.filter("every", lambda c: c["text"] != ""))
-    rows = _with(rows, head=_first(F.col("full"))).where("head IS NOT NULL")
+    rows = _with(rows, head=_first(F.col("full"))).where(is_item | F.col("head").isNotNull())
     raw, rest = F.col("head.text"), F.col("rest")
     tight = F.replace(raw, F.lit(" "), F.lit(""))
     rows = _with(rows, rest=F.filter("full", lambda c: c["start"] > F.col("head.stop")), appendix=tight == "附项", coded_labour=(raw == "人工") if form.layout == "coded" else F.lit(False))
@@ -191,11 +226,11 @@ def resource_rows(rows: DataFrame, known: DataFrame, form: Form) -> DataFrame:
     if form.layout == "unpriced":
         rows = _with(rows, code_stop=_first(F.filter(rest, lambda c: c["text"].rlike(r"^\d{6,12}$")))["stop"])
         name = _first(F.filter(rest, lambda c: c["start"] > F.col("code_stop")))
-    rows = _with(rows, category=_category(raw, rest, form), name_cell=name).where("category IS NOT NULL AND name_cell.text <> ''")
+    rows = _with(rows, category=_category(raw, rest, form), name_cell=name).where(is_item | (F.col("category").isNotNull() & (F.col("name_cell.text") != "")))
     rows = _with(rows, unit_cell=_first(F.filter("full", lambda c: c["start"] > F.col("name_cell.stop"))))
     rows = _with(rows, unit=F.coalesce(markup_unit(F.col("unit_cell.text")), F.lit("")), unit_stop=F.coalesce("unit_cell.stop", "name_cell.stop"))
     if form.layout == "unpriced":
-        rows = rows.where("unit_cell IS NOT NULL")
+        rows = rows.where(is_item | F.col("unit_cell").isNotNull())
     after_unit = lambda filled: _first(F.filter("every", lambda c: (c["start"] > F.col("unit_stop")) & (~F.lit(filled) | (c["text"] != ""))))
     price_cell = F.when(F.col("coded_labour"), after_unit(True)).otherwise(after_unit(False))
     if form.layout == "price-last":
@@ -229,10 +264,15 @@ def resource_rows(rows: DataFrame, known: DataFrame, form: Form) -> DataFrame:
         other, appendix = ((unit == "%") | other) & (category != "工"), _any_in(name, OTHER_MACHINE) & ~((unit == "%") & (category == "工"))
     else:
         price = F.when(other & (unit == "%"), "").when(other & unset, "1.000").otherwise(price)
-    return rows.select(
-        *PART, "row", "projects", "lines_from", "goes_on_from", F.when(unpriced, "未计价").otherwise(category).alias("category"), name.alias("name"), "unit", price.alias("price"), "amounts",
-        other.alias("other"), appendix.alias("appendix"), ((bracketed | labour) & ~unpriced).alias("proportion"),
+    row, begins = F.col("row"), F.coalesce(F.col("row") >= F.col("lines_from"), F.lit(False))
+    category = F.when(unpriced, "未计价").otherwise(category)
+    refusal = F.when(begins & (unit == ""), F.struct("part", "row", _first(F.col("projects"))["code"].alias("code"), F.concat(F.when(category == "未计价", "主材行缺少单位: ").otherwise("料行缺少单位: "), name).alias("reason")))
+    resource = F.struct(
+        "row", begins.alias("begins"), F.coalesce((row >= F.col("goes_on_from")) & (category != "未计价"), F.lit(False)).alias("goes_on"), refusal.alias("refusal"), category.alias("category"), "unit", price.alias("price"), "amounts",
+        other.alias("other"), appendix.alias("appendix"), ((bracketed | labour) & ~unpriced).alias("proportion"), _any_in(name, ("【机械】", "【机】")).alias("of_machines"),
     )
+    item = _item(form)
+    return rows.select(*PART, F.when(is_item, item).alias("i"), F.when(~is_item, resource).alias("r"), F.when(is_item, F.array_join(_titles(form), " ")).otherwise(name).alias("name")).withColumn("name", clean_name(F.col("name")))
 
 
 def _value(quantity: Column, price: Column) -> Column:
@@ -240,23 +280,6 @@ def _value(quantity: Column, price: Column) -> Column:
     return F.when(quantity == 0, 0.0).when(price == 0, quantity).otherwise(quantity * price)
 
 
-def _per_item(found: DataFrame) -> DataFrame:
-    """Resource rows once for each project, with numbers."""
-    each = found.select("*", F.explode(F.arrays_zip("projects", "amounts")).alias("p")).select(*found.columns, F.col("p.projects.item").alias("item"), F.col("p.projects.code").alias("code"), F.col("p.amounts").alias("quantity"))
-    return each.drop("projects", "amounts").withColumn("q", number_or_zero(F.col("quantity"))).withColumn("m", number_or_zero(F.col("price")))
-
-
-LINE = [*PART, "item", "slot", "place", "kind", "code", "name", "feature", "unit", "quantity", "price", "value", "counted"]
-
-
-def _line(frame: DataFrame, slot: Column, place: list[Column], kind: Column, name: Column, unit: Column, quantity: Column, price: Column, value: Column, counted: Column, code: Column | None = None, feature: Column | None = None) -> DataFrame:
-    empty = F.lit("")
-    return frame.select(
-        *PART, "item", slot.cast("int").alias("slot"), F.array(*[p.cast("int") for p in place]).alias("place"), kind.alias("kind"), (empty if code is None else code).alias("code"), name.alias("name"),
-        (empty if feature is None else feature).alias("feature"), unit.alias("unit"), quantity.alias("quantity"), price.alias("price"), value.cast("double").alias("value"), counted.cast("double").alias("counted"),
-    )
-
-
 def _fee_value(grid: Column, projects: Column, col: Column) -> Column:
     """A fee's text for an item: its column's, or the row's first number in a table of one item."""
     numbers = F.filter(F.slice(grid, 2, 1 << 20), lambda t: t.rlike(NUMERIC) & (t != ""))
@@ -272,57 +295,85 @@ def _title(titles: Column, col: Column, numbers: bool) -> Column:
     return F.transform(F.filter(kept, lambda t, i: (i == 0) | (F.get(kept, i - 1)["text"] != t["text"])), lambda t: t["text"])
 
 
-def _items(known: DataFrame, form: Form) -> DataFrame:
-    """A row for each item of each table part, with its title, unit, base price and fees."""
-    each = known.select("*", F.explode("projects").alias("p")).withColumn("item", F.col("p.item")).withColumn("code", F.col("p.code"))
+def _titles(form: Form) -> Column:
+    return _title(F.col("said.titles"), F.col("p.col"), form.numbers_in_titles)
+
+
+def _item(form: Form) -> Column:
+    """An item of items_and_rows with its unit, base price and fees."""
     col, projects = F.col("p.col"), F.col("projects")
-    prefix = F.coalesce("prefix", F.lit(""))
+    prefix = F.coalesce("said.prefix", F.lit(""))
     content = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(prefix, r"(?s)^.*工作内容[：:]\s*(.*)$", 1), r"(?s)单位[：:].*$", ""), r"\s+", " "))
     fallback = markup_unit(F.trim(F.regexp_extract(prefix, r"(?s)^.*单位[：:]\s*([^\n]+)", 1)))
-    title = _title(F.col("titles"), col, form.numbers_in_titles)
-    last = F.coalesce(markup_unit(F.element_at(F.filter(title, lambda t: t != ""), -1)), F.lit(""))
     see_table = lambda t: t.rlike(r"^见\s*表$")
-    own_unit = F.coalesce(markup_unit(F.get("units", col)), F.lit(""))
+    own_unit = F.coalesce(markup_unit(F.get("said.units", col)), F.lit(""))
     if form.unit_from_title:
+        last = F.coalesce(markup_unit(F.try_element_at(F.filter(_titles(form), lambda t: t != ""), F.lit(-1))), F.lit(""))
         better = (last != "") & ~see_table(last)
         own_unit = F.when(see_table(own_unit) & better, last).otherwise(own_unit)
         fallback = F.when(see_table(fallback) & better, last).otherwise(fallback)
-    base = F.coalesce(F.get("base", col), F.lit(""))
-    alone = F.coalesce(_first(F.filter(F.slice("base", 2, 1 << 20), lambda t: t.rlike(NUMERIC) & (t != ""))), F.lit(""))
+    base = F.coalesce(F.get("said.base", col), F.lit(""))
+    alone = F.coalesce(_first(F.filter(F.slice("said.base", 2, 1 << 20), lambda t: t.rlike(NUMERIC) & (t != ""))), F.lit(""))
     base = out_of_brackets(F.when((base == "") & (F.size(projects) == 1), alone).otherwise(base))
-    fees = ["labour", "material", "machine", "management", "profit", "fee", "vat", "risk", *[f"more_{k}" for k in range(len(form.more_fees))]]
-    return each.select(
-        *PART, "item", "code", F.array_join(title, " ").alias("title"), content.alias("content"), F.when(F.col("units").isNotNull(), own_unit).otherwise(fallback).alias("unit"), F.coalesce(base, F.lit("")).alias("base"),
-        *[F.when(F.col(f).isNotNull(), _fee_value(F.col(f), projects, col)).alias(f) for f in fees],
+    return F.struct(
+        "p.item", "p.code", content.alias("content"), F.when(F.col("said.units").isNotNull(), own_unit).otherwise(fallback).alias("unit"), F.coalesce(base, F.lit("")).alias("base"),
+        *[F.when(F.col(f"said.{f}").isNotNull(), _fee_value(F.col(f"said.{f}"), projects, col)).alias(f) for f in _fee_columns(form)], "said.names_base", "said.has_machine_rows", "said.has_material_rows",
     )
 
 
-def _fees(items: DataFrame, form: Form) -> DataFrame:
-    """Fee lines of items (with has_* flags of what the table and the file list), by the book's rules."""
-    num = lambda c: number_or_zero(F.col(c))
-    never = F.lit(False)
+def _line(slot, place: list, kind: Column, name: Column, unit: Column, quantity: Column, price: Column, value, counted, code: Column | None = None, feature: Column | None = None, share=False, q=None, basis=0.0) -> Column:
+    """A line of an item. counted: what of it counts in the sum, null for its value; share: its value is q percent of the
+    sum of the item's basis."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    parts = {"slot": (slot, "int"), "place": (F.array(*[as_column(p).cast("int") for p in place]), "array<int>"), "kind": (kind, "string"), "code": ("" if code is None else code, "string"), "name": (name, "string")}
+    parts |= {"feature": ("" if feature is None else feature, "string"), "unit": (unit, "string"), "quantity": (quantity, "string"), "price": (price, "string"), "value": (value, "double"), "counted": (counted, "double")}
+    parts |= {"share": (share, "boolean"), "q": (q, "double"), "basis": (basis, "double")}
+    return F.struct(*[as_column(c).cast(kind).alias(n) for n, (c, kind) in parts.items()])
+
+
+def _fees(form: Form) -> list[Column]:
+    """Fee lines of an item i (with has_* flags of what the table and the file list), null where the book's rules have none."""
+    text_of = lambda c: F.col(f"i.{c}")
+    num = lambda c: number_or_zero(text_of(c))
     labour = F.lit(form.labour_fee_forced or form.fees == "always") | (F.lit(form.fees == "missing") & ~F.col("has_labour"))
     if form.material_fee == "unpriced":
         material = F.col("has_unpriced") | (~F.col("has_material") & (F.coalesce(num("material"), F.lit(0.0)) > 0))
     else:
-        material = F.col("material").isNotNull() & ~F.col("has_material") & (num("material") > 0) & F.lit(form.material_fee != "none")
+        material = text_of("material").isNotNull() & ~F.col("has_material") & (num("material") > 0) & F.lit(form.material_fee != "none")
         if form.material_fee == "missing-in-file":
             material = material & ~F.col("file_has_material")
     machine = F.lit(form.fees == "always") | (F.lit(form.fees == "missing") & ~F.col("has_machine") & (num("machine") > 0))
     if form.material_fee == "missing-in-file":
         machine = machine & (F.lit(form.fees == "always") | ~F.col("file_has_machine"))
     # slot, place, column, whether, kind, name, whether it counts, whether the value stands as price
-    rules = [(1, 0, "labour", F.col("labour").isNotNull() & labour, "工", "人工费", True, False), (3, 0, "material", material, "料", "材料费", form.material_fee == "unpriced", False), (5, 0, "machine", F.col("machine").isNotNull() & machine, "机", "机械费", form.fees == "always", False)]
+    rules = [(1, 0, "labour", text_of("labour").isNotNull() & labour, "工", "人工费", True, False), (3, 0, "material", material, "料", "材料费", form.material_fee == "unpriced", False), (5, 0, "machine", text_of("machine").isNotNull() & machine, "机", "机械费", form.fees == "always", False)]
     above = [("management", "企业管理费"), ("profit", "利润"), ("fee", "费用"), ("vat", "增值税"), ("risk", "一般风险费"), *[(f"more_{k}", shown) for k, shown in enumerate(form.more_fees.values())]]
-    rules += [(7, k, c, F.col(c).isNotNull(), "综", shown, True, True) for k, (c, shown) in enumerate(above)]
+    rules += [(7, k, c, text_of(c).isNotNull(), "综", shown, True, True) for k, (c, shown) in enumerate(above)]
 
     def one(slot, place, column, whether, kind, name, counts, as_price):
-        text = F.coalesce(F.col(column), F.lit(""))
-        parts = {"slot": F.lit(slot), "place": F.lit(place), "kind": F.lit(kind), "name": F.lit(name), "quantity": F.lit("100.00") if as_price else text, "price": text if as_price else F.lit("1.00"), "value": number_or_zero(text), "counted": number_or_zero(text) if counts else F.lit(0.0)}
-        return F.when(F.coalesce(whether, never), F.struct(*[v.alias(k) for k, v in parts.items()]))
-
-    each = items.select(*PART, "item", F.explode(F.filter(F.array(*[one(*r) for r in rules]), lambda x: x.isNotNull())).alias("f"))
-    return _line(each, F.col("f.slot"), [F.lit(0), F.col("f.place"), F.lit(0)], F.col("f.kind"), F.col("f.name"), F.lit("元"), F.col("f.quantity"), F.col("f.price"), F.col("f.value"), F.col("f.counted"))
+        text = F.coalesce(text_of(column), F.lit(""))
+        quantity, price = (F.lit("100.00"), text) if as_price else (text, F.lit("1.00"))
+        return F.when(F.coalesce(whether, F.lit(False)), _line(slot, [0, place, 0], F.lit(kind), F.lit(name), F.lit("元"), quantity, price, number_or_zero(text), number_or_zero(text) if counts else 0.0))
+
+    return [one(*r) for r in rules]
+
+
+def _resource(form: Form) -> Column:
+    """The line of a resource r: of an item of its own table, or of the item that its table goes on with."""
+    of = lambda c: F.col(f"r.{c}")
+    category, other, proportion, appendix, on = of("category"), of("other"), of("proportion"), of("appendix"), F.col("goes_on")
+    q, m = number_or_zero(F.col("quantity")), number_or_zero(of("price"))
+    worth = _value(q, m)
+    unpriced = category == "未计价"
+    plain = ~other & category.isin("料", "配") & ~proportion & ~appendix & ~of("of_machines")
+    summed = ~proportion & (on | (F.lit(form.fees != "none") & ~unpriced))
+    share = ~on & summed & other & (of("unit") == "%")
+    rank = F.when(appendix, 1).when(category == "机", 2).otherwise(0) if form.appendix_last else F.lit(0)
+    slot = F.when(on & F.col("to.overheads"), 6).when(on, 8).when(unpriced, 2).otherwise(4)
+    place = [F.when(on, F.col("table_no")).otherwise(0), F.when(on | unpriced, 0).otherwise(rank), of("row")]
+    kind = F.when(unpriced, "主材").when((category == "料") & proportion, "配").otherwise(category)
+    price = F.when(unpriced, "").otherwise(out_of_brackets(of("price")))
+    return _line(slot, place, kind, F.col("name"), of("unit"), F.col("quantity"), price, F.when(summed & ~share, F.when(other, q).otherwise(worth)), F.when(appendix & ~on, 0.0), share=share, q=q, basis=F.when(~on & plain, worth).otherwise(0.0))
 
 
 @dataclass(frozen=True)
@@ -334,7 +385,8 @@ class Parsed:
 
 
 def parse(rows: DataFrame, form: Form = Form()) -> Parsed:
-    """Items and resource lines of table rows (file, table_no, row, prefix, grid, cells), as sources.tables.table_rows gives.
+    """Items and resource lines of tables, one row each as sources.tables.whole_tables gives them, or of their rows (file,
+    table_no, row, prefix, grid, cells), which are gathered by table first.
 
     An item line (kind 定) has the base price as its price and the sum of what counts as its verify: resources without
     brackets, other material by its own share of the materials before it where its unit is %, and the fees that the book
@@ -343,56 +395,45 @@ def parse(rows: DataFrame, form: Form = Form()) -> Parsed:
     items: its lines come before the overheads of the last table that began the item, and count in its sum. Tables of fewer
     than four columns, or without a code, give nothing, nor do rows of no file; no rows give no lines.
     """
-    rows = rows.where((F.size("grid") >= 4) & F.col("file").isNotNull())
-    parts = settled(split_tables(rows))
-    known = settled(facts(parts, form))
-    found = settled(resource_rows(parts, known, form))
-    main_rows = found.where("row >= lines_from")
-    refused = main_rows.where("unit = ''").groupBy(*PART).agg(F.min(F.struct("row", "category", "name")).alias("first"), F.first("projects").alias("projects"))
-    reason = F.concat(F.when(F.col("first.category") == "未计价", "主材行缺少单位: ").otherwise("料行缺少单位: "), F.col("first.name"))
-    refused = refused.groupBy(*TABLE).agg(F.min(F.struct("part", _first(F.col("projects"))["code"].alias("code"), reason.alias("reason"))).alias("x"))
+    known = facts(split_tables(rows if "rows" in rows.columns else gathered(rows)), form)
+    told = stored(told_rows(items_and_rows(known, form), form))
+    # Books are dealt out by number, and all that follows stays where they are: every group below is of one file.
+    spark = told.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by_file = lambda frame: frame.repartition(n, "file")
+    refused = by_file(told.where("r.refusal IS NOT NULL").select(*TABLE, "r.refusal")).groupBy(*TABLE).agg(F.min("refusal").alias("x"))
     issues = refused.select(*TABLE, "x.code", "x.reason")
-    codes = known.select(*PART, "names_base", "has_machine_rows", "has_material_rows", F.explode("projects").alias("p")).select(*PART, "names_base", "has_machine_rows", "has_material_rows", F.col("p.item").alias("item"), F.col("p.code").alias("code"))
-    good = codes.join(issues.select(*TABLE, F.lit(True).alias("bad")), TABLE, "left")
-    by_code = Window.partitionBy("file", "code")
-    seen = good.withColumn("first", F.min(F.when(F.col("bad").isNull(), F.col("table_no"))).over(by_code))
+
+    # Which parts go on, and with what: each code's last beginning before
+    codes = by_file(told.where("i IS NOT NULL").select(*PART, "i.item", "i.code", F.col("i.management").isNotNull().alias("overheads"), "i.names_base", "i.has_machine_rows", "i.has_material_rows"))
+    codes = codes.join(refused.select(*TABLE, F.lit(True).alias("bad")), TABLE, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    by_code, by_part = Window.partitionBy("file", "code"), Window.partitionBy(*PART)
+    seen = codes.withColumn("first", F.min(F.when(~F.col("bad"), F.col("table_no"))).over(by_code))
     seen = seen.withColumn("file_has_machine", F.bool_or("has_machine_rows").over(by_code)).withColumn("file_has_material", F.bool_or("has_material_rows").over(by_code))
-    again = F.coalesce(F.bool_and(F.col("first") < F.col("table_no")), F.lit(False)) & F.bool_and(F.col("part") == 0) & ~F.bool_or("names_base") & F.lit(form.joins_pages)
-    state = seen.groupBy(*PART).agg(again.alias("goes_on"), F.bool_or("bad").alias("bad"), F.bool_or("file_has_machine").alias("file_has_machine"), F.bool_or("file_has_material").alias("file_has_material"))
-    state = state.select(*PART, "goes_on", F.coalesce("bad", F.lit(False)).alias("bad"), "file_has_machine", "file_has_material")
-    begun = state.where("NOT goes_on AND NOT bad")
-
-    # Tables that begin items
-    lists = main_rows.join(begun.select(*PART), PART)
-    flags = lists.groupBy(*PART).agg(*[F.bool_or(F.col("category").isin(*kinds)).alias(n) for n, kinds in {"has_labour": ("工",), "has_material": ("料", "配"), "has_machine": ("机",), "has_unpriced": ("未计价",)}.items()])
-    items = _items(known, form).join(begun, PART).join(flags, PART, "left").na.fill(False, ["has_labour", "has_material", "has_machine", "has_unpriced"])
-    each = _per_item(lists)
-    plain = ~F.col("other") & F.col("category").isin("料", "配") & ~F.col("proportion") & ~F.col("appendix") & ~_any_in(F.col("name"), ("【机械】", "【机】"))
-    basis = F.sum(F.when(plain, _value(F.col("q"), F.col("m"))).otherwise(0.0)).over(Window.partitionBy(*PART, "item"))
-    share = F.when(F.col("unit") == "%", F.col("basis") * F.col("q") / 100).otherwise(F.col("q"))
-    each = each.withColumn("basis", basis).withColumn("v", F.when(F.col("other"), share).otherwise(_value(F.col("q"), F.col("m"))))
-    unsummed, unpriced = F.col("proportion") | F.lit(form.fees == "none"), F.col("category") == "未计价"
-    rank = F.when(F.col("appendix"), 1).when(F.col("category") == "机", 2).otherwise(0) if form.appendix_last else F.lit(0)
-    kind = F.when(unpriced, "主材").when((F.col("category") == "料") & F.col("proportion"), "配").otherwise(F.col("category"))
-    value = F.when(~unsummed & ~unpriced, F.col("v"))
-    counted = F.when(value.isNull() | F.col("appendix"), 0.0).otherwise(plain_number(value).cast("double"))
-    listed = _line(each, F.when(unpriced, 2).otherwise(4), [F.lit(0), F.when(unpriced, 0).otherwise(rank), F.col("row")], kind, F.col("name"), F.col("unit"), F.col("quantity"), F.when(unpriced, "").otherwise(out_of_brackets(F.col("price"))), value, counted)
-    heads = _line(items, F.lit(0), [F.lit(0)] * 3, F.lit("定"), F.col("title"), F.col("unit"), F.lit(""), F.col("base"), F.lit(None), F.lit(0.0), F.col("code"), F.col("content"))
-
-    # Tables that go on with them: each code's last beginning before
-    starts = items.groupBy("file", "code", "table_no").agg(F.min(F.struct("part", "item", F.col("management").isNotNull().alias("overheads"))).alias("at"))
-    more = found.join(state.where("goes_on").select(*PART), PART).where("row >= goes_on_from AND category <> '未计价'")
-    wanted = codes.join(state.where("goes_on").select(*PART), PART).select("file", "code", "table_no", F.lit(None).cast(starts.schema["at"].dataType).alias("at"))
-    placed = starts.unionByName(wanted).withColumn("to", F.last(F.when(F.col("at").isNotNull(), F.struct("table_no", "at")), True).over(by_code.orderBy("table_no").rowsBetween(*SO_FAR)))
-    placed = placed.where("at IS NULL AND to IS NOT NULL").select("file", "code", F.col("table_no").alias("from_table"), "to")
-    extra = _per_item(more).withColumnRenamed("table_no", "from_table").drop("part", "item").join(placed, ["file", "code", "from_table"])
-    extra = extra.select("*", F.col("to.table_no").alias("table_no"), F.col("to.at.part").alias("part"), F.col("to.at.item").alias("item"))
-    value = F.when(~F.col("proportion"), F.when(F.col("other"), F.col("q")).otherwise(_value(F.col("q"), F.col("m"))))
-    kind = F.when((F.col("category") == "料") & F.col("proportion"), "配").otherwise(F.col("category"))
-    joined = _line(extra, F.when(F.col("to.at.overheads"), 6).otherwise(8), [F.col("from_table"), F.lit(0), F.col("row")], kind, F.col("name"), F.col("unit"), F.col("quantity"), out_of_brackets(F.col("price")), value, F.coalesce(plain_number(value).cast("double"), F.lit(0.0)))
-
-    lines = heads.unionByName(_fees(items, form)).unionByName(listed).unionByName(joined)
-    total = F.sum("counted").over(Window.partitionBy(*PART, "item"))
-    shown = F.when(F.col("kind") != "定", F.col("value")).when(F.lit(form.fees != "none"), total)
-    lines = lines.withColumn("verify", F.coalesce(plain_number(shown), F.lit(""))).withColumn("name", clean_name(F.col("name")))
-    return Parsed(lines.drop("value", "counted"), issues)
+    again = F.coalesce(F.bool_and(F.col("first") < F.col("table_no")).over(by_part), F.lit(False)) & (F.col("part") == 0) & ~F.bool_or("names_base").over(by_part) & F.lit(form.joins_pages)
+    seen = seen.withColumn("goes_on", again)
+    start = F.when(~F.col("goes_on") & ~F.col("bad"), F.struct("table_no", "part", "item", "overheads"))
+    seen = seen.withColumn("to", F.last(start, True).over(by_code.orderBy("table_no", F.desc("part"), F.desc("item")).rowsBetween(*SO_FAR)))
+    flags = [F.bool_or(c).alias(c) for c in ("goes_on", "bad", "file_has_machine", "file_has_material")]
+    state = seen.groupBy(*PART).agg(*flags, F.sort_array(F.collect_list(F.when(F.col("goes_on"), F.struct("item", "to")))).alias("targets"))
+
+    # Lines of the items that begin, and of the tables that go on with them
+    rows = by_file(told).join(state, PART).withColumn("begins", ~F.col("goes_on") & ~F.col("bad"))
+    rows = rows.where((F.col("begins") & (F.col("i").isNotNull() | F.col("r.begins"))) | (F.col("goes_on") & F.col("r.goes_on")))
+    listed = {"has_labour": ("工",), "has_material": ("料", "配"), "has_machine": ("机",), "has_unpriced": ("未计价",)}
+    rows = rows.select("*", *[F.coalesce(F.bool_or(F.col("begins") & F.col("r.category").isin(*kinds)).over(by_part), F.lit(False)).alias(c) for c, kinds in listed.items()])
+    rows = rows.select("*", F.posexplode_outer(F.coalesce("r.amounts", F.array(F.lit(None).cast("string")))).alias("k", "quantity"))
+    rows = rows.withColumn("to", F.get("targets", F.col("k"))["to"]).where("begins OR to IS NOT NULL")
+    head = _line(0, [0, 0, 0], F.lit("定"), F.col("name"), F.col("i.unit"), F.lit(""), F.col("i.base"), None, 0.0, F.col("i.code"), F.col("i.content"))
+    of_item = F.filter(F.array(head, *_fees(form)), lambda x: x.isNotNull())
+    place = [F.when(F.col("goes_on"), F.col(f"to.{c}")).otherwise(own).alias(c) for c, own in {"table_no": F.col("table_no"), "part": F.col("part"), "item": F.coalesce("i.item", "k")}.items()]
+    lines = rows.select("file", *place, F.inline_outer(F.when(F.col("i").isNotNull(), of_item).otherwise(F.array(_resource(form)))))
+    if form.more_fees:
+        lines = lines.withColumn("name", F.when(F.col("name").isin(*form.more_fees.values()) & (F.col("slot") == 7), clean_name(F.col("name"))).otherwise(F.col("name")))
+
+    by_item = Window.partitionBy(*PART, "item")
+    lines = lines.withColumn("value", F.when(F.col("share"), F.sum("basis").over(by_item) * F.col("q") / 100).otherwise(F.col("value")))
+    lines = lines.withColumn("counted", F.coalesce("counted", plain_number(F.col("value")).cast("double"), F.lit(0.0)))
+    shown = F.when(F.col("kind") != "定", F.col("value")).when(F.lit(form.fees != "none"), F.sum("counted").over(by_item))
+    lines = lines.withColumn("verify", F.coalesce(plain_number(shown), F.lit("")))
+    return Parsed(lines.drop("value", "counted", "share", "q", "basis"), issues)

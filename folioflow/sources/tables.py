@@ -170,48 +170,58 @@ def placed(html: str | None) -> list[tuple[list[str], list[tuple[str, int, int,
     return [([line.get(c, "") for c in range(width)], cells) for line, cells in zip(grid, own)]
 
 
-ROWS = "file string, table_no int, row int, prefix string, grid array<string>, cells array<struct<text:string,start:int,stop:int,down:int>>"
+TABLES = "file string, table_no int, prefix string, rows array<struct<row:int,grid:array<string>,cells:array<struct<text:string,start:int,stop:int,down:int>>>>"
 
 
-def table_rows(files: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of every table in the files' texts, with their spans, as ROWS. prefix, in a table's first row, is what
-    stands between it and the table before. Null texts and texts without tables give no rows; a null key stays null."""
+def whole_tables(files: DataFrame, key: str, text: str) -> DataFrame:
+    """Every table with rows in the files' texts as one row, as TABLES: its rows with their spans, and as prefix what stands
+    between it and the table before. Null texts and texts without tables give no rows; a null key stays null."""
 
     def run(batches):
         import pyarrow as pa
 
-        def rows(batch):
+        def tables(batch):
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 end = 0
                 for n, m in enumerate(re.finditer(r"(?is)<table\b.*?</table>", content or "")):
-                    for r, (grid, cells) in enumerate(placed(m[0])):
-                        yield file, n, r, content[end : m.start()] if r == 0 else None, grid, cells
+                    if rows := placed(m[0]):
+                        yield file, n, content[end : m.start()], rows
                     end = m.end()
 
         def listed(lists, made):
             return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), made([x for one in lists for x in one]))
 
-        def cells(told):
-            parts = zip(*told) if told else [()] * 4
-            kinds = {"text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "down": pa.int32()}
-            return pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds.values())], names=list(kinds))
+        def structs(kinds):
+            return lambda told: pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(zip(*told) if told else [()] * len(kinds), kinds.values())], names=list(kinds))
+
+        cells = structs({"text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "down": pa.int32()})
+
+        def rows(told):
+            parts = [pa.array([r for r, _ in told], pa.int32()), listed([x[0] for _, x in told], lambda texts: pa.array(texts, pa.string())), listed([x[1] for _, x in told], cells)]
+            return pa.StructArray.from_arrays(parts, names=["row", "grid", "cells"])
 
         def made(held):
-            plain = zip(list(zip(*held))[:4], (pa.string(), pa.int32(), pa.int32(), pa.string()))
-            lists = [listed([h[4] for h in held], lambda texts: pa.array(texts, pa.string())), listed([h[5] for h in held], cells)]
-            return pa.record_batch([*[pa.array(c, k) for c, k in plain], *lists], names=["file", "table_no", "row", "prefix", "grid", "cells"])
+            plain = zip(list(zip(*held))[:3], (pa.string(), pa.int32(), pa.string()))
+            return pa.record_batch([*[pa.array(c, k) for c, k in plain], listed([list(enumerate(h[3])) for h in held], rows)], names=["file", "table_no", "prefix", "rows"])
 
         for b in batches:
-            held = []
-            for row in rows(b):
-                held.append(row)
-                if len(held) >= 4096:
+            held, n = [], 0
+            for one in tables(b):
+                held.append(one)
+                n += len(one[3])
+                if n >= 4096:
                     yield made(held)
-                    held = []
+                    held, n = [], 0
             if held:
                 yield made(held)
 
-    return files.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, ROWS)
+    return files.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, TABLES)
+
+
+def table_rows(files: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of whole_tables: (file, table_no, row, prefix, grid, cells), with the prefix in a table's first row only."""
+    rows = whole_tables(files, key, text).select("file", "table_no", "prefix", F.inline_outer("rows"))
+    return rows.select("file", "table_no", "row", F.when(F.col("row") == 0, F.col("prefix")).alias("prefix"), "grid", "cells")
 
 
 CODE = r"^[A-Z]{1,3}\d{3,5}(-\d+)?$"
