@@ -401,12 +401,13 @@ def parse(rows: DataFrame, form: Form = Form()) -> Parsed:
     spark = told.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     by_file = lambda frame: frame.repartition(n, "file")
-    refused = by_file(told.where("r.refusal IS NOT NULL").select(*TABLE, "r.refusal")).groupBy(*TABLE).agg(F.min("refusal").alias("x"))
+    refused = told.where("r.refusal IS NOT NULL").select(*TABLE, "r.refusal").groupBy(*TABLE).agg(F.min("refusal").alias("x"))
     issues = refused.select(*TABLE, "x.code", "x.reason")
 
     # Which parts go on, and with what: each code's last beginning before
-    codes = by_file(told.where("i IS NOT NULL").select(*PART, "i.item", "i.code", F.col("i.management").isNotNull().alias("overheads"), "i.names_base", "i.has_machine_rows", "i.has_material_rows"))
-    codes = codes.join(refused.select(*TABLE, F.lit(True).alias("bad")), TABLE, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    item = [F.col(f"i.{c}") for c in ("item", "code", "names_base", "has_machine_rows", "has_material_rows")]
+    codes = by_file(told.where("i IS NOT NULL OR r.refusal IS NOT NULL").select(*PART, *item, F.col("i.management").isNotNull().alias("overheads"), F.col("r.refusal").isNotNull().alias("bad")))
+    codes = codes.withColumn("bad", F.bool_or("bad").over(Window.partitionBy(*TABLE))).where("code IS NOT NULL")
     by_code, by_part = Window.partitionBy("file", "code"), Window.partitionBy(*PART)
     seen = codes.withColumn("first", F.min(F.when(~F.col("bad"), F.col("table_no"))).over(by_code))
     seen = seen.withColumn("file_has_machine", F.bool_or("has_machine_rows").over(by_code)).withColumn("file_has_material", F.bool_or("has_material_rows").over(by_code))
@@ -418,7 +419,10 @@ def parse(rows: DataFrame, form: Form = Form()) -> Parsed:
     state = seen.groupBy(*PART).agg(*flags, F.sort_array(F.collect_list(F.when(F.col("goes_on"), F.struct("item", "to")))).alias("targets"))
 
     # Lines of the items that begin, and of the tables that go on with them
-    rows = by_file(told).join(state, PART).withColumn("begins", ~F.col("goes_on") & ~F.col("bad"))
+    # A part's state comes to its rows as one of them: a join would deal out both by table, and the lines by item again.
+    rows = by_file(told.unionByName(state, allowMissingColumns=True))
+    rows = rows.select(*told.columns, *[F.first(c, True).over(by_part).alias(c) for c in state.columns if c not in PART]).where("i IS NOT NULL OR r IS NOT NULL")
+    rows = rows.withColumn("begins", ~F.col("goes_on") & ~F.col("bad"))
     rows = rows.where((F.col("begins") & (F.col("i").isNotNull() | F.col("r.begins"))) | (F.col("goes_on") & F.col("r.goes_on")))
     listed = {"has_labour": ("工",), "has_material": ("料", "配"), "has_machine": ("机",), "has_unpriced": ("未计价",)}
     rows = rows.select("*", *[F.coalesce(F.bool_or(F.col("begins") & F.col("r.category").isin(*kinds)).over(by_part), F.lit(False)).alias(c) for c, kinds in listed.items()])

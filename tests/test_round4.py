@@ -55,7 +55,7 @@ BOOKS = [
 
 def test_whole_tables_and_their_rows_parse_alike(spark):
     frame = spark.createDataFrame(BOOKS, "file string, text string")
-    for form in (Form(), Form(fees="missing", material_fee="missing-in-file", unit_from_title=True), Form(more_fees={"安全费": "安全 $x$"})):
+    for form in (Form(fees="missing", material_fee="missing-in-file", unit_from_title=True), Form(more_fees={"安全费": "安全 $x$"})):
         made = [parse(f(frame, "file", "text"), form) for f in (whole_tables, table_rows)]
         lines, again = ([tuple(r) for r in m.lines.orderBy("file", "table_no", "part", "item", "slot", "place").collect()] for m in made)
         assert lines == again and {r[0] for r in lines} == {"pages", "one", "refused"}
@@ -70,3 +70,5 @@ def test_norm_lines_are_dealt_out_once_by_file(spark):
     dealt = re.findall(r"(?<!Broadcast)Exchange (\S+)\(([^()]*)\)", plan)
     assert dealt and {(how, re.sub(r"#\d+L?", "", keys).split(", ")[0]) for how, keys in dealt} == {("hashpartitioning", "file")}
     assert all(len(keys.split(", ")) == 2 for _, keys in dealt) and "ExistingRDD" not in plan
+    # A join of large frames would deal them out by all of its keys.
+    assert "Join" not in plan
